@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import bpe, records
+from brindle.llm import bpe, records, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -19,5 +23,5 @@ def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_documents(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_bpe": op6_bpe, "op8_records": op8_records}
+QUERIES = {"op1_simhash": op1_simhash, "op6_bpe": op6_bpe, "op8_records": op8_records}
 ORACLE: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import bpe, decontam, records, simhash
+from brindle.llm import bpe, ctph, decontam, records, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,5 +28,9 @@ def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_documents(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op6_bpe": op6_bpe, "op8_records": op8_records}
+def op9_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.neighbours(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op6_bpe": op6_bpe, "op8_records": op8_records, "op9_ctph": op9_ctph}
 ORACLE: dict[str, str] = {}

@@ -125,5 +125,21 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (data[offsets[0] : offsets[-1]], offsets - offsets[0]) if len(whole) else (data[:0], np.zeros(1, np.int64))
 
 
-def wire(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.array(values, kind)
+def range_cuts(rows: DataFrame, key: str, parts: int) -> list:
+    """Keys that cut the rows into about ``parts`` ranges of like counts: quantiles from one pass over the key column alone."""
+    found = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
+    return sorted(set(found or []))
+
+
+def range_of(key, cuts: list):
+    """How many cuts lie below the key (nulls: none): a search tree of comparisons, or a constant array where it would be large."""
+
+    def search(lo: int, hi: int):
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key > F.lit(cuts[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
+
+    if len(cuts) <= 512:
+        return F.coalesce(search(0, len(cuts)), F.lit(0))
+    return F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < key)), F.lit(0))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.llm import bpe, ctph, decontam, records, simhash
+from brindle.llm import bpe, ctph, decontam, records, ring, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,5 +33,10 @@ def op9_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.neighbours(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op6_bpe": op6_bpe, "op8_records": op8_records, "op9_ctph": op9_ctph}
+def op10_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = ring.shard(table(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op6_bpe": op6_bpe, "op8_records": op8_records, "op9_ctph": op9_ctph, "op10_ring": op10_ring}
 ORACLE: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, ctph, decontam, langid, records, ring, simhash
+from brindle.llm import bpe, ctph, decontam, langid, quality, records, ring, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return found.withColumn("kept", F.coalesce(F.col("tail") >= quality.LEAST, F.lit(True)))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
@@ -45,5 +51,5 @@ def op10_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op4_langid": op4_langid, "op6_bpe": op6_bpe, "op8_records": op8_records, "op9_ctph": op9_ctph, "op10_ring": op10_ring}
+QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_langid": op4_langid, "op6_bpe": op6_bpe, "op8_records": op8_records, "op9_ctph": op9_ctph, "op10_ring": op10_ring}
 ORACLE: dict[str, str] = {}

@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large and small stars, with each round's edges written to the shared folder.
 
 Nothing is collected but a row count and a checksum per round. A node with very many edges costs no task more than its share: the
-minimum of its neighbours is aggregated before the shuffle, and the join that spreads the minimum is a plain two-sided
-sort-merge join, which adaptive execution splits where one key is large.
+minimum of its neighbours is aggregated before the shuffle and written, and the join that spreads the minimum is a plain two-sided
+sort-merge join of two tables, which adaptive execution splits where one key is large.
 """
 
 from __future__ import annotations
@@ -26,17 +26,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.put(edges.where("u <> v").select(b.alias("u"), a.alias("v")).distinct())
     mark = _mark(now)
     while mark[0]:
+        first = scratch.n
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = scratch.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = scratch.put(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = scratch.put(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        old, number = mark, scratch.n
-        now = scratch.put(small)
-        mark = _mark(now)
-        scratch.drop(number - 1)
-        scratch.drop(number)
+        old, mark = mark, _mark(now := scratch.put(small))
+        for number in range(first, scratch.n):
+            scratch.drop(number)
         if mark == old:
             break
     roots = now.select(F.col("v").alias("node")).distinct()

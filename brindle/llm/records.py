@@ -24,18 +24,22 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import Scratch, own_columns, pieces
+from brindle.llm.shared import Scratch, own_columns, pieces, range_cuts, range_of
 
 #: Text characters for which this module's split and the tokenizers library's agree beyond doubt; other texts go whole to the library.
 _LATIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\x9f\xa1-ɏ‐-‧‰-⁞₠-₿]*")
-#: Distinct pre-tokens whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Letters and numbers among those characters, and the tokenizer's split pattern spelled out with them.
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+_SPLIT = re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+").findall
+#: Distinct pre-tokens whose ids a worker remembers at most, and how many of the first seen it keeps when that is reached.
+REMEMBERED, KEPT = 600_000, 300_000
 
 
 def masked(crc: int) -> int:
@@ -61,41 +65,61 @@ def payload_of(block: bytes | memoryview) -> memoryview:
 
 
 class Tokens:
-    """Ids by the tokenizers library. Each distinct pre-token of a Latin text is encoded by the library once and remembered;
+    """Ids by the tokenizers library. Each distinct pre-token of a Latin text is encoded by the library and remembered;
     the library splits by the same pattern and merges inside a pre-token only, so the joined ids are those of the whole text."""
 
     def __init__(self, file: str | None = None):
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(file or public_tokenizers.path("byte_bpe_50k.json"))
         self.library.encode_special_tokens = True
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.known: dict[str, bytes] = {}
+        (self.feed,) = self.library.encode("\n", add_special_tokens=False).ids
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if not _LATIN.fullmatch(text):
-            return self.whole(text)
-        known, words = self.known, self.split(text)
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
-            for w, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(got.ids, self.kind).tobytes()
-        return b"".join([known[w] for w in words])
+    def learn(self, words: list[str]) -> None:
+        """Encode new pre-tokens, many in one call: a line feed between two of them is a token of its own, so it parts their ids."""
+        if len(self.known) > REMEMBERED:
+            self.known = dict(islice(self.known.items(), KEPT))
+        odd = [w for w in words if w[1:].strip() != w[1:] or w.isspace()]
+        words = [w for w in words if not (w[1:].strip() != w[1:] or w.isspace())] if odd else words
+        for w in odd:
+            self.known[w] = self.whole(w)
+        for lo in range(0, len(words), 5000):
+            part = words[lo : lo + 5000]
+            ids = np.array(self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            at = np.flatnonzero(ids == self.feed).tolist()
+            if len(at) != len(part) - 1:
+                self.known.update((w, self.whole(w)) for w in part)
+                continue
+            blob, width = ids.tobytes(), self.width
+            for w, a, z in zip(part, [0, *(i + 1 for i in at)], [*at, len(ids)], strict=True):
+                self.known[w] = blob[a * width : z * width]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts."""
+        split = [_SPLIT(t) if _LATIN.fullmatch(t) else None for t in texts]
+        known = self.known
+        if new := set().union(*filter(None, split)) - known.keys():
+            self.learn(list(new))
+        known, out = self.known, []
+        for text, words in zip(texts, split, strict=True):
+            if words is None:
+                out.append(self.whole(text))
+                continue
+            try:
+                out.append(b"".join(map(known.__getitem__, words)))
+            except KeyError:  # forgotten meanwhile
+                self.learn([w for w in dict.fromkeys(words) if w not in known])
+                known = self.known
+                out.append(b"".join([known[w] if w in known else self.whole(w) for w in words]))
+        return out
 
 
 @cache
@@ -119,9 +143,8 @@ def write_records(docs: DataFrame, out_dir: str, key: str = "doc_id", text: str
     rows = own_columns(docs, key, text)
     spark = docs.sparkSession
     parts = parts or max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
-    cuts = sorted(set(cuts))
-    at = _bucket(F.col(key), cuts)
+    cuts = range_cuts(rows, key, parts)
+    at = range_of(F.col(key), cuts)
     dealt = rows.select(at.alias("__part"), F.col(key).alias("__key"), F.col(text).alias("__text"), F.xxhash64(text).alias("__hash"))
     dealt = dealt.repartition(len(cuts) + 1, "__part").sortWithinPartitions("__part", "__key", "__hash")
     kind = dict(rows.dtypes)[key]
@@ -132,16 +155,17 @@ def write_records(docs: DataFrame, out_dir: str, key: str = "doc_id", text: str
         end = np.array([end_id], enc.kind).tobytes()
         name, stream, part, offset, before = "", None, None, 0, 0
         for batch in batches:
-            for piece in pieces(batch, "__text", 8 << 20):
+            for piece in pieces(batch, "__text", 2 << 20):
                 out = []
-                for p, k, t in zip(piece.column("__part").to_pylist(), piece.column("__key"), piece.column("__text"), strict=True):
+                encoded = enc.encode_many([t or "" for t in piece.column("__text").to_pylist()])
+                for p, k, got in zip(piece.column("__part").to_pylist(), piece.column("__key"), encoded, strict=True):
                     if p != part:
                         if stream:
                             stream.close()
                         part, offset, before = p, 0, 0
                         name = f"part-{p:05d}-{uuid.uuid4().hex}.rec"
                         stream = fs.open_output_stream(f"{top}/{name}")
-                    payload = enc.encode(t.as_py() or "") + end
+                    payload = got + end
                     block = frame(payload)
                     stream.write(block)
                     n = len(payload) // enc.width
@@ -155,20 +179,6 @@ def write_records(docs: DataFrame, out_dir: str, key: str = "doc_id", text: str
     return dealt.mapInArrow(run, f"`{key}` {kind}, part int, file string, offset bigint, bytes bigint, n_tokens bigint, before bigint")
 
 
-def _bucket(key, cuts: list):
-    """How many cuts lie below the key (nulls: none): a search tree of comparisons, or a constant array where it would be large."""
-
-    def search(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key > F.lit(cuts[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
-
-    if len(cuts) <= 512:
-        return F.coalesce(search(0, len(cuts)), F.lit(0))
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < key)), F.lit(0))
-
-
 def store_records(docs: DataFrame, scratch: Scratch, **options) -> tuple[DataFrame, str]:
     """Write records below the scratch folder; the stored index with ``start`` (ids of all documents before), and the folder.
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from brindle.llm.shared import Scratch, own_columns
 
 CELL_BITS, OVERHEAD = 16, 16
-SUBCELL_ROWS, SUBCELLS = 50_000, 10_000
+SUBCELL_ROWS, SUBCELLS = 500, 10_000
 
 
 class Ring:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, ctph, decontam, langid, pii, quality, records, ring, simhash
+from brindle.llm import bpe, ctph, decontam, langid, licenses, pii, quality, records, ring, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -55,5 +59,5 @@ def op10_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_langid": op4_langid, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_records": op8_records, "op9_ctph": op9_ctph, "op10_ring": op10_ring}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_langid": op4_langid, "op5_licenses": op5_licenses, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_records": op8_records, "op9_ctph": op9_ctph, "op10_ring": op10_ring}
+ORACLE: dict[str, str] = {"op5_licenses": licenses.oracle_sql()}

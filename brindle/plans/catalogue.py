@@ -1,4 +1,6 @@
-"""The registered queries and their oracle SQL."""
+"""All registered queries."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from brindle.plans import retrieval  # noqa: F401
+from brindle.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

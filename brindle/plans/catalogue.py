@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from brindle.plans import retrieval  # noqa: F401
+from brindle.plans import retrieval, scalars  # noqa: F401
 from brindle.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -33,7 +33,10 @@ def year_tags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.array_join(X.year_tags(said).cast("array<string>"), ",").alias("years"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(text, '(?i)(?:\bsk-[A-Za-z0-9_-]{8,})|(?:\bghp_[A-Za-z0-9]{8,})|(?:\bgithub_pat_[A-Za-z0-9_]{8,})|(?:\bxoxb-[A-Za-z0-9-]{8,})|(?:\btvly-[A-Za-z0-9_-]{8,})|(?:\bbearer\s+[A-Za-z0-9._-]{8,})|(?:\beyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,})|(?:\b(?:api[_-]?key|access[_-]?token|secret|password|token)\s*[:=]\s*\S{4,})') AS sensitive FROM documents""")
+_PLAIN_SECRETS = "|".join(f"(?:{p})" for p in X.SECRETS).replace("(?i)", "").replace("'", "''")
+
+
+@query(f"SELECT doc_id, regexp_matches(text, '(?i)' || '{_PLAIN_SECRETS}') AS sensitive FROM documents")
 def sensitive_scan(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.is_sensitive(F.col("text")).alias("sensitive"))
 
@@ -56,10 +59,10 @@ def content_hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", h["query_sha256"].alias("query_sha256"), h["query_length"].cast("long").alias("query_length"), X.canonical_sha(lang=F.col("lang"), doc_id=F.col("doc_id")).alias("canonical"))
 
 
-@query("""SELECT r_regionkey, CASE WHEN r_regionkey = 0 THEN '未知' WHEN r_regionkey = 1 THEN '全国' WHEN r_regionkey = 2 THEN '北京' WHEN r_regionkey = 3 THEN '广东省' ELSE '内蒙古' END AS province FROM region""")
+@query("""SELECT r_regionkey, CASE WHEN r_regionkey = 0 THEN '未知' WHEN r_regionkey = 1 THEN '全国' WHEN r_regionkey = 2 THEN '北京' WHEN r_regionkey = 3 THEN '广东省' ELSE '内蒙古自治区' END AS province FROM region""")
 def province_parse(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("r_regionkey")
-    place = F.when(k == 0, " ").when(k == 1, "全国/远程").when(k == 2, "北京市海淀区").when(k == 3, "广东省深圳市").otherwise("内蒙古自治区")
+    place = F.when(k == 0, " ").when(k == 1, "全国/远程").when(k == 2, "北京市海淀区").when(k == 3, "广东省深圳市").otherwise("内蒙古呼和浩特市、北京市")
     return table(spark, d, "region").select("r_regionkey", X.province(place).alias("province"))
 
 

@@ -32,7 +32,7 @@ from brindle.llm.shared import flat, own_columns, pieces, spans, with_fields
 
 WINDOW = 10
 #: Bytes of benchmark text that a pass gives to each task, and of training text in a shard.
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 2 << 20
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _NO_ITEMS = hashlib.sha256(b"").hexdigest()
@@ -42,11 +42,11 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, and each text's number of words; a long text is hashed in parts cut between words."""
     data, offsets = flat(texts)
     found, counts = [], []
-    for lo, hi in spans(np.diff(offsets), SHARD_BYTES):
+    for lo, hi in spans(np.diff(offsets), W.PART):
         at, end = int(offsets[lo]), int(offsets[hi])
         edges, total = offsets[lo : hi + 1], np.zeros(hi - lo, np.int64)
         while at < end:
-            stop = min(at + SHARD_BYTES, end)
+            stop = min(at + W.PART, end)
             if stop < end:  # one long text: end the part between two words if there is such a place
                 rest = np.flatnonzero(~_WORD[W.LOWER[data[stop:end]]][: 1 << 26])
                 stop = stop + int(rest[0]) if len(rest) else end
@@ -237,7 +237,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, text: str, window: int, most:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in pieces(batch, text, 4 * SHARD_BYTES):
+                for part in pieces(batch, text, 2 * SHARD_BYTES):
                     hits, found = scan(shared.value, part.column(text))
                     runs, longest = _runs(hits), hits.longest
                     if k:

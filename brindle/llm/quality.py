@@ -31,7 +31,7 @@ SAMPLE, FEATURES, BITS = 12_000, 8_000_000, 18
 PENALTY, RARE = 0.3, 20
 #: A text is kept if it has the best grade with this probability: low, for a clean text lost costs more than a doubtful one kept.
 LEAST = 0.2
-BLOCK = 2 << 20
+BLOCK = W.PART
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _KIND = np.zeros(256, np.int64)  # 0 other, 1 capital, 2 symbol, 3 digit, 4 bar, 5 small or non-ASCII

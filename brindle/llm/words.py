@@ -11,6 +11,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Bytes to hash at a time: the tables of powers then stay at 8 MiB each.
+PART = (1 << 20) - (1 << 16)
+
+
 @cache
 def _tables(seed: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
@@ -41,7 +45,7 @@ def runs(inside: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
     """A 64-bit hash of each piece of ``data``: a polynomial over random byte values, mixed. Equal bytes, equal hash."""
-    room = 1 << max(12, int(len(data)).bit_length())
+    room = 1 << max(20, int(len(data) - 1).bit_length())
     values, ups, downs = _tables(seed, room)
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, np.uint64)

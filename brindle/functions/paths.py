@@ -34,19 +34,20 @@ def distinct_paths(files: DataFrame, path: str = "path", source: str = "source_p
     same = Window.partitionBy(F.lower("safe"))
     rows = rows.withColumn("collides", F.count("*").over(same))
     stem, suffix = F.regexp_extract("safe", r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract("safe", r"^(.*?)(\.[^./]*)?$", 2)
-    return rows.withColumn("target", F.when(F.col("collides") > 1, F.concat(stem, F.lit("-"), F.substring(F.sha2(F.col(source), 256), 1, 8), suffix)).otherwise(F.col("safe"))).drop("safe")
+    return rows.withColumn("target", F.when(F.col("collides") > 1, F.concat(stem, F.lit("--"), F.substring(F.sha2(F.col(source), 256), 1, 8), suffix)).otherwise(F.col("safe"))).drop("safe")
 
 
 def tool_name(server: Column, tool: Column, most: int = 64) -> Column:
     """A remote tool's local name: letters, digits, _ and -, cut to length."""
-    return F.substring(F.regexp_replace(F.concat_ws("__", server, tool), r"[^A-Za-z0-9_-]", "_"), 1, most)
+    return F.substring(F.regexp_replace(F.regexp_replace(F.concat_ws("_", F.lit("mcp"), server, tool), r"[^A-Za-z0-9_-]+", "_"), "^_+|_+$", ""), 1, most)
 
 
-def distinct_tool_names(tools: DataFrame, server: str = "server", tool: str = "tool", most: int = 64) -> DataFrame:
+def distinct_tool_names(tools: DataFrame, order: str, server: str = "server", tool: str = "tool", most: int = 64) -> DataFrame:
+    """The first tool of a name keeps it; later ones end in a hash."""
     named = tools.withColumn("name", tool_name(F.col(server), F.col(tool), most))
-    many = F.count("*").over(Window.partitionBy("name"))
-    mark = F.substring(F.sha2(F.concat_ws("/", server, tool), 256), 1, 8)
-    return named.withColumn("name", F.when(many > 1, F.concat(F.substring("name", 1, most - 9), F.lit("_"), mark)).otherwise(F.col("name")))
+    n = F.row_number().over(Window.partitionBy("name").orderBy(order))
+    mark = F.substring(F.sha2(F.concat_ws(":", server, tool), 256), 1, 8)
+    return named.withColumn("name", F.when(n > 1, F.concat(F.substring("name", 1, most - 9), F.lit("_"), mark)).otherwise(F.col("name")))
 
 
 def sha256(data: bytes) -> str:

@@ -7,22 +7,36 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns, word lists and limits that results depend on.
-PROVINCE_ALL = "全国"
-MUNICIPALITIES = ["北京", "上海", "天津", "重庆"]
-AUTONOMOUS = ["内蒙古", "广西", "西藏", "宁夏", "新疆"]
-SECRET_PATTERNS = [
-    r"\bsk-[A-Za-z0-9_-]{8,}",
-    r"\bghp_[A-Za-z0-9]{8,}",
-    r"\bgithub_pat_[A-Za-z0-9_]{8,}",
-    r"\bxoxb-[A-Za-z0-9-]{8,}",
-    r"\btvly-[A-Za-z0-9_-]{8,}",
-    r"\bbearer\s+[A-Za-z0-9._-]{8,}",
-    r"\beyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}",
-    r"\b(?:api[_-]?key|access[_-]?token|secret|password|token)\s*[:=]\s*\S{4,}",
+# Names, patterns, word lists and limits that results depend on.
+CITIES = ["北京市", "上海市", "天津市", "重庆市"]
+REGIONS = {"内蒙古": "内蒙古自治区", "广西": "广西壮族自治区", "西藏": "西藏自治区", "宁夏": "宁夏回族自治区", "新疆": "新疆维吾尔自治区"}
+FUNCTIONS = [
+    ("新媒体运营", ["新媒体", "小红书", "公众号", "自媒体", "账号运营", "抖音", "视频运营"]),
+    ("短视频/直播运营", ["短视频", "直播"]),
+    ("电商运营", ["电商", "跨境", "tiktok", "京东", "淘宝", "店铺", "独立站", "亚马逊"]),
+    ("内容/文案策划", ["内容", "文案", "编辑", "编导", "脚本", "撰稿"]),
+    ("市场营销/推广", ["市场", "营销", "推广", "获客", "销售", "业务"]),
+    ("品牌", ["品牌"]),
+    ("活动策划", ["活动"]),
+    ("商务/渠道/媒介", ["商务", "渠道", "媒介", "公关", "客户"]),
+    ("用户/社群/增长", ["用户运营", "社群", "增长", "拉新", "留存", "促活"]),
+    ("通用运营", ["运营"]),
 ]
-WRITE_VERBS = ["add", "append", "create", "delete", "edit", "insert", "modify", "patch", "post", "put", "remove", "save", "set", "update", "upsert", "write"]
-DESCRIBED_VERBS = ["create", "delete", "update", "write"]
+AGENT_CATEGORY, AGENT_FUNCTION, OTHER_FUNCTION = "agent_dev", "Agent/AI 开发", "其他"
+TREND = "最新进展|最新动态|发展趋势|行业趋势|技术趋势|趋势"
+SECRETS = [
+    r"(?i)\bsk-[A-Za-z0-9_-]{8,}",
+    r"(?i)\bghp_[A-Za-z0-9]{8,}",
+    r"(?i)\bgithub_pat_[A-Za-z0-9_]{8,}",
+    r"(?i)\bxoxb-[A-Za-z0-9-]{8,}",
+    r"(?i)\btvly-[A-Za-z0-9_-]{8,}",
+    r"(?i)\b(?:authorization\s*:\s*)?bearer\s+[A-Za-z0-9._~+/=-]{8,}",
+    r"\beyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\b",
+    r"(?i)\b(?:api[_-]?key|access[_-]?token|token|password|passwd|pwd)\s*[:=]\s*[\"']?[^\s\"'&;]{4,}",
+]
+WRITE_VERBS = "add approve assign close create delete dismiss edit fork lock merge push remove rename reopen restore revert star subscribe transfer unassign unlock unstar unsubscribe update".split()
+DESCRIBED_VERBS = ["create", "delete", "merge", "push"]
+SECRET_KEYS = "password|token|api_key|authorization|secret"
 
 
 def collapse(text: Column) -> Column:
@@ -74,22 +88,24 @@ def basename(path: Column) -> Column:
 
 
 def name_tokens(name: Column) -> Column:
-    """Camel case and separators to lower-case words."""
-    cut = F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1_$2"), r"([A-Z]+)([A-Z][a-z])", "$1_$2")
-    return F.filter(F.split(F.lower(cut), r"[^a-z0-9]+"), lambda t: t != "")
+    """Lower-case words of a name, cut at camel case and at what is no letter or digit."""
+    cut = F.regexp_replace(F.coalesce(name, F.lit("")), "(?<=[a-z0-9])(?=[A-Z])", " ")
+    return F.filter(F.split(F.lower(cut), "[^a-z0-9]+"), lambda t: t != "")
 
 
 def is_write_tool(name: Column, description: Column) -> Column:
     verbs, said = F.array(*[F.lit(v) for v in WRITE_VERBS]), F.array(*[F.lit(v) for v in DESCRIBED_VERBS])
-    return F.arrays_overlap(name_tokens(name), verbs) | F.arrays_overlap(name_tokens(F.coalesce(description, F.lit(""))), said)
+    return F.arrays_overlap(name_tokens(name), verbs) | F.arrays_overlap(name_tokens(description), said)
 
 
 def is_sensitive(text: Column) -> Column:
-    return F.coalesce(F.rlike(text, F.lit("(?i)" + "|".join(f"(?:{p})" for p in SECRET_PATTERNS))), F.lit(False))
+    return F.coalesce(F.rlike(text, F.lit("|".join(f"(?:{p})" for p in SECRETS))), F.lit(False))
 
 
-def redact(text: Column, mark: str = "[REDACTED]") -> Column:
-    return reduce(lambda t, p: F.regexp_replace(t, f"(?i){p}", mark), SECRET_PATTERNS, text)
+def masked_values(text: Column) -> Column:
+    """Values after a key that names a credential replaced by [REDACTED], in JSON or in plain text."""
+    pattern = rf"(?i)([\"']?[^\s\"']*(?:{SECRET_KEYS.replace('_', '[_-]?')})[^\s\"']*[\"']?\s*[:=]\s*)(\"[^\"]*\"|'[^']*'|[^,}}\s]+)"
+    return F.regexp_replace(text, pattern, "$1[REDACTED]")
 
 
 def redact_error(text: Column) -> Column:
@@ -108,20 +124,28 @@ def safe_url(url: Column) -> Column:
 
 def salary(text: Column) -> Column:
     """``a k - b k`` as (min_k, max_k), in either order; null if the whole text is nothing of the kind."""
-    pattern = r"(?i)^\s*(\d+(?:\.\d+)?)\s*k?\s*[-–~至]\s*(\d+(?:\.\d+)?)\s*k\s*$"
+    pattern = r"(?i)^\s*([\d.]+)\s*k\s*[-–~至]\s*([\d.]+)\s*k\s*$"
     a, b = (F.regexp_extract(text, pattern, i).try_cast("double") for i in (1, 2))
-    return F.when(F.rlike(text, F.lit(pattern)), F.struct(F.least(a, b).alias("min_k"), F.greatest(a, b).alias("max_k")))
+    return F.when(a.isNotNull() & b.isNotNull(), F.struct(F.least(a, b).alias("min_k"), F.greatest(a, b).alias("max_k")))
 
 
 def province(place: Column) -> Column:
+    """The province of the first of several places; the whole country if the text says so anywhere."""
     text = F.trim(F.coalesce(place, F.lit("")))
-    out = F.when(text == "", "未知").when(F.contains(text, F.lit(PROVINCE_ALL)), PROVINCE_ALL)
-    for name in [*MUNICIPALITIES, *AUTONOMOUS]:
-        out = out.when(F.startswith(text, F.lit(name)), name)
-    return out.when(F.rlike(text, F.lit("^.+?省")), F.regexp_extract(text, "^(.+?省)", 1)).otherwise(F.substring(text, 1, 3))
+    head = F.trim(F.split(text, "、")[0])
+    out = F.when(F.contains(text, F.lit("全国")), "全国")
+    for city in CITIES:
+        out = out.when(F.startswith(head, F.lit(city)), city[:-1])
+    for prefix, name in REGIONS.items():
+        out = out.when(F.startswith(head, F.lit(prefix)), name)
+    return out.when(F.rlike(head, F.lit("^.+?省")), F.regexp_extract(head, "^(.+?省)", 1)).when(head == "", "未知").otherwise(F.substring(head, 1, 3))
+
+
+def job_function(category: Column, title_text: Column) -> Column:
+    return F.when(category == AGENT_CATEGORY, AGENT_FUNCTION).otherwise(first_match(title_text, FUNCTIONS, OTHER_FUNCTION))
 
 
-def first_match(text: Column, rules: list[tuple[str, list[str]]], other: str = "其他") -> Column:
+def first_match(text: Column, rules: list[tuple[str, list[str]]], other: str = OTHER_FUNCTION) -> Column:
     """The first rule's name one of whose terms occurs in the lower-cased text."""
     low, out = F.lower(text), None
     for name, terms in rules:
@@ -141,12 +165,14 @@ def year_tags(text: Column) -> Column:
 
 
 def is_question(text: Column) -> Column:
-    return F.rlike(F.trim(text), F.lit(r"^(?i:Q)\d+|[?？]"))
+    return F.rlike(text, F.lit(r"^\s*[Qq]\s*\d+\b|[?？]\s*$"))
 
 
-def unit_kind(title_text: Column, body: Column, trend: str = r"(?i)趋势|演进|展望|trend") -> Column:
-    """qa before trend (by word, or by two distinct years) before topic (a short title with text) before article."""
-    return F.when(is_question(title_text), "qa").when(F.rlike(title_text, F.lit(trend)) | (F.size(year_tags(F.concat_ws(" ", title_text, body))) >= 2), "trend").when(F.length(F.trim(title_text)) > 0, "topic").otherwise("article")
+def unit_kind(title_text: Column, body: Column) -> Column:
+    """qa before trend (by word, or by two distinct years in title or body) before topic (a titled text) before article."""
+    both = F.concat_ws("\n", title_text, body)
+    trend = F.rlike(both, F.lit(TREND)) | (F.size(year_tags(both)) >= 2)
+    return F.when(is_question(title_text), "qa").when(trend, "trend").when(F.length(F.trim(title_text)) > 0, "topic").otherwise("article")
 
 
 def cjk_count(text: Column) -> Column:

@@ -63,7 +63,7 @@ def problems(files: DataFrame, path: str = "path", digest: str = "content_sha256
 def child_problems(children: DataFrame, kinds: tuple[str, ...] = ("jd_text", "job_info")) -> DataFrame:
     """Parents that lack exactly one child of each kind, or have a child whose id does not begin with theirs."""
     wanted = F.array(*[F.lit(k) for k in sorted(kinds)])
-    rows = children.groupBy("parent_id").agg(F.array_sort(F.collect_list("child_type")).alias("kinds"), F.bool_and(F.startswith("child_id", F.concat("parent_id", F.lit("#")))).alias("prefixed"), F.countDistinct("child_id").alias("ids"))
+    rows = children.groupBy("parent_id").agg(F.array_sort(F.collect_list("child_type")).alias("kinds"), F.bool_and(F.startswith("child_id", F.concat("parent_id", F.lit(":")))).alias("prefixed"), F.countDistinct("child_id").alias("ids"))
     return rows.where((F.col("kinds") != wanted) | ~F.col("prefixed") | (F.col("ids") != len(kinds))).select("parent_id")
 
 

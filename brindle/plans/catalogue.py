@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from brindle.plans import chunking, evaluation, relations, retrieval, scalars, telemetry  # noqa: F401
+from brindle.plans import chunking, evaluation, relations, retrieval, scalars, streams, telemetry  # noqa: F401
 from brindle.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

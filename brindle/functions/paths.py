@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RESERVED = {"con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10))}
 
@@ -23,7 +24,7 @@ def safe_path(path: str) -> str:
     return "/".join(one(p) for p in unicodedata.normalize("NFC", path).split("/"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def safe_paths(paths: pd.Series) -> pd.Series:
     return paths.map(lambda p: None if p is None else safe_path(p))
 

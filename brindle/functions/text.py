@@ -44,6 +44,11 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def shorten(text: Column, most: int, mark: str = "...") -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
 
@@ -53,7 +58,7 @@ def title(text: Column, most: int = 30) -> Column:
 
 
 def excerpt(text: Column, most: int = 140) -> Column:
-    return shorten(F.trim(text), most)
+    return shorten(strip(text), most)
 
 
 def normalise(text: Column) -> Column:
@@ -72,11 +77,11 @@ def without_fences(text: Column) -> Column:
 def clean_lines(text: Column) -> Column:
     """CRLF to LF, no blanks at line ends, at most one empty line in a row."""
     lf = F.regexp_replace(text, r"\r\n?", "\n")
-    return F.trim(F.regexp_replace(F.regexp_replace(lf, r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.regexp_replace(lf, r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n"))
 
 
 def clean_list(items: Column) -> Column:
-    return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(items, strip), lambda x: x.isNotNull() & (x != ""))
 
 
 def keywords(text: Column) -> Column:
@@ -131,8 +136,8 @@ def salary(text: Column) -> Column:
 
 def province(place: Column) -> Column:
     """The province of the first of several places; the whole country if the text says so anywhere."""
-    text = F.trim(F.coalesce(place, F.lit("")))
-    head = F.trim(F.split(text, "、")[0])
+    text = strip(F.coalesce(place, F.lit("")))
+    head = strip(F.split(text, "、")[0])
     out = F.when(F.contains(text, F.lit("全国")), "全国")
     for city in CITIES:
         out = out.when(F.startswith(head, F.lit(city)), city[:-1])
@@ -191,17 +196,17 @@ def visible_chars(text: Column) -> Column:
 def answer(reply: Column) -> Column:
     """The ``answer`` of a JSON reply; null if it is blank, no string or no JSON."""
     found = F.get_json_object(reply, "$.answer")
-    return F.when(F.rlike(reply, F.lit(r'"answer"\s*:\s*"')) & (F.length(F.trim(found)) > 0), found)
+    return F.when(F.rlike(reply, F.lit(r'"answer"\s*:\s*"')) & (F.length(strip(found)) > 0), found)
 
 
 def unfenced(reply: Column) -> Column:
     """A JSON reply without the code fence around it."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(reply), r"^```(?:json)?\s*\n?", ""), r"\n?```$", ""))
+    return strip(F.regexp_replace(F.regexp_replace(strip(reply), r"^```(?:json)?\s*\n?", ""), r"\n?```$", ""))
 
 
 def parsed_reply(reply: Column) -> Column:
     """The answer of a possibly fenced JSON reply, or the text itself where there is none."""
-    return F.coalesce(answer(unfenced(reply)), F.trim(reply))
+    return F.coalesce(answer(unfenced(reply)), strip(reply))
 
 
 def json_list(text: Column) -> Column:

@@ -23,11 +23,15 @@ def fuse(vector_hits: DataFrame, lexical_scores: DataFrame, k: int, *, key: str
     vector_hits: key, similarity (already the best 2k). lexical_scores: key, score of all documents; the best 2k of them are candidates, but any
     score counts for a document the vector side found. A lexical-only hit reaches 0.5 at most."""
     keys = [key] if isinstance(key, str) else list(key)
-    scored = lexical.normalised(lexical_scores).where("score > 0").select(*keys, F.col("score").alias("bm25"))
-    lead = scored.orderBy(F.desc("bm25"), *keys).limit(OVERFETCH * k).select(*keys)
+    spark = vector_hits.sparkSession
     found = vector_hits.select(*keys, clamp01(F.col("similarity")).alias("v"))
-    both = found.select(*keys).union(lead).distinct()  # 4k rows at most
-    out = both.join(found, keys, "left").join(scored, keys, "left")
+    found = spark.createDataFrame(found.collect(), found.schema)  # 2k rows at most, as is the lead
+    best = lexical_scores.where("score > 0").orderBy(F.desc("score"), *keys).limit(OVERFETCH * k)
+    lead = spark.createDataFrame(best.collect(), best.schema)
+    top = lead.agg(F.max("score")).first()[0] or 1.0
+    of_found = lexical_scores.where("score > 0").join(F.broadcast(found.select(*keys)), keys, "left_semi")
+    scored = lead.unionByName(of_found).dropDuplicates(keys).select(*keys, (F.col("score") / top).alias("bm25"))
+    out = found.join(scored, keys, "full_outer")
     v, b = F.coalesce("v", F.lit(0.0)), F.coalesce("bm25", F.lit(0.0))
     out = out.select(*keys, v.alias("vector_score"), b.alias("lexical_score"), F.greatest(v, VECTOR_WEIGHT * v + LEXICAL_WEIGHT * b).alias("score"))
     return out.orderBy(F.desc("score"), *keys).limit(max(0, k))

@@ -6,9 +6,11 @@ from collections import Counter
 from collections.abc import Sequence
 from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.spread import spread
+
 #: Runs of CJK ideographs stay whole; other words are ASCII letters, digits and _ + # . -
 TOKEN = "[一-鿿]+|[A-Za-z0-9_+#.-]+"
 K1, B, NEGATIVE_SHARE = 1.5, 0.75, 0.25
@@ -36,7 +38,7 @@ def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
     """token, df: in how many documents each token occurs."""
-    return docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return spread(docs.select(text)).select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
 def length_stats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -45,9 +47,13 @@ def length_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _term_counts(docs: DataFrame, order: list[str], key: str, text: str) -> DataFrame:
-    """key, dl and the count of each term (f0, f1, ...) in each document."""
-    rows = docs.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")).withColumn("dl", F.size("t"))
-    return rows.select(key, "dl", *[(F.col("dl") - F.size(F.array_remove("t", w))).alias(f"f{i}") for i, w in enumerate(order)])
+    """key, dl and the count of each term (f0, f1, ...) in each document.
+
+    Tokens and counts pass through one-element ``explode``s: filters on a score cannot move below those, which would work out the tokens
+    again at each place where the score's formula names a count."""
+    rows = spread(docs.select(key, text)).select(key, F.explode(F.array(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("t"))
+    counts = [(F.size("t") - F.size(F.array_remove("t", w))).alias(f"f{i}") for i, w in enumerate(order)]
+    return rows.select(key, F.explode(F.array(F.struct(F.size("t").alias("dl"), *counts))).alias("s")).select(key, "s.*")
 
 
 class Statistics:
@@ -108,5 +114,11 @@ def normalised(scores: DataFrame, score: str = "score") -> DataFrame:
     return scores.crossJoin(F.broadcast(top)).withColumn(score, F.when(F.col("top") > 0, F.col(score) / F.col("top")).otherwise(0.0)).drop("top")
 
 
+def normalised_candidates(scores: DataFrame, k: int, *, key: str, score: str = "score") -> DataFrame:
+    """The best k over their own maximum, which is that of all."""
+    best = candidates(scores, k, key=key, score=score)
+    return best.withColumn(score, F.col(score) / F.max(score).over(Window.partitionBy(F.lit(0))))  # k rows
+
+
 def candidates(scores: DataFrame, k: int, *, key: str, score: str = "score") -> DataFrame:
     return scores.where(F.col(score) > 0).orderBy(F.desc(score), key).limit(max(0, k))

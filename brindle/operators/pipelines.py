@@ -28,7 +28,7 @@ def build_notes(files: DataFrame, store: Store, embed: Embed, commit: str, setti
         mode, wanted = "full", files
     else:
         # A file without any chunk has no stored row; its hash is kept in the commit record's table of all files.
-        changes = manifest.difference(old.select("source", "digest"), new, "source", "digest").cache()
+        changes = manifest.difference(old.select("source", "digest"), new, "source", "digest")
         known = spark.createDataFrame([(p, d) for p, d in last.get("empty_files", {}).items()], "source string, digest string")
         changes = changes.join(new.join(known, ["source", "digest"], "left_semi").select("source").withColumn("still_empty", F.lit(True)), "source", "left").where("still_empty IS NULL OR change <> 'added'")
         mode = manifest.mode(changes, True, store.count() == last.get("chunks"))
@@ -55,7 +55,7 @@ def build_notes(files: DataFrame, store: Store, embed: Embed, commit: str, setti
 def refresh_children(children: DataFrame, store: Store, embed: Embed) -> dict[str, int]:
     """Embed and store only children whose hash is new, drop those that are gone; counts of each kind."""
     old = store.read().select("child_id", "index_sha256") if store.exists() else children.select("child_id", "index_sha256").limit(0)
-    changes = manifest.difference(old, children.select("child_id", "index_sha256"), "child_id", "index_sha256").cache()
+    changes = manifest.difference(old, children.select("child_id", "index_sha256"), "child_id", "index_sha256").persist()
     counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
     fresh = children.join(changes.where("change IN ('added', 'changed')").select("child_id"), "child_id", "left_semi")
     if counts.keys() - {"unchanged"}:

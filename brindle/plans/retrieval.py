@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.operators import hybrid, lexical, vector
+from brindle.operators.spread import spread
 from brindle.plans.registry import query, table
 
 QUERY_VECTOR, K = 0, 10
@@ -80,7 +81,7 @@ _TOKENS = r"list_transform(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]+|[A-Za-
     SELECT lang, count(*) AS n_docs, sum(n_tokens)::BIGINT AS n_tokens, max(n_tokens)::BIGINT AS longest FROM (SELECT lang, len({_TOKENS}) AS n_tokens FROM documents) GROUP BY lang""")
 def tokenize_stats(spark: SparkSession, d: str) -> DataFrame:
     n = F.size(lexical.tokens(F.col("text"))).cast("long")
-    return table(spark, d, "documents").select("lang", n.alias("n")).groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.max("n").alias("longest"))
+    return spread(table(spark, d, "documents").select("lang", "text")).select("lang", n.alias("n")).groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.max("n").alias("longest"))
 
 
 @query(f"SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({_TOKENS})) AS token FROM documents) GROUP BY token HAVING count(*) >= 50")
@@ -110,8 +111,8 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {bm25_sql(TERMS, True)} SELECT doc_id, round(score / (SELECT max(score) FROM scores), 6) AS score FROM scores WHERE score > 0 ORDER BY scores.score DESC, doc_id LIMIT {K}")
 def bm25_fallback_topk(spark: SparkSession, d: str) -> DataFrame:
-    scores = lexical.normalised(lexical.bm25(table(spark, d, "documents"), TERMS, key="doc_id", fallback=True))
-    return lexical.candidates(scores, K, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    scores = lexical.bm25(table(spark, d, "documents"), TERMS, key="doc_id", fallback=True)
+    return lexical.normalised_candidates(scores, K, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
 def _hybrid_sql(k: int, where: str = "") -> str:

@@ -46,8 +46,8 @@ def url_normalise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", X.safe_url(F.col("url")).alias("safe"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN length(t) > 30 THEN substr(t, 1, 30) || '...' ELSE t END AS title, CASE WHEN length(trim(text)) > 140 THEN substr(trim(text), 1, 140) || '...' ELSE trim(text) END AS excerpt,
-    length(regexp_replace(text, '\s', '', 'g')) AS visible FROM (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)""")
+@query(r"""SELECT doc_id, CASE WHEN length(t) > 30 THEN substr(t, 1, 30) || '...' ELSE t END AS title, CASE WHEN length(s) > 140 THEN substr(s, 1, 140) || '...' ELSE s END AS excerpt,
+    length(regexp_replace(text, '\s', '', 'g')) AS visible FROM (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents)""")
 def titles_and_excerpts(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", X.title(t).alias("title"), X.excerpt(t).alias("excerpt"), X.visible_chars(t).cast("long").alias("visible"))

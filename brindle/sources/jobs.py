@@ -19,8 +19,8 @@ FIELDS, COMPANY_FIELDS = [TITLE, SALARY, EDUCATION, COUNT, MAJOR, REGION, UPDATE
 def section(markdown: Column, name: str) -> Column:
     """The text below the last heading ``## name``, up to the next such heading; empty if there is none."""
     parts = F.split(F.concat(F.lit("\n"), F.regexp_replace(markdown, "\r\n?", "\n")), r"\n##\s+")
-    mine = F.filter(parts, lambda p: F.trim(F.split(p, "\n")[0]) == name)
-    return F.when(F.size(mine) > 0, F.trim(F.regexp_replace(F.element_at(mine, -1), r"^[^\n]*(?:\n|$)", ""))).otherwise("")
+    mine = F.filter(parts, lambda p: X.strip(F.split(p, "\n")[0]) == name)
+    return F.when(F.size(mine) > 0, X.strip(F.regexp_replace(F.element_at(mine, -1), r"^[^\n]*(?:\n|$)", ""))).otherwise("")
 
 
 def field_table(name: str, fields: list[str]) -> Column:
@@ -37,7 +37,7 @@ def build(rows: DataFrame, markdown: DataFrame) -> DataFrame:
 
     Of several rows with one id the first by file name is used, the others are duplicates. A row's id is its category and fingerprint."""
     names = set(rows.columns)
-    rows = rows.select(*[F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in rows.columns], *[F.lit("").alias(c) for c in [FILE, *REQUIRED, COUNT, MAJOR, UPDATED, INDUSTRY, TYPE, SIZE, WORDS, COPIES, URL, SCORE] if c not in names])
+    rows = rows.select(*[X.strip(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in rows.columns], *[F.lit("").alias(c) for c in [FILE, *REQUIRED, COUNT, MAJOR, UPDATED, INDUSTRY, TYPE, SIZE, WORDS, COPIES, URL, SCORE] if c not in names])
     joined = rows.join(markdown.select(F.col("path").alias("source_path"), "content"), F.col(f"`{FILE}`") == F.element_at(F.split("source_path", "/"), -1), "left")
     text = files.utf8(F.col("content"))
     out = joined.withColumn("full_markdown", text).withColumn("s", X.salary(F.col(SALARY))).withColumn("body", section(F.coalesce("full_markdown", F.lit("")), BODY)).withColumn("benefits", section(F.coalesce("full_markdown", F.lit("")), BENEFITS))
@@ -54,7 +54,7 @@ def build(rows: DataFrame, markdown: DataFrame) -> DataFrame:
         F.col("s.min_k").alias("salary_min_k"), F.col("s.max_k").alias("salary_max_k"), F.col(EDUCATION).alias("education"), F.col(COUNT).alias("recruitment_count"), F.col(MAJOR).alias("major"), F.col(REGION).alias("region"), X.province(F.col(REGION)).alias("province"),
         F.col(UPDATED).alias("source_updated_at"), F.col(INDUSTRY).alias("industry"), F.col(TYPE).alias("company_type"), F.col(SIZE).alias("company_size"), F.col(RELEVANCE).alias("relevance"), X.first_int(F.col(SCORE)).alias("relevance_score"),
         X.job_function(F.col("category"), F.col(TITLE)).alias("function_category"), X.keywords(F.col(WORDS)).alias("keywords"), F.greatest(F.lit(1), X.first_int(F.col(COPIES))).alias("duplicate_count"), F.sha2(row_json, 256).alias("row_sha256"), F.sha2("full_markdown", 256).alias("parent_sha256"), "full_markdown",
-        F.concat(F.lit("# "), F.col(TITLE), F.lit(f"\n\n## {BODY}\n\n"), F.trim(X.without_fences(F.col("body")))).alias("jd_text"),
+        F.concat(F.lit("# "), F.col(TITLE), F.lit(f"\n\n## {BODY}\n\n"), X.strip(X.without_fences(F.col("body")))).alias("jd_text"),
         F.concat_ws("\n\n", F.concat(F.lit("# "), F.col(TITLE)), field_table("结构化字段", FIELDS), field_table("公司信息", COMPANY_FIELDS), F.when(F.col("benefits") != "", F.concat(F.lit(f"## {BENEFITS}\n\n"), F.col("benefits")))).alias("job_info"),
     )
 

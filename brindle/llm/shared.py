@@ -17,13 +17,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder's URI; this application's scratch tables lie below it."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    top = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
     if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="brindle-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/brindle-{spark.sparkContext.applicationId}"
+        top = _own[app] = "file://" + tempfile.mkdtemp(prefix="brindle-")
+    return f"{top.rstrip('/')}/brindle-{app}"
 
 
 def _hadoop(spark: SparkSession, uri: str):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import own_columns, pieces, range_cuts, range_of
+from brindle.llm.shared import Ranges, own_columns, pieces
 
 WINDOW, LEAST, LENGTH = 7, 3, 64
 _CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -164,14 +164,15 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", parts:
     rows = own_columns(docs, key, text)
     spark, kind = docs.sparkSession, dict(rows.dtypes)[key]
     parts = parts or max(48, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = range_cuts(rows, key, parts)
-    tagged = rows.select(range_of(F.col(key), cuts).alias("part"), F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    ranges = Ranges(rows, key, parts)
+    tagged = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    tagged = tagged.withColumn("part", ranges.part(F.col("k"), F.col("h")))
     first = tagged.groupBy("part").agg(F.min(F.struct("k", "h")).alias("f")).orderBy("part").collect()  # a row for each range
     ahead = [(first[i - 1]["part"], r["part"], r["f"]["k"], r["f"]["h"]) for i, r in enumerate(first)]
     marks = F.broadcast(spark.createDataFrame(ahead, f"to int, part int, k {kind}, h bigint"))
     extra = tagged.join(marks, (tagged.part == marks.part) & tagged.k.eqNullSafe(marks.k) & (tagged.h == marks.h)).select(marks["to"].alias("part"), F.lit(1).alias("role"), tagged.k, tagged.t, tagged.h)
     dealt = tagged.select("part", F.lit(0).alias("role"), "k", "t", "h").unionByName(extra)
-    dealt = dealt.repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "role", "k", "h")
+    dealt = dealt.repartition(ranges.count, "part").sortWithinPartitions("part", "role", "k", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row of a range so far: part, key, text, its fingerprint

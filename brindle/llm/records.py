@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import Scratch, own_columns, pieces, range_cuts, range_of
+from brindle.llm.shared import Ranges, Scratch, own_columns, pieces
 
 #: Text characters for which this module's split and the tokenizers library's agree beyond doubt; other texts go whole to the library.
 _LATIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\x9f\xa1-ɏ‐-‧‰-⁞₠-₿]*")
@@ -138,15 +138,14 @@ def write_records(docs: DataFrame, out_dir: str, key: str = "doc_id", text: str
 
     Returns the index as a lazy table; it must be evaluated once and stored (``store_records`` does): each evaluation of a task
     writes a file of a new name, and only files named in the stored index count, so a task that is lost or runs twice does no
-    harm. Keys are cut at quantiles of one column-pruned pass, so only the texts themselves are shuffled, once. Rows of one key stay in one range.
+    harm. Keys are cut at quantiles of one column-pruned pass, so only the texts themselves are shuffled, once.
     """
     rows = own_columns(docs, key, text)
     spark = docs.sparkSession
     parts = parts or max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = range_cuts(rows, key, parts)
-    at = range_of(F.col(key), cuts)
-    dealt = rows.select(at.alias("__part"), F.col(key).alias("__key"), F.col(text).alias("__text"), F.xxhash64(text).alias("__hash"))
-    dealt = dealt.repartition(len(cuts) + 1, "__part").sortWithinPartitions("__part", "__key", "__hash")
+    ranges = Ranges(rows, key, parts)
+    dealt = rows.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.xxhash64(text).alias("__hash"))
+    dealt = dealt.withColumn("__part", ranges.part(F.col("__key"), F.col("__hash"))).repartition(ranges.count, "__part").sortWithinPartitions("__part", "__key", "__hash")
     kind = dict(rows.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -128,21 +128,39 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (data[offsets[0] : offsets[-1]], offsets - offsets[0]) if len(whole) else (data[:0], np.zeros(1, np.int64))
 
 
-def range_cuts(rows: DataFrame, key: str, parts: int) -> list:
-    """Keys that cut the rows into about ``parts`` ranges of like counts: quantiles from one pass over the key column alone."""
-    found = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
-    return sorted(set(found or []))
-
-
-def range_of(key, cuts: list):
-    """How many cuts lie below the key (nulls: none): a search tree of comparisons, or a constant array where it would be large."""
-
-    def search(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key > F.lit(cuts[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
-
-    if len(cuts) <= 512:
-        return F.coalesce(search(0, len(cuts)), F.lit(0))
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < key)), F.lit(0))
+class Ranges:
+    """Ranges of like counts in the order of a key, nulls first, then of a row hash: for sorting a table by many tasks.
+
+    Quantiles come from one pass over the key column alone. A key (or null) that fills several ranges is dealt over them by the hash, so only rows
+    equal in key and hash must share one."""
+
+    def __init__(self, rows: DataFrame, key: str, parts: int):
+        at = [i / parts for i in range(1, parts)] or [0.5]
+        got = rows.agg(F.percentile_approx(key, at, 100 * parts).alias("q"), F.count("*").alias("n"), F.count_if(F.col(key).isNull()).alias("nulls")).first()
+        self.cuts = sorted(got["q"] or []) if parts > 1 else []
+        self.null_parts = max(1, round(parts * got["nulls"] / got["n"])) if got["n"] else 1
+        self.count = self.null_parts + len(self.cuts)
+
+    def part(self, key, row_hash):
+        """The number of a row's range: 0, 1, ... in the order of (key, hash)."""
+        cuts = sorted(set(self.cuts))
+        below = {c: sum(x < c for x in self.cuts) for c in cuts}
+
+        def search(lo: int, hi: int):
+            if lo == hi:
+                return F.lit(below[cuts[lo]] if lo < len(cuts) else len(self.cuts))
+            mid = (lo + hi) // 2
+            return F.when(key > F.lit(cuts[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
+
+        if len(cuts) <= 512:
+            plain = search(0, len(cuts))
+        else:
+            plain = F.size(F.filter(F.array(*[F.lit(c) for c in self.cuts]), lambda c: c < key))
+        share = row_hash / F.lit(2.0**64) + 0.5
+        deal = lambda n: F.least(F.lit(n - 1), F.floor(F.lit(n) * share).cast("int"))
+        repeats = {c: self.cuts.count(c) for c in cuts if self.cuts.count(c) > 1}
+        within = F.lit(0)
+        for c, n in repeats.items():
+            within = F.when(key == F.lit(c), deal(n)).otherwise(within)
+        shift = self.null_parts - 1
+        return F.when(key.isNull(), deal(self.null_parts) if shift else F.lit(0)).otherwise(plain + within + shift).cast("int")

@@ -114,3 +114,15 @@ def test_empty_table_and_one_key(spark):
     rows = spark.createDataFrame([(1, "a")] * 5, "doc_id long, text string")
     assert records.read_documents(spark, rows.limit(0)).count() == 0
     assert sorted(r["start"] for r in records.read_documents(spark, rows).collect()) == [0, 2, 4, 6, 8]
+
+
+def test_ranges_deal_out_a_hot_key_and_nulls(spark):
+    from brindle.llm.shared import Ranges
+
+    rows = spark.range(900).selectExpr("CASE WHEN id < 300 THEN NULL WHEN id < 600 THEN 7L ELSE id END AS k", "xxhash64(id) AS h")
+    ranges = Ranges(rows, "k", 12)
+    got = rows.select("k", "h", ranges.part(F.col("k"), F.col("h")).alias("p")).collect()
+    sizes = np.bincount([r["p"] for r in got], minlength=ranges.count)
+    assert len(sizes) == ranges.count and sizes.max() <= 160
+    order = sorted(got, key=lambda r: (r["k"] is not None, r["k"] or 0, r["h"]))
+    assert [r["p"] for r in order] == sorted(r["p"] for r in got)

@@ -36,6 +36,8 @@ SECRETS = [
 ]
 WRITE_VERBS = "add approve assign close create delete dismiss edit fork lock merge push remove rename reopen restore revert star subscribe transfer unassign unlock unstar unsubscribe update".split()
 DESCRIBED_VERBS = ["create", "delete", "merge", "push"]
+ASSIGNED_KEYS = "authorization|proxy-authorization|x-api-key|api[-_]?key|access[-_]?token|auth[-_]?token|password|passwd|secret"
+REDACTED_ERROR = "remote call failed (details redacted)"
 SECRET_KEYS = "password|token|api_key|authorization|secret"
 
 
@@ -114,9 +116,10 @@ def masked_values(text: Column) -> Column:
 
 
 def redact_error(text: Column) -> Column:
-    """Bearer values and assignments masked; a generic text if a key's name is still there with a value."""
-    masked = F.regexp_replace(F.regexp_replace(text, r"(?i)bearer\s+\S+", "Bearer [REDACTED]"), r"(?i)((?:api[_-]?key|token|secret|password)\s*[:=]\s*)\S+", "$1[REDACTED]")
-    return F.when(F.rlike(masked, F.lit(r"(?i)(?:api[_-]?key|token|secret|password)\s+\S*[0-9]\S{6,}")), "request failed").otherwise(masked)
+    """Bearer values and assignments to credential names masked; where such a name is still there, a generic text."""
+    masked = F.regexp_replace(text, r"""(?i)(bearer)\s+[^\s,;"'<>]+""", "$1 <redacted>")
+    masked = F.regexp_replace(masked, rf"""(?i)\b({ASSIGNED_KEYS})\b(\s*[:=]\s*)[^\s,;"'\)]+""", "$1$2<redacted>")
+    return F.when(F.rlike(masked, F.lit(rf"(?i)\b({ASSIGNED_KEYS}|bearer)\b")), REDACTED_ERROR).otherwise(masked)
 
 
 def safe_url(url: Column) -> Column:

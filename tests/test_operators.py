@@ -180,3 +180,69 @@ def test_windows(spark):
     blocks = spark.createDataFrame([(1, 1, "a" * 50), (1, 2, "b" * 200), (1, 3, "c")], "g int, o int, t string")
     got = [(len(r["used"]), r["truncated"]) for r in windows.budgeted(blocks, "g", "o", "t", 150).orderBy("o").collect()]
     assert got == [(50, False), (98, True)]
+
+
+def test_masking(spark):
+    from brindle.functions import masking
+
+    assert masking.preview_of('{"a": {"my_token": 1, "b": [{"password": "x"}]}}', 200) == '{"a": {"my_token": "[REDACTED]", "b": [{"password": "[REDACTED]"}]}}'
+    assert masking.preview_of("token=abc, x=1", 200) == "token=[REDACTED], x=1" and masking.preview_of(None, 5) is None
+    assert one(spark, masking.captured(F.col("t"), False), t="x") is None and one(spark, masking.captured(F.col("t"), True, 2), t="xyz") == "xy"
+
+
+def test_attachment_flow(spark):
+    from brindle.operators import attachments as A
+
+    now, late = F.expr("TIMESTAMP '2026-01-01 00:00:00'"), F.expr("TIMESTAMP '2026-01-03 00:00:00'")
+    empty = spark.createDataFrame([], "id string, user_id string, session_id long, scope string, status string, created_at timestamp, updated_at timestamp, expires_at timestamp, page_count int, error_code string")
+    users = spark.createDataFrame([(1, "u")], "id long, user_id string")
+    asked = spark.createDataFrame([(f"d{i}", "u", 1) for i in range(7)] + [("x", "v", 1), ("y", "u", 9)], "id string, user_id string, session_id long")
+    docs, refused = A.create(empty, asked, users, now)
+    assert {tuple(r) for r in refused.collect()} == {("d5", "quota"), ("d6", "quota"), ("x", "not_owner"), ("y", "session_missing")}
+    docs = A.move(docs, docs.where("id <> 'd4'"), "PARSING", now)
+    results = spark.createDataFrame([("d0", 3, None), ("d1", 2, None), ("d2", None, "broken"), ("d4", 1, None)], "id string, page_count int, error string")
+    docs = A.parsed(docs, results, now)
+    state = lambda x: {r["id"]: r["status"] for r in x.collect()}
+    assert state(docs) == {"d0": "INDEXING", "d1": "INDEXING", "d2": "FAILED", "d3": "PARSING", "d4": "UPLOADED"}
+    chunks = spark.createDataFrame([("d0", "text"), ("d3", "early")], "document_id string, text string")
+    docs, vectors = A.publish(docs, chunks.limit(0), chunks, now)
+    assert state(docs)["d0"] == "READY" and state(docs)["d1"] == "FAILED" and [r["document_id"] for r in vectors.collect()] == ["d0"]
+    assert state(A.downgrade(docs, vectors.limit(0), now))["d0"] == "FAILED" and state(A.downgrade(docs, vectors, now))["d0"] == "READY"
+    assert A.publish(A.move(docs, docs, "INDEXING", now, ["PARSING"]), vectors, chunks, late)[1].count() == 1
+    left, vectors = A.reclaim(docs, vectors, late)
+    assert left.count() == 0 and vectors.count() == 0
+
+
+def test_sessions(spark):
+    from brindle.operators import sessions as S
+
+    now, later = F.expr("TIMESTAMP '2026-01-01'"), F.expr("TIMESTAMP '2026-01-02'")
+    rows = S.new_session(spark.createDataFrame([(1, "u", "p", "s", " "), (2, "u", "p", None, " T ")], "order int, user_id string, persona_id string, subject string, title string"), now, 5)
+    assert [(r["id"], r["title"]) for r in rows.orderBy("id").collect()] == [(5, "新会话"), (6, "T")]
+    assert S.retitle(rows, spark.createDataFrame([(5, "a  b" + "x" * 40)], "id long, title string")).where("id = 5").first()["title"] == "a b" + "x" * 27 + "..."
+    turns = spark.createDataFrame([(1, 5, "u", "m", "{}"), (2, 6, "other", "m", "{}")], "id long, session_id long, user_id string, message string, reply_json string")
+    conv, after = S.save_turns(turns.limit(0).withColumn("created_at", now), rows, turns, later)
+    assert conv.count() == 1 and [r["id"] for r in after.where(F.col("updated_at") == later).collect()] == [5]
+    journal = S.add_entries(spark.createDataFrame([], "id int, entry_date date, content string, created_at timestamp, updated_at timestamp"), spark.createDataFrame([(1, None, "a"), (2, None, "b")], "id int, entry_date date, content string"), now, F.to_date(F.lit("2026-01-05")))
+    changed = S.change_entries(journal, spark.createDataFrame([(1, "c"), (2, None)], "id int, content string"), later)
+    assert {(r["id"], r["content"]) for r in changed.where(F.col("updated_at") == later).collect()} == {(1, "c")}
+    left, told = S.delete_entries(journal, spark.createDataFrame([(1,), (9,)], "id int"))
+    assert left.count() == 1 and {tuple(r) for r in told.collect()} == {(1, True), (9, False)}
+    assert S.job_rows(spark.createDataFrame([(1, [" a ", "", "b"])], "id int, skills array<string>"), ["skills"]).first()["skills_json"] == '["a","b"]'
+
+
+def test_shards(spark, tmp_path):
+    from brindle.operators import shards as S
+
+    record = {"chunks": 3, "collection": "c", "embedding_model": "m", "dimension": 2}
+    assert S.identity_problem(record, 3, "c", "m", [0.0, 1.0]) is None and S.identity_problem(record, 3, "c", "m", [0.0]) == "dimension" and S.identity_problem(None, 0, "c", "m", []) == "no_manifest"
+    assert S.route("a", ["a", "b"]) == ["a"] and S.route("z", ["a", "b"]) == ["a", "b"] and S.index_for(None, True, False) == "vector"
+    good, bad = S.manifests(spark.createDataFrame([("a", '{"schema_version": 1, "fingerprint": "f", "chunks": 2}'), ("b", "{"), ("c", '{"schema_version": 2}')], "path string, text string"))
+    assert [r["path"] for r in good.collect()] == ["a"] and {tuple(r) for r in bad.collect()} == {("b", "not_json"), ("c", "schema_version")}
+    for name, text in (("new", "2"), ("live", "1")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f.md").write_text(text)
+    with pytest.raises(ValueError):
+        S.install(spark, f"file://{tmp_path}/new", f"file://{tmp_path}/live", 5)
+    S.install(spark, f"file://{tmp_path}/new", f"file://{tmp_path}/live", 1)
+    assert (tmp_path / "live" / "f.md").read_text() == "2" and not (tmp_path / "live.old").exists()

@@ -62,15 +62,31 @@ def confusion(cases: DataFrame, expected: str, chosen: str) -> DataFrame:
     return cases.groupBy(a.alias("expected"), b.alias("chosen")).agg(F.count("*").alias("n"))
 
 
+GRID = 1000
+
+
 def nth(rows: DataFrame, value: str, place: Column, *by: str) -> DataFrame:
-    """The value at a place (from 1, a function of ``n``, the group's count) of each group's ascending order.
-
-    Equal values are counted before they are ordered, so a group costs its distinct values, not its rows."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
-    order = Window.partitionBy(*by).orderBy(value) if by else Window.partitionBy(F.lit(0)).orderBy(value)
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    counts = counts.withColumn("__upto", F.sum("__c").over(order)).withColumn("n", F.sum("__c").over(whole))
-    return counts.where((F.col("__upto") >= place) & (F.col("__upto") - F.col("__c") < place)).select(*by, F.col(value).alias("value"), "n")
+    """The value at a place (from 1, a function of ``n``, the group's count) of each group's ascending order; exact at any size.
+
+    A quantile sketch brackets each group's value to about half a percent of its rows; how many rows lie below the bracket is counted, and only
+    the distinct values inside it are put in order. No group is gathered in one task but for that part."""
+    v = F.col(value)
+    some = rows.where(v.isNotNull()).select(*by, value)
+    stats = some.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx(v, [i / GRID for i in range(GRID + 1)], 10 * GRID).alias("q"))
+    i = F.floor(place / F.col("n") * GRID).cast("int")
+    low, high = F.when(i > 2, F.get("q", i - 2)), F.when(i < GRID - 3, F.get("q", i + 3))
+    stats = stats.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("n").alias("__n"), place.cast("long").alias("__place"), low.alias("__low"), high.alias("__high"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    joined = some.join(stats, same) if by else some.crossJoin(F.broadcast(stats))  # without groups: one row
+    inside = F.col("__low").isNull() | (v >= F.col("__low"))
+    keys = [*[f"__{c}" for c in by], "__n", "__place"]
+    counts = joined.where(F.col("__high").isNull() | (v <= F.col("__high"))).groupBy(*keys, F.when(inside, v).alias("v")).agg(F.count("*").alias("c"))
+    order = Window.partitionBy(*[f"__{c}" for c in by] or [F.lit(0)]).orderBy(F.col("v").asc_nulls_first())  # the null row counts what lies below
+    counts = counts.withColumn("upto", F.sum("c").over(order))
+    hit = (F.col("upto") >= F.col("__place")) & (F.col("upto") - F.col("c") < F.col("__place")) & F.col("v").isNotNull()
+    return counts.where(hit).select(*[F.col(f"__{c}").alias(c) for c in by], F.col("v").alias("value"), F.col("__n").alias("n"))
 
 
 def p95_floor(n: Column) -> Column:

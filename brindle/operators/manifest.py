@@ -13,12 +13,14 @@ SCHEMA_VERSION = 1
 def fingerprint(files: DataFrame, *columns: str) -> DataFrame:
     """One row: SHA-256 over the canonical JSON of all rows' columns, in the order of the first one.
 
-    Rows are hashed where they lie and 64-character digests are combined in buckets of the key first, so no task gathers whole rows."""
+    A tree of digests: rows are hashed where they lie, digests are combined in 65,536 buckets of the key's hash, those in 256, and those in one, so no
+    task gathers more than its share."""
     row = F.sha2(F.to_json(F.struct(*[F.col(c).alias(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
-    rows = files.select(F.col(columns[0]).alias("k"), row.alias("h"))
-    part = F.substring(F.sha2(F.col("k").cast("string"), 256), 1, 2)  # 256 buckets
-    parts = rows.groupBy(part.alias("p")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "\n"), 256).alias("h"), F.count("*").alias("n"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries"))
+    level = files.select(F.substring(F.sha2(F.col(columns[0]).cast("string"), 256), 1, 4).alias("p"), F.col(columns[0]).cast("string").alias("k"), row.alias("h"), F.lit(1).cast("long").alias("n"))
+    both = lambda: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "\n"), 256).alias("h")
+    for digits in (2, 0):
+        level = level.groupBy("p").agg(both(), F.sum("n").alias("n")).select(F.substring("p", 1, digits).alias("p"), F.col("p").alias("k"), "h", "n")
+    return level.agg(both().alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries"))
 
 
 def difference(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:

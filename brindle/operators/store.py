@@ -1,7 +1,8 @@
 """Tables as versioned Parquet folders: rebuild, upsert, delete, snapshot sync, each with a switch at the end.
 
-A table lies below ``root`` as ``v<n>`` folders and a small ``current`` file naming the live one. A writer fills a new folder and then replaces
-the file, so readers see the old rows or the new, never a mixture, and a failed write changes nothing.
+A table lies below ``root`` as ``v<n>`` folders and a small commit file that names the live ones. A writer fills a new folder and then replaces
+the file, so readers see the old rows or the new, never a mixture, and a failed write changes nothing. A table with a ``key`` is dealt into buckets
+by its hash; an upsert or delete by that key reads and rewrites the buckets it touches and no others.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 
 from brindle.operators import manifest, relational
 
+BUCKET = "__bucket"
+
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, partition_by: tuple[str, ...] = ()):
-        self.spark, self.root, self.partition_by = spark, root.rstrip("/"), partition_by
+    def __init__(self, spark: SparkSession, root: str, key: str | None = None, buckets: int = 64):
+        self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets if key else 1
 
     def _commit(self) -> dict | None:
         return manifest.read_commit(self.spark, f"{self.root}/current.json")
@@ -22,33 +25,56 @@ class Store:
     def exists(self) -> bool:
         return self._commit() is not None
 
+    def _bucket(self) -> F.Column:
+        return (F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets)) if self.key else F.lit(0)).cast("int")
+
+    def _read(self, record: dict, only: set[int] | None = None) -> DataFrame:
+        parts = [p for b, p in record["parts"].items() if only is None or int(b) in only]
+        schema = self.spark.read.schema(record["schema"])
+        return schema.parquet(*[f"{self.root}/{p}" for p in parts]) if parts else self.spark.createDataFrame([], record["schema"])
+
     def read(self) -> DataFrame:
         record = self._commit()
         if record is None:
             raise ValueError(f"no table at {self.root}")
-        return self.spark.read.parquet(f"{self.root}/v{record['version']}")
+        return self._read(record)
 
     def count(self) -> int:
         return self.read().count() if self.exists() else 0
 
-    def rebuild(self, rows: DataFrame) -> DataFrame:
-        """Replace everything."""
+    def _write(self, rows: DataFrame, kept: dict[str, str]) -> DataFrame:
+        """Write rows as the next version's buckets beside the kept ones, and switch."""
         record = self._commit()
         version = (record["version"] if record else 0) + 1
-        writer = rows.write.mode("overwrite")
-        if self.partition_by:
-            writer = writer.partitionBy(*self.partition_by)
-        writer.parquet(f"{self.root}/v{version}")
-        manifest.write_commit(self.spark, f"{self.root}/current.json", {"version": version})
+        dealt = rows.withColumn(BUCKET, self._bucket())
+        if self.key:
+            dealt = dealt.repartition(BUCKET)
+        dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/v{version}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        new = {str(b): f"v{version}/{BUCKET}={b}" for b in range(self.buckets) if fs.exists(path(f"{self.root}/v{version}/{BUCKET}={b}"))}
+        manifest.write_commit(self.spark, f"{self.root}/current.json", {"version": version, "parts": {**kept, **new}, "schema": ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)})
         return self.read()
 
+    def rebuild(self, rows: DataFrame) -> DataFrame:
+        """Replace everything."""
+        return self._write(rows, {})
+
+    def _touched(self, keys: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+        """The rows of the buckets that the keys fall into, and the other buckets."""
+        record = self._commit()
+        some = {r[0] for r in keys.select(self._bucket()).distinct().collect()} if self.key else {0}  # a number for each bucket at most
+        return self._read(record, some), {b: p for b, p in record["parts"].items() if int(b) not in some}
+
     def upsert(self, rows: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
         if not self.exists():
             return self.rebuild(rows)
-        return self.rebuild(relational.upsert(self.read(), rows, key, keep))
+        old, others = self._touched(rows) if key == self.key else (self.read(), {})
+        return self._write(relational.upsert(old, rows, key, keep), others)
 
     def delete(self, keys: DataFrame, key: str) -> DataFrame:
-        return self.rebuild(relational.delete(self.read(), keys, key))
+        old, others = self._touched(keys) if key == self.key else (self.read(), {})
+        return self._write(relational.delete(old, keys, key), others)
 
     def delete_where(self, condition) -> DataFrame:
         return self.rebuild(self.read().where(~F.coalesce(condition, F.lit(False))))
@@ -57,19 +83,24 @@ class Store:
         """All old rows of the groups that occur in ``rows`` give way to them, so a shorter group leaves no tail."""
         if not self.exists():
             return self.rebuild(rows)
-        return self.rebuild(self.read().join(rows.select(group).distinct(), group, "left_anti").unionByName(rows))
+        old, others = self._touched(rows) if group == self.key else (self.read(), {})
+        return self._write(old.join(rows.select(group).distinct(), group, "left_anti").unionByName(rows), others)
 
     def sync(self, rows: DataFrame, key: str, *, replace: bool = False, remove: DataFrame | None = None, expect: int | None = None) -> int:
         """Delete all (``replace``) or the listed keys, then upsert, in one switch; the count after it. A count other than ``expect`` is an error and
         leaves the old version live."""
+        others: dict[str, str] = {}
         if replace or not self.exists():
             new = rows
         else:
-            old = self.read() if remove is None else relational.delete(self.read(), remove, key)
-            new = relational.upsert(old, rows, key)
-        if expect is not None and (found := new.count()) != expect:
-            raise ValueError(f"{found} rows where {expect} were expected")
-        return self.rebuild(new).count()
+            keys = rows.select(key) if remove is None else rows.select(key).unionByName(remove.select(key))
+            old, others = self._touched(keys) if key == self.key else (self.read(), {})
+            new = relational.upsert(old if remove is None else relational.delete(old, remove, key), rows, key)
+        if expect is not None:
+            found = new.count() + (self._read(self._commit(), {int(b) for b in others}).count() if others else 0)
+            if found != expect:
+                raise ValueError(f"{found} rows where {expect} were expected")
+        return self._write(new, others).count()
 
     def problems(self, key: str) -> DataFrame:
         """Keys that occur more than once."""

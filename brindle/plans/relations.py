@@ -163,9 +163,10 @@ def content_hash_dups(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("copies > 1")
 
 
-@query("""WITH f AS (SELECT doc_id AS k, sha256('{"doc_id":' || doc_id || ',"n_chars":' || n_chars || '}') AS h FROM documents),
-    p AS (SELECT substr(sha256(k::VARCHAR), 1, 2) AS p, sha256(string_agg(h, chr(10) ORDER BY k, h)) AS h, count(*) AS n FROM f GROUP BY 1)
-    SELECT sha256(string_agg(h, chr(10) ORDER BY p)) AS fingerprint, sum(n)::BIGINT AS entries FROM p""")
+@query("""WITH f AS (SELECT doc_id::VARCHAR AS k, sha256('{"doc_id":' || doc_id || ',"n_chars":' || n_chars || '}') AS h FROM documents),
+    a AS (SELECT substr(sha256(k), 1, 4) AS p, sha256(string_agg(h, chr(10) ORDER BY k, h)) AS h, count(*) AS n FROM f GROUP BY 1),
+    b AS (SELECT substr(p, 1, 2) AS q, sha256(string_agg(h, chr(10) ORDER BY p)) AS h, sum(n) AS n FROM a GROUP BY 1)
+    SELECT sha256(string_agg(h, chr(10) ORDER BY q)) AS fingerprint, sum(n)::BIGINT AS entries FROM b""")
 def manifest_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return manifest.fingerprint(table(spark, d, "documents"), "doc_id", "n_chars")
 

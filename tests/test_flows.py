@@ -16,8 +16,23 @@ def embed(rows, text):
     return rows.withColumn("embedding", F.array(F.length(text).cast("float"), F.lit(1.0).cast("float"), (F.crc32(F.col(text).cast("binary")) % 7).cast("float")))
 
 
-def test_store(spark, tmp_path):
-    s = Store(spark, f"file://{tmp_path}/t")
+def test_buckets_not_touched_stay(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/t", key="id", buckets=8)
+    s.rebuild(spark.range(100).selectExpr("id", "'a' AS v"))
+    before = s._commit()["parts"]
+    s.upsert(spark.createDataFrame([(3, "b"), (1000, "c")], "id long, v string"), "id")
+    after = s._commit()["parts"]
+    assert 1 <= sum(before[b] != after[b] for b in before) <= 2 and s.count() == 101
+    s.delete(spark.createDataFrame([(3,)], "id long"), "id")
+    assert s.count() == 100 and s.read().where("id = 3").count() == 0 and s.problems("id").count() == 0
+    assert s.sync(spark.createDataFrame([(5, "z")], "id long, v string"), "id", remove=spark.createDataFrame([(7,)], "id long"), expect=99) == 99
+    s.delete(spark.range(2000), "id")
+    assert s.count() == 0 and s.read().columns == ["id", "v"]
+
+
+@pytest.mark.parametrize("key", [None, "id"])
+def test_store(spark, tmp_path, key):
+    s = Store(spark, f"file://{tmp_path}/t", key)
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     assert not s.exists() and s.rebuild(rows).count() == 2
     s.upsert(spark.createDataFrame([(2, "B"), (3, "c")], "id int, v string"), "id")

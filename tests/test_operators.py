@@ -246,3 +246,20 @@ def test_shards(spark, tmp_path):
         S.install(spark, f"file://{tmp_path}/new", f"file://{tmp_path}/live", 5)
     S.install(spark, f"file://{tmp_path}/new", f"file://{tmp_path}/live", 1)
     assert (tmp_path / "live" / "f.md").read_text() == "2" and not (tmp_path / "live.old").exists()
+
+
+def test_nth_is_exact_on_many_rows(spark):
+    import random
+
+    rnd = random.Random(7)
+    rows = [(g, float(rnd.choice([rnd.randrange(50), rnd.random() * 1000]))) for g in ("a", "b", None) for _ in range(4000)] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    n = F.col("n")
+    for share in (0.0, 0.001, 0.37, 0.5, 0.95, 1.0):
+        got = {r["g"]: (r["value"], r["n"]) for r in evaluate.nth(df, "v", evaluate.p_round(n, share), "g").collect()}
+        for g in ("a", "b", None):
+            own = sorted(v for k, v in rows if k == g and v is not None)
+            assert got[g] == (own[round((len(own) - 1) * share)], 4000)
+    own = sorted(v for _, v in rows if v is not None)
+    assert evaluate.nth(df, "v", evaluate.p95_ceil(n)).first()["value"] == own[int(12000 * 0.95) - 1]
+    assert evaluate.nth(df.limit(0), "v", evaluate.p95_ceil(n), "g").count() == 0

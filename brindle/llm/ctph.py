@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import Ranges, own_columns, pieces
+from brindle.llm.shared import Ranges, own_columns, pieces, range_count
 
 WINDOW, LEAST, LENGTH = 7, 3, 64
 _CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -163,7 +163,7 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", parts:
     to the last), so each task sees every next document and no task sees more than its range."""
     rows = own_columns(docs, key, text)
     spark, kind = docs.sparkSession, dict(rows.dtypes)[key]
-    parts = parts or max(48, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or range_count(rows, 48)
     ranges = Ranges(rows, key, parts)
     tagged = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     tagged = tagged.withColumn("part", ranges.part(F.col("k"), F.col("h")))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import Ranges, Scratch, own_columns, pieces
+from brindle.llm.shared import Ranges, Scratch, own_columns, pieces, range_count
 
 #: Text characters for which this module's split and the tokenizers library's agree beyond doubt; other texts go whole to the library.
 _LATIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\x9f\xa1-ɏ‐-‧‰-⁞₠-₿]*")
@@ -141,8 +141,7 @@ def write_records(docs: DataFrame, out_dir: str, key: str = "doc_id", text: str
     harm. Keys are cut at quantiles of one column-pruned pass, so only the texts themselves are shuffled, once.
     """
     rows = own_columns(docs, key, text)
-    spark = docs.sparkSession
-    parts = parts or max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or range_count(rows, 32)
     ranges = Ranges(rows, key, parts)
     dealt = rows.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.xxhash64(text).alias("__hash"))
     dealt = dealt.withColumn("__part", ranges.part(F.col("__key"), F.col("__hash"))).repartition(ranges.count, "__part").sortWithinPartitions("__part", "__key", "__hash")

@@ -128,6 +128,16 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (data[offsets[0] : offsets[-1]], offsets - offsets[0]) if len(whole) else (data[:0], np.zeros(1, np.int64))
 
 
+#: Bytes of input that one range should hold about.
+RANGE_BYTES = 32 << 20
+
+
+def range_count(rows: DataFrame, least: int) -> int:
+    """How many ranges to deal a table into: by its size as the plan estimates it, the session's shuffle partitions at least."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 17, -(-size // RANGE_BYTES)))
+
+
 class Ranges:
     """Ranges of like counts in the order of a key, nulls first, then of a row hash: for sorting a table by many tasks.
 

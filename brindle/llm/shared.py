@@ -133,9 +133,10 @@ RANGE_BYTES = 32 << 20
 
 
 def range_count(rows: DataFrame, least: int) -> int:
-    """How many ranges to deal a table into: by its size as the plan estimates it, the session's shuffle partitions at least."""
+    """How many ranges to deal a table into: by its size as the plan estimates it (where it does), the session's shuffle partitions at least."""
     size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(least, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 17, -(-size // RANGE_BYTES)))
+    by_size = -(-size // RANGE_BYTES) if size < 1 << 60 else 0  # larger: unknown
+    return max(least, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 14, by_size))
 
 
 class Ranges:
@@ -146,7 +147,7 @@ class Ranges:
 
     def __init__(self, rows: DataFrame, key: str, parts: int):
         at = [i / parts for i in range(1, parts)] or [0.5]
-        got = rows.agg(F.percentile_approx(key, at, 100 * parts).alias("q"), F.count("*").alias("n"), F.count_if(F.col(key).isNull()).alias("nulls")).first()
+        got = rows.agg(F.percentile_approx(key, at, max(10_000, 20 * parts)).alias("q"), F.count("*").alias("n"), F.count_if(F.col(key).isNull()).alias("nulls")).first()
         self.cuts = sorted(got["q"] or []) if parts > 1 else []
         self.null_parts = max(1, round(parts * got["nulls"] / got["n"])) if got["n"] else 1
         self.count = self.null_parts + len(self.cuts)
@@ -164,8 +165,17 @@ class Ranges:
 
         if len(cuts) <= 512:
             plain = search(0, len(cuts))
-        else:
-            plain = F.size(F.filter(F.array(*[F.lit(c) for c in self.cuts]), lambda c: c < key))
+        else:  # a search tree over blocks of cuts, then the cuts of one block
+            all_cuts, block = F.array(*[F.lit(c) for c in self.cuts]), 128
+
+            def blocks(lo: int, hi: int):
+                if lo == hi:
+                    return F.lit(lo)
+                mid = (lo + hi) // 2
+                return F.when(key > F.lit(self.cuts[(mid + 1) * block - 1]), blocks(mid + 1, hi)).otherwise(blocks(lo, mid))
+
+            at = blocks(0, (len(self.cuts) - 1) // block)
+            plain = at * block + F.size(F.filter(F.slice(all_cuts, at * block + 1, F.lit(block)), lambda c: c < key))
         share = row_hash / F.lit(2.0**64) + 0.5
         deal = lambda n: F.least(F.lit(n - 1), F.floor(F.lit(n) * share).cast("int"))
         repeats = {c: self.cuts.count(c) for c in cuts if self.cuts.count(c) > 1}

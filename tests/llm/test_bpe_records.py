@@ -126,3 +126,14 @@ def test_ranges_deal_out_a_hot_key_and_nulls(spark):
     assert len(sizes) == ranges.count and sizes.max() <= 160
     order = sorted(got, key=lambda r: (r["k"] is not None, r["k"] or 0, r["h"]))
     assert [r["p"] for r in order] == sorted(r["p"] for r in got)
+
+
+def test_many_ranges(spark):
+    from brindle.llm.shared import Ranges
+
+    rows = spark.range(4000).selectExpr("id * 3 AS k", "xxhash64(id) AS h")
+    few, many = Ranges(rows, "k", 5), Ranges(rows, "k", 1500)
+    assert len(many.cuts) > 1000 and len(set(many.cuts)) > 512
+    got = rows.select("k", few.part(F.col("k"), F.col("h")).alias("a"), many.part(F.col("k"), F.col("h")).alias("b")).orderBy("k").collect()
+    for r in got:
+        assert r["a"] == sum(c < r["k"] for c in few.cuts) and r["b"] == sum(c < r["k"] for c in many.cuts)

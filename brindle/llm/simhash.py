@@ -2,7 +2,7 @@
 
 Two 64-bit fingerprints differ in at most r bits exactly if some value lies within r/2 bits of both. So every distinct fingerprint
 stands for all variants in its ball of radius r/2 (2,081 for r = 4), and fingerprints with a common variant are linked. The shuffle
-goes by the leading bits of the variants: a fingerprint is sent once to each prefix that some variant of it has (137 for 16 bits), and the
+goes by the leading bits of the variants (16, more beyond 125 million fingerprints): one is sent once to each prefix that some variant of it has (137 for 16 bits), and the
 task that holds a prefix makes the remaining variants there, sorts them and keeps what collides. All who share a variant are
 within r of each other, so linking them to the least one loses nothing, and no group is expanded into pairs.
 
@@ -115,26 +115,38 @@ def collisions(prefix: np.ndarray, fps: np.ndarray, low_bits: int, reach: int, r
     return fps[root[linked]], fps[linked]
 
 
-def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, prefix_bits: int = PREFIX_BITS, hot: int = HOT_VARIANTS) -> DataFrame:
+def prefix_bits_for(n: int, radius: int = RADIUS, hot: int = HOT_VARIANTS) -> int:
+    """Prefix length at which n fingerprints make about half of ``hot`` variants a prefix: 16 bits up to 125 million, 25 for 50 billion (326 prefixes each)."""
+    return min(40, max(PREFIX_BITS, (2 * n * len(masks(64, radius // 2)) // max(1, hot)).bit_length()))
+
+
+def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, prefix_bits: int | None = None, hot: int = HOT_VARIANTS) -> DataFrame:
     """Edges u, v between distinct fingerprints (column fp) that join exactly those that are linked within ``radius`` bits."""
-    reach, low_bits = radius // 2, 64 - prefix_bits
     if radius % 2:
         raise ValueError("the radius must be even: each side flips half of it")
+    prefix_bits = prefix_bits or prefix_bits_for(distinct.count(), radius)
+    reach, low_bits = radius // 2, 64 - prefix_bits
     sizes = [len(masks(low_bits, reach - k)) for k in range(reach + 1)]
     flips = masks(prefix_bits, reach)
 
     own = F.shiftrightunsigned("fp", low_bits)
-    counts = distinct.groupBy(own.alias("p")).count().collect()  # at most 2**prefix_bits rows
-    load = np.zeros(1 << prefix_bits, np.int64)
-    at, n = (np.array([r[i] for r in counts], np.int64) for i in (0, 1))
-    for m in flips:
-        load[at ^ m] += n * sizes[m.bit_count()]
-    hot_ones = np.flatnonzero(load > hot).tolist()
-
-    sent = distinct.select("fp", F.explode(F.array(*[F.lit(m) for m in flips])).alias("m")).select((own.bitwiseXOR(F.col("m"))).cast("int").alias("p"), "fp")
+    counts = distinct.groupBy(own.alias("p")).agg(F.count("*").alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(sizes[m.bit_count()]).alias("w")) for m in flips])).alias("f")
+    sent = distinct.select("fp", F.explode(F.array(*[F.lit(m) for m in flips])).alias("m")).select(own.bitwiseXOR(F.col("m")).alias("p"), "fp")
+    if prefix_bits <= PREFIX_BITS:
+        load = np.zeros(1 << prefix_bits, np.int64)
+        found = counts.collect()  # at most 2**PREFIX_BITS rows
+        at, n = (np.array([r[i] for r in found], np.int64) for i in (0, 1))
+        for m in flips:
+            load[at ^ m] += n * sizes[m.bit_count()]
+        crowded = np.flatnonzero(load > hot).tolist()
+        few = F.broadcast(distinct.sparkSession.createDataFrame([(p,) for p in crowded], "p long")) if crowded else None  # at most 2**PREFIX_BITS rows
+    else:
+        loads = counts.select("p", "n", each).groupBy(F.col("p").bitwiseXOR(F.col("f.m")).alias("p")).agg(F.sum(F.col("n") * F.col("f.w")).alias("load"))
+        few = scratch.put(loads.where(F.col("load") > hot).select("p"))
+        few = None if few.isEmpty() else few
     spread = None
-    if hot_ones:
-        few = F.broadcast(distinct.sparkSession.createDataFrame([(p,) for p in hot_ones], "p int"))  # at most 2**prefix_bits rows
+    if few is not None:
         spread, sent = sent.join(few, "p", "left_semi"), sent.join(few, "p", "left_anti")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,11 +179,11 @@ def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, prefix_bi
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = sent.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(meet, "u bigint, v bigint")
     if spread is not None:
-        free = F.lit(reach) - F.bit_count(own.bitwiseXOR(F.col("p").cast("long")))
+        free = F.lit(reach) - F.bit_count(own.bitwiseXOR(F.col("p")))
         cases = F.when(free == 0, F.array(F.lit(0)))
         for k in range(1, reach + 1):
             cases = cases.when(free == k, F.array(*[F.lit(m) for m in masks(low_bits, k)]))
-        base = F.shiftleft(F.col("p").cast("long"), low_bits).bitwiseOR(F.col("fp").bitwiseAND(F.lit((1 << low_bits) - 1)))
+        base = F.shiftleft(F.col("p"), low_bits).bitwiseOR(F.col("fp").bitwiseAND(F.lit((1 << low_bits) - 1)))
         one = spread.select("fp", base.alias("b"), F.explode(cases).alias("m")).select("fp", F.col("b").bitwiseXOR(F.col("m")).alias("x"))
         one = scratch.put(one)
         least = one.groupBy("x").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")

@@ -44,15 +44,19 @@ def pairs_of(fps, radius=4):
     return [find(i) for i in range(len(fps))]
 
 
-@pytest.mark.parametrize("hot", [simhash.HOT_VARIANTS, 0, 1200])
-def test_links_equal_all_pairs(spark, hot):
+def test_prefix_length_follows_the_size():
+    assert [simhash.prefix_bits_for(n) for n in (0, 10**6, 125_000_000, 50_000_000_000)] == [16, 16, 16, 25]
+
+
+@pytest.mark.parametrize(("hot", "bits"), [(simhash.HOT_VARIANTS, None), (0, None), (1200, None), (simhash.HOT_VARIANTS, 20), (1000, 20), (simhash.HOT_VARIANTS, 6)])
+def test_links_equal_all_pairs(spark, hot, bits):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 120, dtype=np.uint64)
     flips = lambda k: np.bitwise_xor.reduce([np.uint64(1) << rng.integers(0, 64, 120).astype(np.uint64) for _ in range(k)])
     fps = np.unique(np.concatenate([base, base ^ flips(1), base ^ flips(3), base ^ flips(4), base[:40] ^ np.uint64(0b11111), [np.uint64(0), np.uint64(2**64 - 1)]]))
     signed = fps.view(np.int64).tolist()
     rows = spark.createDataFrame([(x,) for x in signed], "fp long")
-    edges = simhash.links(rows, Scratch(spark, "t"), hot=hot).collect()
+    edges = simhash.links(rows, Scratch(spark, "t"), hot=hot, prefix_bits=bits).collect()
     at = {x: i for i, x in enumerate(signed)}
     root = local_components(len(fps), np.array([at[e["u"]] for e in edges]), np.array([at[e["v"]] for e in edges]))
     assert root.tolist() == pairs_of(fps)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def as_doubles(v: Column) -> Column:
@@ -50,14 +54,78 @@ def above(hits: DataFrame, threshold: float, score: str = "similarity") -> DataF
     return hits.where(F.col(score) >= threshold)
 
 
-def topk_many(entries: DataFrame, queries: DataFrame, k: int, *, key: str, query_key: str, embedding: str = "embedding", query_embedding: str = "query_embedding", most_queries: int = 10_000) -> DataFrame:
-    """The k most similar entries of each query: a block of queries is sent to all entries, and each task keeps its own best k of a query before
-    the shuffle. At most ``most_queries`` queries a call; give larger sets in blocks."""
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries: give them in blocks")
-    pairs = entries.crossJoin(F.broadcast(queries)).withColumn("similarity", cosine(F.col(embedding), F.col(query_embedding)))
-    best = Window.partitionBy(query_key).orderBy(F.desc("similarity"), key)
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+def topk_many(entries: DataFrame, queries: DataFrame, k: int, *, key: str, query_key: str, embedding: str = "embedding", query_embedding: str = "query_embedding", block: int = 4096) -> DataFrame:
+    """query_key, key, similarity, rank: the k most similar entries of each query, ties by key.
+
+    Queries go to the tasks in blocks of about ``block`` vectors, a pass over the entries for each; a task multiplies matrices and keeps its own best k of
+    every query, so k rows a query and task are shuffled, never pairs. Similarities are rounded to twelve places, within which they tie.
+    As in ``cosine``, other lengths and vectors without length score 0; null vectors are no entries."""
+    spark, kinds = entries.sparkSession, dict(entries.dtypes)
+    rows, asked = entries.select(key, embedding).where(F.col(embedding).isNotNull()), queries.select(query_key, query_embedding)
+    schema = T.StructType([T.StructField("__query", T.LongType()), entries.schema[key], T.StructField("similarity", T.DoubleType())])
+    blocks = max(1, -(-asked.count() // block))
+    out = None
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == i).toArrow()
+        vectors = [v or [] for v in part.column(1).to_pylist()]
+        shared = spark.sparkContext.broadcast(vectors)  # one block
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            wanted, kept = _by_length(shared.value), None
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    new = _best(wanted, len(shared.value), batch.slice(at, 4096), k)
+                    kept = new if kept is None else _first(pa.concat_tables([kept, new]), k)
+            if kept is not None and kept.num_rows:
+                yield from kept.combine_chunks().to_batches()
+
+        found = rows.mapInArrow(run, schema)
+        best = Window.partitionBy("__query").orderBy(F.desc("similarity"), key)
+        found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        names = spark.createDataFrame(pa.table({"__query": pa.array(range(len(vectors)), pa.int64()), query_key: part.column(0)}))
+        one = found.join(F.broadcast(names), "__query").select(F.col(query_key).cast(dict(queries.dtypes)[query_key]).alias(query_key), F.col(key).cast(kinds[key]).alias(key), "similarity", "rank")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _by_length(vectors: list[list[float]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Unit query vectors by their number of coordinates, with their places."""
+    out = {}
+    for n in {len(v) for v in vectors}:
+        at = np.array([i for i, v in enumerate(vectors) if len(v) == n])
+        m = np.array([vectors[i] for i in at], np.float64).reshape(len(at), n)
+        length = np.sqrt((m * m).sum(1, keepdims=True))
+        out[n] = (at, np.divide(m, length, out=np.zeros_like(m), where=length > 0))
+    return out
+
+
+def _best(wanted: dict, n_queries: int, batch: pa.RecordBatch, k: int) -> pa.Table:
+    """The best k of a batch for every query."""
+    lists = batch.column(1)
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    score = np.zeros((n_queries, batch.num_rows))
+    for n, (at, q) in wanted.items():
+        own = np.flatnonzero(sizes == n)
+        if n and len(own):
+            m = lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), n)
+            length = np.sqrt((m * m).sum(1))
+            score[np.ix_(at, own)] = (q @ m.T) * np.divide(1.0, length, out=np.zeros_like(length), where=length > 0)
+    score = np.round(score, 12)
+    if batch.num_rows > k:  # all that tie with the k-th stay until keys decide
+        least = np.partition(score, batch.num_rows - k, axis=1)[:, batch.num_rows - k]
+        query, row = np.nonzero(score >= least[:, None])
+    else:
+        query, row = (x.ravel() for x in np.indices(score.shape))
+    return _first(pa.table({"__query": pa.array(query, pa.int64()), batch.schema.names[0]: batch.column(0).take(pa.array(row)), "similarity": pa.array(score[query, row])}), k)
+
+
+def _first(rows: pa.Table, k: int) -> pa.Table:
+    """The first k rows of each query by similarity and key."""
+    rows = rows.sort_by([("__query", "ascending"), ("similarity", "descending"), (rows.schema.names[1], "ascending")])
+    query = rows.column("__query").to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, np.int64)
+    place = np.arange(len(query)) - np.repeat(starts, np.diff([*starts, len(query)]))
+    return rows.filter(pa.array(place < k))
 
 
 def shard_topk(entries: DataFrame, vector: Sequence[float], k: int, *, key: str, shard: str, embedding: str = "embedding", only: Sequence | None = None) -> DataFrame:

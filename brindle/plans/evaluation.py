@@ -13,9 +13,9 @@ THRESHOLDS = [0.0, 0.2, 0.3]
 
 
 def _results(spark: SparkSession, d: str, thresholds: list[float]) -> DataFrame:
-    """Cases: 20 vectors; even ones expect a neighbour of their label, odd ones none."""
+    """Cases: every vector whose id is divisible by 50; those divisible by 100 expect a neighbour of their label, the others none."""
     hits = many_hits(spark, d).select(F.col("query_id").alias("case_id"), "vec_id", (F.col("label") == F.col("query_label")).alias("matched"), F.round("similarity", 9).alias("similarity"))
-    cases = table(spark, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("case_id"), (F.col("vec_id") % 2 == 0).alias("positive"), (F.col("label") % 2).alias("group"))
+    cases = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("case_id"), (F.col("vec_id") % 100 == 0).alias("positive"), (F.col("label") % 2).alias("group"))
     return evaluate.case_results(cases, hits, group="group", ties=["vec_id"], thresholds=thresholds)
 
 
@@ -23,7 +23,7 @@ def _sql(by: str, thresholds: list[float]) -> str:
     grid = ", ".join(f"({t}::DOUBLE)" for t in thresholds)
     return f"""WITH m AS (SELECT *, round(s, 9) AS sim FROM ({MANY_SQL}) WHERE rank <= 4 AND vec_id <> query_id),
     h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS r FROM m), t(threshold) AS (VALUES {grid}),
-    c AS (SELECT vec_id AS case_id, vec_id % 2 = 0 AS positive, label % 2 AS "group" FROM embeddings WHERE vec_id < 20),
+    c AS (SELECT vec_id AS case_id, vec_id % 100 = 0 AS positive, label % 2 AS "group" FROM embeddings WHERE vec_id % 50 = 0),
     f AS (SELECT query_id AS case_id, threshold, min(CASE WHEN label = query_label THEN r END) AS rank, count(*) AS passed FROM h, t WHERE sim >= threshold GROUP BY ALL),
     e AS (SELECT c.*, t.threshold, f.rank, coalesce(f.passed, 0) AS passed FROM c CROSS JOIN t LEFT JOIN f ON f.case_id = c.case_id AND f.threshold = t.threshold),
     g AS (SELECT {by}{', ' if by else ''}count(*) FILTER (WHERE positive) AS positives, count(*) FILTER (WHERE NOT positive) AS negatives, count(*) FILTER (WHERE positive AND rank IS NOT NULL) AS hits, count(*) FILTER (WHERE NOT positive AND passed = 0) AS quiet, coalesce(sum(CASE WHEN positive THEN 1.0::DOUBLE / rank END), 0) AS rr FROM e {'GROUP BY ' + by if by else ''})
@@ -111,11 +111,11 @@ def length_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return p.join(docs.groupBy("lang").agg(F.count_if(F.col("n_chars") > 512).alias("over_512")), "lang")
 
 
-@query("""WITH s AS (SELECT l_orderkey, l_partkey AS name, greatest(1, least(5, l_linenumber))::INT AS imp, greatest(0, least(5, (l_quantity / 10)::INT)) AS lvl FROM lineitem WHERE l_orderkey % 20 = 0),
+@query("""WITH s AS (SELECT l_orderkey, l_partkey AS name, greatest(1, least(5, l_linenumber))::INT AS imp, greatest(0, least(5, (l_quantity / 10)::INT)) AS lvl FROM lineitem),
     a AS (SELECT l_orderkey, round_even(sum(imp * lvl) * 100.0 / sum(imp * 5), 0)::INT AS score, list(name ORDER BY lvl DESC, imp DESC, name) FILTER (WHERE lvl >= 4) AS s, list(name ORDER BY (5 - lvl) * imp DESC, imp DESC, name) FILTER (WHERE imp >= 4 AND lvl <= 2) AS g FROM s GROUP BY l_orderkey)
     SELECT l_orderkey, score, CASE WHEN score >= 85 THEN 'strong' WHEN score >= 70 THEN 'good' WHEN score >= 40 THEN 'partial' ELSE 'weak' END AS band, coalesce(array_to_string(s[1:3], ','), '') AS strengths, coalesce(array_to_string(g[1:3], ','), '') AS gaps FROM a""")
 def skill_fit(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", "l_partkey", "l_linenumber", F.bround(F.col("l_quantity") / 10).cast("int").alias("lvl"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.bround(F.col("l_quantity") / 10).cast("int").alias("lvl"))
     return evaluate.skill_fit(rows, "l_orderkey", "l_linenumber", "lvl", "l_partkey")
 
 

@@ -48,15 +48,16 @@ def threshold_after_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def many_hits(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
-    """Each of the first 20 vectors as a query against all others."""
+    """Every vector whose id is divisible by 50 as a query, against all others."""
     e = table(spark, d, "embeddings")
-    queries = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("query_embedding"))
-    return vector.topk_many(e, queries, k + 1, key="vec_id", query_key="query_id").where("vec_id <> query_id")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("query_embedding"))
+    hits = vector.topk_many(e, queries, k + 1, key="vec_id", query_key="query_id").where("vec_id <> query_id")
+    return hits.join(e.select("vec_id", "label"), "vec_id").join(queries.select("query_id", "query_label"), "query_id")
 
 
 MANY_SQL = f"""SELECT q.vec_id AS query_id, q.label AS query_label, e.vec_id, e.label, {_COS} AS s,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank
-    FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 20) q"""
+    FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q"""
 
 
 @query(f"""WITH m AS ({MANY_SQL}),
@@ -67,7 +68,7 @@ MANY_SQL = f"""SELECT q.vec_id AS query_id, q.label AS query_label, e.vec_id, e.
 def ann_crosscheck(spark: SparkSession, d: str) -> DataFrame:
     """The exact top-1 against that of an index which looks at the query's own label only."""
     e = table(spark, d, "embeddings")
-    queries = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("query_embedding"))
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("query_embedding"))
     exact = vector.topk_many(e, queries, 1, key="vec_id", query_key="query_id")
     pairs = e.join(F.broadcast(queries), e.label == queries.query_label).withColumn("similarity", vector.cosine(F.col("embedding"), F.col("query_embedding")))
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
@@ -84,9 +85,9 @@ def tokenize_stats(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("lang", "text")).select("lang", n.alias("n")).groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.max("n").alias("longest"))
 
 
-@query(f"SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({_TOKENS})) AS token FROM documents) GROUP BY token HAVING count(*) >= 50")
+@query(f"SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({_TOKENS})) AS token FROM documents) GROUP BY token")
 def document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.document_frequency(table(spark, d, "documents")).where("df >= 50")
+    return lexical.document_frequency(table(spark, d, "documents"))
 
 
 def bm25_sql(terms: list[str], fallback: bool = False) -> str:

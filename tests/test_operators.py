@@ -263,3 +263,22 @@ def test_nth_is_exact_on_many_rows(spark):
     own = sorted(v for _, v in rows if v is not None)
     assert evaluate.nth(df, "v", evaluate.p95_ceil(n)).first()["value"] == own[int(12000 * 0.95) - 1]
     assert evaluate.nth(df.limit(0), "v", evaluate.p95_ceil(n), "g").count() == 0
+
+
+def test_topk_many_equals_single_queries(spark):
+    import random
+
+    rnd = random.Random(9)
+    rows = [(f"k{i:03d}", [rnd.choice([0.0, 1.0, 0.5]) for _ in range(3)]) for i in range(300)] + [("short", [1.0]), ("none", None), ("zero", [0.0, 0.0, 0.0])]
+    entries = spark.createDataFrame(rows, "id string, embedding array<float>").repartition(5)
+    asked = [(q, [rnd.random() for _ in range(3)]) for q in range(7)] + [(7, [0.0, 0.0, 0.0]), (8, [1.0])]
+    queries = spark.createDataFrame(asked, "q int, query_embedding array<float>")
+    for block in (4096, 2):
+        got = vector.topk_many(entries, queries, 6, key="id", query_key="q", block=block)
+        by = {}
+        for r in got.orderBy("q", "rank").collect():
+            by.setdefault(r["q"], []).append((r["id"], round(r["similarity"], 6)))
+        for q, v in asked:
+            want = vector.topk(entries.where("embedding IS NOT NULL").withColumn("s", F.round(vector.cosine_to(F.col("embedding"), [float(x) for x in v]), 9)), [float(x) for x in v], 1000, key="id")
+            want = sorted(((r["id"], r["s"]) for r in want.collect()), key=lambda x: (-x[1], x[0]))[:6]
+            assert by[q] == [(i, round(s, 6)) for i, s in want]

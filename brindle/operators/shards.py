@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Fixed value: what shard collections are called.
+PREFIX = "learning_notes_"
+
+
 def problems(shards: DataFrame) -> DataFrame:
     """Shards (collection, space, manifest_collection, embedding_model; nulls where there is no manifest) that break a rule: cosine space, a manifest of
     their own name, a valid slug, one embedding model for all."""
-    slug = F.rlike("collection", F.lit("^learning_notes_[A-Za-z0-9][A-Za-z0-9_-]{1,61}[A-Za-z0-9]$"))
+    slug = F.rlike("collection", F.lit(f"^{PREFIX}[A-Za-z0-9][A-Za-z0-9_-]{{1,61}}[A-Za-z0-9]$"))
     models = shards.agg(F.countDistinct("embedding_model").alias("models"))
     problem = F.when(~slug, "slug").when(F.coalesce("space", F.lit("")) != "cosine", "space").when(F.col("manifest_collection").isNotNull() & (F.col("manifest_collection") != F.col("collection")), "manifest").when((F.col("models") > 1) & F.col("embedding_model").isNotNull(), "embedding_model")
     return shards.crossJoin(F.broadcast(models)).select("collection", problem.alias("problem")).where("problem IS NOT NULL")

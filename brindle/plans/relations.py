@@ -185,11 +185,11 @@ def default_session(spark: SparkSession, d: str) -> DataFrame:
     return windows.least_id(rows, "user_id").select("user_id", "id")
 
 
-@query("""WITH w AS (SELECT DISTINCT c_custkey AS user_id, 'tutor' AS persona_id FROM customer), o AS (SELECT o_custkey AS user_id, min(o_orderkey) AS id FROM orders GROUP BY 1),
+@query("""WITH w AS (SELECT DISTINCT c_custkey AS user_id, 'default' AS persona_id FROM customer), o AS (SELECT o_custkey AS user_id, min(o_orderkey) AS id FROM orders GROUP BY 1),
     j AS (SELECT w.*, o.id FROM w LEFT JOIN o USING (user_id)) SELECT user_id, coalesce(id, 900000 + row_number() OVER (PARTITION BY id IS NULL ORDER BY user_id) - 1)::BIGINT AS id, id IS NULL AS created FROM j""")
 def session_upsert(spark: SparkSession, d: str) -> DataFrame:
-    sessions = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.lit("tutor").alias("persona_id"), F.col("o_orderkey").alias("id"))
-    wanted = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("tutor").alias("persona_id"))
+    sessions = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.lit("default").alias("persona_id"), F.col("o_orderkey").alias("id"))
+    wanted = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("default").alias("persona_id"))
     return relational.get_or_create(sessions, wanted, F.expr(NOW), 900000).select("user_id", "id", "created")
 
 

@@ -172,7 +172,7 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", parts:
     marks = F.broadcast(spark.createDataFrame(ahead, f"to int, part int, k {kind}, h bigint"))
     extra = tagged.join(marks, (tagged.part == marks.part) & tagged.k.eqNullSafe(marks.k) & (tagged.h == marks.h)).select(marks["to"].alias("part"), F.lit(1).alias("role"), tagged.k, tagged.t, tagged.h)
     dealt = tagged.select("part", F.lit(0).alias("role"), "k", "t", "h").unionByName(extra)
-    dealt = dealt.repartition(ranges.count, "part").sortWithinPartitions("part", "role", "k", "h")
+    dealt = ranges.deal(dealt, "part").sortWithinPartitions("part", "role", "k", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row of a range so far: part, key, text, its fingerprint

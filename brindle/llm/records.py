@@ -144,7 +144,8 @@ def write_records(docs: DataFrame, out_dir: str, key: str = "doc_id", text: str
     parts = parts or range_count(rows, 32)
     ranges = Ranges(rows, key, parts)
     dealt = rows.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.xxhash64(text).alias("__hash"))
-    dealt = dealt.withColumn("__part", ranges.part(F.col("__key"), F.col("__hash"))).repartition(ranges.count, "__part").sortWithinPartitions("__part", "__key", "__hash")
+    dealt = dealt.withColumn("__part", ranges.part(F.col("__key"), F.col("__hash")))
+    dealt = ranges.deal(dealt, "__part").sortWithinPartitions("__part", "__key", "__hash")
     kind = dict(rows.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

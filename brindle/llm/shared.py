@@ -129,7 +129,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of input that one range should hold about.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 8 << 20
 
 
 def range_count(rows: DataFrame, least: int) -> int:
@@ -184,3 +184,14 @@ class Ranges:
             within = F.when(key == F.lit(c), deal(n)).otherwise(within)
         shift = self.null_parts - 1
         return F.when(key.isNull(), deal(self.null_parts) if shift else F.lit(0)).otherwise(plain + within + shift).cast("int")
+
+    def deal(self, rows: DataFrame, part: str) -> DataFrame:
+        """Rows dealt by the number of their range, each range to a task of its own.
+
+        Spark deals by a hash of the column, so each range is given a value whose hash leads to its own task; by the plain number some
+        tasks would get several ranges and others none."""
+        n = self.count
+        numbers = rows.sparkSession.range(32 * n).select(F.col("id").cast("int").alias("x"))
+        found = {r["t"]: r["x"] for r in numbers.groupBy(F.pmod(F.hash("x"), F.lit(n)).alias("t")).agg(F.min("x").alias("x")).collect()}  # a row for each range
+        values = F.array(*[F.lit(found.get(t, t)) for t in range(n)])
+        return rows.withColumn("__slot", F.element_at(values, F.col(part) + 1)).repartition(n, "__slot")

@@ -137,3 +137,13 @@ def test_many_ranges(spark):
     got = rows.select("k", few.part(F.col("k"), F.col("h")).alias("a"), many.part(F.col("k"), F.col("h")).alias("b")).orderBy("k").collect()
     for r in got:
         assert r["a"] == sum(c < r["k"] for c in few.cuts) and r["b"] == sum(c < r["k"] for c in many.cuts)
+
+
+def test_each_range_gets_a_task_of_its_own(spark):
+    from brindle.llm.shared import Ranges
+
+    rows = spark.range(3000).selectExpr("id AS k", "xxhash64(id) AS h")
+    ranges = Ranges(rows, "k", 24)
+    dealt = ranges.deal(rows.withColumn("p", ranges.part(F.col("k"), F.col("h"))), "p")
+    seen = dealt.select("p", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(seen) == ranges.count == len({r["task"] for r in seen})

@@ -3,13 +3,16 @@
 One weight vector over hashed features is shared by all grades; ordered thresholds t_1 < t_2 < ... turn a text's score s into
 P(grade >= k) = 1 / (1 + exp(t_k - s)). Selection uses a tail probability, ranking the expected grade.
 
+One direction cannot tell both poor from good and toxic from clean, so a second fit of the same kind, on the good rows (grades 1 and 2) alone, gives
+P(grade 2 | grade >= 1); selection of grade 2 asks for both. Without good rows of both kinds there is no second fit and no such cut.
+
 Grades: 0 for quality 0, 1 for quality 1 of a toxic text, 2 for quality 1 otherwise; rows without quality or text are not used.
 Features: which words occur (ASCII in lower case), hashed, and levels of a few shares (capitals, symbols, digits, bars, repeated words,
 distinct words, length), hashed too. A null or empty text has the length feature alone.
 
 Fitting uses a bounded sample of labelled rows: the SAMPLE rows with the least hash of their id, as far as they hold FEATURES features in
-all. Scoring covers every row, in one pass without a shuffle. If no labels, or one grade only, are given, there is no model: expected grade and
-tail are null and ``select`` keeps every row. Repeated labels count as often as they occur; repeated documents are scored alike. Extra columns
+all. Scoring covers every row, in one pass without a shuffle. If no labels, or one grade only, are given, there is no model: expected grade,
+tail and clean are null and ``select`` keeps every row. Repeated labels count as often as they occur; repeated documents are scored alike. Extra columns
 pass through ``select``; ``score`` returns its own columns only.
 """
 
@@ -31,6 +34,8 @@ SAMPLE, FEATURES, BITS = 12_000, 8_000_000, 18
 PENALTY, RARE = 0.3, 20
 #: A text is kept if it has the best grade with this probability: low, for a clean text lost costs more than a doubtful one kept.
 LEAST = 0.2
+#: And if it is clean, given that it is good, with this probability: just below the share of clean texts among good ones, so that a text that says nothing stays.
+CLEAN = 0.8
 BLOCK = W.PART
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -72,12 +77,17 @@ def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]
 
 
 class Model:
+    #: The fit on good rows, which gives P(grade 2 | grade >= 1).
+    clean: Model | None = None
+
     def __init__(self, weights: np.ndarray, thresholds: np.ndarray, bits: int = BITS):
         self.weights, self.thresholds, self.bits = weights.astype(np.float32), thresholds, bits
 
     def tails(self, texts: pa.Array) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ... of each text."""
-        cols, counts = features(texts, self.bits)
+        return self.tails_of(*features(texts, self.bits))
+
+    def tails_of(self, cols: np.ndarray, counts: np.ndarray) -> np.ndarray:
         score = np.bincount(np.repeat(np.arange(len(counts)), counts), self.weights[cols], len(counts))
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
@@ -192,33 +202,46 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         cols.append(one)
         counts.append(len(one))
         grades.append(r["grade"])
-    return fit(np.concatenate(cols), np.array(counts), np.array(grades), bits) if cols else None
+    if not cols:
+        return None
+    model = fit(np.concatenate(cols), np.array(counts), np.array(grades), bits)
+    good = [i for i, g in enumerate(grades) if g]
+    if model and good:
+        model.clean = fit(np.concatenate([cols[i] for i in good]), np.array([counts[i] for i in good]), np.array([grades[i] - 1 for i in good]), bits)
+    return model
 
 
-def _scored(rows: DataFrame, model: Model | None, text: str, at_least: int, names: tuple[str, str]) -> DataFrame:
+def _scored(rows: DataFrame, model: Model | None, text: str, at_least: int, names: tuple[str, str, str]) -> DataFrame:
     schema = with_fields(rows.schema, *[T.StructField(n, T.DoubleType()) for n in names])
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # 2 * 2**BITS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for part in pieces(batch, text, BLOCK):
                 if model is None:
-                    more = [pa.nulls(part.num_rows, pa.float64())] * 2
+                    more = [pa.nulls(part.num_rows, pa.float64())] * 3
                 else:
-                    tails = model.tails(part.column(text))
-                    more = [pa.array(tails.sum(1)), pa.array(tails[:, min(at_least, tails.shape[1]) - 1])]
+                    found = features(part.column(text), model.bits)
+                    tails = model.tails_of(*found)
+                    clean = pa.array(model.clean.tails_of(*found)[:, 0]) if model.clean and at_least > 1 else pa.nulls(part.num_rows, pa.float64())
+                    more = [pa.array(tails.sum(1)), pa.array(tails[:, min(at_least, tails.shape[1]) - 1]), clean]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *names])
 
     return rows.mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", at_least: int = 2) -> DataFrame:
-    """key, expected_grade, tail (the probability of ``at_least`` or better) of every row."""
-    return _scored(own_columns(docs, key, text), model, text, at_least, ("expected_grade", "tail")).drop(text)
+    """key, expected_grade, tail (the probability of ``at_least`` or better) and clean (P(grade 2 | grade >= 1)) of every row."""
+    return _scored(own_columns(docs, key, text), model, text, at_least, ("expected_grade", "tail", "clean")).drop(text)
+
+
+def kept(tail: str = "tail", clean: str = "clean", least: float = LEAST, least_clean: float = CLEAN) -> F.Column:
+    """Whether a scored row is kept; a probability that no model gives rejects nothing."""
+    return (F.coalesce(tail, F.lit(1.0)) >= least) & (F.coalesce(clean, F.lit(1.0)) >= least_clean)
 
 
-def select(docs: DataFrame, model: Model | None, text: str = "text", at_least: int = 2, least: float = LEAST) -> DataFrame:
-    """The rows whose tail probability is ``least`` or more, all columns unchanged."""
-    found = _scored(docs, model, text, at_least, ("__expected", "__tail"))
-    return found.where(F.coalesce("__tail", F.lit(1.0)) >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+def select(docs: DataFrame, model: Model | None, text: str = "text", at_least: int = 2, least: float = LEAST, least_clean: float = CLEAN) -> DataFrame:
+    """The rows whose tail probability is ``least`` or more and that are clean with ``least_clean`` or more, all columns unchanged."""
+    found = _scored(docs, model, text, at_least, ("__expected", "__tail", "__clean"))
+    return found.where(kept("__tail", "__clean", least, least_clean)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,7 +24,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
-    return found.withColumn("kept", F.coalesce(F.col("tail") >= quality.LEAST, F.lit(True)))
+    return found.withColumn("kept", quality.kept()).drop("clean")
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

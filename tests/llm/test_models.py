@@ -188,3 +188,23 @@ def test_sample_is_bounded_and_fixed(spark, bound):
     labels = spark.createDataFrame([(i, int(k > 0), 0) for i, _, k in rows], "doc_id long, quality int, toxic int")
     a, b = (Q.train(docs.repartition(n), labels.repartition(n), sample=40, most=bound * 2000) for n in (1, 7))
     assert (a is None) == (b is None) and (a is None or np.allclose(a.weights, b.weights))
+
+
+def test_toxic_texts_go(spark):
+    """Toxic texts are good prose with one telling word, so they score like clean ones in the grades' common direction."""
+    rnd = random.Random(8)
+    prose, junk = [f"w{i}" for i in range(300)], [f"j{i}" for i in range(300)]
+
+    def one(k):
+        words = [rnd.choice(prose if k else junk) for _ in range(rnd.randrange(60, 200))]
+        if k == 1:
+            words[rnd.randrange(len(words))] = rnd.choice(["scum", "moron", "idiot"])
+        return " ".join(words)
+
+    rows = [(i, one(k), k) for i, k in enumerate(rnd.choices([0, 1, 2], [2, 1, 9], k=5000))]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k > 0), int(k == 1)) for i, _, k in rows if i < 4000], "doc_id long, quality int, toxic int")
+    held = [(i, k) for i, _, k in rows if i >= 4000]
+    kept = {r["doc_id"] for r in Q.select(docs, Q.train(docs, labels)).collect()}
+    share = lambda grade: sum(i in kept for i, k in held if k == grade) / sum(k == grade for _, k in held)
+    assert share(1) <= 0.1 and share(0) <= 0.05 and share(2) >= 0.97

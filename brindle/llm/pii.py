@@ -56,7 +56,8 @@ _PATTERNS = {
     "CARD": re.compile(r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,4}(?:\d{1,3})?(?![\w-])"),
 }
 _TITLE = re.compile(rf"(?<!\w)(?P<t>{'|'.join(sorted(ADDRESS, key=len, reverse=True))})\.? (?P<n>{_CAPITAL}(?: {_CAPITAL})?)")
-_PAIR = re.compile(rf"(?<!\w)(?P<g>{_CAPITAL}) (?P<s>{_CAPITAL})(?!\w)")
+#: Known given names before a capitalised word. It starts at the name, so that no capitalised word before one can take it up.
+_PAIR = re.compile(rf"(?<!\w)(?P<g>{'|'.join(sorted(_GENDER, key=len, reverse=True))}) (?P<s>(?:(?:{'|'.join(sorted(_GENDER, key=len, reverse=True))}) )*{_CAPITAL})(?!\w)")
 _DIGIT = re.compile(r"\d")
 _ORDER = ["EMAIL", "SECRET", "IBAN", "IPV4", "PHONE", "SSN", "CARD"]
 
@@ -250,8 +251,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         first = m["n"].split(" ")[0]
         found.append((*m.span("n"), "PERSON", ADDRESS[m["t"]] or _GENDER.get(first, ("", ""))[1]))
     for m in _PAIR.finditer(text):
-        if m["g"] in _GENDER:
-            found.append((*m.span(), "PERSON", _GENDER[m["g"]][1]))
+        found.append((*m.span(), "PERSON", _GENDER[m["g"]][1]))
     if len(found) < 2:
         return found
     rank = {k: i for i, k in enumerate([*_ORDER, "PERSON"])}

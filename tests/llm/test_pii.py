@@ -77,3 +77,9 @@ def test_surrogates_over_rows(spark):
 def test_audit(spark):
     rows = spark.createDataFrame([(f"mail u{i}@x{i % 7}.org from 10.0.0.{i}",) for i in range(200)], "text string")
     assert P.collisions(rows).where("n > 1").count() == 0
+
+
+def test_names_after_a_capitalised_word():
+    for t, name in (("Contact Maria Lopez", "Maria Lopez"), ("Dear John Smith, hello", "John Smith"), ("Yesterday Anna Schmidt said", "Anna Schmidt"), ("Вчера Анна Петрова", "Анна Петрова"), ("Dear Marianne Weiss Anna Bell", "Anna Bell")):
+        assert kinds(t) == [(name, "PERSON")] and name not in P.replace(t)[0]
+    assert kinds("Dear Paul James Brown") == [("Paul James Brown", "PERSON")] and kinds("Paul James") == [("Paul James", "PERSON")] and kinds("Annan Kofi") == []

@@ -12,9 +12,13 @@ from brindle.plans.registry import query, table
 
 @query()
 def chunk_markdown_docs(spark: SparkSession, d: str) -> DataFrame:
-    """Each line as a heading's text or a paragraph: every fifth line becomes a heading."""
+    """Every fifth line becomes a heading, its first 40 characters, and what it has beyond them the next line; a line with nothing to head stays a paragraph."""
     docs = table(spark, d, "documents")
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("## "), F.substring(x, 1, 40))).otherwise(x))
+    split = F.split("text", "\n")
+    rest = lambda x: F.substring(x, F.lit(41), F.length(x))
+    heads = lambda x, i: (i % 5 == 0) & F.rlike(F.concat(rest(x), F.array_join(F.slice(split, i + 2, F.lit(4)), "")), F.lit(r"\S"))
+    head = lambda x: F.concat(F.lit("## "), F.substring(x, 1, 40), F.when(F.length(x) > 40, F.concat(F.lit("\n"), rest(x))).otherwise(F.lit("")))
+    lines = F.transform(split, lambda x, i: F.when(heads(x, i), head(x)).otherwise(x))
     return chunk_markdown.chunk_table(docs.select("doc_id", F.array_join(lines, "\n").alias("text")), "doc_id", "text")
 
 

@@ -124,3 +124,16 @@ def test_page_chunks_never_cross_pages(spark):
     docs = spark.createDataFrame([doc, bad], P.DOCUMENT)
     assert [tuple(r) for r in P.problems(docs).collect()] == [("e", "page_number")]
     assert [(r["chunk_index"], r["page_start"], r["text"]) for r in P.chunk_table(docs.where("document_id = 'd'")).orderBy("chunk_index").collect()] == [(0, 1, "ab"), (1, 2, "cd")]
+
+
+def test_the_registered_query_chunks_whole_texts(spark, tmp_path):
+    from brindle.plans.chunking import chunk_markdown_docs
+
+    words = [f"w{i:03d}" for i in range(420)]
+    texts = [" ".join(words), "\n".join(" ".join(words[k : k + 20]) for k in range(0, 420, 20)), "\n".join(words[:21]), words[0], "x\n\n \n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {str(i): "" for i in range(len(texts))}
+    for r in chunk_markdown_docs(spark, str(tmp_path)).collect():
+        got[r["source"]] += r["content"].replace("\n", "") + " "
+    for i, t in enumerate(texts):
+        assert [w for w in t.split() if w not in got[str(i)]] == []

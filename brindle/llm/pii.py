@@ -7,9 +7,10 @@ the same gender and script, cards keep network digit and checksum state, address
 
 A surrogate is the image of the entity's normal form under a permutation of all values of its format, drawn from the key. So, under one key:
 the same entity always gets the same surrogate, in every document and on every executor (coreference), and two entities never get
-one (distinctness), with nothing shared between tasks. Domains of at most 16,384 values use the first of a series of
+one (distinctness), with only the redrawn entities shared between tasks. Domains of at most 16,384 values use the first of a series of
 permutations that moves every value, so none is its own surrogate; in larger ones a value that the permutation leaves in place (a chance of
-one in their size) swaps images with its successor. ``collisions`` audits a corpus for both properties.
+one in their size) swaps images with its successor. Spacing, case and form of address are no part of the normal form. Before any text is changed a pass over
+the corpus looks for images that are another entity's or real entities themselves, and redraws these; ``collisions`` audits the outcome.
 
 Null text stays null with no entities; text without entities is returned unchanged. Texts are read whole. Where patterns overlap the earlier kind
 in the list above wins. Rows are independent, so repeated rows, null ids and empty tables need no rule of their own. Extra columns pass
@@ -29,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.shared import pieces, with_fields, without
+from brindle.llm.shared import Scratch, pieces, with_fields, without
 
 KEY = b"set your own key"
 ENUMERATED = 1 << 14
+#: Images tried for an entity whose first is taken.
+ATTEMPTS = 16
 
 #: Given names by script and gender.
 NAMES = {
@@ -152,10 +155,19 @@ def _refilled(model: str, chars: str) -> str:
     return "".join(next(new) if c.isalnum() else c for c in model)
 
 
+#: Calling codes of one and two digits; all others have three.
+_CALLING = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
+
+
+def _national(text: str) -> int:
+    """Where the number after the calling code begins."""
+    country = _CALLING.match(text)
+    return country.end() if country else 0
+
+
 def _phone(text: str, key: bytes) -> str:
-    """The country code stays; the national number is the entity, however it is spaced. Area and exchange keep a first digit of 2 to 9."""
-    country = re.match(r"\+\d{1,3}(?=[ .-])", text)
-    at = country.end() if country else 0
+    """The calling code stays; the national number is the entity, however it is spaced. Area and exchange keep a first digit of 2 to 9."""
+    at = _national(text)
     digits = re.sub(r"\D", "", text[at:])
     alphabets = [("01" if c in "01" else "23456789") if i in ((0, 3) if len(digits) == 10 else (0,)) else "0123456789" for i, c in enumerate(digits)]
     return text[:at] + _refilled(text[at:], _spelled(digits, alphabets, key, "phone"))
@@ -204,33 +216,48 @@ def _iban(text: str, key: bytes) -> str:
     return text[:2] + _refilled(text[2:], _plain(text[2:].replace(" ", ""), key, f"iban:{text[:2]}"))
 
 
-def _given(name: str, gender: str, key: bytes) -> str:
-    group = _GENDER.get(name)
-    if group:
-        pool = NAMES[group]
-        return pool[permute(pool.index(name), len(pool), key, f"given:{group}")]
+def _unlisted(name: str, key: bytes, tag: str) -> str:
     out = name
     while True:  # another name's image is never a listed name
-        out = _plain(out, key, f"given:{gender}")
+        out = _plain(out, key, tag)
         if out not in _GENDER:
             return out
 
 
-def _person(text: str, gender: str, key: bytes) -> str:
+def _given(name: str, key: bytes) -> str:
+    """By the name alone, whatever the form of address says: one name has one image."""
+    group = _GENDER.get(name)
+    if group:
+        pool = NAMES[group]
+        return pool[permute(pool.index(name), len(pool), key, f"given:{group}")]
+    return _unlisted(name, key, "given")
+
+
+def _person(text: str, key: bytes) -> str:
     first, _, last = text.partition(" ")
     if not last and first not in _GENDER:
-        return _plain(first, key, "family")
-    return f"{_given(first, gender, key)} {_plain(last, key, 'family')}" if last else _given(first, gender, key)
+        return _unlisted(first, key, "family")
+    return f"{_given(first, key)} {_plain(last, key, 'family')}" if last else _given(first, key)
 
 
 _MAKERS = {"EMAIL": _email, "SECRET": _secret, "IBAN": _iban, "IPV4": _ipv4, "PHONE": _phone, "SSN": _ssn, "CARD": _card}
 
 
 @lru_cache(50_000)
-def surrogate(kind: str, text: str, key: bytes = KEY, gender: str = "") -> str:
-    if kind == "PERSON":
-        return _person(text, gender, key)
-    return _MAKERS[kind](text, key)
+def surrogate(kind: str, text: str, key: bytes = KEY, attempt: int = 0) -> str:
+    """The entity's image; attempts above 0 are images under other keys, drawn from this one."""
+    if attempt:
+        key = hashlib.blake2b(f"attempt {attempt}".encode(), key=key[:64], digest_size=32).digest()
+    return _person(text, key) if kind == "PERSON" else _MAKERS[kind](text, key)
+
+
+def normal(kind: str, text: str) -> str:
+    """One form for all spellings of an entity."""
+    if kind == "PHONE":
+        return re.sub(r"\D", "", text[_national(text) :])
+    if kind in ("CARD", "SSN"):
+        return re.sub(r"\D", "", text)
+    return text.replace(" ", "").upper() if kind == "IBAN" else text.lower() if kind == "EMAIL" else text
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
@@ -265,11 +292,12 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
-def replace(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text with surrogates, and each surrogate's kind, start and end in it."""
+def replace(text: str, key: bytes = KEY, redrawn: dict[tuple[str, str], int] | None = None) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with surrogates, and each surrogate's kind, start and end in it. ``redrawn`` has the attempt of entities whose first image is taken."""
     out, spans, at, size = [], [], 0, 0
-    for start, end, kind, gender in entities(text):
-        new = surrogate(kind, text[start:end], key, gender)
+    for start, end, kind, _ in entities(text):
+        own = text[start:end]
+        new = surrogate(kind, own, key, redrawn.get((kind, normal(kind, own)), 0) if redrawn else 0)
         size += start - at
         out += [text[at:start], new]
         spans.append((kind, size, size + len(new)))
@@ -279,7 +307,9 @@ def replace(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, int]
 
 
 def surrogates(docs: DataFrame, text: str = "text", key: bytes = KEY, spans: bool = True) -> DataFrame:
-    """All columns, the text replaced; with ``spans`` also n_entities and entities (kind, start, end in the new text). One pass, no shuffle."""
+    """All columns, the text replaced; with ``spans`` also n_entities and entities (kind, start, end in the new text). A pass before finds the images
+    that are taken (``redraws``); it runs when this is called. No text is shuffled."""
+    redrawn = docs.sparkSession.sparkContext.broadcast(redraws(docs, text, key))  # entities whose image is taken: about their number squared over the format's size
     kept = without(docs, *["n_entities", "entities"] * spans)
     kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = with_fields(kept.schema, *[T.StructField("n_entities", T.LongType()), T.StructField("entities", kind)] * spans)
@@ -291,7 +321,7 @@ def surrogates(docs: DataFrame, text: str = "text", key: bytes = KEY, spans: boo
             for part in pieces(batch, text, 8 << 20):
                 texts, found = [], []
                 for t in part.column(at).to_pylist():
-                    new, places = replace(t, key) if t else (t, [])
+                    new, places = replace(t, key, redrawn.value) if t else (t, [])
                     texts.append(new)
                     found.append([{"kind": k, "start": a, "end": b} for k, a, b in places])
                 cols = list(part.columns)
@@ -302,20 +332,52 @@ def surrogates(docs: DataFrame, text: str = "text", key: bytes = KEY, spans: boo
     return kept.mapInArrow(run, schema)
 
 
-def collisions(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
-    """An audit over the whole corpus: kind, surrogate, n (distinct entities that got it) and seen (it occurs as an entity itself), for surrogates with
-    n > 1 or seen. Only entities are shuffled, each once a task; texts are not. Distinctness holds by construction, so n is 1 throughout; a
-    surrogate that is also seen is itself replaced wherever it occurs, and can be avoided by another key."""
+def images(docs: DataFrame, text: str = "text", key: bytes = KEY, redrawn: dict[tuple[str, str], int] | None = None) -> DataFrame:
+    """kind, entity, surrogate (both in normal form) and sample (a spelling) of each entity of the corpus. Only entities are shuffled, each once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text, 8 << 20):
-                rows = {(kind, t[a:b], surrogate(kind, t[a:b], key, g)) for t in part.column(0).to_pylist() if t for a, b, kind, g in entities(t)}
+                found = {(kind, normal(kind, t[a:b])): t[a:b] for t in part.column(0).to_pylist() if t for a, b, kind, _ in entities(t)}
+                rows = [(k, e, normal(k, surrogate(k, x, key, (redrawn or {}).get((k, e), 0))), x) for (k, e), x in found.items()]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*sorted(rows), strict=True)], ["kind", "entity", "surrogate"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["kind", "entity", "surrogate", "sample"])
+
+    found = docs.select(F.col(f"`{text}`").alias(text)).mapInArrow(run, "kind string, entity string, surrogate string, sample string")
+    return found.groupBy("kind", "entity", "surrogate").agg(F.min("sample").alias("sample"))
+
 
-    pairs = docs.select(F.col(f"`{text}`").alias(text)).mapInArrow(run, "kind string, entity string, surrogate string").distinct()
-    given = pairs.groupBy("kind", F.col("surrogate").alias("value")).agg(F.count("*").alias("n")).withColumn("seen", F.lit(0))
-    own = pairs.groupBy("kind", F.col("entity").alias("value")).agg(F.lit(0).cast("long").alias("n")).withColumn("seen", F.lit(1))
+def _clashes(pairs: DataFrame) -> DataFrame:
+    """kind, surrogate, n and seen of the surrogates that several entities got or that are entities themselves."""
+    given = pairs.groupBy("kind", F.col("surrogate").alias("value")).agg(F.count_distinct("entity").alias("n")).withColumn("seen", F.lit(0))
+    own = pairs.select("kind", F.col("entity").alias("value"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("seen"))
     both = given.unionByName(own).groupBy("kind", "value").agg(F.max("n").alias("n"), (F.max("seen") > 0).alias("seen"))
     return both.where("n > 1 OR (n > 0 AND seen)").select("kind", F.col("value").alias("surrogate"), "n", "seen")
+
+
+def redraws(docs: DataFrame, text: str = "text", key: bytes = KEY) -> dict[tuple[str, str], int]:
+    """The attempt of each entity whose first image is another's too, or an entity of the corpus itself: the first whose image is neither an entity nor
+    any first or redrawn image. If none of ATTEMPTS is free (formats with few values, all in use) the first image stays."""
+    scratch = Scratch(docs.sparkSession, "pii")
+    pairs = scratch.put(images(docs, text, key))
+    bad = pairs.join(_clashes(pairs), ["kind", "surrogate"]).orderBy("kind", "surrogate", "entity").collect()  # as few as the broadcast above
+    if not bad:
+        scratch.clear()
+        return {}
+    drawn = [(r["kind"], r["entity"], k, normal(r["kind"], surrogate(r["kind"], r["sample"], key, k))) for r in bad for k in range(1, ATTEMPTS + 1)]
+    tries = docs.sparkSession.createDataFrame([(d[0], d[3]) for d in drawn], "kind string, value string").distinct()
+    used = pairs.select("kind", F.explode(F.array("entity", "surrogate")).alias("value"))
+    taken = {tuple(r) for r in tries.join(used, ["kind", "value"], "left_semi").collect()}
+    scratch.clear()
+    out: dict[tuple[str, str], int] = {}
+    for kind, entity, k, value in drawn:
+        if (kind, entity) not in out and (kind, value) not in taken:
+            out[kind, entity] = k
+            taken.add((kind, value))
+    return out
+
+
+def collisions(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
+    """An audit of what ``surrogates`` gives over the whole corpus: kind, surrogate, n (distinct entities that got it) and seen (it occurs as an entity
+    itself), for surrogates with n > 1 or seen, which only formats without a free value can have."""
+    return _clashes(images(docs, text, key, redraws(docs, text, key)))

@@ -83,3 +83,22 @@ def test_names_after_a_capitalised_word():
     for t, name in (("Contact Maria Lopez", "Maria Lopez"), ("Dear John Smith, hello", "John Smith"), ("Yesterday Anna Schmidt said", "Anna Schmidt"), ("Вчера Анна Петрова", "Анна Петрова"), ("Dear Marianne Weiss Anna Bell", "Anna Bell")):
         assert kinds(t) == [(name, "PERSON")] and name not in P.replace(t)[0]
     assert kinds("Dear Paul James Brown") == [("Paul James Brown", "PERSON")] and kinds("Paul James") == [("Paul James", "PERSON")] and kinds("Annan Kofi") == []
+
+
+def test_one_surrogate_for_each_entity():
+    after = lambda t: P.replace(t)[0].split(" ", 1)[1]
+    assert after("Mr Jordan Lee") == after("Dr Jordan Lee") == after("Mrs Jordan Lee")
+    digits = lambda t: re.sub(r"\D", "", P.replace(t)[0])
+    assert digits("+12025550123") == digits("+1 202-555-0123") == digits("+1 (202) 555-0123") == "1" + digits("202-555-0123")
+    people = [f"Dr {a}{b}{c} Lee" for a in "BCD" for b in "aeiou" for c in "bcdfg"] + [f"Mr {a}{b}{c} Lee" for a in "FGH" for b in "aeiou" for c in "bcdfg"]
+    assert len({after(p) for p in people}) == len(people)
+
+
+def test_surrogates_are_no_real_entities(spark):
+    """Each text's second entity is the first one's image."""
+    first = [f"u{i}@mail{i % 7}.org" for i in range(20)] + [f"97.51.17.{i}" for i in range(20)]
+    rows = [f"{e} and {P.replace(e)[0]}" for e in first]
+    docs = spark.createDataFrame([(r,) for r in rows], "text string")
+    real = {w for r in rows for w in r.split()} - {"and"}
+    got = [w for r in P.surrogates(docs).collect() for w in r["text"].split() if w != "and"]
+    assert not real & set(got) and len(set(got)) == len(real) and P.collisions(docs).count() == 0

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from brindle.llm.shared import pieces, with_fields, without
+from brindle.llm.shared import pieces, without
 
 #: Texts longer than this many characters are cut at safe boundaries.
 LONG = 200_000
@@ -67,15 +67,15 @@ def encode_documents(docs: DataFrame, text: str = "text", rank_file: str | None
     """All columns of ``docs``, and n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids), decoded_sha256; with ``ids`` also
     token_ids (binary, the same layout). One pass, no shuffle."""
     out = ["n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * ids]
-    kept = without(docs, *out)
-    kinds = {"n_tokens": T.LongType(), "token_ids": T.BinaryType()}
-    schema = with_fields(kept.schema, *[T.StructField(c, kinds.get(c, T.StringType())) for c in out])
+    kept, names = without(docs, *out)
+    column, kinds = f"c{names.index(text)}", {"n_tokens": T.LongType(), "token_ids": T.BinaryType()}
+    schema = T.StructType([*kept.schema, *[T.StructField(c, kinds.get(c, T.StringType())) for c in out]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, text, 8 << 20):
+            for part in pieces(batch, column, 8 << 20):
                 counts, digests, plain, blobs = [], [], [], []
-                for t in part.column(text):
+                for t in part.column(column):
                     found = encode(t.as_py(), rank_file)
                     blob, back = found.astype("<u4").tobytes(), hashlib.sha256()
                     for block in decode(found, rank_file):
@@ -85,6 +85,6 @@ def encode_documents(docs: DataFrame, text: str = "text", rank_file: str | None
                     plain.append(back.hexdigest())
                     blobs.append(blob if ids else b"")
                 more = [pa.array(counts, pa.int64()), pa.array(digests), pa.array(plain), *[pa.array(blobs, pa.binary())] * ids]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *out])
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).toDF(*names, *out)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.shared import Scratch, pieces, with_fields, without
+from brindle.llm.shared import Scratch, own_columns, pieces, without
 
 KEY = b"set your own key"
 ENUMERATED = 1 << 14
@@ -310,15 +310,16 @@ def surrogates(docs: DataFrame, text: str = "text", key: bytes = KEY, spans: boo
     """All columns, the text replaced; with ``spans`` also n_entities and entities (kind, start, end in the new text). A pass before finds the images
     that are taken (``redraws``); it runs when this is called. No text is shuffled."""
     redrawn = docs.sparkSession.sparkContext.broadcast(redraws(docs, text, key))  # entities whose image is taken: about their number squared over the format's size
-    kept = without(docs, *["n_entities", "entities"] * spans)
+    kept, names = without(docs, *["n_entities", "entities"] * spans)
+    column = f"c{names.index(text)}"
     kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = with_fields(kept.schema, *[T.StructField("n_entities", T.LongType()), T.StructField("entities", kind)] * spans)
+    schema = T.StructType([*kept.schema, *[T.StructField("n_entities", T.LongType()), T.StructField("entities", kind)] * spans])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            at = batch.schema.names.index(text)
-            for part in pieces(batch, text, 8 << 20):
+            at = batch.schema.names.index(column)
+            for part in pieces(batch, column, 8 << 20):
                 texts, found = [], []
                 for t in part.column(at).to_pylist():
                     new, places = replace(t, key, redrawn.value) if t else (t, [])
@@ -327,9 +328,9 @@ def surrogates(docs: DataFrame, text: str = "text", key: bytes = KEY, spans: boo
                 cols = list(part.columns)
                 cols[at] = pa.array(texts, cols[at].type)
                 more = [pa.array([len(x) for x in found], pa.int64()), pa.array(found, arrow)] if spans else []
-                yield pa.RecordBatch.from_arrays([*cols, *more], [f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([*cols, *more], schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).toDF(*names, *["n_entities", "entities"] * spans)
 
 
 def images(docs: DataFrame, text: str = "text", key: bytes = KEY, redrawn: dict[tuple[str, str], int] | None = None) -> DataFrame:
@@ -337,13 +338,13 @@ def images(docs: DataFrame, text: str = "text", key: bytes = KEY, redrawn: dict[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, text, 8 << 20):
+            for part in pieces(batch, "c0", 8 << 20):
                 found = {(kind, normal(kind, t[a:b])): t[a:b] for t in part.column(0).to_pylist() if t for a, b, kind, _ in entities(t)}
                 rows = [(k, e, normal(k, surrogate(k, x, key, (redrawn or {}).get((k, e), 0))), x) for (k, e), x in found.items()]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["kind", "entity", "surrogate", "sample"])
 
-    found = docs.select(F.col(f"`{text}`").alias(text)).mapInArrow(run, "kind string, entity string, surrogate string, sample string")
+    found = own_columns(docs, text).toDF("c0").mapInArrow(run, "kind string, entity string, surrogate string, sample string")
     return found.groupBy("kind", "entity", "surrogate").agg(F.min("sample").alias("sample"))
 
 

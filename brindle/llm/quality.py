@@ -8,7 +8,7 @@ P(grade 2 | grade >= 1); selection of grade 2 asks for both. Without good rows o
 
 Grades: 0 for quality 0, 1 for quality 1 of a toxic text, 2 for quality 1 otherwise; rows without quality or text are not used.
 Features: which words occur (ASCII in lower case), hashed, and levels of a few shares (capitals, symbols, digits, bars, repeated words,
-distinct words, length), hashed too. A null or empty text has the length feature alone.
+distinct words, length), hashed too. A null or empty text has the length feature alone. A very long text is read in blocks cut between words.
 
 Fitting uses a bounded sample of labelled rows: the SAMPLE rows with the least hash of their id, as far as they hold FEATURES features in
 all. Scoring covers every row, in one pass without a shuffle. If no labels, or one grade only, are given, there is no model: expected grade,
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.llm import words as W
-from brindle.llm.shared import flat, own_columns, pieces, with_fields
+from brindle.llm.shared import flat, own_columns, pieces, positional
 
 SAMPLE, FEATURES, BITS = 12_000, 8_000_000, 18
 #: L2 penalty of the weights. A feature must occur in RARE sampled texts to have one, or fewer (one in 600 of them, 5 at least) in a small sample.
@@ -41,6 +41,7 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _KIND = np.zeros(256, np.int64)  # 0 other, 1 capital, 2 symbol, 3 digit, 4 bar, 5 small or non-ASCII
 _KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
+_LOW40 = np.uint64((1 << 40) - 1)
 _KIND[65:91], _KIND[48:58], _KIND[124], _KIND[97:123], _KIND[128:] = 1, 3, 4, 5, 5
 
 
@@ -54,16 +55,19 @@ def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]
     data, offsets = flat(texts)
     n = len(texts)
     size = np.diff(offsets)
-    owner = np.repeat(np.arange(n), size)
-    kinds = np.bincount(owner * 6 + _KIND[data], minlength=6 * n).reshape(n, 6)
-    low = W.LOWER[data]
-    starts, ends = W.runs(_WORD[low], offsets)
-    hashed = W.hashes(low, starts, ends)
-    doc = W.owners(offsets, starts)
-    count = np.bincount(doc, minlength=n)
-    again = np.bincount(doc[1:][(hashed[1:] == hashed[:-1]) & (doc[1:] == doc[:-1])], minlength=n)
+    if n == 1 and len(data) > BLOCK:
+        kinds, count, again, key = _long_text(data)
+    else:
+        owner = np.repeat(np.arange(n), size)
+        kinds = np.bincount(owner * 6 + _KIND[data], minlength=6 * n).reshape(n, 6)
+        low = W.LOWER[data]
+        starts, ends = W.runs(_WORD[low], offsets)
+        hashed = W.hashes(low, starts, ends)
+        doc = W.owners(offsets, starts)
+        count = np.bincount(doc, minlength=n)
+        again = np.bincount(doc[1:][(hashed[1:] == hashed[:-1]) & (doc[1:] == doc[:-1])], minlength=n)
+        key = np.unique((doc.astype(np.uint64) << np.uint64(40)) | (hashed & _LOW40))
     mask = np.uint64((1 << bits) - 1)
-    key = np.unique((doc.astype(np.uint64) << np.uint64(40)) | (hashed & np.uint64((1 << 40) - 1)))
     distinct = np.bincount((key >> np.uint64(40)).astype(np.int64), minlength=n)
     letters = kinds[:, 1] + kinds[:, 5]
     shares = [_level(kinds[:, 1], letters), _level(kinds[:, 2], size), _level(kinds[:, 3], size), _level(kinds[:, 4], size), _level(again, count), _level(distinct, count), np.log2(count + 1).astype(np.int64)]
@@ -76,6 +80,17 @@ def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]
     return (both & mask).astype(np.int64), np.bincount((both >> np.uint64(bits)).astype(np.int64), minlength=n)
 
 
+def _long_text(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one long text, block by block: bytes by kind, words, words like the one before, and the distinct words' hashes."""
+    kinds, count, again, last, key = np.zeros((1, 6), np.int64), 0, 0, None, np.zeros(0, np.uint64)
+    for block, hashed in W.long_text(data, _WORD):
+        kinds[0] += np.bincount(_KIND[block], minlength=6)
+        if len(hashed):
+            again += int(np.count_nonzero(hashed[1:] == hashed[:-1])) + (last == hashed[0])
+            count, last, key = count + len(hashed), hashed[-1], np.union1d(key, hashed & _LOW40)
+    return kinds, np.array([count]), np.array([again]), key
+
+
 class Model:
     #: The fit on good rows, which gives P(grade 2 | grade >= 1).
     clean: Model | None = None
@@ -211,29 +226,31 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return model
 
 
-def _scored(rows: DataFrame, model: Model | None, text: str, at_least: int, names: tuple[str, str, str]) -> DataFrame:
-    schema = with_fields(rows.schema, *[T.StructField(n, T.DoubleType()) for n in names])
+def _scored(rows: DataFrame, model: Model | None, column: str, at_least: int) -> DataFrame:
+    """``rows`` with expected_grade, tail and clean."""
+    names = ["expected_grade", "tail", "clean"]
+    schema = T.StructType([*rows.schema, *[T.StructField(n, T.DoubleType()) for n in names]])
     shared = rows.sparkSession.sparkContext.broadcast(model)  # 2 * 2**BITS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in pieces(batch, text, BLOCK):
+            for part in pieces(batch, column, BLOCK):
                 if model is None:
                     more = [pa.nulls(part.num_rows, pa.float64())] * 3
                 else:
-                    found = features(part.column(text), model.bits)
+                    found = features(part.column(column), model.bits)
                     tails = model.tails_of(*found)
                     clean = pa.array(model.clean.tails_of(*found)[:, 0]) if model.clean and at_least > 1 else pa.nulls(part.num_rows, pa.float64())
                     more = [pa.array(tails.sum(1)), pa.array(tails[:, min(at_least, tails.shape[1]) - 1]), clean]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", at_least: int = 2) -> DataFrame:
     """key, expected_grade, tail (the probability of ``at_least`` or better) and clean (P(grade 2 | grade >= 1)) of every row."""
-    return _scored(own_columns(docs, key, text), model, text, at_least, ("expected_grade", "tail", "clean")).drop(text)
+    return _scored(own_columns(docs, key, text).toDF("c0", "c1"), model, "c1", at_least).drop("c1").withColumnRenamed("c0", key)
 
 
 def kept(tail: str = "tail", clean: str = "clean", least: float = LEAST, least_clean: float = CLEAN) -> F.Column:
@@ -243,5 +260,5 @@ def kept(tail: str = "tail", clean: str = "clean", least: float = LEAST, least_c
 
 def select(docs: DataFrame, model: Model | None, text: str = "text", at_least: int = 2, least: float = LEAST, least_clean: float = CLEAN) -> DataFrame:
     """The rows whose tail probability is ``least`` or more and that are clean with ``least_clean`` or more, all columns unchanged."""
-    found = _scored(docs, model, text, at_least, ("__expected", "__tail", "__clean"))
-    return found.where(kept("__tail", "__clean", least, least_clean)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = _scored(positional(docs), model, f"c{docs.columns.index(text)}", at_least).where(kept("tail", "clean", least, least_clean))
+    return found.drop("expected_grade", "tail", "clean").toDF(*docs.columns)

@@ -66,7 +66,8 @@ def payload_of(block: bytes | memoryview) -> memoryview:
 
 class Tokens:
     """Ids by the tokenizers library. Each distinct pre-token of a Latin text is encoded by the library and remembered;
-    the library splits by the same pattern and merges inside a pre-token only, so the joined ids are those of the whole text."""
+    the library splits by the same pattern and merges inside a pre-token only, so the joined ids are those of the whole text. A text that
+    spells out a special token goes whole to the library, which gives it that token's id."""
 
     def __init__(self, file: str | None = None):
         import public_tokenizers
@@ -74,7 +75,8 @@ class Tokens:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(file or public_tokenizers.path("byte_bpe_50k.json"))
-        self.library.encode_special_tokens = True
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.known: dict[str, bytes] = {}
@@ -104,7 +106,7 @@ class Tokens:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts."""
-        split = [_SPLIT(t) if _LATIN.fullmatch(t) else None for t in texts]
+        split = [_SPLIT(t) if _LATIN.fullmatch(t) and not self.special.search(t) else None for t in texts]
         known = self.known
         if new := set().union(*filter(None, split)) - known.keys():
             self.learn(list(new))
@@ -128,9 +130,10 @@ def tokens(file: str | None = None) -> Tokens:
 
 
 def _folder(uri: str):
+    """The folder for tasks, which write and read without the JVM. Hadoop's names of the S3 connector mean the same store."""
     from pyarrow.fs import FileSystem
 
-    return FileSystem.from_uri(uri)
+    return FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
 
 def write_records(docs: DataFrame, out_dir: str, key: str = "doc_id", text: str = "text", end_id: int = 0, file: str | None = None, parts: int | None = None) -> DataFrame:

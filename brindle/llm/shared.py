@@ -1,7 +1,8 @@
 """Scratch tables in the folder that all executors share, and helpers for Arrow batches.
 
 Lineage is cut by writing a Parquet table below ``spark.checkpoint.dir`` (any Hadoop file system) and reading it back: a lost
-executor loses nothing that later stages need. Only where that setting is absent (tests) a local folder is made.
+executor loses nothing that later stages need. Only where that setting is absent and Spark runs in one process (tests) a local folder is made; on a
+cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     top = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         top = _own[app] = "file://" + tempfile.mkdtemp(prefix="brindle-")
     return f"{top.rstrip('/')}/brindle-{app}"
 
@@ -73,15 +76,21 @@ def clear_all(spark: SparkSession) -> None:
     remove(spark, shared_dir(spark))
 
 
+def positional(docs: DataFrame) -> DataFrame:
+    """The columns named c0, c1, ... by place: dots, repeated names and names in another case cannot be mistaken then. ``toDF`` names them back."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
 def own_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the columns an operator reads, so extra columns of any name are left out and not scanned."""
-    return docs.select(*[F.col(f"`{n}`") for n in names])
+    return positional(docs).select(*[F.col(f"c{docs.columns.index(n)}").alias(n) for n in names])
 
 
-def without(docs: DataFrame, *outputs: str) -> DataFrame:
-    """The input without columns whose name (in any case) an operator is about to add: the operator's columns win."""
+def without(docs: DataFrame, *outputs: str) -> tuple[DataFrame, list[str]]:
+    """The input by place (``positional``) without columns whose name (in any case) an operator is about to add, and the names of what is left."""
     taken = {o.lower() for o in outputs}
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])
+    left = [i for i, c in enumerate(docs.columns) if c.lower() not in taken]
+    return positional(docs).select(*[f"c{i}" for i in left]).toDF(*[f"c{k}" for k in range(len(left))]), [docs.columns[i] for i in left]
 
 
 def with_fields(schema: T.StructType, *more: T.StructField) -> T.StructType:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -64,6 +65,44 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1
     return h
 
 
+def long_text(data: np.ndarray, inside: np.ndarray, part: int = PART) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """One text of any length in blocks of ``part`` bytes at most, cut between words: each block's bytes and its words' hashes.
+
+    ``inside`` tells the word bytes after lower-casing. A word longer than a block has one hash too, folded from those of its pieces."""
+    at = 0
+    while at < len(data):
+        low = LOWER[data[at : at + part]]
+        word = inside[low]
+        if at + len(low) < len(data) and word[-1]:
+            gaps = np.flatnonzero(~word)
+            if not len(gaps):  # within one word
+                yield from _long_word(data, at, inside, part)
+                at = _word_end(data, at, inside, part)
+                continue
+            low, word = low[: gaps[-1] + 1], word[: gaps[-1] + 1]
+        yield data[at : at + len(low)], hashes(low, *runs(word, np.zeros(0, np.int64)))
+        at += len(low)
+
+
+def _word_end(data: np.ndarray, at: int, inside: np.ndarray, part: int) -> int:
+    for lo in range(at, len(data), part):
+        gaps = np.flatnonzero(~inside[LOWER[data[lo : lo + part]]])
+        if len(gaps):
+            return lo + int(gaps[0])
+    return len(data)
+
+
+def _long_word(data: np.ndarray, at: int, inside: np.ndarray, part: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The blocks of one word longer than a block; the last has the hash of the whole."""
+    end, folded = _word_end(data, at, inside, part), np.zeros(1, np.uint64)
+    for lo in range(at, end, part):
+        low = LOWER[data[lo : min(lo + part, end)]]
+        one = hashes(low, np.zeros(1, np.int64), np.array([len(low)]))
+        with np.errstate(over="ignore"):
+            folded = (folded ^ one) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(low))
+        yield data[lo : lo + len(low)], folded if lo + part >= end else folded[:0]
+
+
 def owners(offsets: np.ndarray, positions: np.ndarray) -> np.ndarray:
     """Which text each byte position lies in (positions ascend)."""
     return np.searchsorted(offsets, positions, side="right") - 1

@@ -73,9 +73,7 @@ def test_frames_detect_damage():
 
 
 def library():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_tokens_equal_the_library():
@@ -89,6 +87,7 @@ def test_tokens_equal_the_library():
         assert own.encode_many(texts[::-1]) == want[::-1]
     finally:
         records.REMEMBERED = kept
+    assert np.frombuffer(own.encode_many(["a<|endoftext|>b"])[0], own.kind).tolist() == [64, 50256, 65]
 
 
 def test_round_trip(spark):
@@ -110,6 +109,20 @@ def test_round_trip(spark):
     assert {r["doc_id"] for r in some.collect()} == {9, 20}
 
 
+@pytest.mark.parametrize("column", ["a.b", "n_tokens", "TEXT", "ids_sha256"])
+def test_columns_of_any_name(spark, column):
+    rows = spark.createDataFrame([(1, "p q", 5)], ["doc_id", "text", column])
+    got = bpe.encode_documents(rows)
+    assert got.columns == [c for c in rows.columns if c not in ("n_tokens", "ids_sha256")] + ["n_tokens", "ids_sha256", "decoded_sha256"] and got.first()["n_tokens"] == 2
+    assert [r["n_tokens"] for r in records.read_documents(spark, rows).collect()] == [3]
+
+
+def test_very_long_texts_in_one_table(spark):
+    rows = spark.createDataFrame([(1, "word " * 400_000), (2, "x" * 60_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in bpe.encode_documents(rows, ids=True).collect()}
+    assert got[1]["n_tokens"] == 400_001 and all(np.frombuffer(bytes(got[k]["token_ids"]), "<u4").tolist() == library().encode(t, add_special_tokens=False).ids for k, t in rows.collect())
+
+
 def test_empty_table_and_one_key(spark):
     rows = spark.createDataFrame([(1, "a")] * 5, "doc_id long, text string")
     assert records.read_documents(spark, rows.limit(0)).count() == 0

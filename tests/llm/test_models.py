@@ -208,3 +208,25 @@ def test_toxic_texts_go(spark):
     kept = {r["doc_id"] for r in Q.select(docs, Q.train(docs, labels)).collect()}
     share = lambda grade: sum(i in kept for i, k in held if k == grade) / sum(k == grade for _, k in held)
     assert share(1) <= 0.1 and share(0) <= 0.05 and share(2) >= 0.97
+
+
+@pytest.mark.parametrize("column", ["a.b", "__tail", "tail", "TEXT", "clean"])
+def test_columns_of_any_name(spark, column):
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "bad junk | 9", i) for i in range(60)], ["doc_id", "text", column])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = Q.train(docs, labels)
+    kept = Q.select(docs, model)
+    assert kept.columns == docs.columns and [r[2] for r in kept.orderBy("doc_id").collect()] == list(range(1, 60, 2))
+    assert Q.score(docs, model).columns == ["doc_id", "expected_grade", "tail", "clean"]
+
+
+def test_long_texts_have_the_features_of_the_whole(monkeypatch):
+    from brindle.llm import words as W
+
+    text = pa.array(["Some words, words words: and MORE | 12 of them! " * 40 + "x" * 700 + " end"])
+    whole = Q.features(text)
+    monkeypatch.setattr(W, "PART", 128)
+    monkeypatch.setattr(Q, "BLOCK", 1000)
+    monkeypatch.setattr(W.long_text, "__defaults__", (1 << 12,))
+    parts = Q.features(text)
+    assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()

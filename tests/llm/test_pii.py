@@ -102,3 +102,11 @@ def test_surrogates_are_no_real_entities(spark):
     real = {w for r in rows for w in r.split()} - {"and"}
     got = [w for r in P.surrogates(docs).collect() for w in r["text"].split() if w != "and"]
     assert not real & set(got) and len(set(got)) == len(real) and P.collisions(docs).count() == 0
+
+
+@pytest.mark.parametrize("column", ["a.b", "n_entities", "TEXT"])
+def test_columns_of_any_name(spark, column):
+    rows = spark.createDataFrame([(1, "mail a@b.org now", 5)], ["doc_id", "text", column])
+    got = P.surrogates(rows, spans=False)
+    assert got.columns == rows.columns and "a@b.org" not in got.first()["text"] and got.first()[2] == 5
+    assert P.surrogates(rows).columns == [c for c in rows.columns if c != "n_entities"] + ["n_entities", "entities"]

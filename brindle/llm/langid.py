@@ -1,6 +1,6 @@
 """Language identification by prediction by partial matching over bytes.
 
-For each language a context tree of order three is frozen from byte 4-gram counts over all training documents. A byte costs
+For each language a context tree of order three is frozen from the counts of all orders over all training documents. A byte costs
 -log2 of c / (T + D) in its longest context that has seen it, plus -log2 of D / (T + D) for every longer context that is known but has not
 (escape method C: T occurrences of the context, D distinct bytes after it), down to a uniform order -1. A text's exact code length is the sum over
 all its bytes; the language with the least wins, ties by name. The score is the posterior of that language under equal priors.
@@ -10,8 +10,10 @@ text that is null or has no letter is ``und`` with score 0, and so is every text
 language; languages are whatever values the column holds. Repeated rows count as often as they occur. An empty table gives an
 empty result; extra columns are ignored.
 
-Counts cover all training rows, are summed in each task before the shuffle, and only the frozen tree leaves the executors: the 4-grams seen most
-often in each language, at most GRAMS of one language and CELLS / languages**2, so that the model's tables have a fixed bound.
+Counts cover all training rows and are summed in each task before the shuffle. Every context's occurrences and followers are counted before anything is
+left out; then only the tree leaves the executors, and orders 0 and 1 of it whole. Of orders 2 and 3 each language keeps its most frequent cells, at most GRAMS, and at
+most CELLS / (TOGETHER * languages), so that the model's tables have a fixed bound: up to 20 languages keep 400,000 cells an order each, 200 languages 40,000. A byte
+whose cell was left out costs its context's escape and the next order's code, as an unseen one does.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from pyspark.sql import types as T
 
 from brindle.llm.shared import Scratch, own_columns, pieces
 
-GRAMS, CELLS = 400_000, 24_000_000
+GRAMS, CELLS = 400_000, 64_000_000
+#: Languages that share one lookup table; more languages have more tables.
+TOGETHER = 8
 #: Bytes of text worked on at a time.
 BLOCK = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
@@ -113,47 +117,48 @@ class Table:
         return out
 
 
-class Model:
-    """Frozen code lengths in bits. ``counts``: for each language its 4-grams and their counts."""
+class Counts:
+    """One language. four: 4-grams and their counts. three: 3-grams, their counts as such, and their occurrences and distinct followers as contexts.
+    two: counts of byte pairs, and occurrences and distinct followers of them as contexts, 65,536 of each."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = sorted(counts)
-        n = len(self.langs)
-        if not n:
-            return
-        g4 = np.unique(np.concatenate([counts[lang][0] for lang in self.langs])).astype(np.uint64)
-        g3 = np.unique(np.concatenate([g4 & np.uint64(0xFFFFFF), g4 >> np.uint64(8)]))
+    def __init__(self, four: tuple, three: tuple, two: tuple):
+        self.four, self.three, self.two = four, three, two
+
+
+class Tree:
+    """Frozen code lengths in bits of some languages."""
+
+    def __init__(self, counts: list[Counts]):
+        n = len(counts)
+        g4 = np.unique(np.concatenate([c.four[0] for c in counts])).astype(np.uint64)
+        g3 = np.unique(np.concatenate([g4 & np.uint64(0xFFFFFF), g4 >> np.uint64(8), *[c.three[0].astype(np.uint64) for c in counts]]))
         self.full, self.three = Table(g4), Table(g3)
         self.cost3 = np.zeros((len(g4), n), np.float32)
         self.cost2, self.escape3 = np.zeros((len(g3), n), np.float32), np.zeros((len(g3), n), np.float32)
         self.cost1, self.escape2 = np.zeros((1 << 16, n), np.float32), np.zeros((1 << 16, n), np.float32)
-        for j, lang in enumerate(self.langs):
-            c4 = np.zeros(len(g4))
-            c4[np.searchsorted(g4, counts[lang][0].astype(np.uint64))] = counts[lang][1]
-            c3 = np.bincount(np.searchsorted(g3, g4 & np.uint64(0xFFFFFF)), c4, len(g3))
-            c2 = np.bincount((g4 & np.uint64(0xFFFF)).astype(np.int64), c4, 1 << 16)
-            c1 = np.bincount((g4 & np.uint64(0xFF)).astype(np.int64), c4, 256)
-            of4, of3, of2 = np.searchsorted(g3, g4 >> np.uint64(8)), (g3 >> np.uint64(8)).astype(np.int64), np.arange(1 << 16) >> 8
-            cost0 = self._level(c1, np.zeros(256, np.int64), 1, np.full(256, 8.0))[0]
-            cost1, _ = self._level(c2, of2, 256, cost0[np.arange(1 << 16) & 255])
-            cost2, self.escape2[:, j] = self._level(c3, of3, 1 << 16, cost1[(g3 & np.uint64(0xFFFF)).astype(np.int64)])
-            cost3, self.escape3[:, j] = self._level(c4, of4, len(g3), cost2[np.searchsorted(g3, g4 & np.uint64(0xFFFFFF))])
+        pair = np.arange(1 << 16)
+        for j, c in enumerate(counts):
+            placed = lambda keys, of, values: np.bincount(np.searchsorted(keys, of.astype(np.uint64)), values, len(keys))
+            c4, (c3, t3, d3), (c2, t2, d2) = placed(g4, *c.four), (placed(g3, c.three[0], x) for x in c.three[1:]), c.two
+            c1 = np.bincount(pair & 255, c2, 256)
+            cost0 = self._level(c1, np.zeros(256, np.int64), np.array([c1.sum()]), np.array([np.count_nonzero(c1)]), np.full(256, 8.0))[0]
+            cost1, _ = self._level(c2, pair >> 8, np.bincount(pair >> 8, c2, 256), np.bincount(pair >> 8, c2 > 0, 256), cost0[pair & 255])
+            cost2, self.escape2[:, j] = self._level(c3, (g3 >> np.uint64(8)).astype(np.int64), t2, d2, cost1[(g3 & np.uint64(0xFFFF)).astype(np.int64)])
+            cost3, self.escape3[:, j] = self._level(c4, np.searchsorted(g3, g4 >> np.uint64(8)), t3, d3, cost2[np.searchsorted(g3, g4 & np.uint64(0xFFFFFF))])
             self.cost1[:, j], self.cost2[:, j], self.cost3[:, j] = cost1, cost2, cost3
 
     @staticmethod
-    def _level(count: np.ndarray, context: np.ndarray, contexts: int, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _level(count: np.ndarray, context: np.ndarray, total: np.ndarray, kinds: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code length of each (context, byte), and each context's escape (0 if it is unknown), from the next lower order's."""
-        total = np.bincount(context, count, contexts)
-        kinds = np.bincount(context, count > 0, contexts)
         with np.errstate(divide="ignore", invalid="ignore"):
             escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
             seen = -np.log2(count / (total + kinds)[context])
-        return np.where(count > 0, seen, escape[context] + lower), escape
+        return np.where((count > 0) & (total[context] > 0), seen, escape[context] + lower), escape  # a cell whose context was left out counts as unseen
 
     def bits(self, keys: np.ndarray) -> np.ndarray:
         """Code length of each 4-gram's byte under each language."""
         row = self.full.find(keys)
-        out = self.cost3[row]
+        out = self.cost3[row] if len(self.cost3) else np.zeros((len(keys), self.cost1.shape[1]), np.float32)
         new = np.flatnonzero(row < 0)
         if len(new):
             k = keys[new].astype(np.int64)
@@ -163,6 +168,18 @@ class Model:
             out[new] = cost + np.where((context >= 0)[:, None], self.escape3[context], 0)
         return out
 
+
+class Model:
+    """Trees of all languages, TOGETHER in each."""
+
+    def __init__(self, counts: dict[str, Counts]):
+        self.langs = sorted(counts)
+        self.trees = [Tree([counts[lang] for lang in self.langs[i : i + TOGETHER]]) for i in range(0, len(self.langs), TOGETHER)]
+
+    def bits(self, keys: np.ndarray) -> np.ndarray:
+        found = [tree.bits(keys) for tree in self.trees]
+        return found[0] if len(found) == 1 else np.concatenate(found, 1)
+
     def lengths(self, texts: list[str]) -> np.ndarray:
         """Exact code length in bits of each text under each language."""
         out = np.zeros((len(texts), len(self.langs)))
@@ -215,37 +232,59 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", grams_kept: i
         for one in list(sums):
             yield sent(one)
 
-    table = rows.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     scratch = Scratch(docs.sparkSession, "langid")
-    table = scratch.put(table)
-    # How many 4-grams have about each count, to find the least count that keeps within the bound: 100 rows a language at most.
-    step = F.floor(F.log2("n") * 2)
-    histogram: dict[str, list] = {}
+
+    def lower(table: DataFrame, mask: int) -> DataFrame:
+        """Counts of one order less: of the byte and its nearer context, and what each context has."""
+        as_cell = F.struct(F.col("g").bitwiseAND(mask).alias("g"), F.col("c"), F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("d"))
+        as_context = F.struct(F.shiftright("g", 8).alias("g"), F.lit(0).cast("long").alias("c"), F.col("c").alias("t"), F.lit(1).cast("long").alias("d"))
+        return table.select("lang", F.explode(F.array(as_cell, as_context)).alias("x")).groupBy("lang", "x.g").agg(*[F.sum(f"x.{c}").alias(c) for c in ("c", "t", "d")])
+
+    four = scratch.put(rows.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", F.col("gram").alias("g")).agg(F.sum("n").alias("c")))
+    three = scratch.put(lower(four, 0xFFFFFF))
+    two = _by_language(lower(three.where("c > 0"), 0xFFFF), ["g", "c", "t", "d"])  # 65,536 rows a language at most
+    bound = min(grams_kept, cells // (TOGETHER * max(1, len(two))))
+    cells4, cells3 = _most_frequent(four, F.col("c"), bound, ["g", "c"]), _most_frequent(three, F.col("c") + F.col("t"), bound, ["g", "c", "t", "d"])
+    scratch.clear()
+
+    def dense(found: list[np.ndarray]) -> tuple:
+        return tuple(np.bincount(found[0], x, 1 << 16) for x in found[1:])
+
+    none = [np.zeros(0, np.int64)] * 4
+    return Model({one: Counts(tuple(cells4.get(one, none[:2])), tuple(cells3.get(one, none)), dense(found)) for one, found in two.items()})
+
+
+def _by_language(table: DataFrame, columns: list[str]) -> dict[str, list[np.ndarray]]:
+    got = table.select("lang", *columns).toArrow().combine_chunks()
+    names = got.column("lang").to_numpy()
+    return {one: [got.column(c).to_numpy()[names == one] for c in columns] for one in sorted(set(names))}
+
+
+def _most_frequent(table: DataFrame, weight: F.Column, bound: int, columns: list[str]) -> dict[str, list[np.ndarray]]:
+    """About ``bound`` cells of each language, the heaviest. Weights are told apart by half octaves (100 steps a language at most); of the step that exceeds
+    the bound a share is kept, drawn by the cell's hash."""
+    step = F.floor(F.log2(weight) * 2)
+    steps: dict[str, list] = {}
     for r in table.groupBy("lang", step.alias("step")).count().collect():
-        histogram.setdefault(r["lang"], []).append((r["step"], r["count"]))
-    bound = min(grams_kept, cells // max(1, len(histogram)) ** 2)
+        steps.setdefault(r["lang"], []).append((r["step"], r["count"]))
     least = []
-    for one, steps in histogram.items():
-        total, floor = 0, 10**6
-        for s, n in sorted(steps, reverse=True):
-            if total + n > bound and total:
+    for one, found in steps.items():
+        room, floor, share = bound, -1, 1.0
+        for s, n in sorted(found, reverse=True):
+            if n > room:
+                floor, share = s, room / n
                 break
-            total, floor = total + n, s
-        least.append((one, floor))
-    counts = {}
-    if least:
-        floors = F.broadcast(docs.sparkSession.createDataFrame(least, "lang string, least bigint"))
-        kept = table.join(floors, "lang").where(step >= F.col("least")).select("lang", "gram", "n").toArrow()
-        names = kept.column("lang").to_numpy()
-        for one, _ in least:
-            mine = names == one
-            counts[one] = (kept.column("gram").to_numpy()[mine], kept.column("n").to_numpy()[mine].astype(np.float64))
-    scratch.clear()
-    return Model({k: v for k, v in counts.items() if len(v[0])})
+            room -= n
+        least.append((one, floor, share))
+    if not least:
+        return {}
+    floors = F.broadcast(table.sparkSession.createDataFrame(least, "lang string, least bigint, share double"))
+    drawn = F.xxhash64("g").cast("double") / 2.0**64 + 0.5 < F.col("share")
+    return _by_language(table.join(floors, "lang").where((step > F.col("least")) | (step == F.col("least")) & drawn), columns)
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, lang_pred, score, bits (the code length under lang_pred). One pass, no shuffle."""
+    """key, lang_pred, score, bits (the code length under lang_pred). One pass, no shuffle. Very long texts are coded in blocks."""
     rows = own_columns(docs, key, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by CELLS
     schema = T.StructType([rows.schema[key], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())])

@@ -1,9 +1,10 @@
 """Personal data replaced by keyed surrogates.
 
-Detected kinds: EMAIL, PHONE, IPV4, CARD (13 to 19 digits), SSN, IBAN, SECRET (access keys, and values after password, token and the like) and
-PERSON (after a form of address, or a known given name before a capitalised word). Each entity is replaced by a surrogate of its
-own kind and format: letters by letters (vowels and consonants apart) of the same script and case, digits by digits, given names by given names of
-the same gender and script, cards keep network digit and checksum state, addresses stay addresses.
+Detected kinds: EMAIL, PHONE, IPV4, IPV6, CARD (13 to 19 digits), SSN, IBAN, SECRET (access keys, and values after password, token and the like) and
+PERSON (after a form of address, a known given name before a capitalised word, and every other mention in the text of a full name found so). Each
+entity is replaced by a surrogate of its own kind and format: letters by letters (vowels and consonants apart) of the same script and case, digits by
+digits, given names by given names of the same gender and script, cards and account numbers keep their checksum state, addresses stay addresses.
+A full name without a form of address whose given name is not listed is not found, nor is a bare surname.
 
 A surrogate is the image of the entity's normal form under a permutation of all values of its format, drawn from the key. So, under one key:
 the same entity always gets the same surrogate, in every document and on every executor (coreference), and two entities never get
@@ -21,8 +22,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from collections.abc import Iterator
 from functools import lru_cache
+from ipaddress import IPv6Address
 from math import isqrt
 
 import pyarrow as pa
@@ -39,8 +42,8 @@ ATTEMPTS = 16
 
 #: Given names by script and gender.
 NAMES = {
-    ("latin", "f"): "Alice Anna Camille Carmen Chloe Clara Elena Emily Emma Eva Hannah Helen Ingrid Isabel Julia Laura Lena Lucia Maria Marie Nina Olivia Paula Sarah Sofia".split(),
-    ("latin", "m"): "Adam Alexander Carlos Daniel David Diego Felix Hans James John Jonas Jose Juan Karl Lucas Luis Michael Paul Peter Pierre Robert Thomas Victor William".split(),
+    ("latin", "f"): "Alice Amelia Ana Andrea Anna Astrid Beatriz Camille Carla Carmen Charlotte Chloe Clara Claire Elena Elizabeth Emily Emma Eva Fatima Francesca Giulia Grace Greta Hannah Heidi Helen Ines Ingrid Isabel Jane Jennifer Jessica Julia Karin Katharina Laura Lena Leonie Linda Lucia Lucy Margaret Maria Marie Marta Mary Mia Nina Olivia Patricia Paula Petra Rosa Sabine Sarah Sofia Sophie Susan Ursula".split(),
+    ("latin", "m"): "Adam Ahmed Alexander Andrew Antonio Benjamin Bruno Carlos Charles Christian Daniel David Diego Edward Felix Fernando Francisco Frank George Giovanni Hans Heinrich Henry Hugo Jack Jacob James Javier Jean João Johann John Jonas Jorge Jose José Juan Jürgen Karl Klaus Lars Lucas Luca Luis Marco Martin Matthew Max Michael Miguel Mohammed Nicolas Noah Oliver Oscar Pablo Paul Pedro Peter Pierre Rafael Richard Robert Samuel Sebastian Stefan Thomas Tim Victor Walter William Wolfgang".split(),
     ("cyrillic", "f"): "Анна Вера Галина Елена Ирина Мария Наталья Ольга Светлана Татьяна".split(),
     ("cyrillic", "m"): "Алексей Андрей Борис Виктор Дмитрий Иван Михаил Николай Павел Сергей".split(),
 }
@@ -48,21 +51,26 @@ _GENDER = {name: group for group, names in NAMES.items() for name in names}
 #: Forms of address and the gender they tell, if any.
 ADDRESS = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "господин": "m", "госпожа": "f"}
 
-_CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё'’]+"
+_CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё'’]+(?:-?[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё'’]+)*"
+_INITIAL = r"(?:[A-ZÀ-ÖØ-ÞА-ЯЁ]\. ?){0,2}"
 _PATTERNS = {
-    "EMAIL": re.compile(r"(?<![\w.%+-])[\w.%+-]*\w@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w])"),
+    "EMAIL": re.compile(r"(?<![\w.%+-])\w(?:[\w.%+'’-]*\w)?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w])"),
     "SECRET": re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)(?P<a>[A-Z0-9]{16})(?![A-Za-z0-9])|(?:gh[pousr]_|github_pat_|sk-|xox[bp]-)(?P<b>[A-Za-z0-9_-]{16,})|(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<c>[^\s\"'|,;!]{6,}))"),
     "IBAN": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "IPV4": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
-    "PHONE": re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?![\w-])"),
+    "IPV6": re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}|:)(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])"),
+    "PHONE": re.compile(r"(?<![\w.+-])(?=(?:[ /.-]?\d){9,12}(?![\w-]|[ /.-]\d))0\d{1,4}[ /-]\d{2,4}(?:[ -]?\d{2,4}){1,3}(?![\w-])|(?<![\w.+-])0\d(?:[ .-]\d{2}){4}(?![\w-])|(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?![\w-])"),
     "SSN": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "CARD": re.compile(r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,4}(?:\d{1,3})?(?![\w-])"),
 }
-_TITLE = re.compile(rf"(?<!\w)(?P<t>{'|'.join(sorted(ADDRESS, key=len, reverse=True))})\.? (?P<n>{_CAPITAL}(?: {_CAPITAL})?)")
+_TITLE = re.compile(rf"(?<!\w)(?P<t>{'|'.join(sorted(ADDRESS, key=len, reverse=True))})\.? (?P<n>{_INITIAL}{_CAPITAL}(?: {_INITIAL}{_CAPITAL})?)")
 #: Known given names before a capitalised word. It starts at the name, so that no capitalised word before one can take it up.
-_PAIR = re.compile(rf"(?<!\w)(?P<g>{'|'.join(sorted(_GENDER, key=len, reverse=True))}) (?P<s>(?:(?:{'|'.join(sorted(_GENDER, key=len, reverse=True))}) )*{_CAPITAL})(?!\w)")
+_LISTED = "|".join(sorted(_GENDER, key=len, reverse=True))
+_PAIR = re.compile(rf"(?<!\w)(?P<g>{_LISTED})(?:-{_CAPITAL})? (?P<s>(?:(?:{_LISTED}) )*{_INITIAL}{_CAPITAL})(?!\w)")
+#: A capitalised word before another, to find further mentions of a full name.
+_FULL = re.compile(rf"(?<!\w)(?=(?P<n>{_CAPITAL} {_INITIAL}{_CAPITAL})(?!\w))")
 _DIGIT = re.compile(r"\d")
-_ORDER = ["EMAIL", "SECRET", "IBAN", "IPV4", "PHONE", "SSN", "CARD"]
+_ORDER = ["EMAIL", "SECRET", "IBAN", "IPV4", "IPV6", "PHONE", "SSN", "CARD"]
 
 _CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "0123456789", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "áéíóúàèìòùâêîôûäöüëï"]
 _CLASS = {c: alphabet for alphabet in _CLASSES for c in alphabet}
@@ -160,9 +168,9 @@ _CALLING = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|
 
 
 def _national(text: str) -> int:
-    """Where the number after the calling code begins."""
+    """Where the number after the calling code, or the trunk 0 of a number without one, begins."""
     country = _CALLING.match(text)
-    return country.end() if country else 0
+    return country.end() if country else int(text.startswith("0"))
 
 
 def _phone(text: str, key: bytes) -> str:
@@ -212,8 +220,26 @@ def _secret(text: str, key: bytes) -> str:
     return _plain(text, key, "secret")
 
 
+def _residue(country: str, check: str, body: str) -> int:
+    """Of an account number as letters stand for 10 to 35; 1 if its check digits are right."""
+    return int("".join(str(int(c, 36)) for c in body + country + check)) % 97
+
+
 def _iban(text: str, key: bytes) -> str:
-    return text[:2] + _refilled(text[2:], _plain(text[2:].replace(" ", ""), key, f"iban:{text[:2]}"))
+    """Country and residue stay, so a right number has right check digits again."""
+    country, check, body = text[:2], text[2:4], text[4:].replace(" ", "")
+    off = _residue(country, check, body)
+    body = _plain(body, key, f"iban:{country}:{off}")
+    check = (off - _residue(country, "00", body)) % 97
+    return country + _refilled(text[2:], f"{check + 97 * (check < 2):02d}" + body)
+
+
+def _ipv6(text: str, key: bytes) -> str:
+    """The first 16 bits stay, as they tell the kind of address."""
+    x = int(IPv6Address(text))
+    new = IPv6Address(x >> 112 << 112 | permute(x & ((1 << 112) - 1), 1 << 112, key, f"ip6:{x >> 112}"))
+    out = str(new) if "::" in text else new.exploded if max(map(len, text.split(":"))) == min(map(len, text.split(":"))) else ":".join(f"{int(g, 16):x}" for g in new.exploded.split(":"))
+    return out.upper() if text.upper() == text else out
 
 
 def _unlisted(name: str, key: bytes, tag: str) -> str:
@@ -240,7 +266,7 @@ def _person(text: str, key: bytes) -> str:
     return f"{_given(first, key)} {_plain(last, key, 'family')}" if last else _given(first, key)
 
 
-_MAKERS = {"EMAIL": _email, "SECRET": _secret, "IBAN": _iban, "IPV4": _ipv4, "PHONE": _phone, "SSN": _ssn, "CARD": _card}
+_MAKERS = {"EMAIL": _email, "SECRET": _secret, "IBAN": _iban, "IPV4": _ipv4, "IPV6": _ipv6, "PHONE": _phone, "SSN": _ssn, "CARD": _card}
 
 
 @lru_cache(50_000)
@@ -255,30 +281,48 @@ def normal(kind: str, text: str) -> str:
     """One form for all spellings of an entity."""
     if kind == "PHONE":
         return re.sub(r"\D", "", text[_national(text) :])
+    if kind == "IPV6":
+        return IPv6Address(text).exploded
     if kind in ("CARD", "SSN"):
         return re.sub(r"\D", "", text)
     return text.replace(" ", "").upper() if kind == "IBAN" else text.lower() if kind == "EMAIL" else text
 
 
+def _is_ipv6(text: str) -> bool:
+    """At least three groups are written, so that a time or a scope operator is none."""
+    try:
+        IPv6Address(text)
+    except ValueError:
+        return False
+    return sum(map(bool, text.split(":"))) >= 3
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, gender) of the entities, not overlapping, in order."""
     found: list[tuple[int, int, str, str]] = []
     digits = _DIGIT.search(text) is not None
     for kind in _ORDER:
-        if kind == "EMAIL" and "@" not in text or kind in ("IBAN", "IPV4", "PHONE", "SSN", "CARD") and not digits:
+        if kind == "EMAIL" and "@" not in text or kind == "IPV6" and ":" not in text or kind in ("IBAN", "IPV4", "PHONE", "SSN", "CARD") and not digits:
             continue
         for m in _PATTERNS[kind].finditer(text):
             start, end = m.span()
             if kind == "SECRET":
                 start, end = next(m.span(g) for g in "abc" if m.group(g))
+            if kind == "IPV6" and not _is_ipv6(m.group()):
+                continue
             if kind == "CARD" and not 13 <= sum(c.isdigit() for c in m.group()) <= 19:
                 continue
             found.append((start, end, kind, ""))
+    full = set()
     for m in _TITLE.finditer(text):
         first = m["n"].split(" ")[0]
+        if " " in m["n"]:
+            full.add(m["n"])
         found.append((*m.span("n"), "PERSON", ADDRESS[m["t"]] or _GENDER.get(first, ("", ""))[1]))
     for m in _PAIR.finditer(text):
         found.append((*m.span(), "PERSON", _GENDER[m["g"]][1]))
+    if full:
+        found += [(*m.span("n"), "PERSON", "") for m in _FULL.finditer(text) if m["n"] in full]
     if len(found) < 2:
         return found
     rank = {k: i for i, k in enumerate([*_ORDER, "PERSON"])}
@@ -309,6 +353,8 @@ def replace(text: str, key: bytes = KEY, redrawn: dict[tuple[str, str], int] | N
 def surrogates(docs: DataFrame, text: str = "text", key: bytes = KEY, spans: bool = True) -> DataFrame:
     """All columns, the text replaced; with ``spans`` also n_entities and entities (kind, start, end in the new text). A pass before finds the images
     that are taken (``redraws``); it runs when this is called. No text is shuffled."""
+    if key == KEY:
+        warnings.warn("surrogates are drawn with the public default key; anyone can undo them", stacklevel=2)
     redrawn = docs.sparkSession.sparkContext.broadcast(redraws(docs, text, key))  # entities whose image is taken: about their number squared over the format's size
     kept, names = without(docs, *["n_entities", "entities"] * spans)
     column = f"c{names.index(text)}"

@@ -76,10 +76,29 @@ def test_long_texts_are_coded_in_blocks(monkeypatch, spark):
     assert np.allclose(again.lengths(EN), whole.lengths(EN))
 
 
-def test_pruning_keeps_the_bound(spark):
+def test_pruning_keeps_the_bound_and_the_lower_orders(spark):
     rows = spark.createDataFrame([(t, "en") for t in EN * 5] + [(t, "de") for t in DE], "text string, lang string")
-    model = L.train(rows, grams_kept=60)
-    assert len(model.cost3) <= 120 and np.isfinite(model.lengths(EN + DE)).all()
+    model, whole = L.train(rows, grams_kept=30), L.train(rows)
+    assert 20 <= len(model.trees[0].cost3) <= 90 and np.isfinite(model.lengths(EN + DE)).all()
+    assert np.allclose(model.trees[0].cost1, whole.trees[0].cost1) and np.allclose(model.trees[0].escape2, whole.trees[0].escape2)
+
+
+def test_fifty_languages(spark):
+    """Each has its own letter pairs; with a bound far below its number of 4-grams all are still told apart."""
+    rnd = random.Random(3)
+    speech = {f"l{k:02d}": [rnd.choice("bcdfghklmnprst") + rnd.choice("aeiou") + rnd.choice("bdgklmnrst") for _ in range(40)] for k in range(50)}
+    say = lambda one, n: " ".join(rnd.choice(speech[one]) + rnd.choice(speech[one]) for _ in range(n))
+    rows = spark.createDataFrame([(say(one, 60), one) for one in speech for _ in range(6)], "text string, lang string")
+    docs = [(k, one, say(one, 40)) for k, one in enumerate(speech)]
+    for cells in (L.CELLS, 8 * 50 * 300):
+        model = L.train(rows, cells=cells)
+        assert len(model.langs) == 50 and len(model.trees) == 7
+        got = model.lengths([t for _, _, t in docs])
+        assert [model.langs[i] for i in got.argmin(1)] == [one for _, one, _ in docs]
+    for one in ("l00", "l49"):
+        c = tree([r["text"] for r in rows.where(F.col("lang") == one).collect()])
+        whole = L.train(rows)
+        assert np.allclose(whole.lengths(["the dog bagok", say(one, 9)])[0, whole.langs.index(one)], bits(c, "the dog bagok"), rtol=1e-5)
 
 
 def test_predictions_and_odd_rows(spark):

@@ -56,6 +56,77 @@ def test_windows_prefer_sentence_ends_and_overlap():
     assert not any(p.startswith("14") for p in M.windows("pi is 3.14 and more words follow " * 20, 60, 0))
 
 
+def brute_windows(text, size, overlap):
+    """Every window's end by trying all places from the last, one kind of boundary after another."""
+    stops = {i: i for i in range(len(text))}
+
+    def sentence(i):
+        if text[i] not in "。…！？；!?;.":
+            return None
+        e = i + 1
+        while e < len(text) and text[e] in "」』”’\"')）]】》":
+            e += 1
+        if text[i] in "!?;." and ((text[i] == "." and i and text[i - 1].isdigit()) or (e < len(text) and not text[e].isspace())):
+            return None
+        return e
+
+    out, at = [], 0
+    while len(text) - at > size:
+        low, high = at + max(size // 2, overlap + 1), at + size
+        gaps = [e for e in range(low, high + 1) if re.search(r"\n[ \t]*\n$", text[at:e])]
+        ends = [e for i in stops if low - 1 <= i < high and (e := sentence(i)) and e <= high]
+        lines = [i + 1 for i in range(low - 1, high) if text[i] == "\n"]
+        soft = [i + 1 for i in range(low - 1, high) if text[i] in ",，、 \t"]
+        cut = next((max(x) for x in (gaps, ends, lines, soft) if x), high)
+        out.append(text[at:cut].strip())
+        begin = cut - overlap
+        least = max(at + 1, begin - 2 * overlap)
+        near = [i + 1 for i in range(least - 1, begin) if text[i] == "\n"] + [e for i in range(least - 1, begin) if (e := sentence(i)) and e <= begin]
+        if overlap and near:
+            begin = max(near)
+            while begin < cut and text[begin].isspace():
+                begin += 1
+            begin = begin if begin < cut else cut - overlap
+        at = begin
+    return [p for p in [*out, text[at:].strip()] if p]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_windows_equal_brute_force(seed):
+    rnd = random.Random(seed)
+    bits = ["word", "Wort,", "end. ", "fin!\"", "第一。", "（好！）", "3.14", "\n", "\n\n", " ", "、", "x" * 30, "?) ", "v2. "]
+    text = "".join(rnd.choice(bits) + rnd.choice(["", " "]) for _ in range(rnd.choice([20, 200])))
+    text = re.sub(r"\n(?:[ \t]*\n)+", "\n\n", text)
+    for size, overlap in ((20, 0), (40, 8), (64, 30), (100, 99)):
+        if len(text) > size:
+            assert M.windows(text, size, overlap) == brute_windows(text, size, overlap)
+
+
+class ByPairs:
+    """Counts a pair of letters as a token, and a header of any length as its words, so that counts do not add up."""
+
+    def count(self, text):
+        return len(re.findall(r"..?", text)) + text.count("z")
+
+    def offsets(self, text):
+        return [m.span() for m in re.finditer(r"..?", text)]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_token_windows_equal_one_by_one(seed):
+    rnd = random.Random(seed)
+    text = "".join(rnd.choice("abz ") for _ in range(300))
+    for tok in (ByPairs(), H.WordTokenizer()):
+        cutter = H.Splitter("h", tok, 24, 8, 20, 3)
+        tokens = [t for t in tok.offsets(text) if t[1] > t[0]]
+        room, want, at = 20 - tok.count("h\n\n"), [], 0
+        while not want or want[-1][1] != len(text):
+            fitting = [(a, z, e) for e in range(at + 1, min(at + room, len(tokens)) + 1) for a, z in [(tokens[at][0] if at else 0, tokens[e - 1][1] if e < len(tokens) else len(text))] if cutter.fits(text[a:z])]
+            want.append(fitting[-1])
+            at = fitting[-1][2] - 3
+        assert [p.text for p in cutter.windows(text)] == [text[a:z] for a, z, _ in want]
+
+
 def test_windows_validate():
     for size, overlap in ((0, 0), (10, 10), (10, -1)):
         with pytest.raises(ValueError):
@@ -78,19 +149,19 @@ b = 2</code></pre><img alt="a picture"></section></body></html>"""
 
 def test_units_of_slides():
     found = H.units(PAGE, "x\\p.html")
-    assert [u.kind for u in found] == ["lesson_overview", "section_overview", "qa", "trend"]
+    assert [u["chunk_type"] for u in found] == ["lesson_overview", "section_overview", "qa", "trend"]
     qa, trend = found[2], found[3]
-    assert qa.source == "x/p.html" and qa.question == "Q1 What is it?" and (qa.first, qa.last) == (1, 2)
-    assert qa.content == "An answer, short.\n\n- one\n- two\n\nMore of it."
-    assert trend.years == [2023, 2025] and trend.blocks[0].text == "| a | b |\n| --- | --- |\n| 1 | x\\|y |"
-    assert trend.blocks[1].text == "```py\na = 1\nb = 2\n```" and trend.blocks[2].text == "a picture"
-    assert trend.header() == "课程：Agent 求职面试全攻略\n讲次：Lesson 1\n章节：Chapter\n专题：Trends of 2023 and 2025"
+    assert qa["source"] == "x/p.html" and qa["question"] == "Q1 What is it?" and (qa["slide_start"], qa["slide_end"]) == (1, 2)
+    assert H.content_of(qa) == "An answer, short.\n\n- one\n- two\n\nMore of it."
+    assert trend["time_tags"] == [2023, 2025] and trend["blocks"][0].text == "| a | b |\n| --- | --- |\n| 1 | x\\|y |"
+    assert trend["blocks"][1].text == "```py\na = 1\nb = 2\n```" and trend["blocks"][2].text == "a picture"
+    assert H.header_of(trend) == "课程：Agent 求职面试全攻略\n讲次：Lesson 1\n章节：Chapter\n专题：Trends of 2023 and 2025"
 
 
 def test_course_map():
     html = '<div class="hero"><h1>Map</h1></div><div class="course-card"><span class="lesson-no">1</span><span class="lesson-title">T</span><p class="lesson-desc">D</p><ul class="lesson-points"><li>p</li></ul></div>'
     (unit,) = H.units(html, "m.html")
-    assert unit.kind == "course_overview" and unit.course == "Map" and unit.content == "1 · T\n简介：D\n知识点：\n- p"
+    assert unit["chunk_type"] == "course_overview" and unit["course"] == "Map" and H.content_of(unit) == "1 · T\n简介：D\n知识点：\n- p"
     with pytest.raises(ValueError):
         H.units("  ", "m.html")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.components import components, local_components
-from brindle.llm.shared import Scratch, own_columns, raw
+from brindle.llm.shared import Scratch, own_columns, positional, raw
 
 SEED, SHINGLE, RADIUS, PREFIX_BITS, HOT_VARIANTS = 42, 4, 4, 16, 8_000_000
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
@@ -206,34 +206,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sc
     return rows.join(label, "fp").select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "root")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The input rows of one document of each component: that with the component's least id; all columns, unchanged.
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", find=near_duplicates, **options) -> DataFrame:
+    """The input rows of one document of each component that ``find`` gives: that with the component's least id; all columns, unchanged.
 
     Rows are told apart by (key, hash of the text), null equal to null. Where several kept rows agree in both, one stays; these
     few go through a second, small branch, so the others are joined once without any grouping of texts. A component whose ids are all
     null keeps the row with the least text hash."""
     scratch = Scratch(docs.sparkSession, "keep")
-    found = near_duplicates(docs, key, text, scratch, **options)
+    found = scratch.put(find(docs, key, text, scratch, **options))
     named = found.where(F.col(key) == F.col("component_id")).groupBy(F.col("component_id").alias("g"), "root").agg(F.min("text_hash").alias("h"), F.count("*").alias("n"))
     named = named.select(F.col("g").alias("k"), "h", "n")
     bare = found.where(F.col("component_id").isNull()).select(F.col("text_hash").alias("h"))
     if bare.isEmpty():
         kept = scratch.put(named)
     else:
-        kept = scratch.put(named.unionByName(_one_of_bare(bare, docs, key, text, scratch, **options)))
-    same = F.col(f"d.`{key}`").eqNullSafe(F.col("w.k")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("w.h"))
-    out = docs.alias("d").join(kept.where("n = 1").alias("w"), same, "left_semi")
-    if kept.where("n > 1").isEmpty():
-        return out
-    again = docs.alias("d").join(kept.where("n > 1").alias("w"), same, "left_semi")
-    again = again.withColumn("__h", F.xxhash64(f"`{text}`")).dropDuplicates([key, "__h"]).drop("__h")
-    return out.unionByName(again)
-
-
-def _one_of_bare(bare: DataFrame, docs: DataFrame, key: str, text: str, scratch: Scratch, **options) -> DataFrame:
+        kept = scratch.put(named.unionByName(_one_of_bare(bare, docs, key, text, scratch, find, **options)))
+    at = {name: f"c{docs.columns.index(name)}" for name in (key, text)}
+    same = F.col(f"d.{at[key]}").eqNullSafe(F.col("w.k")) & (F.xxhash64(F.col(f"d.{at[text]}")) == F.col("w.h"))
+    rows = positional(docs).alias("d")
+    out = rows.join(kept.where("n = 1").alias("w"), same, "left_semi")
+    if not kept.where("n > 1").isEmpty():
+        again = rows.join(kept.where("n > 1").alias("w"), same, "left_semi").withColumn("h", F.xxhash64(at[text]))
+        out = out.unionByName(again.dropDuplicates([at[key], "h"]).drop("h"))
+    return out.toDF(*docs.columns)
+
+
+def _one_of_bare(bare: DataFrame, docs: DataFrame, key: str, text: str, scratch: Scratch, find, **options) -> DataFrame:
     """Components without any id: rerun their rows with the text hash as the id and keep the least."""
     rows = docs.where(F.col(f"`{key}`").isNull()).select(F.xxhash64(f"`{text}`").alias("id"), F.col(f"`{text}`").alias("t"))
     rows = rows.join(bare.select(F.col("h").alias("id")).distinct(), "id", "left_semi")
-    again = near_duplicates(rows, "id", "t", scratch, **options).where("id = component_id").select("id").distinct()
+    again = find(rows, "id", "t", scratch, **options).where("id = component_id").select("id").distinct()
     kind = dict(docs.dtypes)[key]
     return again.select(F.lit(None).cast(kind).alias("k"), F.col("id").alias("h"), F.lit(2).cast("long").alias("n"))

@@ -11,8 +11,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from brindle.llm import pii, queries, simhash
 from tests.llm.test_decontam import brute as decontam_brute
-from tests.llm.test_simhash import brute as simhash_brute
-from tests.llm.test_simhash import pairs_of
+from tests.llm.test_similar import groups
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -27,7 +26,7 @@ def test_stages_against_brute_force(spark, sf):
     assert kept.columns == columns and sum(k in ids for k in good) >= 0.95 * len(good) and sum(k in ids for k, v in labels.items() if v[0] == 0) <= 3
 
     rows = sorted((r["doc_id"], r["text"]) for r in kept.collect())
-    roots = pairs_of(np.array([simhash_brute(t) for _, t in rows], np.uint64))
+    roots = groups([t for _, t in rows])
     one = stages["near_dedup"](spark, kept, sf).cache()
     assert one.columns == columns and {r["doc_id"] for r in one.collect()} == {rows[j][0] for j in roots}
 

@@ -1,7 +1,7 @@
 """A training corpus in five stages; each gets what the stage before kept, written as Parquet and read again.
 
 1. quality: rows that the quality classifier rejects go.
-2. near_dedup: one document of each near-duplicate group stays, that with the least id.
+2. near_dedup: one document of each near-duplicate group (five-word shingles, similarity 0.8 or more) stays, that with the least id.
 3. decontaminate: documents with any benchmark window go.
 4. pii: personal data is replaced by surrogates; n_chars is counted anew.
 5. tokens: byte-level BPE; adds n_tokens, ids_sha256, decoded_sha256 and token_ids (little-endian unsigned 32-bit integers).
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, decontam, pii, quality, simhash
+from brindle.llm import bpe, decontam, pii, quality, similar, simhash
 from brindle.llm.shared import Scratch
 
 
@@ -23,7 +23,7 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, find=similar.near_duplicates)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +47,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``. Each stage's rows are written to the shared folder before the next reads them."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES):
         docs = scratch.put(stage(spark, docs, sf_dir))
+        if number:
+            scratch.drop(number)  # the rows of the stage before
     return docs

@@ -34,7 +34,7 @@ SECRETS = [
     r"\beyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\b",
     r"(?i)\b(?:api[_-]?key|access[_-]?token|token|password|passwd|pwd)\s*[:=]\s*[\"']?[^\s\"'&;]{4,}",
 ]
-WRITE_VERBS = "add approve assign close create delete dismiss edit fork lock merge push remove rename reopen restore revert star subscribe transfer unassign unlock unstar unsubscribe update".split()
+WRITE_VERBS = ["add", "approve", "assign", "close", "create", "delete", "dismiss", "edit", "fork", "lock", "merge", "push", "remove", "rename", "reopen", "restore", "revert", "star", "subscribe", "transfer", "unassign", "unlock", "unstar", "unsubscribe", "update"]
 DESCRIBED_VERBS = ["create", "delete", "merge", "push"]
 ASSIGNED_KEYS = "authorization|proxy-authorization|x-api-key|api[-_]?key|access[-_]?token|auth[-_]?token|password|passwd|secret"
 REDACTED_ERROR = "remote call failed (details redacted)"

@@ -89,9 +89,10 @@ def write_commit(spark: SparkSession, uri: str, record: dict) -> None:
     out = fs.create(new, True)
     out.write((json.dumps({"schema_version": SCHEMA_VERSION, **record}, ensure_ascii=False, sort_keys=True, indent=2) + "\n").encode())
     out.close()
-    if fs.exists(path):
-        fs.delete(path, False)
-    fs.rename(new, path)
+    options = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(options, 1)
+    how[0] = options.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark._jsc.hadoopConfiguration()).rename(new, path, how)  # readers see the old or the new record
 
 
 def read_commit(spark: SparkSession, uri: str) -> dict | None:

@@ -36,7 +36,7 @@ def build_notes(files: DataFrame, store: Store, embed: Embed, commit: str, setti
     if mode == "unchanged":
         return mode
     chunks = chunk_markdown.chunk_table(wanted, "path", "text", size, overlap).join(wanted.select(F.col("path").alias("source"), F.col("sha256").alias("file_sha256")), "source")
-    rows = embed(chunks, "content")
+    rows = made = embed(chunks, "content").persist()  # checked and stored from one run of the provider
     if dimension is not None:
         found = vector.check_embeddings(rows, dimension).first()
         if found["wrong_dimension"] or found["not_finite"]:
@@ -46,6 +46,7 @@ def build_notes(files: DataFrame, store: Store, embed: Embed, commit: str, setti
         gone = changes.where("change IN ('changed', 'removed')").select("source")
         rows = store.read().join(gone, "source", "left_anti").unionByName(rows)
     stored = store.rebuild(rows)
+    made.unpersist()
     empty = {r["path"]: r["sha256"] for r in files.join(stored.select(F.col("source").alias("path")).distinct(), "path", "left_anti").select("path", "sha256").collect()}
     print_ = manifest.fingerprint(files.select("path", "sha256"), "path", "sha256").first()
     manifest.write_commit(spark, commit, {"settings": settings, "chunks": stored.count(), "fingerprint": print_["fingerprint"], "files": print_["entries"], "empty_files": empty})

@@ -122,13 +122,28 @@ def attach_problems(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     return requests.join(known, "session_id", "left").withColumn("problem", problem).drop("owner")
 
 
+def numbered(rows: DataFrame, order: Sequence[str], first: int, name: str) -> DataFrame:
+    """Rows numbered from ``first`` in an order whose first column is numeric. Quantiles of that column cut the rows into ranges; the ranges' counts (one number each) give
+    where each begins, so no task sees more than a range."""
+    key, parts = F.col(order[0]), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []))
+    dealt = rows.withColumn("__range", F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < key)), F.lit(-1)) if cuts else F.lit(0))
+    counts, begin, at = sorted((r["__range"], r["count"]) for r in dealt.groupBy("__range").count().collect()), [], first
+    for part, n in counts:
+        begin += [F.lit(part), F.lit(at)]
+        at += n
+    n = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1 + (F.element_at(F.create_map(*begin), F.col("__range")) if begin else F.lit(first))
+    return dealt.withColumn(name, n.cast("long")).drop("__range")
+
+
 def get_or_create(sessions: DataFrame, wanted: DataFrame, now: Column, first_id: int) -> DataFrame:
     """The least session id of each (user_id, persona_id) wanted; those without one get a new row, numbered from ``first_id`` in their order, whose
-    subject is left out. ``wanted`` is a request's few rows."""
+    subject is left out."""
     own = sessions.groupBy("user_id", "persona_id").agg(F.min("id").alias("id"))
     rows = wanted.select("user_id", "persona_id").distinct().join(own, ["user_id", "persona_id"], "left")
-    number = F.row_number().over(Window.partitionBy(F.col("id").isNull()).orderBy("user_id", "persona_id")) - 1 + first_id
-    return rows.select(F.coalesce("id", number).cast("long").alias("id"), "user_id", "persona_id", F.col("id").isNull().alias("created"), F.when(F.col("id").isNull(), now).alias("created_at"))
+    new = numbered(rows.where("id IS NULL"), ["user_id", "persona_id"], first_id, "id").withColumn("created", F.lit(True))
+    both = rows.where("id IS NOT NULL").withColumn("created", F.lit(False)).unionByName(new)
+    return both.select(F.col("id").cast("long").alias("id"), "user_id", "persona_id", "created", F.when(F.col("created"), now).alias("created_at"))
 
 
 def patch(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:

@@ -11,11 +11,8 @@ from brindle.operators import relational
 
 def new_session(requests: DataFrame, now: Column, first_id: int, default_title: str = "新会话") -> DataFrame:
     """Session rows of requests (order, user_id, persona_id, subject, title): stripped title or the default, one time for both stamps."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.orderBy("order")) - 1 + first_id  # a request batch: few rows
     title = X.strip(F.coalesce("title", F.lit("")))
-    return requests.select(n.cast("long").alias("id"), "user_id", F.when(title == "", default_title).otherwise(title).alias("title"), "persona_id", "subject", now.alias("created_at"), now.alias("updated_at"))
+    return relational.numbered(requests, ["order"], first_id, "id").select("id", "user_id", F.when(title == "", default_title).otherwise(title).alias("title"), "persona_id", "subject", now.alias("created_at"), now.alias("updated_at"))
 
 
 def touch(sessions: DataFrame, keys: DataFrame, now: Column) -> DataFrame:

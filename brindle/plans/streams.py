@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators.store import Store
 from brindle.plans.registry import query, table
+from brindle.session import shared_folder
 from brindle.streaming import traces
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A folder all executors share; a local one only where the session names none."""
-    import tempfile
-
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="brindle-stream-")
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
-
-
 def _events(spark: SparkSession, d: str) -> DataFrame:
     """The events file as a stream."""
     schema = table(spark, d, "events").schema
@@ -29,7 +20,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def stream_hourly(spark: SparkSession, d: str) -> DataFrame:
-    out = traces.drain(traces.hourly(_events(spark, d), "event_type", "value"), f"hourly_{uuid.uuid4().hex[:8]}", _scratch(spark))
+    out = traces.drain(traces.hourly(_events(spark, d), "event_type", "value"), shared_folder(spark, "hourly"))
     return out.withColumn("total", F.round("total", 6))
 
 
@@ -37,13 +28,13 @@ def stream_hourly(spark: SparkSession, d: str) -> DataFrame:
     s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM e)
     SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return traces.drain(traces.sessions(_events(spark, d), "user_id"), f"sessions_{uuid.uuid4().hex[:8]}", _scratch(spark))
+    return traces.drain(traces.sessions(_events(spark, d), "user_id"), shared_folder(spark, "sessions"))
 
 
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def stream_dedup_upsert(spark: SparkSession, d: str) -> DataFrame:
-    top = _scratch(spark)
-    store = Store(spark, f"{top}/table")
+    top = shared_folder(spark, "stream")
+    store = Store(spark, f"{top}/table", key="user_id")
     rows = _events(spark, d).select("user_id", "event_id", "event_type")
     traces.upsert_stream(rows, store, "user_id", "event_id", f"{top}/log").awaitTermination()
     return store.read()

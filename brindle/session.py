@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -13,3 +16,13 @@ def session(master: str | None = None, partitions: int | None = None, name: str
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that all executors share; a local one only where Spark runs in one process."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+        top = "file://" + tempfile.mkdtemp(prefix="brindle-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -63,11 +63,15 @@ def sessions(rows: DataFrame, by: str, gap: str = "30 minutes", late: str = "2 h
     return rows.withWatermark(ts, late).groupBy(F.session_window(ts, gap), by).agg(F.count("*").alias("n")).select(by, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def drain(rows: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a streaming aggregate over all input at hand and return its table; for tests and queries on bounded input."""
-    q = rows.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(rows: DataFrame, folder: str) -> DataFrame:
+    """Run a streaming aggregate over all input at hand; its last state as a table below ``folder``, where the log is too."""
+
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/table")
+
+    q = rows.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return rows.sparkSession.table(name)
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/table")
 
 
 def reclaim(documents: DataFrame, now, act: Callable[[DataFrame], None]) -> int:

@@ -1,6 +1,8 @@
 """Licence scan: normalised text against licence templates by Dice coefficient over word bigrams, in DataFrame expressions only.
 
-Units of a text are its lines, its paragraphs of two lines or more (parted by blank lines) and, if it has several paragraphs, the whole of it.
+Units of a text are its lines, its paragraphs of two lines or more (parted by blank lines) and, if it has several paragraphs, the whole of it. The full texts are
+also looked for in every run of 2 to RUN consecutive lines, so a licence of several paragraphs, or one hard against other lines, is found inside a longer text; of all
+runs each template's best match counts once. A notice inside a longer line is not found.
 Normal form: lower case, every run of other characters than letters and digits as one blank. Bigrams are counted with their repeats:
 Dice = 2 * common / (bigrams of the unit + bigrams of the template). A unit matches a template at 0.8 or more.
 
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from brindle.llm.shared import own_columns
 
 LEAST = 0.8
+#: Lines of the longest run that is compared with the full texts; wrapped at 70 characters the longest of them has 28.
+RUN = 40
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
 (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
@@ -131,13 +135,14 @@ def bounds(bigrams: int, least: float = LEAST) -> tuple[int, int]:
 
 
 @cache
-def required(least: float = LEAST) -> list[str]:
-    """Words of which every matching unit has one: for each template, the bigrams without any of them are too few for a match."""
+def required(least: float = LEAST, full: bool = False) -> list[str]:
+    """Words of which every matching unit has one: for each template, the bigrams without any of them are too few for a match. ``full``: for the full texts alone."""
     chosen: list[str] = []
-    for _, _, words in templates():
+    for _, _, words in templates()[: len(TEXTS) if full else None]:
         need = bounds(len(words) - 1, least)[0]
         pairs = list(zip(words, words[1:], strict=False))
-        for word in sorted(set(words), key=lambda w: (w not in chosen, not w.startswith("licen"), w in ("by", "the", "of", "in", "to", "and", "or", "is", "a"), -len(w), w)):
+        common = ("by", "the", "of", "in", "to", "and", "or", "is", "a")
+        for word in sorted(set(words), key=lambda w: (w not in chosen, not full and not w.startswith("licen"), w in common, -len(w), w)):
             if sum(a not in chosen and b not in chosen for a, b in pairs) < need:
                 break
             if word not in chosen:
@@ -146,6 +151,11 @@ def required(least: float = LEAST) -> list[str]:
     return chosen
 
 
+def _span(known: list[tuple[int, str, list[str]]], least: float) -> tuple[int, int]:
+    """The least and the greatest number of bigrams at which a unit can match one of the templates."""
+    return min(bounds(len(w) - 1, least)[0] for _, _, w in known), max(bounds(len(w) - 1, least)[1] for _, _, w in known)
+
+
 def _let(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
@@ -161,40 +171,78 @@ def _units(text: Column) -> Column:
     return F.concat(lines, several, F.when(F.size(paragraphs) > 1, F.array(text)).otherwise(F.array().cast("array<string>")))
 
 
+def _blanks(u: Column) -> Column:
+    """As many as bigrams of a normal form."""
+    return F.length(u) - F.length(F.replace(u, F.lit(" ")))
+
+
+def _bigrams(w: Column) -> Column:
+    """As ``numbered``."""
+    pairs = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return _let(F.array_sort(pairs), lambda s: F.transform(s, lambda x, k: F.concat_ws(" ", x, (k - F.array_position(s, x) + 2).cast("string"))))
+
+
+def _compared(b: Column, known: list[tuple[int, str, list[str]]], least: float) -> Column:
+    """(dice, template number) of the templates that numbered bigrams match."""
+    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(len(w) - 1).alias("n"), F.lit(bounds(len(w) - 1, least)[0]).alias("lo"), F.lit(bounds(len(w) - 1, least)[1]).alias("hi"), F.array(*[F.lit(b) for b in numbered(w)]).alias("b")) for i, _, w in known])
+    near = F.filter(rows, lambda t: F.size(b).between(t["lo"], t["hi"]))
+    scored = F.transform(near, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(b, t["b"])) / (F.size(b) + t["n"])).alias("dice"), t["i"].alias("i")))
+    return F.filter(scored, lambda m: m["dice"] >= least)
+
+
+def _words(names: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in names])
+
+
 def _matches(text: Column, least: float) -> Column:
     """All (dice, template number) of a text's units."""
     known = templates()
-    low, high = min(bounds(len(w) - 1, least)[0] for _, _, w in known), max(bounds(len(w) - 1, least)[1] for _, _, w in known)
-    all_templates = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(len(w) - 1).alias("n"), F.lit(bounds(len(w) - 1, least)[0]).alias("lo"), F.lit(bounds(len(w) - 1, least)[1]).alias("hi"), F.array(*[F.lit(b) for b in numbered(w)]).alias("b")) for i, _, w in known])
-    need = F.array(*[F.lit(w) for w in required(least)])
+    low, high = _span(known, least)
     normal = F.transform(_units(text), _normal)
-    blanks = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" ")))  # noqa: E731  as many as bigrams
-    sized = F.filter(normal, lambda u: blanks(u).between(low, high))
-    worded = F.filter(F.transform(sized, lambda u: F.split(u, " ")), lambda w: F.arrays_overlap(w, need))
-
-    def bigrams(w: Column) -> Column:
-        pairs = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
-        return _let(F.array_sort(pairs), lambda s: F.transform(s, lambda x, k: F.concat_ws(" ", x, (k - F.array_position(s, x) + 2).cast("string"))))
-
-    def compared(b: Column) -> Column:
-        near = F.filter(all_templates, lambda t: F.size(b).between(t["lo"], t["hi"]))
-        scored = F.transform(near, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(b, t["b"])) / (F.size(b) + t["n"])).alias("dice"), t["i"].alias("i")))
-        return F.filter(scored, lambda m: m["dice"] >= least)
-
-    return F.flatten(F.transform(F.transform(worded, bigrams), compared))
+    sized = F.filter(normal, lambda u: _blanks(u).between(low, high))
+    worded = F.filter(F.transform(sized, lambda u: F.split(u, " ")), lambda w: F.arrays_overlap(w, _words(required(least))))
+    return F.flatten(F.transform(F.transform(worded, _bigrams), lambda b: _compared(b, known, least)))
+
+
+def _run_matches(text: Column, least: float) -> Column:
+    """The best (dice, template number) of each full text over all runs of lines. Runs are sized by the words of their lines and looked at only near a line that has a
+    required word, so none is made that cannot match."""
+    known = templates()[: len(TEXTS)]
+    low, high = _span(known, least)
+    line = lambda u: F.struct(u.alias("u"), F.when(u == "", 0).otherwise(_blanks(u) + 1).alias("n"), F.arrays_overlap(F.split(u, " "), _words(required(least, True))).alias("has"))
+
+    def runs_at(lines: Column, i: Column) -> Column:
+        """Of the runs that begin with line i, by their number of lines."""
+        ahead = F.slice(lines, i, F.lit(RUN))
+        sizes = F.sequence(F.lit(2), F.size(ahead))
+        fitting = F.filter(sizes, lambda k: (F.get(ahead, k - 1)["n"] > 0) & F.reduce(F.slice(ahead, F.lit(1), k), F.lit(-1), lambda t, x: t + x["n"]).between(low, high))
+        joined = lambda k: F.array_join(F.filter(F.transform(F.slice(ahead, F.lit(1), k), lambda x: x["u"]), lambda u: u != ""), " ")
+        found = F.flatten(F.transform(fitting, lambda k: _compared(_bigrams(F.split(joined(k), " ")), known, least)))
+        empty = F.array().cast("array<struct<dice:double,i:int>>")
+        return F.when((F.size(ahead) > 1) & (F.get(lines, i - 1)["n"] > 0) & F.exists(ahead, lambda x: x["has"]), found).otherwise(empty)
+
+    found = _let(F.transform(F.transform(F.split(text, "\n"), _normal), line), lambda lines: F.flatten(F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: runs_at(lines, i))))
+    best = lambda m: F.transform(F.array_distinct(F.transform(m, lambda x: x["i"])), lambda i: F.array_max(F.filter(m, lambda x: x["i"] == i)))
+    return _let(found, best)
+
+
+def _possible(text: Column, names: list[str]) -> Column:
+    """Whether some of the words may occur in the text."""
+    out, low = F.lit(False), F.lower(text)
+    for word in sorted(names, key=len, reverse=True):
+        out = out | (F.contains(low, F.lit(word)) if len(word) > 3 else F.rlike(low, F.lit(rf"(?<![\p{{L}}\p{{N}}]){word}(?![\p{{L}}\p{{N}}])")))
+    return out
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """key, license (of the best match, ties to the first template), dice (0 without a match), n_matches (pairs of unit and template) and matches
-    (dice, license) of every row."""
+    """key, license (of the best match, ties to the first template), dice (0 without a match), n_matches (pairs of unit and template, and templates with a run of
+    lines) and matches (dice, license) of every row."""
     names = F.array(*[F.lit(k) for _, k, _ in templates()])
-    low = F.lower(F.col(text))
-    possible = F.lit(False)
-    for word in sorted(required(least), key=len, reverse=True):
-        possible = possible | (F.contains(low, F.lit(word)) if len(word) > 3 else F.rlike(low, F.lit(rf"(?<![\p{{L}}\p{{N}}]){word}(?![\p{{L}}\p{{N}}])")))
     none = F.array().cast("array<struct<dice:double,i:int>>")
-    rows = own_columns(docs, key, text)
-    found = rows.select(key, F.when(F.col(text).isNotNull() & possible, _matches(F.col(text), least)).otherwise(none).alias("m"))
+    rows = own_columns(docs, key, text).toDF("k", "t")
+    units = F.when(F.col("t").isNotNull() & _possible(F.col("t"), required(least)), _matches(F.col("t"), least)).otherwise(none)
+    runs = F.when(F.col("t").isNotNull() & _possible(F.col("t"), required(least, True)), _run_matches(F.col("t"), least)).otherwise(none)
+    found = rows.select(F.col("k").alias(key), F.concat(units, runs).alias("m"))
     best = F.reduce("m", F.struct(F.lit(0.0).alias("dice"), F.lit(-1).alias("i")), lambda a, x: F.when((x["dice"] > a["dice"]) | ((x["dice"] == a["dice"]) & (x["i"] < a["i"])), x).otherwise(a))
     found = found.withColumn("best", best)
     return found.select(key, F.when(F.col("best.i") >= 0, F.get(names, F.col("best.i"))).alias("license"), F.col("best.dice").alias("dice"), F.size("m").cast("long").alias("n_matches"), F.transform("m", lambda m: F.struct(m["dice"].alias("dice"), F.get(names, m["i"]).alias("license"))).alias("matches"))
@@ -202,6 +250,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
 
 def oracle_sql(least: float = LEAST) -> str:
     """The same in SQL, by joining bigram counts, without either pruning by words or early exits."""
+    low, high = _span(templates()[: len(TEXTS)], least)
     values = ", ".join(f"({i}, '{k}', {len(w) - 1}, '{b}')" for i, k, w in templates() for b in numbered(w))
     return f"""
 WITH t(i, license, n, b) AS (VALUES {values}),
@@ -213,8 +262,16 @@ units AS (
   SELECT doc_id, text FROM documents WHERE len(string_split_regex(text, '\\n[ \\t\\r]*\\n\\s*')) > 1),
 w AS (SELECT row_number() OVER () AS unit, doc_id, string_split(trim(regexp_replace(lower(u), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS words FROM units),
 p AS (SELECT unit, doc_id, len(words) - 1 AS n, unnest(list_transform(range(1, len(words)), lambda k: words[k] || ' ' || words[k + 1])) AS pair FROM w WHERE len(words) > 1),
+l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS ls FROM documents WHERE text IS NOT NULL),
+i AS (SELECT doc_id, ls, unnest(range(1, len(ls))) AS i FROM l),
+k AS (SELECT doc_id, ls, i, unnest(range(2, least({RUN}, len(ls) - i + 1) + 1)) AS k FROM i WHERE ls[i] <> ''),
+rw AS (SELECT row_number() OVER () AS unit, doc_id, string_split(array_to_string(list_filter(ls[i:i + k - 1], lambda x: x <> ''), ' '), ' ') AS words FROM k WHERE ls[i + k - 1] <> ''),
+rp AS (SELECT unit, doc_id, len(words) - 1 AS n, unnest(list_transform(range(1, len(words)), lambda k: words[k] || ' ' || words[k + 1])) AS pair FROM rw WHERE len(words) - 1 BETWEEN {low} AND {high}),
+rb AS (SELECT unit, doc_id, n, pair || ' ' || row_number() OVER (PARTITION BY unit, pair) AS b FROM rp),
+rm AS (SELECT rb.doc_id, rb.unit, t.i, t.license, 2.0::DOUBLE * count(*) / (rb.n + t.n) AS dice FROM rb JOIN t ON rb.b = t.b WHERE t.i < {len(TEXTS)} GROUP BY rb.doc_id, rb.unit, rb.n, t.i, t.license, t.n HAVING 2.0::DOUBLE * count(*) / (rb.n + t.n) >= {least}),
 b AS (SELECT unit, doc_id, n, pair || ' ' || row_number() OVER (PARTITION BY unit, pair) AS b FROM p),
 m AS (SELECT b.doc_id, b.unit, t.i, t.license, 2.0::DOUBLE * count(*) / (b.n + t.n) AS dice FROM b JOIN t ON b.b = t.b GROUP BY b.doc_id, b.unit, b.n, t.i, t.license, t.n HAVING 2.0::DOUBLE * count(*) / (b.n + t.n) >= {least}),
-best AS (SELECT doc_id, license, dice, count(*) OVER (PARTITION BY doc_id) AS n_matches, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, i) AS k FROM m)
+a AS (SELECT doc_id, i, license, dice FROM m UNION ALL SELECT doc_id, i, license, max(dice) FROM rm GROUP BY ALL),
+best AS (SELECT doc_id, license, dice, count(*) OVER (PARTITION BY doc_id) AS n_matches, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, i) AS k FROM a)
 SELECT d.doc_id, best.license, coalesce(best.dice, 0.0::DOUBLE) AS dice, coalesce(best.n_matches, 0)::BIGINT AS n_matches
 FROM documents d LEFT JOIN best ON d.doc_id = best.doc_id AND best.k = 1"""

@@ -142,7 +142,8 @@ def required(least: float = LEAST, full: bool = False) -> list[str]:
         need = bounds(len(words) - 1, least)[0]
         pairs = list(zip(words, words[1:], strict=False))
         common = ("by", "the", "of", "in", "to", "and", "or", "is", "a")
-        for word in sorted(set(words), key=lambda w: (w not in chosen, not full and not w.startswith("licen"), w in common, -len(w), w)):
+        said = {w for _, _, line in templates()[len(TEXTS) :] for w in line} if full else set()  # words of one-line notices tell no full text
+        for word in sorted(set(words), key=lambda w: (w not in chosen, w in said, not full and not w.startswith("licen"), w in common, -len(w), w)):
             if sum(a not in chosen and b not in chosen for a, b in pairs) < need:
                 break
             if word not in chosen:
@@ -204,21 +205,41 @@ def _matches(text: Column, least: float) -> Column:
     return F.flatten(F.transform(F.transform(worded, _bigrams), lambda b: _compared(b, known, least)))
 
 
+def _pairs(w: Column) -> Column:
+    return F.zip_with(F.slice(w, 1, F.greatest(F.lit(0), F.size(w) - 1)), F.slice(w, 2, F.greatest(F.lit(0), F.size(w) - 1)), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def _run_matches(text: Column, least: float) -> Column:
-    """The best (dice, template number) of each full text over all runs of lines. Runs are sized by the words of their lines and looked at only near a line that has a
-    required word, so none is made that cannot match."""
+    """The best (dice, template number) of each full text over all runs of lines.
+
+    A run shares with a template at most the bigrams that its lines share with it, repeats in a line added, and those across line ends. These are counted once a line,
+    so runs whose sum is too small for a match are passed over by arithmetic, and none is put together that has no required word nearby."""
     known = templates()[: len(TEXTS)]
-    low, high = _span(known, least)
-    line = lambda u: F.struct(u.alias("u"), F.when(u == "", 0).otherwise(_blanks(u) + 1).alias("n"), F.arrays_overlap(F.split(u, " "), _words(required(least, True))).alias("has"))
+    empty = F.array().cast("array<struct<dice:double,i:int>>")
+    adding = lambda i: lambda total, x: total + F.get(x["common"], F.lit(i))
+
+    def line(u: Column) -> Column:
+        words = F.split(u, " ")
+        shares = lambda b: F.array(*[F.size(F.array_intersect(b, F.array(*[F.lit(f"{x} {y}") for x, y in dict.fromkeys(zip(w, w[1:], strict=False))]))) + F.size(b) - F.size(F.array_distinct(b)) for _, _, w in known])
+        return F.struct(u.alias("u"), F.when(u == "", 0).otherwise(_blanks(u) + 1).alias("n"), F.arrays_overlap(words, _words(required(least, True))).alias("has"), _let(_pairs(words), shares).alias("common"))
 
     def runs_at(lines: Column, i: Column) -> Column:
         """Of the runs that begin with line i, by their number of lines."""
         ahead = F.slice(lines, i, F.lit(RUN))
-        sizes = F.sequence(F.lit(2), F.size(ahead))
-        fitting = F.filter(sizes, lambda k: (F.get(ahead, k - 1)["n"] > 0) & F.reduce(F.slice(ahead, F.lit(1), k), F.lit(-1), lambda t, x: t + x["n"]).between(low, high))
-        joined = lambda k: F.array_join(F.filter(F.transform(F.slice(ahead, F.lit(1), k), lambda x: x["u"]), lambda u: u != ""), " ")
-        found = F.flatten(F.transform(fitting, lambda k: _compared(_bigrams(F.split(joined(k), " ")), known, least)))
-        empty = F.array().cast("array<struct<dice:double,i:int>>")
+
+        def matches(k: Column) -> Column:
+            run = F.slice(ahead, F.lit(1), k)
+            size = F.reduce(run, F.lit(-1), lambda t, x: t + x["n"])
+            joints = F.size(F.filter(run, lambda x: x["n"] > 0)) - 1
+            may = F.lit(False)
+            for i, _, w in known:
+                low, high = bounds(len(w) - 1, least)
+                most = F.reduce(run, joints, adding(i))
+                may = may | (size.between(low, high) & (most * 2.0 >= least * (size + (len(w) - 1)) - 1e-6))
+            joined = F.array_join(F.filter(F.transform(run, lambda x: x["u"]), lambda u: u != ""), " ")
+            return F.when((F.get(ahead, k - 1)["n"] > 0) & may, _compared(_bigrams(F.split(joined, " ")), known, least)).otherwise(empty)
+
+        found = F.flatten(F.transform(F.sequence(F.lit(2), F.size(ahead)), matches))
         return F.when((F.size(ahead) > 1) & (F.get(lines, i - 1)["n"] > 0) & F.exists(ahead, lambda x: x["has"]), found).otherwise(empty)
 
     found = _let(F.transform(F.transform(F.split(text, "\n"), _normal), line), lambda lines: F.flatten(F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: runs_at(lines, i))))

@@ -62,7 +62,9 @@ class Ring:
 
         def clockwise(cell: int) -> list[int]:
             place = self.place(cell & ((1 << CELL_BITS) - 1))
-            return order.setdefault(place, self.following(place))
+            if place not in order:
+                order[place] = self.following(place)
+            return order[place]
 
         def give(cell: int, sub: int, at: int, size: int, step: int, level: int, to: list[int]) -> int:
             for s in to:

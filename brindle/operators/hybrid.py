@@ -37,11 +37,12 @@ def fuse(vector_hits: DataFrame, lexical_scores: DataFrame, k: int, *, key: str
     return out.orderBy(F.desc("score"), *keys).limit(max(0, k))
 
 
-def hybrid_topk(docs: DataFrame, entries: DataFrame, query_vector: Sequence[float], terms: Sequence[str], k: int, *, key: str, text: str = "text", where: Column | None = None) -> DataFrame:
-    """Statistics are taken after the filter, as the vector side's candidates are."""
+def hybrid_topk(docs: DataFrame, entries: DataFrame, query_vector: Sequence[float], terms: Sequence[str], k: int, *, key: str, text: str = "text", where: Column | None = None, indexes: str | None = None) -> DataFrame:
+    """Statistics are taken after the filter, as the vector side's candidates are. ``indexes``: a folder where lexical indexes of such parts are kept."""
     rows, points = (docs, entries) if where is None else (docs.where(where), entries.where(where))
     hits = vector.topk(points, query_vector, OVERFETCH * k, key=key).select(key, "similarity")
-    return fuse(hits, lexical.bm25_or_fallback(rows, terms, key=key, text=text), k, key=key)
+    corpus = rows if indexes is None else lexical.Index(rows, indexes, key=key, text=text)
+    return fuse(hits, lexical.bm25_or_fallback(corpus, terms, key=key, text=text), k, key=key)
 
 
 def best_child(hits: DataFrame, *, parent: str, score: str = "similarity", ties: Sequence[str] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brindle.operators import hybrid, lexical, vector
 from brindle.operators.spread import spread
 from brindle.plans.registry import query, table
+from brindle.session import shared_folder
 
 QUERY_VECTOR, K = 0, 10
 TERMS = lexical.query_terms("the onnd and eraton de la und thentoring the")
@@ -118,8 +119,33 @@ def bm25_fallback_topk(spark: SparkSession, d: str) -> DataFrame:
     return lexical.normalised_candidates(scores, K, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def _indexes(spark: SparkSession) -> str:
+    """Where this application keeps its lexical indexes; each is used again as long as its documents are the same."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = shared_folder(spark, "lexical")
+    return _FOLDERS[app]
+
+
+@query(f"WITH {bm25_sql(TERMS)} SELECT doc_id, round(score, 6) AS score FROM scores WHERE score > 0 ORDER BY scores.score DESC, doc_id LIMIT {K}")
+def bm25_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    index = lexical.Index(table(spark, d, "documents"), _indexes(spark), key="doc_id")
+    return lexical.candidates(lexical.bm25(index, TERMS, key="doc_id"), K, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {bm25_sql(TERMS, True)} SELECT doc_id, round(score / (SELECT max(score) FROM scores), 6) AS score FROM scores WHERE score > 0 ORDER BY scores.score DESC, doc_id LIMIT {K}")
+def bm25_index_fallback_topk(spark: SparkSession, d: str) -> DataFrame:
+    index = lexical.Index(table(spark, d, "documents"), _indexes(spark), key="doc_id")
+    scores = lexical.bm25(index, TERMS, key="doc_id", fallback=True)
+    return lexical.normalised_candidates(scores, K, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
 def _hybrid_sql(k: int, where: str = "") -> str:
-    return f"""WITH {bm25_sql(TERMS).replace("FROM documents", "FROM docs") if where else bm25_sql(TERMS)},
+    docs = f"docs AS (SELECT * FROM documents WHERE {where or 'true'})"
+    return f"""WITH {docs}, {bm25_sql(TERMS).replace("FROM documents", "FROM docs")},
     v AS (SELECT vec_id AS doc_id, greatest(0, least(1, s)) AS v FROM (SELECT * FROM ({_SCORED}) ORDER BY s DESC, vec_id LIMIT {2 * k})),
     b AS (SELECT doc_id, score / (SELECT max(score) FROM scores) AS b FROM scores WHERE score > 0),
     c AS (SELECT doc_id FROM v UNION SELECT doc_id FROM (SELECT doc_id FROM b ORDER BY b DESC, doc_id LIMIT {2 * k})),
@@ -134,7 +160,15 @@ def _rounded(hits: DataFrame) -> DataFrame:
 @query(_hybrid_sql(K))
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     entries = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return _rounded(hybrid.hybrid_topk(table(spark, d, "documents"), entries, query_vector(spark, d), TERMS, K, key="doc_id"))
+    return _rounded(hybrid.hybrid_topk(table(spark, d, "documents"), entries, query_vector(spark, d), TERMS, K, key="doc_id", indexes=_indexes(spark)))
+
+
+@query(_hybrid_sql(K, "lang = 'en'"))
+def hybrid_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of the English documents alone, by an index of their own."""
+    docs = table(spark, d, "documents").where("lang = 'en'")
+    entries = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return _rounded(hybrid.hybrid_topk(docs, entries, query_vector(spark, d), TERMS, K, key="doc_id", indexes=_indexes(spark)))
 
 
 @query(f"""WITH h AS ({_SCORED} ), t AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY s DESC, vec_id) AS place FROM h) WHERE place <= 10),

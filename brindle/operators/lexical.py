@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from hashlib import sha256
 from math import log
 from uuid import uuid4
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.operators import manifest
 from brindle.operators.spread import spread
@@ -34,9 +38,22 @@ def query_terms(text: str) -> list[str]:
 
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """token, key, tf, dl: one row for each token of each document; write it once and reuse it for many queries."""
-    rows = docs.select(key, tokens(F.col(text)).alias("t")).select(key, F.explode("t").alias("token"), F.size("t").alias("dl"))
-    return rows.groupBy("token", key, "dl").agg(F.count("*").alias("tf"))
+    """token, ``key``, dl, tf: one row for each token of each document; write it once and reuse it for many queries.
+
+    Words are counted where their document lies, a batch of documents at a time, so that nothing is shuffled to count them."""
+    rows = docs.select(key, tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                length = pc.list_value_length(part.column(1))
+                doc = pa.array(np.repeat(np.arange(part.num_rows), length.to_numpy(zero_copy_only=False)))
+                n = pa.table({"doc": doc, "token": pc.list_flatten(part.column(1))}).group_by(["doc", "token"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+                doc, token, tf = (n.column(c) for c in ("doc", "token", "count_all"))
+                yield from pa.table({"token": token, key: part.column(0).take(doc.combine_chunks()), "dl": length.take(doc.combine_chunks()).cast(pa.int32()), "tf": tf}).to_batches()
+
+    return rows.mapInArrow(count, T.StructType([T.StructField("token", T.StringType()), rows.schema[key], T.StructField("dl", T.IntegerType()), T.StructField("tf", T.LongType())]))
 
 
 def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.operators import manifest
 
 # Fixed value: what shard collections are called.
 PREFIX = "learning_notes_"
@@ -36,6 +37,29 @@ def route(subject: str | None, known: Sequence[str]) -> list[str]:
     return [subject] if subject in known else list(known)
 
 
+def freeze(entries: DataFrame, root: str, subject: str) -> dict[str, int]:
+    """One shard a subject, all in one write of Parquet folders; the entries of each, which the commit record names last.
+
+    Rebalancing puts small subjects together and parts a large one over several tasks. Entries without a subject are an error."""
+    if not entries.where(F.col(subject).isNull()).isEmpty():
+        raise ValueError("entries without a subject")
+    manifest.invalidate(entries.sparkSession, f"{root}/frozen.json")
+    entries.hint("rebalance", subject).write.mode("overwrite").partitionBy(subject).parquet(f"{root}/shards")
+    schema = ", ".join(f"`{c}` {t}" for c, t in entries.dtypes)
+    stored = entries.sparkSession.read.schema(schema).parquet(f"{root}/shards")
+    counts = {str(r[0]): r["count"] for r in stored.groupBy(subject).count().collect()}  # a number a shard
+    manifest.write_commit(entries.sparkSession, f"{root}/frozen.json", {"schema": schema, "subject": subject, "entries": counts})
+    return counts
+
+
+def frozen(spark: SparkSession, root: str, subjects: Sequence[str]) -> DataFrame:
+    """The entries of some frozen shards; folders of others are not opened."""
+    record = manifest.read_commit(spark, f"{root}/frozen.json")
+    if record is None:
+        raise ValueError(f"no frozen shards at {root}")
+    return spark.read.schema(record["schema"]).parquet(f"{root}/shards").where(F.col(record["subject"]).isin(list(subjects)))
+
+
 def index_for(record: dict | None, use_hybrid: bool, sharded: bool) -> str:
     """Which search answers a query: the shard router, hybrid if the index has a valid manifest, else vectors alone."""
     if sharded:

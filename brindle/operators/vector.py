@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,6 +140,18 @@ def shard_topk(entries: DataFrame, vector: Sequence[float], k: int, *, key: str,
     return best.orderBy(F.desc("similarity"), key).limit(max(0, k))
 
 
+def gather(spark: SparkSession, shards: Mapping[Any, Callable[[], DataFrame]], k: int, *, key: str, schema: str, score: str = "similarity") -> tuple[DataFrame, dict[Any, str]]:
+    """Scatter-gather over shards that may fail: each is searched by a job of its own, whose best k rows (with ``schema``) come back; the best k of all,
+    ties by key, and what went wrong with the shards that gave none. For shards of one healthy table, ``shard_topk`` does it in one plan."""
+    found, failed = [], {}
+    for name, search in shards.items():
+        try:
+            found += search().orderBy(F.desc(score), key).limit(max(0, k)).collect()
+        except (PySparkException, Py4JError, OSError, ValueError) as e:
+            failed[name] = f"{type(e).__name__}: {e}".splitlines()[0][:200]
+    return spark.createDataFrame(found, schema).orderBy(F.desc(score), key).limit(max(0, k)), failed
+
+
 def crosscheck(exact: DataFrame, index: DataFrame, query_key: str, *, key: str) -> DataFrame:
     """Exact and index top-1 of each query: ok, mismatch or skipped (one side has none), and the difference to six places."""
     a = exact.where("rank = 1").select(query_key, F.col(key).alias("exact_id"), F.col("similarity").alias("exact_similarity"))

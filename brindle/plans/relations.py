@@ -118,6 +118,24 @@ def budgeted_context(spark: SparkSession, d: str) -> DataFrame:
     return windows.budgeted(table(spark, d, "conversations"), "conv_id", "turn", "text", 900).select("conv_id", "turn", "used", "truncated")
 
 
+@query(r"""WITH t AS (SELECT conv_id, turn, text, length(text) AS n, 24 + length(role) AS frame FROM conversations),
+    u AS (SELECT *, 840 - (sum(n + frame) OVER (PARTITION BY conv_id ORDER BY turn) - n) AS room FROM t),
+    v AS (SELECT *, coalesce(max((n > room OR room <= 0)::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM u)
+    SELECT conv_id, turn, CASE WHEN n > room THEN regexp_replace(substr(text, 1, (room - 1)::BIGINT), '\s+$', '') || '…' ELSE text END AS used, n > room AS truncated FROM v WHERE stopped = 0 AND room > 0""")
+def attachment_context(spark: SparkSession, d: str) -> DataFrame:
+    """A turn is a piece of evidence in a frame that names its role, below a header of 60 characters."""
+    frame = F.length("role") + 24
+    return windows.framed(table(spark, d, "conversations"), "conv_id", "turn", "text", frame, 900, header=60).select("conv_id", "turn", "used", "truncated")
+
+
+@query(r"""WITH g AS (SELECT conv_id, count(*) AS n, '## ' || count(*) || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY turn DESC) AS f FROM conversations GROUP BY conv_id)
+    SELECT conv_id, n, CASE WHEN length(f) > 400 THEN regexp_replace(substr(f, 1, 400), '\s+$', '') ELSE f END AS context FROM g""")
+def private_context(spark: SparkSession, d: str) -> DataFrame:
+    """All turns of a conversation, the newest first, cut as a whole."""
+    head = lambda n: F.concat(F.lit("## "), n.cast("string"), F.lit("\n\n"))
+    return windows.hard_cut(table(spark, d, "conversations"), "conv_id", "text", head, 400, newest="turn", key="turn")
+
+
 OLD = "(SELECT doc_id, sha256(text) AS h, n_chars // 500 AS chunks FROM documents WHERE doc_id % 10 <> 3)"
 NEW = "(SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS h, n_chars // 700 AS chunks FROM documents WHERE doc_id % 10 <> 5)"
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.operators import hybrid, lexical, vector
+from brindle.operators import hybrid, lexical, shards, vector
 from brindle.operators.spread import spread
 from brindle.plans.registry import query, table
 from brindle.session import shared_folder
@@ -44,6 +44,25 @@ def vector_shard_topk(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("vec_id", "label", F.col("shard_rank").cast("long").alias("shard_rank"), F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"""SELECT vec_id, label, round(s, 6) AS similarity FROM ({_SCORED}) WHERE label <> 3 ORDER BY s DESC, vec_id LIMIT 5""")
+def vector_shard_gather(spark: SparkSession, d: str) -> DataFrame:
+    """Each label a shard with a search of its own; the files of shard 3 are missing, so it gives nothing."""
+    e, v = table(spark, d, "embeddings").select("vec_id", "label", "embedding"), query_vector(spark, d)
+    labels = [r[0] for r in e.select("label").distinct().collect()]  # one a shard
+    rows = lambda x: spark.read.schema(e.schema).parquet(f"{d}/no-such-shard") if x == 3 else e.where(F.col("label") == x)
+    hits, _ = vector.gather(spark, {x: lambda x=x: vector.topk(rows(x), v, 5, key="vec_id").select("vec_id", "label", "similarity") for x in labels}, 5, key="vec_id", schema="vec_id bigint, label int, similarity double")
+    return hits.select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents WHERE lang IN ('de', 'en') GROUP BY lang")
+def frozen_shards(spark: SparkSession, d: str) -> DataFrame:
+    """One shard a language, frozen by one write; two of them are read back."""
+    root = shared_folder(spark, "frozen")
+    shards.freeze(table(spark, d, "documents").where("lang IS NOT NULL"), root, "lang")
+    rows = shards.frozen(spark, root, ["de", "en"])
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
 @query(f"SELECT vec_id, round(s, 6) AS similarity FROM (SELECT * FROM ({_SCORED}) ORDER BY s DESC, vec_id LIMIT {K}) WHERE s >= 0.45")
 def threshold_after_topk(spark: SparkSession, d: str) -> DataFrame:
     hits = vector.above(vector.topk(table(spark, d, "embeddings"), query_vector(spark, d), K, key="vec_id"), 0.45)
@@ -108,13 +127,13 @@ def bm25_sql(terms: list[str], fallback: bool = False) -> str:
 
 
 @query(f"WITH {bm25_sql(TERMS)} SELECT doc_id, round(score, 6) AS score FROM scores WHERE score > 0 ORDER BY scores.score DESC, doc_id LIMIT {K}")
-def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+def bm25_scan_topk(spark: SparkSession, d: str) -> DataFrame:
     scores = lexical.bm25(table(spark, d, "documents"), TERMS, key="doc_id")
     return lexical.candidates(scores, K, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {bm25_sql(TERMS, True)} SELECT doc_id, round(score / (SELECT max(score) FROM scores), 6) AS score FROM scores WHERE score > 0 ORDER BY scores.score DESC, doc_id LIMIT {K}")
-def bm25_fallback_topk(spark: SparkSession, d: str) -> DataFrame:
+def bm25_scan_fallback_topk(spark: SparkSession, d: str) -> DataFrame:
     scores = lexical.bm25(table(spark, d, "documents"), TERMS, key="doc_id", fallback=True)
     return lexical.normalised_candidates(scores, K, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
@@ -131,13 +150,13 @@ def _indexes(spark: SparkSession) -> str:
 
 
 @query(f"WITH {bm25_sql(TERMS)} SELECT doc_id, round(score, 6) AS score FROM scores WHERE score > 0 ORDER BY scores.score DESC, doc_id LIMIT {K}")
-def bm25_index_topk(spark: SparkSession, d: str) -> DataFrame:
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     index = lexical.Index(table(spark, d, "documents"), _indexes(spark), key="doc_id")
     return lexical.candidates(lexical.bm25(index, TERMS, key="doc_id"), K, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {bm25_sql(TERMS, True)} SELECT doc_id, round(score / (SELECT max(score) FROM scores), 6) AS score FROM scores WHERE score > 0 ORDER BY scores.score DESC, doc_id LIMIT {K}")
-def bm25_index_fallback_topk(spark: SparkSession, d: str) -> DataFrame:
+def bm25_fallback_topk(spark: SparkSession, d: str) -> DataFrame:
     index = lexical.Index(table(spark, d, "documents"), _indexes(spark), key="doc_id")
     scores = lexical.bm25(index, TERMS, key="doc_id", fallback=True)
     return lexical.normalised_candidates(scores, K, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))

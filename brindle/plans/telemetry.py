@@ -28,6 +28,15 @@ def failure_cutoff(spark: SparkSession, d: str) -> DataFrame:
     return windows.cut_off(table(spark, d, "events"), "user_id", "event_id", F.col("event_type") == "error").select("user_id", "event_id", "failures")
 
 
+@query("""WITH e AS (SELECT user_id, event_id, event_id // 200 AS turn, (event_type = 'error')::INT AS bad FROM events),
+    f AS (SELECT *, sum(bad) OVER (PARTITION BY user_id ORDER BY turn)::BIGINT AS failures, coalesce(sum(bad) OVER (PARTITION BY user_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
+    SELECT user_id, event_id, turn, failures FROM f WHERE before < 2""")
+def failure_cutoff_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """A round is a stretch of 200 event ids."""
+    e = table(spark, d, "events").withColumn("turn", F.floor(F.col("event_id") / 200))
+    return windows.cut_off_rounds(e, "user_id", "turn", F.col("event_type") == "error").select("user_id", "event_id", "turn", "failures")
+
+
 @query("""SELECT user_id, stated, rows FROM (SELECT user_id, count(*) FILTER (WHERE event_type <> 'view') AS stated, count(*) AS rows FROM events GROUP BY user_id) WHERE stated <> rows""")
 def trace_reconcile(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")

@@ -304,3 +304,63 @@ def test_topk_many_equals_single_queries(spark):
             want = vector.topk(entries.where("embedding IS NOT NULL").withColumn("s", F.round(vector.cosine_to(F.col("embedding"), [float(x) for x in v]), 9)), [float(x) for x in v], 1000, key="id")
             want = sorted(((r["id"], r["s"]) for r in want.collect()), key=lambda x: (-x[1], x[0]))[:6]
             assert by[q] == [(i, round(s, 6)) for i, s in want]
+
+
+def test_gather_survives_a_failing_shard(spark):
+    e = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "id bigint, embedding array<float>")
+    part = lambda x: lambda: vector.topk(e.where(F.col("id") == x), [1.0, 0.0], 2, key="id").select("id", "similarity")
+
+    def broken():
+        return e.select(F.raise_error(F.lit("lost")).cast("bigint").alias("id"), F.lit(1.0).alias("similarity"))
+
+    hits, failed = vector.gather(spark, {"a": part(1), "b": part(2), "c": broken, "d": part(3)}, 2, key="id", schema="id bigint, similarity double")
+    assert [r["id"] for r in hits.collect()] == [1, 3] and list(failed) == ["c"]
+    hits, failed = vector.gather(spark, {"c": broken}, 2, key="id", schema="id bigint, similarity double")
+    assert hits.count() == 0 and list(failed) == ["c"]
+
+
+def test_frozen_shards_prune(spark, tmp_path):
+    from brindle.operators import shards
+
+    rows = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3)], "subject string, id int")
+    assert shards.freeze(rows, f"file://{tmp_path}", "subject") == {"x": 2, "y": 1}
+    some = shards.frozen(spark, f"file://{tmp_path}", shards.route("x", ["x", "y"]))
+    assert sorted(r["id"] for r in some.collect()) == [1, 2] and "PartitionFilters: [isnotnull(subject" in some._jdf.queryExecution().toString()
+    with pytest.raises(ValueError):
+        shards.freeze(rows.unionByName(spark.createDataFrame([(None, 4)], "subject string, id int")), f"file://{tmp_path}", "subject")
+    assert shards.frozen(spark, f"file://{tmp_path}", ["y"]).count() == 1
+
+
+def test_rounds_may_overshoot(spark):
+    rows = spark.createDataFrame([("a", 1, True), ("a", 1, False), ("a", 2, True), ("a", 2, True), ("a", 3, False), ("b", 5, True), ("b", 9, None)], "t string, r int, bad boolean")
+    got = [tuple(r) for r in windows.cut_off_rounds(rows, "t", "r", F.col("bad")).select("t", "r", "failures").orderBy("t", "r").collect()]
+    assert got == [("a", 1, 1), ("a", 1, 1), ("a", 2, 3), ("a", 2, 3), ("b", 5, 1), ("b", 9, 1)]
+
+
+def test_framed_evidence(spark):
+    """Against a plain loop: the cut leaves no white space before the mark, one character of room gives the mark alone, an exact fit is not cut."""
+    import random
+
+    rng = random.Random(5)
+    groups = {g: ["".join(rng.choice("ab  ") for _ in range(rng.randrange(0, 30))) for _ in range(6)] for g in range(40)}
+    blocks = spark.createDataFrame([(g, i, t) for g, ts in groups.items() for i, t in enumerate(ts)] + [(99, 0, None)], "g int, o int, t string")
+    got = {(r["g"], r["o"]): r["used"] for r in windows.framed(blocks, "g", "o", "t", F.lit(7), 70, header=5).collect()}
+    want = {(99, 0): ""}
+    for g, ts in groups.items():
+        left = 65
+        for i, t in enumerate(ts):
+            room = left - 7
+            if room <= 0:
+                break
+            want[g, i] = t if len(t) <= room else t[: room - 1].rstrip() + "…"
+            if len(t) > room:
+                break
+            left = room - len(t)
+    assert got == want
+
+
+def test_hard_cut_is_of_the_whole(spark):
+    rows = spark.createDataFrame([(1, 1, "old" * 9), (1, 2, "new"), (2, 1, ""), (2, 2, None), (3, 1, "x ")], "u int, at int, t string")
+    head = lambda n: F.concat(F.lit("n="), n.cast("string"), F.lit("\n\n"))
+    got = {r["u"]: r["context"] for r in windows.hard_cut(rows, "u", "t", head, 12, newest="at", key="at").collect()}
+    assert got == {1: "n=2\n\nnew\n\nol", 2: None, 3: "n=1\n\nx "}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, ctph, decontam, langid, licenses, pii, quality, records, ring, simhash
+from brindle.llm import bpe, ctph, decontam, langid, licenses, pii, quality, records, ring, simhash, trie
+from brindle.llm.shared import Scratch, range_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,5 +60,15 @@ def op10_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_langid": op4_langid, "op5_licenses": op5_licenses, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_records": op8_records, "op9_ctph": op9_ctph, "op10_ring": op10_ring}
-ORACLE: dict[str, str] = {"op5_licenses": licenses.oracle_sql()}
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, turns = Scratch(spark, "trie"), trie.digests(table(spark, sf_dir, "conversations"))
+    conv, parts = F.col("conv_id"), range_count(turns, 1)
+    rebuilt = trie.grafted(scratch, turns, conv - conv % 100, F.crc32(conv.cast("string")) % 6, 5, parts)
+    found = trie.build(scratch, rebuilt, ["part", "turn"], parts, turns.select("conv_id").distinct())
+    nodes = found.nodes.join(trie.ends_digest(found.members), ["key1", "key2", "depth"], "left")
+    sha = F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256")
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), sha)
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_langid": op4_langid, "op5_licenses": op5_licenses, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_records": op8_records, "op9_ctph": op9_ctph, "op10_ring": op10_ring, "op11_trie": op11_trie}
+ORACLE: dict[str, str] = {"op5_licenses": licenses.oracle_sql(), "op11_trie": trie.oracle_sql()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, ctph, decontam, langid, licenses, pii, quality, records, ring, simhash, trie
+from brindle.llm import bpe, ctph, decontam, langid, licenses, pii, quality, records, repair, ring, simhash, trie
 from brindle.llm.shared import Scratch, range_count
 
 
@@ -70,5 +70,10 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), sha)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_langid": op4_langid, "op5_licenses": op5_licenses, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_records": op8_records, "op9_ctph": op9_ctph, "op10_ring": op10_ring, "op11_trie": op11_trie}
-ORACLE: dict[str, str] = {"op5_licenses": licenses.oracle_sql(), "op11_trie": trie.oracle_sql()}
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.digested(turns, Scratch(spark, "repair").put(repair.examine(turns)))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_langid": op4_langid, "op5_licenses": op5_licenses, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_records": op8_records, "op9_ctph": op9_ctph, "op10_ring": op10_ring, "op11_trie": op11_trie, "op12_repair": op12_repair}
+ORACLE: dict[str, str] = {"op5_licenses": licenses.oracle_sql(), "op11_trie": trie.oracle_sql(), "op12_repair": repair.oracle_sql()}

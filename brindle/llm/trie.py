@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.running import chained, running
-from brindle.llm.shared import Scratch, own_columns, range_count
+from brindle.llm.shared import Scratch, crc32_sql, own_columns, range_count
 
 #: Turns of one block of a sort key. Longer conversations are ranked block by block, then by the ranks of their blocks.
 BLOCK = 512
@@ -138,19 +138,13 @@ def ends_digest(members: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key1 long, key2 long, depth long, ends_sha256 string")
 
 
-def _crc32(text: str) -> str:
-    """DuckDB has no CRC-32: the plain bitwise rule over the ASCII bytes of a string."""
-    byte = "list_reduce([xor(crc, octet), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, rest: xor(x >> 1, 3988292384 * (x & 1)))"
-    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda crc, octet: {byte}), 4294967295)"
-
-
 def oracle_sql() -> str:
     """The query's rows by paths of digests and a join of every node with all nodes above it."""
     return f"""
 WITH turns AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS n, coalesce(role, '') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL),
-takers AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS donor, {_crc32("conv_id::VARCHAR")} % 6 AS h FROM turns),
+takers AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS donor, {crc32_sql("conv_id::VARCHAR")} % 6 AS h FROM turns),
 rebuilt AS (
   SELECT t.conv_id, 0 AS part, o.n, o.role, o.text FROM takers t JOIN turns o ON o.conv_id = t.donor AND o.n <= t.h
   UNION ALL SELECT t.conv_id, 1, o.n, o.role, o.text FROM takers t JOIN turns o ON o.conv_id = t.conv_id AND o.n > t.h),

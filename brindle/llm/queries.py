@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, ctph, decontam, langid, licenses, pii, quality, records, repair, ring, simhash, trie
+from brindle.llm import bpe, ctph, decontam, langid, licenses, pii, quality, records, repair, ring, simhash, toxicity, trie
 from brindle.llm.shared import Scratch, range_count
 
 
@@ -75,5 +75,12 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digested(turns, Scratch(spark, "repair").put(repair.examine(turns)))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_langid": op4_langid, "op5_licenses": op5_licenses, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_records": op8_records, "op9_ctph": op9_ctph, "op10_ring": op10_ring, "op11_trie": op11_trie, "op12_repair": op12_repair}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents").select("doc_id", "text"), F.crc32(F.col("doc_id").cast("string")) % 3
+    model = toxicity.train(docs.where(fold != 1), table(spark, sf_dir, "labels"), docs)
+    held_out = F.coalesce(fold == 1, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_langid": op4_langid, "op5_licenses": op5_licenses, "op6_bpe": op6_bpe, "op7_pii": op7_pii, "op8_records": op8_records, "op9_ctph": op9_ctph, "op10_ring": op10_ring, "op11_trie": op11_trie, "op12_repair": op12_repair, "op13_toxicity": op13_toxicity}
 ORACLE: dict[str, str] = {"op5_licenses": licenses.oracle_sql(), "op11_trie": trie.oracle_sql(), "op12_repair": repair.oracle_sql()}

@@ -3,7 +3,8 @@
 ``encode_documents`` adds the token ids' digest columns (and the ids on request); ``decode`` gives the raw bytes of ids.
 Null and empty texts have no tokens. Texts of any length are encoded whole: a long text is first cut where no match of the split
 pattern can reach across (after an ASCII letter or digit, before a blank or line feed), so the pieces' ids joined are the ids of
-the whole. A long text without such a place is encoded in one piece. Repeated rows give repeated results; extra input columns
+the whole. A long text without such a place is encoded in one piece. A run of over 100,000 blanks, whose split by the pattern's
+look-ahead would exhaust the library's stack, is split by rule: all of it, or all but the last blank if more text follows, is one match. Repeated rows give repeated results; extra input columns
 pass through, those named like an output are replaced.
 """
 
@@ -25,6 +26,9 @@ from brindle.llm.shared import pieces, without
 #: Texts longer than this many characters are cut at safe boundaries.
 LONG = 200_000
 _SAFE = re.compile(r"[0-9A-Za-z](?=[ \n])")
+#: Blanks as the split pattern knows them, in runs too long for its look-ahead.
+RUN = 100_000
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN)
 
 
 @cache
@@ -51,8 +55,13 @@ def encode(text: str | None, rank_file: str | None = None, long: int = LONG) ->
     """Token ids (unsigned 32-bit) of a whole text."""
     if not text:
         return np.zeros(0, np.uint32)
-    enc = encoding(rank_file)
-    found = [enc.encode_to_numpy(piece, disallowed_special=()) for piece in safe_pieces(text, long)]
+    enc, found, at = encoding(rank_file), [], 0
+    for run in _RUN.finditer(text) if len(text) >= RUN else ():
+        end = run.end() - (run.end() < len(text))
+        found += [enc.encode_to_numpy(piece, disallowed_special=()) for piece in safe_pieces(text[at : run.start()], long)]
+        found.append(np.array(enc._encode_single_piece(text[run.start() : end]), np.uint32))
+        at = end
+    found += [enc.encode_to_numpy(piece, disallowed_special=()) for piece in safe_pieces(text[at:] if at else text, long)]
     return found[0] if len(found) == 1 else np.concatenate(found)
 
 

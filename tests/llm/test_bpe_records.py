@@ -41,6 +41,31 @@ def test_safe_pieces_keep_the_ids(plain):
     assert list(bpe.safe_pieces("x" * 50, 7)) == ["x" * 50]
 
 
+def by_match(text):
+    """Ids of each match of the split pattern apart, by the pattern's own engine in Python."""
+    import regex
+
+    enc = bpe.encoding()
+    return [i for m in regex.findall(public_tokenizers.PATTERN, text) for i in enc._encode_single_piece(m)]
+
+
+@pytest.mark.parametrize("n", [99_999, 100_000, 100_001, 3_000_000])
+@pytest.mark.parametrize("blank", [" ", "\n", "\u3000", "\t "])
+def test_long_runs_of_blanks(n, blank):
+    run = (blank * n)[:n]
+    for text in (run, f"{run}x y", f"word{run}", f"one 2{run}3, four{run} five"):
+        ids = bpe.encode(text)
+        assert b"".join(bpe.decode(ids)) == text.encode()
+        if n < 200_000 or text == run + "x y":
+            assert ids.tolist() == by_match(text)
+
+
+def test_a_long_run_beside_good_rows(spark):
+    texts = ["good", "x" + " " * 3_000_000 + "y", "\n" * 2_000_000, None]
+    got = bpe.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() for r, t in zip(sorted(got, key=lambda r: r["doc_id"]), texts, strict=True))
+
+
 def test_decode_in_blocks_may_split_characters():
     ids = bpe.encode("漢字" * 50)
     assert b"".join(bpe.decode(ids, block=1)) == ("漢字" * 50).encode()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,22 @@ def fingerprint(files: DataFrame, *columns: str) -> DataFrame:
     return level.agg(both().alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries"))
 
 
+def listing(rows: DataFrame) -> str:
+    """A mark of what a DataFrame over files will read, without opening any: its plan, and path, size and time of each file as listed by the scan.
+
+    Files that are rewritten in place within the clock's resolution and at the same size go unnoticed; rows from other sources than files have no mark of their data."""
+    plan = rows._jdf.queryExecution().analyzed()
+    leaves = plan.collectLeaves()
+    lines = [plan.canonicalized().toString()]
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if not leaf.getClass().getSimpleName().startswith("LogicalRelation"):
+            raise ValueError("only scans of files have a listing")
+        status = leaf.relation().location().allFiles().mkString("\n")
+        lines += sorted(re.sub(r"access_time=\d+; ", "", line) for line in status.split("\n"))
+    return sha256("\n".join(lines).encode()).hexdigest()
+
+
 def difference(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     """key and ``change``: added, changed, unchanged or removed."""
     a, b = old.select(key, F.col(digest).alias("__old")), new.select(key, F.col(digest).alias("__new"))

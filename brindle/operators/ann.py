@@ -243,7 +243,7 @@ class VectorIndex:
             for batch in batches:
                 for at in range(0, batch.num_rows, 2048):
                     new = scan.best(batch.slice(at, 2048))
-                    kept = new if kept is None else vector._first(pa.concat_tables([kept, new]), most)
+                    kept = new if kept is None else vector.first(pa.concat_tables([kept, new]), most)
             if kept is not None and kept.num_rows:
                 yield from kept.combine_chunks().to_batches()
 
@@ -299,7 +299,7 @@ class _Scan:
             "__query": pa.array(np.concatenate([*queries, np.zeros(0, np.int64)]).astype(np.int64)), names[0]: b.column(0).take(row),
             "similarity": pa.array(np.concatenate([*scores, np.zeros(0, np.float32)]).astype(np.float64)), "__bucket": b.column("__bucket").take(row), "__cell": b.column("__cell").take(row),
         })
-        return vector._first(found, self.most)
+        return vector.first(found, self.most)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.operators import lexical, vector
+from brindle.operators import inverted, lexical, vector
 
 VECTOR_WEIGHT = LEXICAL_WEIGHT = 0.5
 OVERFETCH = 2
@@ -41,7 +41,7 @@ def hybrid_topk(docs: DataFrame, entries: DataFrame, query_vector: Sequence[floa
     """Statistics are taken after the filter, as the vector side's candidates are. ``indexes``: a folder where lexical indexes of such parts are kept."""
     rows, points = (docs, entries) if where is None else (docs.where(where), entries.where(where))
     hits = vector.topk(points, query_vector, OVERFETCH * k, key=key).select(key, "similarity")
-    corpus = rows if indexes is None else lexical.Index(rows, indexes, key=key, text=text)
+    corpus = rows if indexes is None else inverted.Index(rows, indexes, key=key, text=text)
     return fuse(hits, lexical.bm25_or_fallback(corpus, terms, key=key, text=text), k, key=key)
 
 

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from hashlib import sha256
 from math import log
-from uuid import uuid4
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.operators import manifest
 from brindle.operators.spread import spread
 
 #: Runs of CJK ideographs stay whole; other words are ASCII letters, digits and _ + # . -
@@ -91,85 +89,30 @@ class Texts:
         return got["n"], got["avgdl"] or 0.0, [got[f"df{i}"] or 0 for i in range(len(order))]
 
     def mean_idf(self, n: int) -> float:
-        return document_frequency(self.docs, self.text).agg(F.avg(_raw_idf(n))).first()[0] or 0.0
+        return document_frequency(self.docs, self.text).agg(F.avg(raw_idf(n))).first()[0] or 0.0
 
 
-def _raw_idf(n: int) -> Column:
+def raw_idf(n: int) -> Column:
     return F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
 
 
-class Index:
-    """A corpus, or what a filter leaves of it, as stored postings and statistics: a query reads the lists of its own terms and nothing else.
-
-    Below ``root`` each content has a folder named by its fingerprint (one pass that hashes keys and texts, shuffling one row a task). So a changed
-    corpus is indexed anew, an unchanged one is not, and the parts under several filters stand side by side. A build fills a folder of its own and writes
-    the record that names it last. Keys are unique; null texts have no tokens. Lists lie in ``buckets`` folders by their token's hash, in the order of
-    tokens; rebalancing before the write parts a bucket that a frequent token fills over several tasks and files."""
-
-    def __init__(self, docs: DataFrame, root: str, *, key: str, text: str = "text", buckets: int = 64):
-        self.spark, self.key, self.buckets = docs.sparkSession, key, buckets
-        rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        self.kind = dict(rows.dtypes)["key"]
-        self.fingerprint = self._fingerprint(rows)
-        self.top = f"{root.rstrip('/')}/{self.fingerprint}"
-        self.record = manifest.read_commit(self.spark, f"{self.top}/current.json")
-        self.built = self.record is None or self.record["buckets"] != buckets
-        if self.built:
-            self.record = self._build(rows)
-
-    def _fingerprint(self, rows: DataFrame) -> str:
-        h = F.xxhash64("key", F.coalesce("text", F.lit("")))
-        n, total, mix = rows.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit("mix"), "key", F.coalesce("text", F.lit(""))))).first()
-        return sha256(f"{self.kind} {n} {total} {mix}".encode()).hexdigest()[:32]
-
-    def _build(self, rows: DataFrame) -> dict:
-        folder = f"{self.top}/{uuid4().hex[:12]}"
-        self._write(postings(spread(rows), "key"), f"{folder}/postings", "token", "key")
-        words = self._read(f"{folder}/postings", self._postings()).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-        self._write(words, f"{folder}/words", "token")
-        n, words = rows.count(), self._read(f"{folder}/words", "token string, df bigint, total bigint, bucket int")
-        mean, total = words.agg(F.avg(_raw_idf(n)), F.sum("total")).first()
-        record = {"folder": folder, "buckets": self.buckets, "n": n, "avgdl": (total or 0) / n if n else 0.0, "mean_idf": mean or 0.0}
-        manifest.write_commit(self.spark, f"{self.top}/current.json", record)
-        return record
-
-    def _postings(self) -> str:
-        return f"token string, key {self.kind}, dl int, tf bigint, bucket int"
-
-    def _bucket(self, token: Column) -> Column:
-        return F.pmod(F.xxhash64(token), F.lit(self.buckets)).cast("int")
-
-    def _write(self, rows: DataFrame, path: str, *order: str) -> None:
-        dealt = rows.withColumn("bucket", self._bucket(F.col("token"))).hint("rebalance", "bucket")
-        dealt.sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(path)
-
-    def _read(self, path: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(path)
-
-    def _of(self, order: list[str], name: str, schema: str) -> DataFrame:
-        """The rows of some terms: their buckets are constants, so other folders are not opened."""
-        rows = self._read(f"{self.record['folder']}/{name}", schema)
-        return rows.where(F.col("bucket").isin([self._bucket(F.lit(w)) for w in order]) & F.col("token").isin(order))
+class Corpus(Protocol):
+    """What scores are worked out from: ``Texts``, or a stored index (``inverted.Index``)."""
 
-    def counts(self, order: list[str]) -> DataFrame:
-        """As ``Texts.counts``, of the documents that hold any of the terms."""
-        each = [F.coalesce(F.max(F.when(F.col("token") == w, F.col("tf"))), F.lit(0)).alias(f"f{i}") for i, w in enumerate(order)]
-        rows = self._of(order, "postings", self._postings())
-        return rows.groupBy(F.col("key").alias(self.key), "dl").agg(F.lit(0).alias("__none"), *each).drop("__none")
+    key: str
 
-    def totals(self, order: list[str]) -> tuple[int, float, list[int]]:
-        df = {r["token"]: r["df"] for r in self._of(order, "words", "token string, df bigint, bucket int").select("token", "df").collect()}  # a row a term
-        return self.record["n"], self.record["avgdl"], [df.get(w, 0) for w in order]
+    def counts(self, order: list[str]) -> DataFrame: ...
 
-    def mean_idf(self, n: int) -> float:
-        return self.record["mean_idf"]
+    def totals(self, order: list[str]) -> tuple[int, float, list[int]]: ...
+
+    def mean_idf(self, n: int) -> float: ...
 
 
 class Statistics:
     """What scoring one query needs of a corpus: number of documents, mean length, document frequency of each term, and the mean idf over the
     vocabulary, which is asked for only if a term is so common that its own idf is negative. One row a term, and at most one number, reach the driver."""
 
-    def __init__(self, corpus: Texts | Index, terms: Sequence[str]):
+    def __init__(self, corpus: Corpus, terms: Sequence[str]):
         self.weight = Counter(terms)
         self.order = sorted(self.weight)
         self.n, self.avgdl, self.df = corpus.totals(self.order)
@@ -183,7 +126,7 @@ class Statistics:
         return [self.floor if r < 0 else r for r in self.raw]
 
 
-def _score(corpus: Texts | Index, stats: Statistics, fallback: bool) -> DataFrame:
+def _score(corpus: Corpus, stats: Statistics, fallback: bool) -> DataFrame:
     mean = max(stats.avgdl, 1.0) if fallback else stats.avgdl
     share = K1 * (1 - B + B * F.col("dl") / F.lit(mean)) if mean else F.lit(K1)
     total = F.lit(0.0)
@@ -194,11 +137,11 @@ def _score(corpus: Texts | Index, stats: Statistics, fallback: bool) -> DataFram
     return corpus.counts(stats.order).select(corpus.key, total.alias("score"))
 
 
-def _corpus(docs: DataFrame | Index, key: str, text: str) -> Texts | Index:
-    return docs if isinstance(docs, Index) else Texts(docs, key, text)
+def _corpus(docs: DataFrame | Corpus, key: str, text: str) -> Corpus:
+    return Texts(docs, key, text) if isinstance(docs, DataFrame) else docs
 
 
-def bm25(docs: DataFrame | Index, terms: Sequence[str], *, key: str, text: str = "text", fallback: bool = False) -> DataFrame:
+def bm25(docs: DataFrame | Corpus, terms: Sequence[str], *, key: str, text: str = "text", fallback: bool = False) -> DataFrame:
     """key, score of all documents for one query's terms, repeats counting; from an index, of those that hold any term (others have 0).
 
     Okapi form: idf = ln(n - df + 0.5) - ln(df + 0.5), a negative one replaced by a quarter of the mean idf over the vocabulary. ``fallback``:
@@ -207,7 +150,7 @@ def bm25(docs: DataFrame | Index, terms: Sequence[str], *, key: str, text: str =
     return _score(corpus, Statistics(corpus, terms), fallback)
 
 
-def bm25_or_fallback(docs: DataFrame | Index, terms: Sequence[str], *, key: str, text: str = "text") -> DataFrame:
+def bm25_or_fallback(docs: DataFrame | Corpus, terms: Sequence[str], *, key: str, text: str = "text") -> DataFrame:
     """The Okapi scores, or the fallback's for all documents where no Okapi score is above 0."""
     corpus = _corpus(docs, key, text)
     stats = Statistics(corpus, terms)

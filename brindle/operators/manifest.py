@@ -25,20 +25,25 @@ def fingerprint(files: DataFrame, *columns: str) -> DataFrame:
     return level.agg(both().alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries"))
 
 
-def listing(rows: DataFrame) -> str:
-    """A mark of what a DataFrame over files will read, without opening any: its plan, and path, size and time of each file as listed by the scan.
+def listed(rows: DataFrame) -> tuple[str, dict[str, str]]:
+    """What a DataFrame over files will read, without opening any: its plan, and the size and time of each file by its path, as the scan has listed them.
 
-    Files that are rewritten in place within the clock's resolution and at the same size go unnoticed; rows from other sources than files have no mark of their data."""
+    Files that are rewritten in place within the clock's resolution and at the same size go unnoticed. Other sources than files are an error."""
     plan = rows._jdf.queryExecution().analyzed()
-    leaves = plan.collectLeaves()
-    lines = [plan.canonicalized().toString()]
+    leaves, files = plan.collectLeaves(), {}
     for i in range(leaves.size()):
         leaf = leaves.apply(i)
         if not leaf.getClass().getSimpleName().startswith("LogicalRelation"):
             raise ValueError("only scans of files have a listing")
         status = leaf.relation().location().allFiles().mkString("\n")
-        lines += sorted(re.sub(r"access_time=\d+; ", "", line) for line in status.split("\n"))
-    return sha256("\n".join(lines).encode()).hexdigest()
+        files |= {m[1]: f"{m[2]} {m[3]}" for m in re.finditer(r"path=(.*?); isDirectory=.*?length=(\d+);.*?modification_time=(\d+);", status)}
+    return plan.canonicalized().toString(), files
+
+
+def listing(rows: DataFrame) -> str:
+    """``listed`` as one mark."""
+    plan, files = listed(rows)
+    return sha256("\n".join([plan, *sorted(f"{p} {m}" for p, m in files.items())]).encode()).hexdigest()
 
 
 def difference(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:

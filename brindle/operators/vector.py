@@ -78,7 +78,7 @@ def topk_many(entries: DataFrame, queries: DataFrame, k: int, *, key: str, query
             for batch in batches:
                 for at in range(0, batch.num_rows, 4096):
                     new = _best(wanted, len(shared.value), batch.slice(at, 4096), k)
-                    kept = new if kept is None else _first(pa.concat_tables([kept, new]), k)
+                    kept = new if kept is None else first(pa.concat_tables([kept, new]), k)
             if kept is not None and kept.num_rows:
                 yield from kept.combine_chunks().to_batches()
 
@@ -119,10 +119,10 @@ def _best(wanted: dict, n_queries: int, batch: pa.RecordBatch, k: int) -> pa.Tab
         query, row = np.nonzero(score >= least[:, None])
     else:
         query, row = (x.ravel() for x in np.indices(score.shape))
-    return _first(pa.table({"__query": pa.array(query, pa.int64()), batch.schema.names[0]: batch.column(0).take(pa.array(row)), "similarity": pa.array(score[query, row])}), k)
+    return first(pa.table({"__query": pa.array(query, pa.int64()), batch.schema.names[0]: batch.column(0).take(pa.array(row)), "similarity": pa.array(score[query, row])}), k)
 
 
-def _first(rows: pa.Table, k: int) -> pa.Table:
+def first(rows: pa.Table, k: int) -> pa.Table:
     """The first k rows of each query by similarity and key."""
     rows = rows.sort_by([("__query", "ascending"), ("similarity", "descending"), (rows.schema.names[1], "ascending")])
     query = rows.column("__query").to_numpy()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.operators import ann, hybrid, lexical, manifest, shards, vector
+from brindle.operators import ann, hybrid, inverted, lexical, manifest, shards, vector
 from brindle.operators.spread import spread
 from brindle.plans.registry import query, table
 from brindle.session import shared_folder
@@ -182,17 +182,65 @@ def _indexes(spark: SparkSession) -> str:
 
 @query(f"WITH {bm25_sql(TERMS)} SELECT doc_id, round(score, 6) AS score FROM scores WHERE score > 0 ORDER BY scores.score DESC, doc_id LIMIT {K}")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    index = lexical.Index(table(spark, d, "documents"), _indexes(spark), key="doc_id")
+    index = inverted.Index(table(spark, d, "documents"), _indexes(spark), key="doc_id")
     return lexical.candidates(lexical.bm25(index, TERMS, key="doc_id"), K, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {bm25_sql(TERMS, True)} SELECT doc_id, round(score / (SELECT max(score) FROM scores), 6) AS score FROM scores WHERE score > 0 ORDER BY scores.score DESC, doc_id LIMIT {K}")
 def bm25_fallback_topk(spark: SparkSession, d: str) -> DataFrame:
-    index = lexical.Index(table(spark, d, "documents"), _indexes(spark), key="doc_id")
+    index = inverted.Index(table(spark, d, "documents"), _indexes(spark), key="doc_id")
     scores = lexical.bm25(index, TERMS, key="doc_id", fallback=True)
     return lexical.normalised_candidates(scores, K, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
+def _many_bm25_sql(k: int, fallback: bool = False, corpus: str = "documents") -> str:
+    """As ``bm25_sql``, for each document whose id is divisible by 50 as a query."""
+    idf = "ln(1 + (n - df + 0.5) / (df + 0.5))" if fallback else "CASE WHEN ln(n - df + 0.5) - ln(df + 0.5) < 0 THEN 0.25 * mean_idf ELSE ln(n - df + 0.5) - ln(df + 0.5) END"
+    length = "greatest(avgdl, 1)" if fallback else "avgdl"
+    return f"""WITH x AS (SELECT doc_id, len(t)::DOUBLE AS dl, t FROM (SELECT doc_id, {_TOKENS.replace("(text", "(coalesce(text, '')")} AS t FROM {corpus})),
+    st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM x),
+    p AS (SELECT doc_id, dl, token, count(*)::DOUBLE AS f FROM (SELECT doc_id, dl, unnest(t) AS token FROM x) GROUP BY ALL),
+    dfs AS (SELECT token, count(*)::DOUBLE AS df FROM p GROUP BY token),
+    me AS (SELECT avg(ln(n - df + 0.5) - ln(df + 0.5)) AS mean_idf FROM dfs, st),
+    q AS (SELECT query_id, token, count(*)::DOUBLE AS w FROM (SELECT doc_id AS query_id, unnest({_TOKENS}) AS token FROM documents WHERE doc_id % 50 = 0) GROUP BY ALL),
+    scores AS (SELECT query_id, doc_id, round(sum(w * ({idf}) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / {length}))), 9) AS s FROM q JOIN p USING (token) JOIN dfs USING (token), st, me GROUP BY ALL)
+    SELECT query_id, doc_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM scores WHERE s > 0 QUALIFY rank <= {k}"""
+
+
+def _text_queries(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
+
+
+def _ranked(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(_many_bm25_sql(K))
+def bm25_many(spark: SparkSession, d: str) -> DataFrame:
+    """Every document whose id is divisible by 50 as a query against all, from the stored index."""
+    index = inverted.Index(table(spark, d, "documents"), _indexes(spark), key="doc_id")
+    return _ranked(index.topk_many(_text_queries(spark, d), K, query_key="query_id"))
+
+
+@query(_many_bm25_sql(K, True))
+def bm25_fallback_many(spark: SparkSession, d: str) -> DataFrame:
+    index = inverted.Index(table(spark, d, "documents"), _indexes(spark), key="doc_id")
+    return _ranked(index.topk_many(_text_queries(spark, d), K, query_key="query_id", fallback=True))
+
+
+_CHANGED = """(SELECT doc_id, CASE WHEN doc_id % 100 = 7 THEN text || ' ' || lang || ' onnd' ELSE text END AS text FROM documents WHERE doc_id % 100 <> 8)"""
+
+
+@query(_many_bm25_sql(3, corpus=_CHANGED))
+def bm25_after_change(spark: SparkSession, d: str) -> DataFrame:
+    """An index that had one document in a hundred changed and one removed, by a segment and a mark, ranks as one of the changed corpus."""
+    docs = table(spark, d, "documents")
+    index = inverted.Index(docs, shared_folder(spark, "lexical"), key="doc_id")
+    changed = docs.where("doc_id % 100 = 7").select("doc_id", F.concat("text", F.lit(" "), "lang", F.lit(" onnd")).alias("text"))
+    index.change(changed, docs.where("doc_id % 100 = 8"))
+    return _ranked(index.topk_many(_text_queries(spark, d), 3, query_key="query_id"))
+
+
 def _hybrid_sql(k: int, where: str = "") -> str:
     docs = f"docs AS (SELECT * FROM documents WHERE {where or 'true'})"
     return f"""WITH {docs}, {bm25_sql(TERMS).replace("FROM documents", "FROM docs")},

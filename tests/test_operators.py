@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import paths
 from brindle.functions import text as X
-from brindle.operators import evaluate, hybrid, lexical, manifest, relational, traces, vector, windows
+from brindle.operators import evaluate, hybrid, inverted, lexical, manifest, relational, traces, vector, windows
 
 
 def one(spark, column, **values):
@@ -84,8 +84,8 @@ def test_bm25_index(spark, tmp_path):
     words = ["the", "cat", "sat", "down", "bird", "向量", "c++"]
     texts = [" ".join(words[(i * j) % 7] for j in range(i % 9)) for i in range(60)] + [None, "", "the " * 500]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    index = lexical.Index(docs, f"file://{tmp_path}", key="id", buckets=8)
-    assert index.built and not lexical.Index(docs.repartition(3), f"file://{tmp_path}", key="id", buckets=8).built
+    index = inverted.Index(docs, f"file://{tmp_path}", key="id", buckets=8)
+    assert index.built and not inverted.Index(docs.repartition(3), f"file://{tmp_path}", key="id", buckets=8).built
     for terms in (["the", "cat", "cat", "zebra"], ["c++"], ["zebra"], ["the"]):
         for fallback in (False, True):
             want = {r["id"]: r["score"] for r in lexical.bm25(docs, terms, key="id", fallback=fallback).where("score <> 0").collect()}
@@ -93,11 +93,11 @@ def test_bm25_index(spark, tmp_path):
             assert got == want
         want, got = (lexical.bm25_or_fallback(x, terms, key="id").where("score <> 0").collect() for x in (docs, index))
         assert sorted(map(tuple, want)) == sorted(map(tuple, got))
-    part = lexical.Index(docs.where("id % 2 = 0"), f"file://{tmp_path}", key="id", buckets=8)
-    assert part.built and part.totals(["the"])[0] == 32 and not lexical.Index(docs, f"file://{tmp_path}", key="id", buckets=8).built
+    part = inverted.Index(docs.where("id % 2 = 0"), f"file://{tmp_path}", key="id", buckets=8)
+    assert part.built and part.totals(["the"])[0] == 32 and not inverted.Index(docs, f"file://{tmp_path}", key="id", buckets=8).built
     plan = index.counts(["cat"])._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(token), EqualTo(token,cat)]" in plan and "PartitionFilters: [isnotnull(bucket" in plan
-    none = lexical.Index(docs.limit(0), f"file://{tmp_path}", key="id", buckets=8)
+    none = inverted.Index(docs.limit(0), f"file://{tmp_path}", key="id", buckets=8)
     assert none.totals(["the"]) == (0, 0.0, [0]) and lexical.bm25(none, ["the"], key="id").count() == 0
 
 

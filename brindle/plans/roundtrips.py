@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import text as X
-from brindle.operators import relational, store
+from brindle.operators import commits, relational, store
 from brindle.plans.registry import query, table
 from brindle.session import shared_folder
 from brindle.sources import files
@@ -163,3 +163,48 @@ def upload_problems(spark: SparkSession, d: str) -> DataFrame:
     name = F.when(k == 0, "a.txt").otherwise("A.PDF")
     content = F.concat(F.when(k == 2, "%PDF-").otherwise(""), F.col("text"))
     return table(spark, d, "documents").select("doc_id", relational.file_problem(name, F.when(k == 1, "text/plain").otherwise("application/pdf"), content, 3000).alias("problem"))
+
+
+@query("""WITH a AS (SELECT o_orderkey, o_custkey, o_orderstatus AS s FROM orders),
+    b AS (SELECT o_orderkey, o_custkey, s, o_custkey % 3 <> 1 AND s = CASE o_custkey % 3 WHEN 0 THEN 'O' ELSE 'F' END AS won FROM a),
+    c AS (SELECT o_orderkey, o_custkey, won, CASE WHEN won THEN 'C' ELSE s END AS s FROM b)
+    SELECT s AS status, count(*) AS n, count(*) FILTER (WHERE won) AS first_won, count(*) FILTER (WHERE o_custkey % 2 = 0 AND s = 'C') AS second_won FROM
+    (SELECT o_custkey, won, CASE WHEN o_custkey % 2 = 0 AND s = 'C' THEN 'D' ELSE s END AS t, s FROM c) GROUP BY s""")
+def store_compare_and_set(spark: SparkSession, d: str) -> DataFrame:
+    """Two rounds of claims on order states, grouped by the state between them; each is applied where its order still holds what it expects."""
+    kept = store.Store(spark, shared_folder(spark, "claims"), key="o_orderkey", buckets=16)
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"))
+    kept.rebuild(orders)
+    first = orders.where("o_custkey % 3 <> 1").select("o_orderkey", F.when(F.col("o_custkey") % 3 == 0, "O").otherwise("F").alias("expected"), F.lit("C").alias("status"))
+    won = kept.compare_and_set(first, "status")
+    between = kept.read().select("o_orderkey", "status")
+    second = orders.where("o_custkey % 2 = 0").select("o_orderkey", F.lit("C").alias("expected"), F.lit("D").alias("status"))
+    again = kept.compare_and_set(second, "status")
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    rows = between.join(won.withColumnRenamed("won", "w1"), "o_orderkey", "left").join(again.withColumnRenamed("won", "w2"), "o_orderkey", "left")
+    return rows.groupBy("status").agg(F.count("*").alias("n"), count(F.col("w1")).alias("first_won"), count(F.col("w2")).alias("second_won"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM orders ORDER BY o_orderkey % 101 DESC, o_orderkey LIMIT 10)")
+def point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Ten orders by key from a stored table: their buckets alone are opened."""
+    kept = store.Store(spark, shared_folder(spark, "lookup"), key="o_orderkey", buckets=64)
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    kept.rebuild(orders)
+    keys = [r[0] for r in orders.orderBy(F.desc(F.col("o_orderkey") % 101), "o_orderkey").select("o_orderkey").limit(10).collect()]
+    return kept.lookup(keys)
+
+
+@query("SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS chars, (SELECT count(*) FROM documents) AS listed, 2 AS generation FROM documents GROUP BY lang")
+def published_pair(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks and their manifest, published twice together and read back by the newest record."""
+    pair = commits.Published(spark, shared_folder(spark, "pair"))
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    for rows in (docs.where("doc_id % 2 = 0"), docs):
+        counts = rows.agg(F.count("*").alias("chunks"))
+        number = pair.publish({"chunks": lambda p, rows=rows: store.write_lines(rows, p), "manifest": lambda p, counts=counts: store.write_lines(counts, p)})
+    at = pair.paths()
+    chunks = spark.read.schema("doc_id bigint, lang string, text string").json(at["chunks"])
+    listed = spark.read.schema("chunks bigint").json(at["manifest"]).select(F.col("chunks").alias("listed"))
+    out = chunks.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+    return out.crossJoin(F.broadcast(listed)).withColumn("generation", F.lit(number))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,28 +66,39 @@ def confusion(cases: DataFrame, expected: str, chosen: str) -> DataFrame:
 GRID = 1000
 
 
-def nth(rows: DataFrame, value: str, place: Column, *by: str) -> DataFrame:
-    """The value at a place (from 1, a function of ``n``, the group's count) of each group's ascending order; exact at any size.
+def order_statistics(rows: DataFrame, value: str, places: Mapping[str, Column], *by: str) -> DataFrame:
+    """For each group its count ``n`` and the values at some places of its ascending order (from 1, functions of ``n``); exact at any size.
 
-    A quantile sketch brackets each group's value to about half a percent of its rows; how many rows lie below the bracket is counted, and only
-    the distinct values inside it are put in order. No group is gathered in one task but for that part."""
-    v = F.col(value)
+    One pass makes a quantile sketch that brackets each place to about half a percent of the rows; a second counts what lies below each bracket, and
+    the distinct values inside one, which alone are put in order. However many places are asked for, the rows are read twice and never gathered."""
+    v, names = F.col(value), list(places)
     some = rows.where(v.isNotNull()).select(*by, value)
     stats = some.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx(v, [i / GRID for i in range(GRID + 1)], 10 * GRID).alias("q"))
-    i = F.floor(place / F.col("n") * GRID).cast("int")
-    low, high = F.when(i > 2, F.get("q", i - 2)), F.when(i < GRID - 3, F.get("q", i + 3))
-    stats = stats.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("n").alias("__n"), place.cast("long").alias("__place"), low.alias("__low"), high.alias("__high"))
+    bounds = []
+    for k, name in enumerate(names):
+        i = F.floor(places[name] / F.col("n") * GRID).cast("int")
+        bounds += [places[name].cast("long").alias(f"__place{k}"), F.when(i > 2, F.get("q", i - 2)).alias(f"__low{k}"), F.when(i < GRID - 3, F.get("q", i + 3)).alias(f"__high{k}")]
+    stats = stats.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("n").alias("__n"), *bounds)
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
     joined = some.join(stats, same) if by else some.crossJoin(F.broadcast(stats))  # without groups: one row
-    inside = F.col("__low").isNull() | (v >= F.col("__low"))
-    keys = [*[f"__{c}" for c in by], "__n", "__place"]
-    counts = joined.where(F.col("__high").isNull() | (v <= F.col("__high"))).groupBy(*keys, F.when(inside, v).alias("v")).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(*[f"__{c}" for c in by] or [F.lit(0)]).orderBy(F.col("v").asc_nulls_first())  # the null row counts what lies below
-    counts = counts.withColumn("upto", F.sum("c").over(order))
-    hit = (F.col("upto") >= F.col("__place")) & (F.col("upto") - F.col("c") < F.col("__place")) & F.col("v").isNotNull()
-    return counts.where(hit).select(*[F.col(f"__{c}").alias(c) for c in by], F.col("v").alias("value"), F.col("__n").alias("n"))
+    below = [F.coalesce(v < F.col(f"__low{k}"), F.lit(False)) for k in range(len(names))]
+    inside = [~below[k] & F.coalesce(v <= F.col(f"__high{k}"), F.lit(True)) for k in range(len(names))]
+    keys = [*[f"__{c}" for c in by], "__n", *[f"__place{k}" for k in range(len(names))]]
+    some_inside = reduce(lambda a, b: a | b, inside)
+    counts = joined.groupBy(*keys, F.when(some_inside, v).alias("v")).agg(*[F.count_if(c).alias(f"below{k}") for k, c in enumerate(below)], *[F.count_if(c).alias(f"in{k}") for k, c in enumerate(inside)])
+    group = Window.partitionBy(*[f"__{c}" for c in by] or [F.lit(0)])
+    upto = [F.sum(f"below{k}").over(group) + F.sum(f"in{k}").over(group.orderBy(F.col("v").asc_nulls_first())) for k in range(len(names))]
+    counts = counts.select("*", *[u.alias(f"upto{k}") for k, u in enumerate(upto)])
+    hit = [(F.col(f"in{k}") > 0) & (F.col(f"upto{k}") >= F.col(f"__place{k}")) & (F.col(f"upto{k}") - F.col(f"in{k}") < F.col(f"__place{k}")) for k in range(len(names))]
+    found = counts.groupBy(*[f"__{c}" for c in by], "__n").agg(*[F.max(F.when(h, F.col("v"))).alias(n) for n, h in zip(names, hit, strict=True)])
+    return found.select(*[F.col(f"__{c}").alias(c) for c in by], F.col("__n").alias("n"), *names)
+
+
+def nth(rows: DataFrame, value: str, place: Column, *by: str) -> DataFrame:
+    """``order_statistics`` of one place: the groups, value, n."""
+    return order_statistics(rows, value, {"value": place}, *by).select(*by, "value", "n")
 
 
 def p95_floor(n: Column) -> Column:
@@ -107,14 +119,18 @@ def p_round(n: Column, share: float) -> Column:
 def tool_metrics(calls: DataFrame, *by: str, latency: str = "latency_ms", ok: str = "ok") -> DataFrame:
     """Calls, failures and two percentiles of each tool."""
     counts = calls.groupBy(*by).agg(F.count("*").alias("calls"), F.count_if(~F.col(ok)).alias("failures"))
-    for name, share in (("p50", 0.5), ("p95", 0.95)):
-        one = nth(calls, latency, p_round(F.col("n"), share), *by).select(*by, F.round("value", 3).alias(name))
-        counts = counts.join(one, list(by), "left")
-    return counts
-
-
-def interpolated(rows: DataFrame, value: str, shares: Sequence[float], *by: str) -> DataFrame:
-    return rows.groupBy(*by).agg(*[F.percentile(value, s).alias(f"p{round(s * 100)}") for s in shares])
+    found = order_statistics(calls, latency, {"p50": p_round(F.col("n"), 0.5), "p95": p_round(F.col("n"), 0.95)}, *by)
+    return counts.join(found.select(*by, F.round("p50", 3).alias("p50"), F.round("p95", 3).alias("p95")), list(by), "left")
+
+
+def interpolated(rows: DataFrame, value: str, shares: Sequence[float], *by: str, more: Mapping[str, Column] | None = None) -> DataFrame:
+    """Percentiles p<share> between the two neighbouring values, in proportion to the distance; ``more``: further order statistics of the same passes."""
+    at = lambda s: (F.col("n") - 1) * F.lit(s)
+    names = {s: f"p{round(s * 100)}" for s in shares}
+    places = {f"{name}{end}": f(at(s)).cast("long") + 1 for s, name in names.items() for end, f in (("_low", F.floor), ("_high", F.ceil))}
+    found = order_statistics(rows, value, {**places, **(more or {})}, *by)
+    between = lambda s, n: F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * (at(s) - F.floor(at(s)))
+    return found.select(*by, *[between(s, n).cast("double").alias(n) for s, n in names.items()], *(more or {}))
 
 
 def histogram(rows: DataFrame, value: str, edges: Sequence[tuple[int, int | None]]) -> DataFrame:

@@ -73,9 +73,8 @@ _NTH = "(SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_ty
 def latency_p50_p95(spark: SparkSession, d: str) -> DataFrame:
     """Three conventions for the 95th percentile, and the interpolated median."""
     e, n = table(spark, d, "events"), F.col("n")
-    out = evaluate.interpolated(e, "value", [0.5], "event_type").select("event_type", F.round("p50", 9).alias("p50"))
-    for name, place in (("p95_floor", evaluate.p95_floor(n)), ("p95_ceil", evaluate.p95_ceil(n)), ("p95_round", evaluate.p_round(n, 0.95))):
-        out = out.join(evaluate.nth(e, "value", place, "event_type").select("event_type", F.col("value").alias(name)), "event_type")
+    places = {"p95_floor": evaluate.p95_floor(n), "p95_ceil": evaluate.p95_ceil(n), "p95_round": evaluate.p_round(n, 0.95)}
+    out = evaluate.interpolated(e, "value", [0.5], "event_type", more=places).withColumn("p50", F.round("p50", 9))
     return out
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import manifest, relational, windows
+from brindle.operators import digests, manifest, relational, windows
 from brindle.plans.registry import query, table
+from brindle.session import shared_folder
 
 NOW = "TIMESTAMP '1998-01-01 00:00:00'"
 
@@ -242,3 +243,17 @@ def integrity_contiguous(spark: SparkSession, d: str) -> DataFrame:
 def integrity_events(spark: SparkSession, d: str) -> DataFrame:
     bad = F.try_parse_json("props").isNull() | F.get_json_object("props", "$.k").isNull() | (F.col("value") < 1)
     return table(spark, d, "events").where(bad).select("event_id")
+
+
+@query("""WITH a AS (SELECT doc_id, md5(text) AS h, lang FROM documents),
+    b AS (SELECT doc_id, CASE WHEN doc_id % 97 = 5 THEN md5(h) ELSE h END AS h, lang FROM a WHERE doc_id % 89 <> 3 UNION ALL SELECT doc_id + 1000000, h, lang FROM a WHERE doc_id % 83 = 1)
+    SELECT coalesce(a.doc_id, b.doc_id) AS key, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change
+    FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.h IS DISTINCT FROM b.h""")
+def digest_tree_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Two snapshots of the documents as digest trees, compared from the root."""
+    old = table(spark, d, "documents").select("doc_id", F.md5("text").alias("h"), "lang")
+    new = old.where("doc_id % 89 <> 3").withColumn("h", F.when(F.col("doc_id") % 97 == 5, F.md5("h")).otherwise(F.col("h")))
+    new = new.unionByName(old.where("doc_id % 83 = 1").withColumn("doc_id", F.col("doc_id") + 1000000))
+    top = shared_folder(spark, "trees")
+    trees = [digests.Tree.write(rows, f"{top}/{n}", "doc_id", "doc_id", "h", "lang") for n, rows in (("old", old), ("new", new))]
+    return digests.difference(*trees)

@@ -45,6 +45,9 @@ _SPACED = re.compile(rf"(?<!\w)(?:[^\W_]|[{_SIGNS}])(?:[ ._\-]{{1,3}}(?:[^\W_]|[
 _WORD = re.compile(r"[^\W\d_]+")
 _DOUBLE = re.compile(r"(.)\1+")
 _LETTER = re.compile(r"[^\W\d_]")
+_THRICE = re.compile(r"(.)\1\1")
+_AROUND = ".,;:?\"'()[]"
+_NOTHING: tuple[list[str], list[tuple[str, str]]] = ([], [])
 
 
 @cache
@@ -147,10 +150,36 @@ def readings(stretches: list[list[tuple[str, float]]], bits: np.ndarray, most: i
 
 
 class Reader:
-    """The readings of a text's tokens; keeps those of tokens met before (up to a number, then anew)."""
-
-    def __init__(self, bits: np.ndarray, keep: int = 500_000):
-        self.bits, self.keep, self.known = bits, keep, {}
+    """The readings of a text's tokens; keeps those of tokens met before (up to a number, then anew). ``wanted``: the stems to look for, or all."""
+
+    def __init__(self, bits: np.ndarray, wanted: dict | None = None, keep: int = 500_000):
+        self.bits, self.wanted, self.keep, self.known = bits, wanted, keep, {}
+        self.heads = None if wanted is None else {s[:3] for s in wanted}
+
+    def plain(self, token: str) -> bool:
+        """Whether a token is an undisguised word that begins like no wanted stem, as most are."""
+        word = token.strip(_AROUND)
+        if self.heads is None or not word.isalpha() or _THRICE.search(word):
+            return False
+        head = word[:3]
+        if len(head) < 3 or head[0] == head[1] or head[1] == head[2]:
+            head = (_DOUBLE.sub(r"\1", word) + "$")[:3]
+        return head not in self.heads
+
+    def stems(self, token: str) -> tuple[list[str], list[tuple[str, str]]]:
+        """The stems of a token (of those wanted), and what was restored in it."""
+        hit = self.known.get(token)
+        if hit is None:
+            if self.plain(token):
+                hit = _NOTHING
+            else:
+                words, changed = self.token(token)
+                found = {s for w in words for s in stems(w)}
+                hit = [s for s in found if self.wanted is None or s in self.wanted], changed
+            if len(self.known) >= self.keep:
+                self.known.clear()
+            self.known[token] = hit
+        return hit
 
     def restored(self, piece: str) -> list[str]:
         parts = [readings(lattice(piece[lo : lo + BLOCK]), self.bits) for lo in range(0, len(piece), BLOCK)]
@@ -180,27 +209,19 @@ def stems(word: str) -> list[str]:
     return [word[:n] for n in range(3, min(7, len(word)) + 1)] + [word + "$"]
 
 
-def found_stems(text: str, reader: Reader, wanted: dict | None = None) -> tuple[set[str], list[tuple[str, str]]]:
-    """The stems of a text (of those ``wanted``) and what was restored."""
+def found_stems(text: str, reader: Reader) -> tuple[set[str], list[tuple[str, str]]]:
+    """The stems of a text that the reader wants, and what was restored."""
     text = text.lower()
-    stems_of, changed, known = set(), [], reader.known
+    found, changed = set(), []
     for token in set(text.split()):
-        hit = known.get(token)
-        if hit is None:
-            words, new = reader.token(token)
-            hit = {s for w in words for s in stems(w)}
-            hit = ([s for s in hit if s in wanted] if wanted is not None else hit, new)
-            if len(known) >= reader.keep:
-                known.clear()
-            known[token] = hit
-        if hit[0]:
-            stems_of.update(hit[0])
-        if hit[1]:
+        hit = reader.stems(token)
+        if hit is not _NOTHING:
+            found.update(hit[0])
             changed += hit[1]
-    for span, found in reader.spaced(text):
-        changed.append((span, found[0]))
-        stems_of.update(s for x in found for w in _WORD.findall(x) for s in stems(w) if wanted is None or s in wanted)
-    return stems_of, changed
+    for span, read in reader.spaced(text):
+        changed.append((span, read[0]))
+        found.update(s for x in read for w in _WORD.findall(x) for s in stems(w) if reader.wanted is None or s in reader.wanted)
+    return found, changed
 
 
 def fit(documents: Iterable[np.ndarray], toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: float, rounds: int = 80) -> tuple[np.ndarray, float]:
@@ -242,10 +263,10 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, k
 
     def count(rows: DataFrame, wanted: dict | None) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            reader, found = Reader(bits.value), Counter()
+            reader, found = Reader(bits.value, wanted), Counter()
             for b in batches:
                 for t in b.column("text").to_pylist():
-                    found.update(found_stems(t, reader, wanted)[0])
+                    found.update(found_stems(t, reader)[0])
                     if len(found) > 1 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], ["stem", "n"])
                         found = Counter()
@@ -262,9 +283,9 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, k
     index = {s: i for i, s in enumerate(likely)}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(bits.value)
+        reader = Reader(bits.value, index)
         for b in batches:
-            found = [sorted(index[s] for s in found_stems(t, reader, index)[0]) for t in b.column("text").to_pylist()]
+            found = [sorted(index[s] for s in found_stems(t, reader)[0]) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["stems"])
 
     documents = [np.array(r["stems"], np.int64) for r in texts.where("toxic = 1").mapInArrow(held, "stems array<int>").collect()]  # the sample's toxic texts
@@ -285,12 +306,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        reader = Reader(model.bits)
+        reader = Reader(model.bits, model.causes)
         for batch in batches:
             for b in pieces(batch, column, 8 << 20):
                 scores, changes = [], []
                 for t in b.column(column).to_pylist():
-                    found, changed = found_stems(t or "", reader, model.causes)
+                    found, changed = found_stems(t or "", reader)
                     scores.append(model.score(found))
                     changes.append([{"found": a, "reading": r} for a, r in sorted(set(changed))])
                 struct = pa.list_(pa.struct([("found", pa.string()), ("reading", pa.string())]))

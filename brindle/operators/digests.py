@@ -39,7 +39,7 @@ class Tree:
         kind = dict(leaves.dtypes)["key"]
         stored = spark.read.schema(f"key {kind}, h string, bucket string, top string").parquet(f"{root}/rows")
         buckets = stored.groupBy("bucket").agg(_combined("key", "h").alias("h"), F.count("*").alias("n")).withColumn("top", F.substring("bucket", 1, 2))
-        buckets.repartition("top").write.mode("overwrite").partitionBy("top").parquet(f"{root}/buckets")
+        buckets.repartitionByRange("bucket").sortWithinPartitions("bucket").write.mode("overwrite").parquet(f"{root}/buckets")
         tops = cls._buckets(spark, root).groupBy("top").agg(_combined("bucket", "h").alias("h"), F.sum("n").alias("n"))
         found = {r["top"]: [r["h"], r["n"]] for r in tops.collect()}  # 256 at most
         manifest.write_commit(spark, f"{root}/tree.json", {"kind": kind, "digits": digits, "tops": found})

@@ -129,7 +129,8 @@ def search_attachments(chunks: DataFrame, states: DataFrame, query: Sequence[flo
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("similarity"), "document_id", "chunk_index"))
-    return found.withColumn("evidence_id", F.concat(F.lit("attachment_"), n.cast("string"))).orderBy(n).limit(max(1, min(5, limit)))
+    found = found.withColumn("__n", n).orderBy("__n").limit(max(1, min(5, limit)))
+    return found.withColumn("evidence_id", F.concat(F.lit("attachment_"), F.col("__n").cast("string"))).drop("__n")
 
 
 def unified_search(entries: DataFrame, parents: DataFrame, query: Sequence[float], k: int, threshold: float) -> DataFrame:

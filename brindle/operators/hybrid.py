@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.operators import inverted, lexical, vector
+from brindle.operators import ann, inverted, lexical, vector
 
 VECTOR_WEIGHT = LEXICAL_WEIGHT = 0.5
 OVERFETCH = 2
@@ -45,6 +45,34 @@ def hybrid_topk(docs: DataFrame, entries: DataFrame, query_vector: Sequence[floa
     return fuse(hits, lexical.bm25_or_fallback(corpus, terms, key=key, text=text), k, key=key)
 
 
+def hybrid_topk_many(corpus: inverted.Index, entries: DataFrame | ann.VectorIndex, queries: DataFrame, k: int, *, query_key: str, query_embedding: str = "query_embedding", query_text: str = "query_text") -> DataFrame:
+    """``hybrid_topk`` for many queries (query_key, a vector, a text) in one plan: query_key, the corpus's key, vector_score, lexical_score, score, rank.
+
+    The vector side is searched exactly over a table of key and embedding, or by an approximate index. Queries whose terms all have no positive weight take the
+    fallback's scores. Joined are the best 2k of both sides of each query, and the lexical scores of what the vector side found."""
+    key, most = corpus.key, OVERFETCH * k
+    if isinstance(entries, ann.VectorIndex):
+        near = entries.topk_many(queries, most, query_key=query_key, query_embedding=query_embedding)
+    else:
+        near = vector.topk_many(entries, queries, most, key=key, query_key=query_key, query_embedding=query_embedding)
+    near = near.select(query_key, key, clamp01(F.col("similarity")).alias("v"))
+
+    def lexical_side(some: DataFrame, fallback: bool) -> DataFrame:
+        lead = corpus.topk_many(some, most, query_key=query_key, query_text=query_text, fallback=fallback)
+        of_near = corpus.pair_scores(some, near, query_key=query_key, query_text=query_text, fallback=fallback).where("score > 0")
+        top = lead.where("rank = 1").select(query_key, F.col("score").alias("top"))
+        return lead.select(query_key, key, "score").unionByName(of_near).groupBy(query_key, key).agg(F.max("score").alias("score")).join(top, query_key).select(query_key, key, (F.col("score") / F.col("top")).alias("b"))
+
+    found = lexical_side(queries, False)
+    silent = queries.join(found.select(query_key).distinct(), query_key, "left_anti")
+    if not silent.isEmpty():
+        found = found.unionByName(lexical_side(silent, True))
+    v, b = F.coalesce("v", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
+    out = near.join(found, [query_key, key], "full_outer").select(query_key, key, v.alias("vector_score"), b.alias("lexical_score"), F.round(F.greatest(v, VECTOR_WEIGHT * v + LEXICAL_WEIGHT * b), 12).alias("score"))
+    best = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
+    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def best_child(hits: DataFrame, *, parent: str, score: str = "similarity", ties: Sequence[str] = ()) -> DataFrame:
     """The best hit of each parent."""
     first = Window.partitionBy(parent).orderBy(F.desc(score), *ties)

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from brindle.operators import lexical, manifest, vector
 from brindle.operators.spread import spread
@@ -231,17 +232,15 @@ class Index:
         Queries go to the tasks in blocks of about ``block``, a pass over the stored documents for each. A task multiplies the frequent terms as matrices and
         adds up the others; where a query's best so far beats all that a block of documents could reach by its frequent terms' largest weights, these are skipped for it.
         k rows a query and task are shuffled, never pairs."""
-        asked = queries.select(F.col(query_key).alias("query"), lexical.tokens(F.coalesce(query_text, F.lit(""))).alias("t"))
-        blocks = max(1, -(-queries.count() // block))
-        found = [self._block(asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i), k, fallback) for i in range(blocks)]
+        found = [self._block(asked, k, fallback) for asked in self._asked(queries, query_key, query_text, block)]
         names = {"__query": query_key, "key": self.key}
         return reduce(DataFrame.unionByName, found).withColumnsRenamed(names).select(query_key, self.key, "score", "rank")
 
-    def _block(self, asked: DataFrame, k: int, fallback: bool) -> DataFrame:
-        spark = self.spark
-        weights = asked.select("query", F.explode("t").alias("token")).groupBy("query", "token").agg(F.count("*").alias("w"))
-        df = self.words().join(F.broadcast(weights.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
-        got = weights.join(df, "token").toArrow()  # the terms of one block of queries
+    def _weighed(self, asked: DataFrame, fallback: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Query, term and weight (idf times how often the query has the term) of a block of queries (query, t), and the mean length."""
+        counts = asked.select("query", F.explode("t").alias("token")).groupBy("query", "token").agg(F.count("*").alias("w"))
+        df = self.words().join(F.broadcast(counts.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
+        got = counts.join(df, "token").toArrow()  # the terms of one block of queries
         n, total = self.size()
         mean = total / n if n else 0.0
         own, token, w, freq = (got[c].to_numpy() for c in ("query", "token", "w", "df"))
@@ -250,9 +249,35 @@ class Index:
             idf, mean = np.log(1 + (n - freq + 0.5) / (freq + 0.5)) if len(freq) else raw, max(mean, 1.0)
         else:
             idf = np.where(raw < 0, lexical.NEGATIVE_SHARE * self.mean_idf(n) if (raw < 0).any() else 0.0, raw)
+        return own, token.astype(str), w * idf, mean
+
+    def pair_scores(self, queries: DataFrame, pairs: DataFrame, *, query_key: str, query_text: str = "query_text", fallback: bool = False, block: int = 256) -> DataFrame:
+        """The scores of given pairs of a query and a document, those without a common term left out. Only the documents named are read for it."""
+        out = []
+        for asked in self._asked(queries, query_key, query_text, block):
+            own, token, weight, mean = self._weighed(asked, fallback)
+            named = pa.table({query_key: pa.array(own.tolist(), to_arrow_type(asked.schema["query"].dataType)), "token": pa.array(token.tolist(), pa.string()), "weight": pa.array(weight.astype(np.float64))})
+            weights = self.spark.createDataFrame(named)
+            share = F.lit(lexical.K1) * (1 - lexical.B + lexical.B * F.col("dl") / F.lit(mean)) if mean else F.lit(lexical.K1)
+            wanted = pairs.select(query_key, F.col(self.key).alias("key")).withColumn("bucket", self._bucket(F.col("key")))
+            rows = self.documents("key", "dl", "terms", "tf", "bucket").join(wanted, ["bucket", "key"]).select(query_key, "key", "dl", F.explode(F.arrays_zip("terms", "tf")).alias("x"))
+            rows = rows.select(query_key, "key", "dl", F.col("x.terms").alias("token"), F.col("x.tf").alias("f")).join(F.broadcast(weights), [query_key, "token"])
+            part = F.col("weight") * F.col("f") * (lexical.K1 + 1) / (F.col("f") + share)
+            out.append(rows.groupBy(query_key, F.col("key").alias(self.key)).agg(F.round(F.sum(part), PLACES).alias("score")))
+        return reduce(DataFrame.unionByName, out)
+
+    def _asked(self, queries: DataFrame, query_key: str, query_text: str, block: int) -> list[DataFrame]:
+        """The queries' tokens (query, t) in blocks."""
+        asked = queries.select(F.col(query_key).alias("query"), lexical.tokens(F.coalesce(query_text, F.lit(""))).alias("t"))
+        blocks = max(1, -(-queries.count() // block))
+        return [asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i) for i in range(blocks)]
+
+    def _block(self, asked: DataFrame, k: int, fallback: bool) -> DataFrame:
+        spark = self.spark
+        own, token, weight, mean = self._weighed(asked, fallback)
         names, query = np.unique(own, return_inverse=True)
-        terms, term = np.unique(token.astype(str), return_inverse=True)
-        shared = spark.sparkContext.broadcast((terms.tolist(), term, query, w * idf, len(names), mean))
+        terms, term = np.unique(token, return_inverse=True)
+        shared = spark.sparkContext.broadcast((terms.tolist(), term, query, weight, len(names), mean))
         kind = asked.schema["query"].dataType
         rows = self.documents("key", "dl", "terms", "tf")
         schema = T.StructType([T.StructField("__query", T.LongType()), rows.schema["key"], T.StructField("similarity", T.DoubleType())])

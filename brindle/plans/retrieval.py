@@ -193,6 +193,9 @@ def bm25_fallback_topk(spark: SparkSession, d: str) -> DataFrame:
     return lexical.normalised_candidates(scores, K, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
+_BEST_MANY = "SELECT query_id, doc_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM scores WHERE s > 0 QUALIFY rank <= {k}"
+
+
 def _many_bm25_sql(k: int, fallback: bool = False, corpus: str = "documents") -> str:
     """As ``bm25_sql``, for each document whose id is divisible by 50 as a query."""
     idf = "ln(1 + (n - df + 0.5) / (df + 0.5))" if fallback else "CASE WHEN ln(n - df + 0.5) - ln(df + 0.5) < 0 THEN 0.25 * mean_idf ELSE ln(n - df + 0.5) - ln(df + 0.5) END"
@@ -204,7 +207,7 @@ def _many_bm25_sql(k: int, fallback: bool = False, corpus: str = "documents") ->
     me AS (SELECT avg(ln(n - df + 0.5) - ln(df + 0.5)) AS mean_idf FROM dfs, st),
     q AS (SELECT query_id, token, count(*)::DOUBLE AS w FROM (SELECT doc_id AS query_id, unnest({_TOKENS}) AS token FROM documents WHERE doc_id % 50 = 0) GROUP BY ALL),
     scores AS (SELECT query_id, doc_id, round(sum(w * ({idf}) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / {length}))), 9) AS s FROM q JOIN p USING (token) JOIN dfs USING (token), st, me GROUP BY ALL)
-    SELECT query_id, doc_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM scores WHERE s > 0 QUALIFY rank <= {k}"""
+    {_BEST_MANY.format(k=k)}"""
 
 
 def _text_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -241,6 +244,23 @@ def bm25_after_change(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(index.topk_many(_text_queries(spark, d), 3, query_key="query_id"))
 
 
+_HYBRID_MANY = f"""{_many_bm25_sql(K).removesuffix(_BEST_MANY.format(k=K)).rstrip()},
+    v AS (SELECT query_id, vec_id AS doc_id, greatest(0, least(1, s)) AS v FROM ({MANY_SQL}) WHERE rank <= {2 * K}),
+    b AS (SELECT query_id, doc_id, s / max(s) OVER (PARTITION BY query_id) AS b, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS n FROM scores WHERE s > 0 AND query_id IN (SELECT query_id FROM v)),
+    c AS (SELECT query_id, doc_id FROM v UNION SELECT query_id, doc_id FROM b WHERE n <= {2 * K}),
+    f AS (SELECT query_id, doc_id, coalesce(v, 0.0) AS v, coalesce(b, 0.0) AS b, round(greatest(coalesce(v, 0.0), 0.5 * coalesce(v, 0.0) + 0.5 * coalesce(b, 0.0)), 12) AS score FROM c LEFT JOIN v USING (query_id, doc_id) LEFT JOIN b USING (query_id, doc_id))
+    SELECT query_id, doc_id, round(v, 6) AS vector_score, round(b, 6) AS lexical_score, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY f.score DESC, doc_id) AS rank FROM f QUALIFY rank <= {K}"""
+
+
+@query(_HYBRID_MANY)
+def hybrid_many(spark: SparkSession, d: str) -> DataFrame:
+    """Every document whose id is divisible by 50 and that has a vector as a query, by vector and text."""
+    index = inverted.Index(table(spark, d, "documents"), _indexes(spark), key="doc_id")
+    entries = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    hits = hybrid.hybrid_topk_many(index, entries, _asked(spark, d).join(_text_queries(spark, d), "query_id"), K, query_key="query_id")
+    return hits.select("query_id", "doc_id", *[F.round(c, 6).alias(c) for c in ("vector_score", "lexical_score", "score")], F.col("rank").cast("long").alias("rank"))
+
+
 def _hybrid_sql(k: int, where: str = "") -> str:
     docs = f"docs AS (SELECT * FROM documents WHERE {where or 'true'})"
     return f"""WITH {docs}, {bm25_sql(TERMS).replace("FROM documents", "FROM docs")},

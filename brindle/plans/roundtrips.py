@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import text as X
 from brindle.operators import commits, relational, store
+from brindle.operators.spread import spread
 from brindle.plans.registry import query, table
 from brindle.session import shared_folder
 from brindle.sources import files
@@ -67,34 +71,42 @@ def metadata_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _written(spark: SparkSession, rows: DataFrame, suffix: str) -> str:
-    """A folder with a file for each of a few rows (name, text)."""
+    """A folder with a file for each row (name, text); the tasks write them, several a folder."""
     top = shared_folder(spark, "files")
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(top).getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in rows.limit(1000).collect():
-        out = fs.create(path(f"{top}/{r['name']}{suffix}"), True)
-        out.write(r["text"].encode())
-        out.close()
-    return top
-
 
-def _notes(spark: SparkSession, d: str) -> DataFrame:
-    """The nation table, 25 rows at every size, as notes."""
-    return table(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey"), F.lit("/"), F.col("n_nationkey")).alias("name"), F.concat(F.lit("# "), F.col("n_name"), F.lit("\n\nKey "), F.col("n_nationkey"), F.lit("\n")).alias("text"))
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
+        files, root = fs.FileSystem.from_uri(top)
+        for b in batches:
+            for name, text in zip(b.column("name").to_pylist(), b.column("text").to_pylist(), strict=True):
+                at = f"{root}/{name}{suffix}"
+                files.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with files.open_output_stream(at) as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 
-_NOTE = "('# ' || n_name || chr(10) || chr(10) || 'Key ' || n_nationkey || chr(10))"
+    rows.select("name", "text").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return top
 
 
-@query(f"SELECT 'r' || n_regionkey || '/' || n_nationkey || '.md' AS path, {_NOTE} AS text, sha256({_NOTE}) AS sha256 FROM nation")
+@query("""SELECT lang || '/' || doc_id // 100 || '/' || doc_id || '.md' AS path, md5(text) AS text_md5, sha256(text) AS sha256 FROM documents WHERE lang IS NOT NULL""")
 def scan_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return files.markdown(spark, _written(spark, _notes(spark, d), ".md")).select("path", "text", "sha256")
+    """The documents as notes in folders, written by the tasks and scanned with their hashes."""
+    docs = table(spark, d, "documents").where("lang IS NOT NULL")
+    rows = docs.select(F.concat_ws("/", "lang", F.expr("doc_id DIV 100"), "doc_id").alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    return files.markdown(spark, _written(spark, spread(rows), ".md")).select("path", F.md5(F.col("text").cast("binary")).alias("text_md5"), "sha256")
+
+
+_PAGE = "(html || '<!-- ' || page_id || ' -->')"
 
 
-@query(f"SELECT 'r' || n_regionkey || '/' || n_nationkey || '.html' AS path, sha256({_NOTE}) AS sha256, length({_NOTE})::BIGINT AS size FROM nation")
+@query(f"SELECT 'p' || page_id % 10 || '/' || page_id || '.html' AS path, sha256({_PAGE}) AS sha256, strlen({_PAGE})::BIGINT AS size FROM pages")
 def scan_html(spark: SparkSession, d: str) -> DataFrame:
-    """Pages with their hashes, and the sizes of the listing."""
-    top = _written(spark, _notes(spark, d), ".html")
+    """The pages, made distinct by their numbers, with their hashes and the sizes of the listing."""
+    text = F.concat("html", F.lit("<!-- "), F.col("page_id").cast("string"), F.lit(" -->"))
+    rows = table(spark, d, "pages").select(F.concat(F.lit("p"), (F.col("page_id") % 10).cast("string"), F.lit("/"), F.col("page_id").cast("string")).alias("name"), text.alias("text"))
+    top = _written(spark, spread(rows), ".html")
     return files.html(spark, top).select("path", "sha256").join(files.listing(spark, top, [".HTML"]).select("path", "size"), "path")
 
 

@@ -143,3 +143,28 @@ def test_empty_corpus(spark):
     index.change(spark.createDataFrame([(5, "the cat"), (6, "a bird"), (7, "stone")], "id long, text string"))
     assert [r["id"] for r in index.topk_many(queries, 3, query_key="q").collect()] == [5]
     assert index.topk_many(queries.where(F.lit(False)), 3, query_key="q").count() == 0
+
+
+def test_fused_search_of_many_queries_equals_that_of_one(spark, corpus, tmp_path):
+    """As ``hybrid_topk`` for each query by itself; one has no known term, one only a term that every document has (the fallback's case)."""
+    from brindle.operators import ann, hybrid
+    from brindle.session import shared_folder
+
+    rng = np.random.default_rng(2)
+    docs = {d: f"all {x or ''}" for d, x in corpus.items()}
+    write(spark, docs, f"{tmp_path}/docs")
+    read = spark.read.parquet(f"{tmp_path}/docs")
+    index = inverted.Index(read, f"file://{tmp_path}/index", key="id", buckets=4)
+    vectors = {d: [float(x) for x in rng.normal(size=8)] for d in list(docs)[:200]}
+    entries = spark.createDataFrame(list(vectors.items()), "id long, embedding array<double>")
+    queries = {1: (vectors[5], "cat w3 w3 the"), 2: (vectors[9], "nothing known"), 3: (vectors[70], "all"), 4: ([1.0] * 8, "向量 w50 w59")}
+    table = spark.createDataFrame([(q, v, t) for q, (v, t) in queries.items()], "q long, query_embedding array<double>, query_text string")
+    near = ann.VectorIndex.build(entries, shared_folder(spark, "ann"), key="id", cells=4)
+    for side in (entries, near):
+        found = hybrid.hybrid_topk_many(index, side, table, 6, query_key="q").collect()
+        got = {q: [(r["id"], round(r["score"], 9)) for r in sorted(found, key=lambda r: r["rank"]) if r["q"] == q] for q in queries}
+        for q, (v, t) in queries.items():
+            if side is entries or q != 4:
+                want = hybrid.hybrid_topk(read, entries, v, lexical.query_terms(t), 6, key="id").collect()
+                assert got[q][:3] == [(r["id"], round(r["score"], 9)) for r in want][:3]
+                assert side is near or got[q] == [(r["id"], round(r["score"], 9)) for r in want]

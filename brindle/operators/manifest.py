@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,34 @@ def fingerprint(files: DataFrame, *columns: str) -> DataFrame:
     return level.agg(both().alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries"))
 
 
+def identity(files: DataFrame, *, collection_name: str, model: str, dimensions: int, chunk_size: int, chunk_overlap: int) -> str:
+    """The fingerprint that stored manifests of this version carry: ``sha256:`` and the hash of the canonical JSON (sorted keys, no blanks) of the
+    settings and of all files (path, content_sha256, chunk_count) in order of path.
+
+    A hash of one text is worked out in order, so one task streams the sorted files; nothing is gathered. ``fingerprint`` is the tree that
+    tasks work out side by side, for snapshots that no stored manifest has to match."""
+    rows = files.select("path", "content_sha256", F.col("chunk_count").cast("long").alias("chunk_count"))
+    count, chunks = rows.agg(F.count("*"), F.coalesce(F.sum("chunk_count"), F.lit(0))).first()
+    shown = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    payload = {
+        "schema_version": SCHEMA_VERSION, "collection_name": collection_name, "embedding": {"model": model, "dimensions": dimensions},
+        "chunking": {"chunk_size": chunk_size, "chunk_overlap": chunk_overlap}, "corpus": {"file_count": count, "chunk_count": chunks, "files": []},
+    }
+    head, tail = shown(payload).split('"files":[]')
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, comma = sha256(f'{head}"files":['.encode()), ""
+        for b in batches:
+            for row in b.to_pylist():
+                state.update(f"{comma}{shown(row)}".encode())
+                comma = ","
+        state.update(f"]{tail}".encode())
+        yield pa.RecordBatch.from_arrays([pa.array([f"sha256:{state.hexdigest()}"])], ["identity"])
+
+    found = rows.orderBy("path").coalesce(1).mapInArrow(run, "identity string").first()
+    return found[0] if found else f"sha256:{sha256(shown(payload).encode()).hexdigest()}"  # an empty plan may have no task
+
+
 def listed(rows: DataFrame) -> tuple[str, dict[str, str]]:
     """What a DataFrame over files will read, without opening any: its plan, and the size and time of each file by its path, as the scan has listed them.
 

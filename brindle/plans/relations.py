@@ -257,3 +257,14 @@ def digest_tree_diff(spark: SparkSession, d: str) -> DataFrame:
     top = shared_folder(spark, "trees")
     trees = [digests.Tree.write(rows, f"{top}/{n}", "doc_id", "doc_id", "h", "lang") for n, rows in (("old", old), ("new", new))]
     return digests.difference(*trees)
+
+
+@query("""WITH f AS (SELECT 'docs/' || lang || '/' || doc_id || '.md' AS path, sha256(text) AS h, length(text) // 500 + 1 AS n FROM documents WHERE lang IS NOT NULL)
+    SELECT 'sha256:' || sha256('{"chunking":{"chunk_overlap":50,"chunk_size":512},"collection_name":"learning_notes","corpus":{"chunk_count":' || sum(n)::BIGINT || ',"file_count":' || count(*) || ',"files":['
+    || string_agg('{"chunk_count":' || n || ',"content_sha256":"' || h || '","path":"' || path || '"}', ',' ORDER BY path) || ']},"embedding":{"dimensions":1024,"model":"m"},"schema_version":1}') AS identity FROM f""")
+def manifest_identity(spark: SparkSession, d: str) -> DataFrame:
+    """The fingerprint that a stored manifest of the documents would carry."""
+    docs = table(spark, d, "documents").where("lang IS NOT NULL")
+    files = docs.select(F.concat(F.lit("docs/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.sha2("text", 256).alias("content_sha256"), (F.floor(F.length("text") / 500) + 1).alias("chunk_count"))
+    found = manifest.identity(files, collection_name="learning_notes", model="m", dimensions=1024, chunk_size=512, chunk_overlap=50)
+    return spark.createDataFrame([(found,)], "identity string")

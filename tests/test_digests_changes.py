@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 
 from pyspark.sql import functions as F
@@ -55,3 +57,15 @@ def test_folder_changes_as_a_stream(spark, tmp_path):
     (tmp_path / "in" / "d.md").unlink()
     go()
     assert [b for b in batches if b] == [[("a.md", "added"), ("b.md", "added")], [("a.md", "changed"), ("b.md", "removed"), ("d.md", "added")], [("d.md", "removed")]]
+
+
+def test_identity_is_the_hash_of_canonical_json(spark):
+    rows = [("docs/ü.md", "a" * 64, 3), ("docs/a\"b.md", "b" * 64, 0), ("docs/Z.md", "c" * 64, 7), ("docs/😀.md", "d" * 64, 1), ("docs/\uffee.md", "e" * 64, 2)]
+    files = spark.createDataFrame(rows, "path string, content_sha256 string, chunk_count int").repartition(3)
+    settings = {"collection_name": "notes", "model": "模型", "dimensions": 8, "chunk_size": 5, "chunk_overlap": 1}
+    listed = [{"path": p, "content_sha256": h, "chunk_count": n} for p, h, n in sorted(rows)]
+    whole = {"schema_version": 1, "collection_name": "notes", "embedding": {"model": "模型", "dimensions": 8}, "chunking": {"chunk_size": 5, "chunk_overlap": 1}}
+    for some, of in ((files, listed), (files.limit(0), [])):
+        want = whole | {"corpus": {"file_count": len(of), "chunk_count": sum(f["chunk_count"] for f in of), "files": of}}
+        canonical = json.dumps(want, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        assert manifest.identity(some, **settings) == "sha256:" + hashlib.sha256(canonical.encode()).hexdigest()

@@ -146,18 +146,17 @@ def exceeding(rows: DataFrame, value: str, limits: Sequence[int]) -> DataFrame:
 
 
 def skill_fit(skills: DataFrame, by: str, importance: str, level: str, name: str) -> DataFrame:
-    """Fit of each profile: weighted share of the best possible level, band, up to three strengths and gaps by name."""
+    """Fit of each profile: weighted share of the best possible level, band, up to three strengths and gaps by name. One shuffle by profile."""
     imp, lvl = F.greatest(F.lit(1), F.least(F.lit(5), F.col(importance))), F.greatest(F.lit(0), F.least(F.lit(5), F.col(level)))
     rows = skills.select(by, F.col(name).alias("name"), imp.alias("imp"), lvl.alias("lvl"))
     strong = F.struct((-F.col("lvl")).alias("a"), (-F.col("imp")).alias("b"), F.col("name").alias("c"))
     gap = F.struct((-(F.lit(5) - F.col("lvl")) * F.col("imp")).alias("a"), (-F.col("imp")).alias("b"), F.col("name").alias("c"))
-    best = rows.groupBy(by).agg(
-        F.sum(F.col("imp") * F.col("lvl")).alias("got"), F.sum(F.col("imp") * 5).alias("possible"),
-    )
+    three = []
     for column, item, kept in (("s", strong, F.col("lvl") >= 4), ("g", gap, (F.col("imp") >= 4) & (F.col("lvl") <= 2))):
-        n = F.row_number().over(Window.partitionBy(by).orderBy("x"))
-        three = rows.where(kept).select(by, item.alias("x")).withColumn("n", n).where("n <= 3").groupBy(by).agg(F.array_sort(F.collect_list("x")).alias(column))
-        best = best.join(three, by, "left").withColumn(column, F.coalesce(column, F.array().cast(three.schema[column].dataType)))
+        place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(kept), item))
+        rows = rows.withColumn(column, F.when(kept & (place <= 3), item))
+        three.append(F.array_sort(F.collect_list(column)).alias(column))  # nulls are left out: three at most
+    best = rows.groupBy(by).agg(F.sum(F.col("imp") * F.col("lvl")).alias("got"), F.sum(F.col("imp") * 5).alias("possible"), *three)
     score = F.bround(F.when(F.col("possible") == 0, 0.0).otherwise(F.col("got") * 100.0 / F.col("possible"))).cast("int")
     band = F.when(score >= 85, "strong").when(score >= 70, "good").when(score >= 40, "partial").otherwise("weak")
     return best.select(by, score.alias("score"), band.alias("band"), F.array_join(F.transform("s", lambda x: x["c"].cast("string")), ",").alias("strengths"), F.array_join(F.transform("g", lambda x: x["c"].cast("string")), ",").alias("gaps"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from brindle.functions import text as X
 from brindle.operators import chunk_markdown, hybrid, manifest, relational, vector
 from brindle.operators.store import Store
+from brindle.session import shared_folder
 
 Embed = Callable[[DataFrame, str], DataFrame]  # rows and the text column's name to the rows with ``embedding``
 
@@ -17,37 +19,40 @@ Embed = Callable[[DataFrame, str], DataFrame]  # rows and the text column's name
 def build_notes(files: DataFrame, store: Store, embed: Embed, commit: str, settings: dict, *, size: int = chunk_markdown.SIZE, overlap: int = chunk_markdown.OVERLAP, dimension: int | None = None) -> str:
     """Bring a note index up to date with ``files`` (path, text, sha256); returns full, incremental or unchanged.
 
-    Files with the hash of the last build are neither chunked nor embedded again. The commit record is removed before the first change and
-    written after the stored rows have been counted, so an interrupted build is not ready."""
+    Files with the hash of the last build are neither chunked nor embedded again; a store whose key is ``source`` rewrites only the buckets of files that changed.
+    What the provider gave is written before it is checked and stored, so nothing is asked of it twice. Files without any chunk have no stored row; they are a table
+    beside the commit record. That record is removed before the first change and written after the stored rows have been counted, so an interrupted build is not ready."""
     spark = store.spark
     last = manifest.read_commit(spark, commit)
-    same = bool(last) and last.get("settings") == settings and store.exists()
+    same = bool(last) and last.get("settings") == settings and isinstance(last.get("empty_files"), str) and store.exists()
     old = store.read().groupBy("source").agg(F.first("file_sha256").alias("digest"), F.count("*").cast("long").alias("chunks")) if same else None
     new = files.select(F.col("path").alias("source"), F.col("sha256").alias("digest"))
     if old is None:
         mode, wanted = "full", files
     else:
-        # A file without any chunk has no stored row; its hash is kept in the commit record's table of all files.
         changes = manifest.difference(old.select("source", "digest"), new, "source", "digest")
-        known = spark.createDataFrame([(p, d) for p, d in last.get("empty_files", {}).items()], "source string, digest string")
+        known = spark.read.schema("source string, digest string").parquet(last["empty_files"])
         changes = changes.join(new.join(known, ["source", "digest"], "left_semi").select("source").withColumn("still_empty", F.lit(True)), "source", "left").where("still_empty IS NULL OR change <> 'added'")
         mode = manifest.mode(changes, True, store.count() == last.get("chunks"))
         wanted = files.join(changes.where("change IN ('added', 'changed')").select(F.col("source").alias("path")), "path", "left_semi") if mode == "incremental" else files
     if mode == "unchanged":
         return mode
     chunks = chunk_markdown.chunk_table(wanted, "path", "text", size, overlap).join(wanted.select(F.col("path").alias("source"), F.col("sha256").alias("file_sha256")), "source")
-    rows = made = embed(chunks, "content").persist()  # checked and stored from one run of the provider
+    rows = embed(chunks, "content")
+    made = shared_folder(spark, "embedded")
+    rows.write.parquet(made)
+    rows = spark.read.schema(rows.schema).parquet(made)
     if dimension is not None:
         found = vector.check_embeddings(rows, dimension).first()
         if found["wrong_dimension"] or found["not_finite"]:
             raise ValueError(f"bad embeddings: {found.asDict()}")
     manifest.invalidate(spark, commit)
     if mode == "incremental":
-        gone = changes.where("change IN ('changed', 'removed')").select("source")
-        rows = store.read().join(gone, "source", "left_anti").unionByName(rows)
-    stored = store.rebuild(rows)
-    made.unpersist()
-    empty = {r["path"]: r["sha256"] for r in files.join(stored.select(F.col("source").alias("path")).distinct(), "path", "left_anti").select("path", "sha256").collect()}
+        stored = store.replace_groups(rows, "source", changes.where("change IN ('changed', 'removed')").select("source"))
+    else:
+        stored = store.rebuild(rows)
+    empty = f"{commit}-empty/{uuid4().hex[:12]}"
+    files.select(F.col("path").alias("source"), F.col("sha256").alias("digest")).join(stored.select("source").distinct(), "source", "left_anti").write.parquet(empty)
     print_ = manifest.fingerprint(files.select("path", "sha256"), "path", "sha256").first()
     manifest.write_commit(spark, commit, {"settings": settings, "chunks": stored.count(), "fingerprint": print_["fingerprint"], "files": print_["entries"], "empty_files": empty})
     return mode

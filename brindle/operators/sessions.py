@@ -18,7 +18,7 @@ def new_session(requests: DataFrame, now: Column, first_id: int, default_title:
 def touch(sessions: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
     """Sessions named in keys (id) get ``updated_at``."""
     mark = keys.select("id").distinct().withColumn("__t", F.lit(True))
-    return sessions.join(F.broadcast(mark), "id", "left").withColumn("updated_at", F.when(F.col("__t"), now).otherwise(F.col("updated_at"))).select(*sessions.columns)
+    return sessions.join(mark, "id", "left").withColumn("updated_at", F.when(F.col("__t"), now).otherwise(F.col("updated_at"))).select(*sessions.columns)
 
 
 def retitle(sessions: DataFrame, titles: DataFrame) -> DataFrame:

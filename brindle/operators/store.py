@@ -121,9 +121,10 @@ class Store:
     def delete_where(self, condition) -> DataFrame:
         return self._change(lambda record: (self._read(record).where(~F.coalesce(condition, F.lit(False))), None))
 
-    def replace_groups(self, rows: DataFrame, group: str) -> DataFrame:
-        """All old rows of the groups that occur in ``rows`` give way to them, so a shorter group leaves no tail."""
-        return self._changed(rows, group, lambda old: old.join(rows.select(group).distinct(), group, "left_anti").unionByName(rows), rows)
+    def replace_groups(self, rows: DataFrame, group: str, remove: DataFrame | None = None) -> DataFrame:
+        """All old rows of the groups that occur in ``rows`` (or ``remove``) give way to them, so a shorter group leaves no tail."""
+        groups = rows.select(group) if remove is None else rows.select(group).unionByName(remove.select(group))
+        return self._changed(groups, group, lambda old: old.join(groups.distinct(), group, "left_anti").unionByName(rows), rows)
 
     def compare_and_set(self, attempts: DataFrame, column: str, expected: str = "expected") -> DataFrame:
         """Rows of the table's key, ``expected`` and new values of columns, ``column`` among them: each is applied only where ``column`` still holds what is

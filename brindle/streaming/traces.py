@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from brindle.operators import traces
+from brindle.operators.commits import Log
 from brindle.operators.store import Store
 
 
@@ -64,14 +65,25 @@ def sessions(rows: DataFrame, by: str, gap: str = "30 minutes", late: str = "2 h
 
 
 def drain(rows: DataFrame, folder: str) -> DataFrame:
-    """Run a streaming aggregate over all input at hand; its last state as a table below ``folder``, where the log is too."""
-
-    def replace(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/table")
-
-    q = rows.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    """Run a streaming aggregate over all input at hand; its last state as a table below ``folder``, where the log is too.
+
+    Each batch writes its state to a folder of its number, which a commit record then names, so readers see one state or the next, whole; a batch
+    that is delivered again writes the same folder again."""
+    spark = rows.sparkSession
+    log = Log(spark, folder)
+
+    def show(batch: DataFrame, number: int) -> None:
+        at = f"{folder}/state-{number}"
+        batch.write.mode("overwrite").parquet(at)
+        log.create(number + 1, {"folder": at})
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        for old in log.prune(2):
+            path(old["folder"]).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(old["folder"]), True)
+
+    q = rows.writeStream.outputMode("complete").foreachBatch(show).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/table")
+    record = log.latest()[1]
+    return spark.read.schema(rows.schema).parquet(record["folder"]) if record else spark.createDataFrame([], rows.schema)
 
 
 def reclaim(documents: DataFrame, now, act: Callable[[DataFrame], None]) -> int:

@@ -152,7 +152,7 @@ def readings(stretches: list[list[tuple[str, float]]], bits: np.ndarray, most: i
 class Reader:
     """The readings of a text's tokens; keeps those of tokens met before (up to a number, then anew). ``wanted``: the stems to look for, or all."""
 
-    def __init__(self, bits: np.ndarray, wanted: dict | None = None, keep: int = 500_000):
+    def __init__(self, bits: np.ndarray, wanted: dict | None = None, keep: int = 150_000):
         self.bits, self.wanted, self.keep, self.known = bits, wanted, keep, {}
         self.heads = None if wanted is None else {s[:3] for s in wanted}
 
@@ -267,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, k
             for b in batches:
                 for t in b.column("text").to_pylist():
                     found.update(found_stems(t, reader)[0])
-                    if len(found) > 1 << 20:
+                    if len(found) > 1 << 18:
                         yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], ["stem", "n"])
                         found = Counter()
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["stem", "n"])

@@ -49,8 +49,7 @@ def by_match(text):
     return [i for m in regex.findall(public_tokenizers.PATTERN, text) for i in enc._encode_single_piece(m)]
 
 
-@pytest.mark.parametrize("n", [99_999, 100_000, 100_001, 3_000_000])
-@pytest.mark.parametrize("blank", [" ", "\n", "\u3000", "\t "])
+@pytest.mark.parametrize("n, blank", [(99_999, " "), (100_000, "\n"), (100_000, "\u3000"), (100_001, "\t "), (100_001, " "), (3_000_000, " "), (3_000_000, "\n")])
 def test_long_runs_of_blanks(n, blank):
     run = (blank * n)[:n]
     for text in (run, f"{run}x y", f"word{run}", f"one 2{run}3, four{run} five"):

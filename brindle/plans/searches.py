@@ -242,3 +242,143 @@ def shard_by_listing(spark: SparkSession, d: str) -> DataFrame:
     shards.freeze(table(spark, d, "embeddings"), root, "label")
     hits = vector.topk(shards.frozen(spark, root, [4]), query_vector(spark, d), 8, key="vec_id")
     return hits.select("vec_id", F.col("label").cast("int").alias("label"), F.round("similarity", 6).alias("similarity"))
+
+
+@query("""SELECT l_orderkey, '[' || coalesce(string_agg('"' || trim(l_linestatus) || '"', ',' ORDER BY l_linenumber, l_linestatus) FILTER (WHERE l_linenumber % 3 <> 0), '') || ']' AS modes_json FROM lineitem GROUP BY l_orderkey""")
+def job_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Lists cleaned (blank and null items go) and stored as JSON text."""
+    mode = F.when(F.col("l_linenumber") % 3 == 0, F.when(F.col("l_linenumber") == 3, "  ")).otherwise(F.concat(F.lit(" "), "l_linestatus", F.lit(" ")))
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", mode.alias("m")))).alias("x"))
+    return sessions.job_rows(rows.select("l_orderkey", F.transform("x", lambda i: i["m"]).alias("modes")), ["modes"])
+
+
+@query("""WITH t AS (SELECT p_partkey, left(regexp_replace(regexp_replace('mcp_' || p_brand || '_' || p_type, '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g'), 30) AS name, p_brand, p_type FROM part),
+    r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_partkey) AS n FROM t)
+    SELECT p_partkey, CASE WHEN n > 1 THEN left(name, 21) || '_' || left(sha256(p_brand || ':' || p_type), 8) ELSE name END AS name FROM r""")
+def tool_names(spark: SparkSession, d: str) -> DataFrame:
+    """Local names of remote tools, cut to thirty characters; later ones of a name end in a hash."""
+    from brindle.functions import paths
+
+    tools = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("server"), F.col("p_type").alias("tool"))
+    return paths.distinct_tool_names(tools, "p_partkey", most=30).select("p_partkey", "name")
+
+
+@query("SELECT p_partkey, p_brand AS name, p_brand = 'search_attachments' AS forced FROM (SELECT p_partkey, CASE WHEN p_size = 7 THEN 'search_attachments' ELSE p_brand END AS p_brand FROM part) WHERE p_brand NOT IN ('Brand#12', 'Brand#34')")
+def tools_left(spark: SparkSession, d: str) -> DataFrame:
+    from brindle.operators import traces
+
+    tools = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") == 7, "search_attachments").otherwise(F.col("p_brand")).alias("name"))
+    return traces.available_tools(tools, ["Brand#12", "Brand#34"], True)
+
+
+@query("""WITH f AS (SELECT page_id, url, 'docs/' || CASE page_id % 3 WHEN 0 THEN 'Read_Me' WHEN 1 THEN 'read_me' ELSE '_con' END || '/' || page_id // 3 || '.md' AS safe FROM pages),
+    n AS (SELECT *, count(*) OVER (PARTITION BY lower(safe)) AS c FROM f)
+    SELECT page_id, c AS collides, CASE WHEN c > 1 THEN replace(safe, '.md', '') || '--' || left(sha256(url), 8) || '.md' ELSE safe END AS target FROM n""")
+def colliding_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Two of three paths differ in case only; the third has a reserved name. Characters no file system takes, and blanks at an end, are mended."""
+    from brindle.functions import paths
+
+    folder = F.when(F.col("page_id") % 3 == 0, "Read?Me").when(F.col("page_id") % 3 == 1, "read*me . ").otherwise("con")
+    rows = table(spark, d, "pages").select("page_id", F.concat_ws("/", F.lit("docs"), folder, F.concat(F.expr("page_id DIV 3").cast("string"), F.lit(".md"))).alias("path"), F.col("url").alias("source_path"))
+    return paths.distinct_paths(rows).select("page_id", F.col("collides").cast("long").alias("collides"), "target")
+
+
+@query("SELECT DISTINCT 'learning_notes_' || label AS collection FROM embeddings WHERE label % 3 <> 0")
+def shard_names(spark: SparkSession, d: str) -> DataFrame:
+    from brindle.operators import shards
+    from brindle.sources import files
+
+    label = F.col("label").cast("string")
+    rows = table(spark, d, "embeddings").select(F.when(F.col("label") % 3 == 0, F.concat(F.lit("other_"), label)).otherwise(F.concat(F.lit(shards.PREFIX), label)).alias("collection"))
+    return files.collections(rows, shards.PREFIX)
+
+
+@query("""SELECT CASE doc_id % 4 WHEN 1 THEN 'not_json' WHEN 2 THEN 'schema_version' WHEN 3 THEN 'fingerprint' ELSE 'ok' END AS state, count(*) AS n, sum(CASE WHEN doc_id % 4 = 0 THEN n_chars END)::BIGINT AS chunks FROM documents GROUP BY 1""")
+def manifest_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Manifests as texts, three of four broken in another way."""
+    from brindle.operators import shards
+
+    k, n = F.col("doc_id") % 4, F.col("n_chars").cast("string")
+    text = F.concat(F.lit('{"schema_version": '), F.when(k == 2, "7").otherwise("1"), F.when(k == 3, "").otherwise(', "fingerprint": "f"'), F.lit(', "chunks": '), n, F.lit(', "settings": {"model": "m"}'), F.when(k == 1, "").otherwise("}"))
+    good, bad = shards.manifests(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), text.alias("text")))
+    return bad.groupBy(F.col("problem").alias("state")).agg(F.count("*").alias("n"), F.lit(None).cast("long").alias("chunks")).unionByName(good.agg(F.lit("ok").alias("state"), F.count("*").alias("n"), F.sum("chunks").alias("chunks")))
+
+
+@query("SELECT doc_id, doc_id || CASE doc_id % 3 WHEN 0 THEN '.md' ELSE '.MD' END AS path FROM documents WHERE doc_id % 3 < 2")
+def markdown_entries(spark: SparkSession, d: str) -> DataFrame:
+    from brindle.sources import files
+
+    ending = F.when(F.col("doc_id") % 3 == 0, ".md").when(F.col("doc_id") % 3 == 1, ".MD").otherwise(".md.bak")
+    return files.entries(table(spark, d, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), ending).alias("path")))
+
+
+@query("""WITH c AS (SELECT c_custkey, c_name, mode FROM customer, (VALUES ('vector'), ('hybrid')) m(mode) WHERE c_custkey % 3 = 0)
+    SELECT 'c' || c_custkey AS id, 'who is ' || c_name AS query, mode FROM c""")
+def case_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """An evaluation set written and read back; its positive cases in every mode."""
+    from brindle.sources import files
+
+    top, k = shared_folder(spark, "matrix"), F.col("c_custkey")
+    sources = F.when(k % 3 == 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, d, "customer").select(F.concat(F.lit("c"), k.cast("string")).alias("id"), F.concat(F.lit("who is "), "c_name").alias("question"), sources.alias("expected_sources"))
+    store.write_lines(rows, top)
+    cases = files.select_cases(files.eval_cases(spark, top), positive_only=True)
+    return files.case_modes(cases, ["vector", "hybrid"]).select("id", "query", "mode")
+
+
+@query("""WITH r AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url, left(html, 60) AS snippet, regexp_extract(url, '^https://([^/:?]+)', 1) AS domain FROM pages WHERE url LIKE 'https://%' AND page_id % 7 <> 2)
+    SELECT min(page_id) AS place, url, arg_min(md5(snippet), page_id) AS snippet, min(domain) AS domain FROM r GROUP BY url""")
+def web_results(spark: SparkSession, d: str) -> DataFrame:
+    """Pages, every one offered twice, as search results: titled ones with a safe address, the first of each."""
+    from brindle.sources import files
+
+    k = F.col("page_id")
+    raw = table(spark, d, "pages").select(k.alias("page_id"), F.when(k % 7 == 2, "  ").otherwise(F.concat(F.lit("T"), k.cast("string"))).alias("title"), F.concat(F.lit(" "), "url").alias("url"), F.col("html").alias("content"), F.lit("2024").alias("published_at"))
+    raw = raw.withColumn("place", F.explode(F.array("page_id", F.col("page_id") + 100_000_000))).drop("page_id")
+    return files.web_results(raw, most_chars=60).select("place", "url", F.md5(F.col("snippet").cast("binary")).alias("snippet"), "domain")
+
+
+@query("SELECT true AS before, false AS after, count(*) AS n FROM part")
+def index_readiness(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a stored index holds what its manifest lists, before and after one row of it changes."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("child_id"), F.md5("p_name").alias("index_sha256"))
+    kept = store.Store(spark, shared_folder(spark, "ready"), key="child_id", buckets=8)
+    kept.rebuild(rows)
+    before = pipelines.ready(kept.read(), rows)
+    one = rows.orderBy("child_id").limit(1).withColumn("index_sha256", F.lit("other"))
+    kept.upsert(one, "child_id")
+    return kept.read().agg(F.lit(before).alias("before"), F.lit(pipelines.ready(kept.read(), rows)).alias("after"), F.count("*").alias("n"))
+
+
+_LIVE = "TIMESTAMP '1996-06-01 00:00:00'"
+
+
+@query(f"""WITH a AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'UPLOADED' ELSE 'INDEXING' END AS status, o_orderdate::TIMESTAMP > {_LIVE} AS live FROM orders),
+    c AS (SELECT l_orderkey AS id, count(*) AS n FROM lineitem WHERE l_linenumber > 2 GROUP BY l_orderkey)
+    SELECT CASE WHEN status = 'INDEXING' AND live THEN CASE WHEN n IS NULL THEN 'FAILED' ELSE 'READY' END ELSE status END AS status, count(*) AS documents,
+    sum(CASE WHEN status = 'INDEXING' AND live AND n IS NOT NULL THEN n WHEN id % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS vectors FROM a LEFT JOIN c USING (id) GROUP BY 1""")
+def attachments_published(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of indexing, unexpired documents replace their old ones; a document that brings none has failed."""
+    from brindle.operators import attachments
+
+    now = F.expr(_LIVE)
+    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "UPLOADED").otherwise("INDEXING").alias("status"), F.col("o_orderdate").cast("timestamp").alias("expires_at"), now.alias("updated_at"))
+    old = docs.where("id % 2 = 0").select(F.col("id").alias("document_id"), F.lit(0).cast("long").alias("chunk"))
+    chunks = table(spark, d, "lineitem").where("l_linenumber > 2").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").cast("long").alias("chunk"))
+    after, vectors = attachments.publish(docs, old, chunks, now)
+    counts = vectors.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("v"))
+    return after.join(counts, "id", "left").groupBy("status").agg(F.count("*").alias("documents"), F.coalesce(F.sum("v"), F.lit(0)).alias("vectors"))
+
+
+@query("""WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN ' a/b' WHEN 1 THEN '/a/b' WHEN 2 THEN 'a/../b' WHEN 3 THEN regexp_replace(url, '^[a-z]+://', '') WHEN 4 THEN 'a/b' ELSE 'parsed/' || page_id || '.json' END AS key,
+      CASE WHEN page_id % 5 = 0 THEN 0 ELSE 3 END AS pages, CASE page_id % 3 WHEN 0 THEN 'INDEXING' WHEN 1 THEN 'PARTIAL' ELSE 'READY' END AS status, CASE WHEN page_id % 4 = 0 THEN ' ' ELSE 'x' END AS word FROM pages)
+    SELECT page_id, CASE WHEN key IN (' a/b', '/a/b', 'a/../b') OR regexp_matches(key, '(^|/)[.]{0,2}(/|$)') THEN 'parsed_path' WHEN pages <= 0 THEN 'page_count' WHEN status = 'INDEXING' AND trim(word) = '' THEN 'parser'
+    WHEN status = 'PARTIAL' AND trim(word) = '' THEN 'error_code' END AS problem FROM p""")
+def parse_results_checked(spark: SparkSession, d: str) -> DataFrame:
+    from brindle.operators import attachments
+
+    k = F.col("page_id")
+    key = F.when(k % 6 == 0, " a/b").when(k % 6 == 1, "/a/b").when(k % 6 == 2, "a/../b").when(k % 6 == 3, F.regexp_replace("url", "^[a-z]+://", "")).when(k % 6 == 4, "a/b").otherwise(F.concat(F.lit("parsed/"), k.cast("string"), F.lit(".json")))
+    status = F.when(k % 3 == 0, "INDEXING").when(k % 3 == 1, "PARTIAL").otherwise("READY")
+    word = F.when(k % 4 == 0, " ").otherwise("x")
+    return table(spark, d, "pages").select("page_id", attachments.parse_problem(status, key, F.when(k % 5 == 0, 0).otherwise(3), word, word).alias("problem"))

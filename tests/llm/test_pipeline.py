@@ -65,12 +65,24 @@ def test_stages_take_odd_rows(spark, tmp_path):
     assert rows.count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+#: These read conversations: op11 gives their prefixes, op12 a row for each.
+CONVERSATIONS = {"op11_trie", "op12_repair"}
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES.keys() - CONVERSATIONS))
 def test_queries_cover_every_document(spark, sf, name):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = queries.QUERIES[name](spark, sf)
     assert got.count() == docs.count() == got.select("doc_id").distinct().count()
 
 
+def test_queries_cover_every_conversation(spark, sf):
+    convs = {r["conv_id"] for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    repaired = [r["conv_id"] for r in queries.op12_repair(spark, sf).collect()]
+    assert len(repaired) == len(convs) and set(repaired) == convs
+    root = queries.op11_trie(spark, sf).where("depth = 0").collect()
+    assert [(r["conv_id"], r["n_convs"], r["parent_conv_id"]) for r in root] == [(min(convs), len(convs), None)]
+
+
 def test_fingerprint_of_no_words():
     assert simhash.fingerprint(b"") == simhash.fingerprint(b" \n") == 0

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 from ipaddress import IPv6Address
@@ -35,7 +34,8 @@ from pyspark.sql import types as T
 
 from brindle.llm.shared import Scratch, own_columns, pieces, without
 
-KEY = b"set your own key"
+#: A key that anyone can read, for tests and the registered queries. Whoever holds the key can undo surrogates: real use needs its own.
+TEST_KEY = b"set your own key"
 ENUMERATED = 1 << 14
 #: Images tried for an entity whose first is taken.
 ATTEMPTS = 16
@@ -270,7 +270,7 @@ _MAKERS = {"EMAIL": _email, "SECRET": _secret, "IBAN": _iban, "IPV4": _ipv4, "IP
 
 
 @lru_cache(50_000)
-def surrogate(kind: str, text: str, key: bytes = KEY, attempt: int = 0) -> str:
+def surrogate(kind: str, text: str, key: bytes = TEST_KEY, attempt: int = 0) -> str:
     """The entity's image; attempts above 0 are images under other keys, drawn from this one."""
     if attempt:
         key = hashlib.blake2b(f"attempt {attempt}".encode(), key=key[:64], digest_size=32).digest()
@@ -336,7 +336,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
-def replace(text: str, key: bytes = KEY, redrawn: dict[tuple[str, str], int] | None = None) -> tuple[str, list[tuple[str, int, int]]]:
+def replace(text: str, key: bytes = TEST_KEY, redrawn: dict[tuple[str, str], int] | None = None) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with surrogates, and each surrogate's kind, start and end in it. ``redrawn`` has the attempt of entities whose first image is taken."""
     out, spans, at, size = [], [], 0, 0
     for start, end, kind, _ in entities(text):
@@ -350,12 +350,12 @@ def replace(text: str, key: bytes = KEY, redrawn: dict[tuple[str, str], int] | N
     return ("".join([*out, text[at:]]), spans) if spans else (text, spans)
 
 
-def surrogates(docs: DataFrame, text: str = "text", key: bytes = KEY, spans: bool = True) -> DataFrame:
+def surrogates(docs: DataFrame, text: str = "text", *, key: bytes, spans: bool = True) -> DataFrame:
     """All columns, the text replaced; with ``spans`` also n_entities and entities (kind, start, end in the new text). A pass before finds the images
     that are taken (``redraws``); it runs when this is called. No text is shuffled."""
-    if key == KEY:
-        warnings.warn("surrogates are drawn with the public default key; anyone can undo them", stacklevel=2)
-    redrawn = docs.sparkSession.sparkContext.broadcast(redraws(docs, text, key))  # entities whose image is taken: about their number squared over the format's size
+    if not key:
+        raise ValueError("a key is needed")
+    redrawn = docs.sparkSession.sparkContext.broadcast(redraws(docs, text, key=key))  # entities whose image is taken: about their number squared over the format's size
     kept, names = without(docs, *["n_entities", "entities"] * spans)
     column = f"c{names.index(text)}"
     kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -379,7 +379,7 @@ def surrogates(docs: DataFrame, text: str = "text", key: bytes = KEY, spans: boo
     return kept.mapInArrow(run, schema).toDF(*names, *["n_entities", "entities"] * spans)
 
 
-def images(docs: DataFrame, text: str = "text", key: bytes = KEY, redrawn: dict[tuple[str, str], int] | None = None) -> DataFrame:
+def images(docs: DataFrame, text: str = "text", *, key: bytes, redrawn: dict[tuple[str, str], int] | None = None) -> DataFrame:
     """kind, entity, surrogate (both in normal form) and sample (a spelling) of each entity of the corpus. Only entities are shuffled, each once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,11 +402,11 @@ def _clashes(pairs: DataFrame) -> DataFrame:
     return both.where("n > 1 OR (n > 0 AND seen)").select("kind", F.col("value").alias("surrogate"), "n", "seen")
 
 
-def redraws(docs: DataFrame, text: str = "text", key: bytes = KEY) -> dict[tuple[str, str], int]:
+def redraws(docs: DataFrame, text: str = "text", *, key: bytes) -> dict[tuple[str, str], int]:
     """The attempt of each entity whose first image is another's too, or an entity of the corpus itself: the first whose image is neither an entity nor
     any first or redrawn image. If none of ATTEMPTS is free (formats with few values, all in use) the first image stays."""
     scratch = Scratch(docs.sparkSession, "pii")
-    pairs = scratch.put(images(docs, text, key))
+    pairs = scratch.put(images(docs, text, key=key))
     bad = pairs.join(_clashes(pairs), ["kind", "surrogate"]).orderBy("kind", "surrogate", "entity").collect()  # as few as the broadcast above
     if not bad:
         scratch.clear()
@@ -424,7 +424,7 @@ def redraws(docs: DataFrame, text: str = "text", key: bytes = KEY) -> dict[tuple
     return out
 
 
-def collisions(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
+def collisions(docs: DataFrame, text: str = "text", *, key: bytes) -> DataFrame:
     """An audit of what ``surrogates`` gives over the whole corpus: kind, surrogate, n (distinct entities that got it) and seen (it occurs as an entity
     itself), for surrogates with n > 1 or seen, which only formats without a free value can have."""
-    return _clashes(images(docs, text, key, redraws(docs, text, key)))
+    return _clashes(images(docs, text, key=key, redrawn=redraws(docs, text, key=key)))

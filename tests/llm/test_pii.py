@@ -61,6 +61,14 @@ def test_coreference_and_distinctness():
     assert P.replace("x 97.51.17.173", b"one") != P.replace("x 97.51.17.173", b"two")
 
 
+def test_a_key_is_needed(spark):
+    rows = spark.createDataFrame([("a bob@x.org",)], "text string")
+    with pytest.raises(TypeError):
+        P.surrogates(rows)
+    with pytest.raises(ValueError):
+        P.surrogates(rows, key=b"")
+
+
 def test_spans_point_at_surrogates():
     text, spans = P.replace("a bob@x.org b 97.51.17.173 c")
     assert [(k, text[a:b]) for k, a, b in spans] == [(k, text[a:b]) for a, b, k, _ in P.entities(text)]
@@ -68,16 +76,16 @@ def test_spans_point_at_surrogates():
 
 def test_surrogates_over_rows(spark):
     rows = spark.createDataFrame([(1, "mail bob@x.org"), (2, None), (3, ""), (None, "plain"), (1, "mail bob@x.org")], "doc_id long, text string").withColumn("Entities", F.lit("clash"))
-    got = P.surrogates(rows)
+    got = P.surrogates(rows, key=P.TEST_KEY)
     assert got.columns == ["doc_id", "text", "n_entities", "entities"]
     by = [(r["doc_id"], r["text"], r["n_entities"]) for r in got.collect()]
     assert by[0] == by[4] and by[0][2] == 1 and by[1:4] == [(2, None, 0), (3, "", 0), (None, "plain", 0)]
-    assert P.surrogates(rows, spans=False).columns == rows.columns and P.surrogates(rows.limit(0)).count() == 0
+    assert P.surrogates(rows, key=P.TEST_KEY, spans=False).columns == rows.columns and P.surrogates(rows.limit(0), key=P.TEST_KEY).count() == 0
 
 
 def test_audit(spark):
     rows = spark.createDataFrame([(f"mail u{i}@x{i % 7}.org from 10.0.0.{i}",) for i in range(200)], "text string")
-    assert P.collisions(rows).where("n > 1").count() == 0
+    assert P.collisions(rows, key=P.TEST_KEY).where("n > 1").count() == 0
 
 
 def test_names_after_a_capitalised_word():
@@ -129,7 +137,7 @@ def test_many_names_have_images_of_their_own(spark):
     people += [f"{g} {a}{b}{c}" for group in P.NAMES.values() for g in group for a, b, c in letters[::17]]
     assert len(people) > 100_000
     rows = spark.createDataFrame([("; ".join(people[i : i + 500]),) for i in range(0, len(people), 500)], "text string")
-    images = P.images(rows)
+    images = P.images(rows, key=P.TEST_KEY)
     names = {p.split(" ", 1)[1] if p.split(" ")[0] in ("Mr", "Mrs", "Dr") else p for p in people}
     assert images.select("entity").distinct().count() == len(names) and images.groupBy("surrogate").count().where("count > 1").count() == 0
 
@@ -155,13 +163,13 @@ def test_surrogates_are_no_real_entities(spark):
     rows = [f"{e} and {P.replace(e)[0]}" for e in first]
     docs = spark.createDataFrame([(r,) for r in rows], "text string")
     real = {w for r in rows for w in r.split()} - {"and"}
-    got = [w for r in P.surrogates(docs).collect() for w in r["text"].split() if w != "and"]
-    assert not real & set(got) and len(set(got)) == len(real) and P.collisions(docs).count() == 0
+    got = [w for r in P.surrogates(docs, key=P.TEST_KEY).collect() for w in r["text"].split() if w != "and"]
+    assert not real & set(got) and len(set(got)) == len(real) and P.collisions(docs, key=P.TEST_KEY).count() == 0
 
 
 @pytest.mark.parametrize("column", ["a.b", "n_entities", "TEXT"])
 def test_columns_of_any_name(spark, column):
     rows = spark.createDataFrame([(1, "mail a@b.org now", 5)], ["doc_id", "text", column])
-    got = P.surrogates(rows, spans=False)
+    got = P.surrogates(rows, key=P.TEST_KEY, spans=False)
     assert got.columns == rows.columns and "a@b.org" not in got.first()["text"] and got.first()[2] == 5
-    assert P.surrogates(rows).columns == [c for c in rows.columns if c != "n_entities"] + ["n_entities", "entities"]
+    assert P.surrogates(rows, key=P.TEST_KEY).columns == [c for c in rows.columns if c != "n_entities"] + ["n_entities", "entities"]

@@ -244,6 +244,24 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(part / whole)
 
 
+def rounded(value: Column, places: int) -> Column:
+    """A double rounded as Python's ``round``: to the nearest decimal of its exact binary value, ties to even.
+
+    value * 10**places is split into the rounded product and its error (Dekker's product), so that whether it lies above, below or on a tie is known
+    exactly. Values too large to have such decimals (2**52 over 10**places) stay as they are; at most 15 places."""
+    scale = float(10**places)
+    split = lambda x: (x * 134217729.0) - ((x * 134217729.0) - x)  # noqa: E731  the upper half of the bits
+    x = value.cast("double")
+    high, s_high = split(x), split(F.lit(scale))
+    p = x * scale
+    error = ((high * s_high - p) + high * (scale - s_high) + (x - high) * s_high) + (x - high) * (scale - s_high)
+    low = F.floor(p).cast("double")
+    side = (p - low) - 0.5
+    up = (side > 0) | ((side == 0) & ((error > 0) | ((error == 0) & (F.pmod(low, F.lit(2.0)) == 1))))
+    whole = (low + F.when(up, 1.0).otherwise(0.0)) / scale
+    return F.when(F.abs(p) < 2.0**52, F.when((whole == 0) & (x < 0), F.lit(-0.0)).otherwise(whole)).otherwise(x)
+
+
 def merged(*maps: Column) -> Column:
     """Maps laid over one another, later values winning."""
     out = maps[0]

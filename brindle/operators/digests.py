@@ -1,6 +1,6 @@
 """Snapshots as trees of digests, compared from the root down.
 
-A row's digest stands in the bucket of its key's hash; buckets' digests are combined in threes of levels (two hexadecimal digits, then ``digits``, then
+A row's digest stands in the bucket of its key's hash; buckets' digests are combined on three levels (two hexadecimal digits, then ``digits``, then
 the rows). Two snapshots that agree in a node agree in all below it, so a comparison reads the small levels and then the rows of those buckets
 that differ, and joins nothing else. What it costs follows the change, not the snapshot.
 
@@ -35,7 +35,7 @@ class Tree:
         digest = F.sha2(F.to_json(F.struct(*[F.col(c).alias(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
         leaves = rows.select(F.col(key).alias("key"), digest.alias("h"), F.substring(F.sha2(F.col(key).cast("string"), 256), 1, digits).alias("bucket"))
         leaves = leaves.withColumn("top", F.substring("bucket", 1, 2))
-        leaves.repartition("top").sortWithinPartitions("top", "bucket", "key").write.mode("overwrite").partitionBy("top").parquet(f"{root}/rows")
+        leaves.repartitionByRange("bucket").sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("top").parquet(f"{root}/rows")
         kind = dict(leaves.dtypes)["key"]
         stored = spark.read.schema(f"key {kind}, h string, bucket string, top string").parquet(f"{root}/rows")
         buckets = stored.groupBy("bucket").agg(_combined("key", "h").alias("h"), F.count("*").alias("n")).withColumn("top", F.substring("bucket", 1, 2))

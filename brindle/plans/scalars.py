@@ -70,3 +70,12 @@ def province_parse(spark: SparkSession, d: str) -> DataFrame:
 def clamped_limit(spark: SparkSession, d: str) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     return table(spark, d, "events").select("event_id", k.try_cast("int").alias("k"), X.clamp_int(k, 1, 5, 3).alias("limit"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(sum(printf('%.4f', l_extendedprice * l_discount / 7)::DOUBLE), 6) AS four, round(sum(printf('%.2f', l_extendedprice * l_discount / 8)::DOUBLE), 6) AS two
+    FROM lineitem GROUP BY l_orderkey, l_linenumber""")
+def rounded_prices(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of prices rounded as Python does, to the exact binary value's nearest decimal."""
+    share = lambda n: F.col("l_extendedprice").cast("double") * F.col("l_discount").cast("double") / n
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.rounded(share(7), 4).alias("four"), X.rounded(share(8), 2).alias("two"))
+    return rows.groupBy("l_orderkey", "l_linenumber").agg(F.round(F.sum("four"), 6).alias("four"), F.round(F.sum("two"), 6).alias("two"))

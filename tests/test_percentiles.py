@@ -31,3 +31,16 @@ def test_no_group_is_gathered(spark):
     one = evaluate.order_statistics(rows, "v", {"first": F.lit(1), "last": F.col("n")}).collect()
     assert [tuple(r) for r in one] == [(1000, 0.0, 999.0)]
     assert evaluate.interpolated(rows.limit(0), "v", [0.5], "g").count() == 0
+
+
+def test_rounding_as_python_does(spark):
+    from brindle.functions import text as X
+
+    rng = random.Random(2)
+    values = [rng.uniform(-9, 9) for _ in range(3000)] + [rng.randint(-10**7, 10**7) / 10**rng.randint(0, 9) for _ in range(3000)] + [rng.randint(-(2**20), 2**20) / 2**rng.randint(0, 12) for _ in range(3000)]
+    values += [0.0, -0.0, 2.675, 1.005, 0.5, 1.5, 2.5, -0.5, 0.03125, 0.00005, 1e300, -1e22, 123456789.12345, None, float("inf")]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    for places in (0, 2, 4, 6):
+        got = {r["i"]: r["x"] for r in rows.select("i", X.rounded(F.col("v"), places).alias("x")).collect()}
+        assert [(v, got[i], round(v, places)) for i, v in enumerate(values) if v is not None and got[i] != round(v, places)] == []
+        assert got[values.index(None)] is None

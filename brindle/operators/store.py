@@ -178,6 +178,29 @@ class Store:
             fs.delete(p, True)
         return sorted(p.getName() for p in gone)
 
+    def backup(self, folder: str, stamp: str, keep: int) -> list[str]:
+        """Copy the live rows to ``folder``/backup-<stamp> and keep the newest ``keep`` copies by their stamps, this one included; the names kept, newest first.
+
+        A copy gets its name when it is whole, so an interrupted one is never taken for a backup; nothing is removed before that."""
+        if keep < 1:
+            raise ValueError("at least one backup is kept")
+        fs, path = self.log._fs, self.log._path
+        top = folder.rstrip("/")
+        target = path(f"{top}/backup-{stamp}")
+        if fs.exists(target):
+            raise ValueError(f"there is a backup of {stamp}")
+        self.read().write.mode("overwrite").parquet(f"{top}/.backup-{stamp}")
+        if not fs.rename(path(f"{top}/.backup-{stamp}"), target):
+            raise OSError(f"cannot name the backup of {stamp}")
+        names = sorted((s.getPath().getName() for s in fs.listStatus(path(top)) if s.getPath().getName().startswith("backup-")), reverse=True)
+        for old in names[keep:]:
+            fs.delete(path(f"{top}/{old}"), True)
+        return names[:keep]
+
+    def restore(self, folder: str, name: str) -> DataFrame:
+        """Replace everything by a backup's rows."""
+        return self.rebuild(self.spark.read.parquet(f"{folder.rstrip('/')}/{name}"))
+
     def problems(self, key: str) -> DataFrame:
         """Keys that occur more than once."""
         return self.read().groupBy(key).count().where("count > 1")

@@ -220,3 +220,17 @@ def published_pair(spark: SparkSession, d: str) -> DataFrame:
     listed = spark.read.schema("chunks bigint").json(at["manifest"]).select(F.col("chunks").alias("listed"))
     out = chunks.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
     return out.crossJoin(F.broadcast(listed)).withColumn("generation", F.lit(number))
+
+
+@query("SELECT s_suppkey, s_name || CASE WHEN s_suppkey % 4 < 3 THEN '+' ELSE '' END AS s_name, 'backup-3,backup-2' AS kept FROM supplier")
+def backups_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Four states of a table, each backed up; of the two that are kept the older is restored."""
+    top = shared_folder(spark, "backups")
+    kept = store.Store(spark, f"{top}/table", key="s_suppkey", buckets=4)
+    kept.rebuild(table(spark, d, "supplier").select("s_suppkey", "s_name"))
+    names: list[str] = []
+    for n in range(4):
+        names = kept.backup(f"{top}/copies", str(n), 2)
+        kept.upsert(kept.read().where(F.col("s_suppkey") % 4 == n).withColumn("s_name", F.concat("s_name", F.lit("+"))), "s_suppkey")
+    kept.restore(f"{top}/copies", names[0])
+    return kept.read().withColumn("kept", F.lit(",".join(names)))

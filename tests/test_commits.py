@@ -148,3 +148,21 @@ def test_a_pair_is_published_whole_or_not(spark, tmp_path, step):
         assert len(pair.sweep(1)) == 2 and seen() == (8, 8)
         with pytest.raises(ValueError):
             pair.roll_back()
+
+
+def test_backups(spark, tmp_path):
+    """A copy that was broken off is none; the newest are kept; a restored one is the table again."""
+    table = Store(spark, f"file://{tmp_path}/t", key="id", buckets=4)
+    copies = f"file://{tmp_path}/copies"
+    table.rebuild(states(spark, [(i, "a", 0) for i in range(9)]))
+    (tmp_path / "copies" / ".backup-0000").mkdir(parents=True)
+    assert table.backup(copies, "2024-01-01", 2) == ["backup-2024-01-01"]
+    table.upsert(states(spark, [(1, "b", 1)]), "id")
+    table.backup(copies, "2024-01-03", 2)
+    assert table.backup(copies, "2024-01-02", 2) == ["backup-2024-01-03", "backup-2024-01-02"]
+    with pytest.raises(ValueError):
+        table.backup(copies, "2024-01-02", 2)
+    with pytest.raises(ValueError):
+        table.backup(copies, "2024-01-04", 0)
+    table.delete_where(F.lit(True))
+    assert table.count() == 0 and table.restore(copies, "backup-2024-01-03").where("status = 'b'").count() == 1 and table.count() == 9

@@ -245,7 +245,7 @@ def bm25_after_change(spark: SparkSession, d: str) -> DataFrame:
 
 
 _HYBRID_MANY = f"""{_many_bm25_sql(K).removesuffix(_BEST_MANY.format(k=K)).rstrip()},
-    v AS (SELECT query_id, vec_id AS doc_id, greatest(0, least(1, s)) AS v FROM ({MANY_SQL}) WHERE rank <= {2 * K}),
+    v AS (SELECT query_id, vec_id AS doc_id, greatest(0, least(1, s)) AS v FROM ({MANY_SQL}) WHERE rank <= {2 * K} AND query_id IN (SELECT doc_id FROM documents)),
     b AS (SELECT query_id, doc_id, s / max(s) OVER (PARTITION BY query_id) AS b, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS n FROM scores WHERE s > 0 AND query_id IN (SELECT query_id FROM v)),
     c AS (SELECT query_id, doc_id FROM v UNION SELECT query_id, doc_id FROM b WHERE n <= {2 * K}),
     f AS (SELECT query_id, doc_id, coalesce(v, 0.0) AS v, coalesce(b, 0.0) AS b, round(greatest(coalesce(v, 0.0), 0.5 * coalesce(v, 0.0) + 0.5 * coalesce(b, 0.0)), 12) AS score FROM c LEFT JOIN v USING (query_id, doc_id) LEFT JOIN b USING (query_id, doc_id))

@@ -37,6 +37,8 @@ WORDS, LEAST, RADIUS = 5, 0.8, 4
 SURE, FAR, CHECK_BITS = 0.08, 0.25, 22
 #: Rows of one prefix, and variants worked on at a time.
 PREFIX_ROWS, VARIANTS = 1 << 22, 1 << 21
+#: Longest run of equal variants whose members are compared together with those of other runs.
+SHORT = 64
 _WORD = np.ones(256, bool)
 _WORD[[32, *range(9, 14)]] = False
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -138,30 +140,59 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
     return np.concatenate(chosen) if chosen else left
 
 
+def _by_value(values: np.ndarray, owners: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both sorted by value, then owner (below n): as one number where it fits 64 bits."""
+    bits = np.uint64(max(1, (n - 1).bit_length()))
+    if len(values) and int(values.max()).bit_length() + int(bits) > 64:
+        order = np.lexsort((owners, values))
+        return values[order], owners[order]
+    both = (values.astype(np.uint64) << bits) | owners.astype(np.uint64)
+    both.sort()
+    return both >> bits, (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
 def met(values: np.ndarray, owners: np.ndarray, check: np.ndarray, most: int = CHECK_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (a, b, distance) among owners of equal values, verified by their check bits. Neighbours in a run are compared, then all of its members that are not linked."""
-    order = np.lexsort((owners, values))
-    values, owners = values[order], owners[order]
-    same = np.flatnonzero((values[1:] == values[:-1]) & (owners[1:] != owners[:-1]))
-    if not len(same):
-        return owners[:0], owners[:0], np.zeros(0, np.int64)
-    pair = np.unique(owners[same].astype(np.int64) * len(check) + owners[same + 1])
+    """Links (a, b, distance) among owners of equal values, verified by their check bits. Neighbours in a run are compared, then all of its members that are not linked.
+
+    In large tables nearly every owner is in some short run by chance, so these are compared together, distance by distance of places; only runs longer than SHORT
+    are looked at one by one."""
+    values, owners = _by_value(values, owners, len(check))
+    equal = values[1:] == values[:-1]
+    same = np.flatnonzero(equal & (owners[1:] != owners[:-1]))
+    a, b = owners[same], owners[same + 1]
+    near = np.flatnonzero(np.bitwise_count(check[a] ^ check[b]) <= most)
+    pair = np.unique(a[near] * len(check) + b[near])
     a, b = pair // len(check), pair % len(check)
-    far = np.bitwise_count(check[a] ^ check[b]).astype(np.int64)
-    a, b, far = a[far <= most], b[far <= most], far[far <= most]
-    root = local_components(len(check), a, b)
-    edge = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]]))
-    open_ = [(x, y) for x, y in zip(edge[:-1][np.diff(edge) > 2].tolist(), edge[1:][np.diff(edge) > 2].tolist(), strict=True) if (root[owners[x:y]] != root[owners[x]]).any()]
-    more = [[a], [b], [far]]
-    for x, y in open_:
-        member = owners[x:y]
-        group = root[member]
-        main = group == np.bincount(group).argmax()
-        one, two = (g.ravel() for g in np.meshgrid(member[~main], member, indexing="ij"))  # all outside the largest group against all
+    more = [[a], [b], [np.bitwise_count(check[a] ^ check[b]).astype(np.int64)]]
+    if not (equal[1:] & equal[:-1]).any():  # no run of three
+        return tuple(x[0] for x in more)
+    root, known = np.arange(len(check)), np.unique(np.concatenate([a, b]))
+    root[known] = known[local_components(len(known), np.searchsorted(known, a), np.searchsorted(known, b))]
+
+    def keep(one: np.ndarray, two: np.ndarray) -> None:
         d = np.bitwise_count(check[one] ^ check[two])
         good = (d <= most) & (root[one] != root[two])
         for out, found in zip(more, (np.minimum(one, two)[good], np.maximum(one, two)[good], d[good]), strict=True):
             out.append(found.astype(np.int64))
+
+    edge = np.flatnonzero(np.concatenate([[True], ~equal, [True]]))
+    size = np.diff(edge)
+    own = np.flatnonzero(size > 2)
+    begin, size = edge[:-1][own], size[own]
+    group = root[owners[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]]
+    first = np.cumsum(size) - size
+    parted = np.minimum.reduceat(group, first) != np.maximum.reduceat(group, first)
+    for gap in range(2, SHORT):
+        run, left = begin[parted & (size <= SHORT) & (size > gap)], size[parted & (size <= SHORT) & (size > gap)] - gap
+        if not len(run):
+            break
+        at = np.repeat(run - np.cumsum(left) + left, left) + np.arange(left.sum())
+        keep(owners[at], owners[at + gap])
+    for x, n in zip(begin[parted & (size > SHORT)].tolist(), size[parted & (size > SHORT)].tolist(), strict=True):
+        member = owners[x : x + n]
+        group = root[member]
+        main = group == np.bincount(group).argmax()
+        keep(*(g.ravel() for g in np.meshgrid(member[~main], member, indexing="ij")))  # all outside the largest group against all
     return tuple(np.concatenate(x) for x in more)
 
 

@@ -193,3 +193,24 @@ def test_rules_for_odd_rows(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(5, "alpha beta gamma delta one"), (5, "totally different words are here now"), (None, "zz yy xx ww"), (9, None), (11, "q r s t u v")], key=str)
     assert S.near_duplicates(rows.limit(0)).count() == 0 and simhash.keep_one(rows.limit(0), find=S.near_duplicates).count() == 0
     assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "t")).count() == 0
+
+
+def test_short_runs_are_compared_together(monkeypatch):
+    """At the density of a table of three million rows, runs of three and more are common; none of them is looked at alone, and all links are found."""
+    rng = np.random.default_rng(3)
+    n = 20_000
+    owners, values = np.divmod(np.unique(rng.integers(0, n, 60_000) * 150_000 + rng.integers(0, 150_000, 60_000)), 150_000)
+    check = rng.integers(0, 2**63, 4000, np.uint64)[rng.integers(0, 4000, n)]
+    alone = []
+    monkeypatch.setattr(np, "meshgrid", lambda *a, **k: alone.append(a))
+    a, b, far = S.met(values.astype(np.uint64), owners, check)
+    assert not alone
+    order = np.lexsort((owners, values))
+    values, owners, want = values[order], owners[order], set()
+    for gap in range(1, 12):
+        at = np.flatnonzero(values[gap:] == values[:-gap])
+        d = np.bitwise_count(check[owners[at]] ^ check[owners[at + gap]])
+        want |= set(zip(owners[at][d <= S.CHECK_BITS].tolist(), owners[at + gap][d <= S.CHECK_BITS].tolist(), strict=True))
+    found = set(zip(a.tolist(), b.tolist(), strict=True))
+    root, full = (local_components(n, *np.array(sorted(x)).T) for x in (found, want))
+    assert found <= want and np.array_equal(root, full) and (np.bitwise_count(check[a] ^ check[b]) == far).all()

@@ -5,7 +5,8 @@ their keys; how many cells hold REACH of the sample's near neighbours is measure
 Every entry is then assigned to its nearest cell and coded, in one pass, and stored beside its own vector in ``buckets`` folders, sorted by
 cell. Search: each query names its nearest cells (``probes``); the folders of other cells are not opened, and of the rest only the codes are read. A task
 scores the codes of a cell for the queries that probe it, by table look-ups, and keeps its best ``k * rerank`` of each query; those alone meet the stored
-vectors again, and cosines decide. Entries are never paired with queries as rows, and no cell has to fit one task.
+vectors again, and cosines decide. An exact search (``exact``) reads the vectors of all cells instead, but passes over those of which no query's direction to the centre
+and the farthest entry from it leave room for a hit. Entries are never paired with queries as rows, and no cell has to fit one task.
 
 Vectors count by direction. Null vectors are no entries; vectors of another length, without length or not finite lie in a cell of their own that every query probes, and score 0.
 Ties fall by key. An index of no entries finds nothing. Entries may be added later under the trained quantisers (``add``).
@@ -55,10 +56,11 @@ def _nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nd
     """For each point the nearest centre and how near it is (product less half the centre's square)."""
     half = (centres**2).sum(1) / 2
     at, score = np.empty(len(points), np.int64), np.empty(len(points), np.float32)
-    for lo in range(0, len(points), 4096):
-        near = points[lo : lo + 4096] @ centres.T - half
-        at[lo : lo + 4096] = near.argmax(1)
-        score[lo : lo + 4096] = near.max(1)
+    for lo in range(0, len(points), 1024):
+        near = points[lo : lo + 1024] @ centres.T
+        near -= half
+        at[lo : lo + 1024] = near.argmax(1)
+        score[lo : lo + 1024] = near.max(1)
     return at, score
 
 
@@ -213,21 +215,45 @@ class VectorIndex:
         score = queries @ self.quantiser.centres.T - (self.quantiser.centres**2).sum(1) / 2
         return np.argsort(-score, axis=1, kind="stable")[:, : probes or self.record["probes"]]
 
-    def topk_many(self, queries: DataFrame, k: int, *, query_key: str, query_embedding: str = "query_embedding", probes: int | None = None, rerank: int = 10, where: Column | None = None, block: int = 2048) -> DataFrame:
-        """query_key, key, similarity, rank: about the k most similar entries of each query. ``where``: a condition on the entries' columns, applied before ranking.
+    def topk_many(self, queries: DataFrame, k: int, *, query_key: str, query_embedding: str = "query_embedding", probes: int | None = None, rerank: int = 10, where: Column | None = None, block: int = 2048, exact: bool = False) -> DataFrame:
+        """query_key, key, similarity, rank: about the k most similar entries of each query; with ``exact`` just these. ``where``: a condition on the entries' columns, applied before ranking.
 
         Queries go to the tasks in blocks of about ``block`` vectors, a pass over the cells that any of them probes for each."""
         asked = queries.select(query_key, query_embedding)
         blocks = max(1, -(-asked.count() // block))
         parts = [asked.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == i) for i in range(blocks)]
-        return _union([self._block(p, k, query_key, query_embedding, probes, k * rerank, where) for p in parts])
+        return _union([self._exact(p, k, query_key, query_embedding, where) if exact else self._block(p, k, query_key, query_embedding, probes, k * rerank, where) for p in parts])
 
-    def _block(self, asked: DataFrame, k: int, query_key: str, query_embedding: str, probes: int, most: int, where: Column | None) -> DataFrame:
-        spark, key = self.spark, self.key
+    def _named(self, asked: DataFrame, query_key: str, query_embedding: str) -> tuple[list[list[float]], DataFrame]:
+        """The vectors of one block of queries, and their numbers, keys and vectors as a table."""
         part = asked.toArrow()  # one block
         vectors = [v or [] for v in part.column(1).to_pylist()]
         named = {"__query": pa.array(range(len(vectors)), pa.int64()), query_key: part.column(0), query_embedding: pa.array(vectors, pa.list_(pa.float64()))}
-        names = spark.createDataFrame(pa.table(named)).withColumn(query_key, F.col(query_key).cast(dict(asked.dtypes)[query_key]))
+        return vectors, self.spark.createDataFrame(pa.table(named)).withColumn(query_key, F.col(query_key).cast(dict(asked.dtypes)[query_key]))
+
+    def _exact(self, asked: DataFrame, k: int, query_key: str, query_embedding: str, where: Column | None) -> DataFrame:
+        key = self.key
+        vectors, names = self._named(asked, query_key, query_embedding)
+        rows = self.entries() if where is None else self.entries().where(where)
+        shared = self.spark.sparkContext.broadcast((self.quantiser and self.quantiser.centres, vectors))
+        schema = T.StructType([T.StructField("__query", T.LongType()), rows.schema[key], T.StructField("similarity", T.DoubleType())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scan, kept = _Whole(*shared.value, k), None
+            step = min(512, vector.rows_at_once(len(shared.value[1])))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    kept = scan.add(batch.slice(at, step), kept)
+            if kept is not None and kept.num_rows:
+                yield from kept.combine_chunks().to_batches()
+
+        best = Window.partitionBy("__query").orderBy(F.desc("similarity"), key)
+        found = rows.select(key, self.embedding, "__cell").mapInArrow(run, schema).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return found.join(F.broadcast(names.drop(query_embedding)), "__query").select(query_key, key, "similarity", "rank")
+
+    def _block(self, asked: DataFrame, k: int, query_key: str, query_embedding: str, probes: int, most: int, where: Column | None) -> DataFrame:
+        spark, key = self.spark, self.key
+        vectors, names = self._named(asked, query_key, query_embedding)
         if self.quantiser is None:
             own, unit, cells = np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.int64)
         else:
@@ -241,9 +267,9 @@ class VectorIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scan, kept = _Scan(*shared.value, most), None
             for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    new = scan.best(batch.slice(at, 2048))
-                    kept = new if kept is None else vector.first(pa.concat_tables([kept, new]), most)
+                for at in range(0, batch.num_rows, step := min(2048, vector.rows_at_once(len(shared.value[1])))):
+                    new = scan.best(batch.slice(at, step))
+                    kept = scan.known(new if kept is None else vector.first(pa.concat_tables([kept, new]), most))
             if kept is not None and kept.num_rows:
                 yield from kept.combine_chunks().to_batches()
 
@@ -263,9 +289,10 @@ class _Scan:
         self.own, self.most, self.n_queries = own, most, n_queries
         self.base = unit @ quantiser.centres.T if len(own) else np.zeros((0, 0), np.float32)
         self.tables = quantiser.tables(unit) if len(own) else None
+        self.least = np.full(n_queries, -np.inf, np.float32)  # of the best ``most`` so far
         self.by_cell: dict[int, np.ndarray] = {}
         if len(own):
-            order = np.argsort(cells.ravel(), kind="stable")
+            order = np.argsort(cells.ravel().astype(np.int32), kind="stable").astype(np.int32)
             sorted_cells, who = cells.ravel()[order], order // cells.shape[1]
             starts = np.flatnonzero(np.concatenate([[True], sorted_cells[1:] != sorted_cells[:-1]]))
             self.by_cell = {int(sorted_cells[a]): who[a:b] for a, b in zip(starts, [*starts[1:], len(sorted_cells)], strict=True)}
@@ -285,11 +312,10 @@ class _Scan:
                 who = self.own[mine]
             else:
                 continue
+            least = self.least[who]
             if len(at) > self.most:
-                least = np.partition(score, len(at) - self.most, axis=1)[:, len(at) - self.most]
-                q, r = np.nonzero(score >= least[:, None])
-            else:
-                q, r = (x.ravel() for x in np.indices(score.shape))
+                least = np.maximum(least, np.partition(score, len(at) - self.most, axis=1)[:, len(at) - self.most])
+            q, r = np.nonzero(score >= least[:, None])
             queries.append(who[q])
             rows.append(at[r])
             scores.append(score[q, r])
@@ -302,6 +328,58 @@ class _Scan:
         return vector.first(found, self.most)
 
 
+    def known(self, kept: pa.Table) -> pa.Table:
+        """Remember what an entry must reach to be among a query's best."""
+        _least(self.least, kept, self.most)
+        return kept
+
+
+class _Whole:
+    """Cosines of stored entries with all queries but those that no entry of the cells at hand can serve."""
+
+    def __init__(self, centres: np.ndarray | None, vectors: list[list[float]], k: int):
+        self.wanted, self.n, self.k = vector._by_length(vectors), len(vectors), k
+        self.centres = None if centres is None else centres.astype(np.float64)
+        self.least = np.full(self.n, -np.inf)
+        own, unit = self.wanted.get(0 if centres is None else centres.shape[1], (np.zeros(0, np.int64), None))
+        self.own, self.base = own, unit @ self.centres.T if len(own) and centres is not None else None
+
+    def add(self, b: pa.RecordBatch, kept: pa.Table | None) -> pa.Table | None:
+        cells = b.column("__cell").to_numpy()
+        for odd in (True, False):
+            at = np.flatnonzero((cells < 0) == odd)
+            if not len(at):
+                continue
+            reach = np.zeros(self.n)  # other lengths and vectors without length score 0
+            if not odd and self.base is not None:
+                unit = _unit(b.column(1).take(pa.array(at)), self.centres.shape[1])[1]
+                far = np.sqrt(((unit - self.centres[cells[at]]) ** 2).sum(1))
+                here, place = np.unique(cells[at], return_inverse=True)
+                most = np.zeros(len(here))
+                np.maximum.at(most, place, far)
+                reach[self.own] = (self.base[:, here] + most).max(1)
+            asked = np.flatnonzero(reach >= self.least - 1e-6)
+            if not len(asked):
+                continue
+            number = np.full(self.n, -1)
+            number[asked] = np.arange(len(asked))
+            some = {} if odd else {n: (number[own[number[own] >= 0]], q[number[own] >= 0]) for n, (own, q) in self.wanted.items()}
+            found = vector._best(some, len(asked), b.take(pa.array(at)), self.k)
+            found = found.set_column(0, "__query", pa.array(asked[found["__query"].to_numpy()]))
+            kept = vector.first(found if kept is None else pa.concat_tables([kept, found]), self.k)
+            _least(self.least, kept, self.k)
+        return kept
+
+
+def _least(least: np.ndarray, kept: pa.Table, most: int) -> None:
+    """Set the least similarity of each query that has its best ``most``."""
+    query = kept["__query"].to_numpy()
+    low = np.full(len(least), np.inf)
+    np.minimum.at(low, query, kept["similarity"].to_numpy())
+    full = np.bincount(query, minlength=len(least)) >= most
+    least[full] = low[full]
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

@@ -119,3 +119,44 @@ def test_listing_marks_files_and_conditions(spark, tmp_path):
     assert manifest.listing(read()) != before
     with pytest.raises(ValueError):
         manifest.listing(spark.createDataFrame([(uuid.uuid4().hex,)], "x string"))
+
+
+@pytest.mark.parametrize("vectors", [np.random.default_rng(2).normal(size=(3000, 24)), clustered(3000)])
+def test_exact_search_misses_nothing(spark, vectors):
+    """The nearest of vectors that hardly cluster lie in cells far away too."""
+    entries = table(spark, vectors)
+    made = ann.VectorIndex.build(entries, shared_folder(spark, "ann"), key="id")
+    for k in (2, 10):
+        want = vector.topk_many(entries, asked(entries), k, key="id", query_key="q").collect()
+        assert sorted(map(tuple, made.topk_many(asked(entries), k, query_key="q", exact=True).collect())) == sorted(map(tuple, want))
+
+
+def test_exact_search_of_odd_vectors(spark):
+    rows = [(i, v) for i, v in enumerate([[1.0, 0.0], [0.0, 1.0], None, [], [0.0, 0.0], [1.0, 2.0, 3.0], [1.0, 0.0], [float("nan"), 1.0], [-1.0, 0.0]])]
+    made = ann.VectorIndex.build(spark.createDataFrame(rows, "id long, embedding array<double>"), shared_folder(spark, "ann"), key="id", cells=2)
+    queries = spark.createDataFrame([("a", [2.0, 0.0]), ("b", []), ("c", None)], "q string, query_embedding array<double>")
+    got = {(r["q"], r["rank"]): (r["id"], r["similarity"]) for r in made.topk_many(queries, 4, query_key="q", exact=True).collect()}
+    assert [got["a", i] for i in (1, 2, 3, 4)] == [(0, 1.0), (6, 1.0), (1, 0.0), (3, 0.0)]
+    assert all([got[q, i] for i in (1, 2, 3, 4)] == [(0, 0.0), (1, 0.0), (3, 0.0), (4, 0.0)] for q in "bc")
+
+
+def test_cells_out_of_reach_are_passed_over(monkeypatch):
+    scored, best = [], vector._best
+    monkeypatch.setattr(vector, "_best", lambda wanted, n, batch, k: scored.append(n * batch.num_rows) or best(wanted, n, batch, k))
+    points = np.repeat(np.eye(8, dtype=np.float32), 100, axis=0) + 0.01 * np.random.default_rng(0).normal(size=(800, 8)).astype(np.float32)
+    points /= np.sqrt((points**2).sum(1, keepdims=True))
+    import pyarrow as pa
+
+    scan, kept = ann._Whole(np.eye(8, dtype=np.float32), points[::100].astype(float).tolist(), 3), None
+    for cell in range(8):
+        own = points[100 * cell : 100 * cell + 100].astype(float).tolist()
+        kept = scan.add(pa.record_batch({"id": np.arange(100) + 100 * cell, "e": pa.array(own), "__cell": pa.array([cell] * 100, pa.int32())}), kept)
+    assert kept.num_rows == 24 and (kept["id"].to_numpy() // 100 == kept["__query"].to_numpy()).all() and sum(scored) < 8 * 800
+
+
+def test_scores_at_a_time_do_not_grow_with_the_block(monkeypatch, spark):
+    assert vector.rows_at_once(4096) * 4096 <= vector.CELLS and vector.rows_at_once(1) == 4096
+    entries = table(spark, clustered(700))
+    want = vector.topk_many(entries, asked(entries), 5, key="id", query_key="q").collect()
+    monkeypatch.setattr(vector, "rows_at_once", lambda n: 67)
+    assert sorted(map(tuple, vector.topk_many(entries, asked(entries), 5, key="id", query_key="q").collect())) == sorted(map(tuple, want))

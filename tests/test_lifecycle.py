@@ -73,3 +73,26 @@ def test_drained_states_are_shown_whole(spark, tmp_path):
     for _ in range(2):
         assert {tuple(r) for r in traces.drain(rows, f"file://{tmp_path}/out").collect()} == {("t0", 5), ("t1", 3), ("t2", 2)}
     assert len(Log(spark, f"file://{tmp_path}/out").numbers()) == 2 and len(list((tmp_path / "out").glob("state-*"))) == 2
+
+
+def test_many_traces_are_a_few_groups_of_state(spark, tmp_path):
+    """Traces share buckets, so that calls into the state store do not grow with their number; one decided at the watermark itself is out."""
+    top, at = f"file://{tmp_path}", lambda m: AT + timedelta(minutes=m)
+    put(spark, [(f"t{i}", "start", None, at(i % 50)) for i in range(500)] + [(f"t{i}", "finish", "OK", at(100)) for i in range(0, 500, 2)], f"{top}/in")
+    put(spark, [("x", "finish", "OK", at(160))], f"{top}/in")
+    done, open_ = go(spark, top, buckets=4)
+    assert done == sorted((f"t{i}", at(i % 50), at(100), "OK") for i in range(0, 500, 2)) and open_ == {f"t{i}" for i in range(1, 500, 2)}
+    assert spark.read.format("statestore").option("stateVarName", "traces").load(f"{top}/log").count() <= 4
+    put(spark, [("x", "start", None, at(9000)), ("t0", "start", None, at(9000))], f"{top}/in")
+    done, open_ = go(spark, top, buckets=4)
+    assert len(done) == 500 and sum(r[3] == "EXPIRED" for r in done) == 250 and open_ == {"x"}  # t0 is remembered until the watermark passes
+
+
+def test_ids_of_another_kind(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    put(spark, [("7", "start", None, AT), ("8", "start", None, AT + timedelta(days=9))], f"file://{tmp_path}/in")
+    rows = spark.readStream.schema(SCHEMA).parquet(f"file://{tmp_path}/in").withColumn("kind", F.col("kind")).withColumn("trace_id", F.col("trace_id").cast("long"))
+    lifecycle.run(lifecycle.decided(rows, "trace_id"), f"file://{tmp_path}/out", f"file://{tmp_path}/log").awaitTermination()
+    assert [r["trace_id"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == [7]
+    assert [r["trace_id"] for r in lifecycle.running(spark, f"file://{tmp_path}/log").collect()] == [8]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators import relational
+from brindle.operators.spread import dealt
 
 
 def move(documents: DataFrame, ids: DataFrame, target: str, now: Column, sources: list[str] | None = None) -> DataFrame:
@@ -53,12 +54,14 @@ def parsed(documents: DataFrame, results: DataFrame, now: Column) -> DataFrame:
 def publish(documents: DataFrame, vectors: DataFrame, chunks: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Vectors of chunks (document_id, ...) whose documents are INDEXING and unexpired replace those documents' old ones; the documents become READY,
     or FAILED if they brought no chunk."""
-    live = documents.where((F.col("status") == "INDEXING") & (F.col("expires_at").isNull() | (F.col("expires_at") > now))).select("id")
-    fresh = chunks.join(live.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    documents, vectors, chunks = dealt(documents, "id"), dealt(vectors, "document_id"), dealt(chunks, "document_id")
+    open_ = (F.col("status") == "INDEXING") & (F.col("expires_at").isNull() | (F.col("expires_at") > now))
+    fresh = chunks.join(documents.where(open_).select(F.col("id").alias("document_id")), "document_id", "left_semi")
     kept = vectors.join(fresh.select("document_id").distinct(), "document_id", "left_anti")
-    done = fresh.select(F.col("document_id").alias("id")).distinct()
-    rows = move(documents, done, "READY", now, ["INDEXING"])
-    return move(rows, live.join(done, "id", "left_anti"), "FAILED", now, ["INDEXING"]), kept.unionByName(fresh)
+    rows = documents.join(chunks.select(F.col("document_id").alias("id")).distinct().withColumn("__m", F.lit(True)), "id", "left").withColumn("__open", F.coalesce(open_, F.lit(False)))
+    rows = rows.withColumn("updated_at", F.when(F.col("__open"), now).otherwise(F.col("updated_at")))
+    rows = rows.withColumn("status", F.when(F.col("__open"), F.when(F.col("__m"), "READY").otherwise("FAILED")).otherwise(F.col("status")))
+    return rows.select(*documents.columns), kept.unionByName(fresh)
 
 
 def downgrade(documents: DataFrame, vectors: DataFrame, now: Column, code: str = "index_missing") -> DataFrame:
@@ -71,12 +74,11 @@ def downgrade(documents: DataFrame, vectors: DataFrame, now: Column, code: str =
 
 
 def remove(documents: DataFrame, vectors: DataFrame, ids: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """To DELETING, vectors gone, to DELETED, row purged."""
-    rows = move(documents, ids, "DELETING", now)
-    going = rows.where("status = 'DELETING'").select("id").join(ids.select("id").distinct(), "id", "left_semi")
-    left = vectors.join(going.select(F.col("id").alias("document_id")), "document_id", "left_anti")
-    rows = move(rows, going, "DELETED", now)
-    return rows.join(rows.where("status = 'DELETED'").select("id").join(ids.select("id").distinct(), "id", "left_semi"), "id", "left_anti"), left
+    """To DELETING, vectors gone, to DELETED, row purged: the outcome of these steps in one pass. Rows of states that are not known stay."""
+    documents, vectors, named = dealt(documents, "id"), dealt(vectors, "document_id"), dealt(ids.select("id"), "id").distinct()
+    going = documents.where(F.col("status").isin(list(relational.TRANSITIONS))).select("id", "status").join(named, "id", "left_semi")  # every known state leads there
+    left = vectors.join(going.where("status <> 'DELETED'").select(F.col("id").alias("document_id")), "document_id", "left_anti")
+    return documents.join(going.select("id"), "id", "left_anti"), left
 
 
 def reclaim(documents: DataFrame, vectors: DataFrame, now: Column, limit: int = 50) -> tuple[DataFrame, DataFrame]:

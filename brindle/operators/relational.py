@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.spread import dealt
+
 # Document states.
 RECOVERABLE = ["UPLOADED", "PARSING", "INDEXING"]
 RETRIEVABLE = ["READY", "PARTIAL"]
@@ -180,7 +182,7 @@ def purge(rows: DataFrame) -> DataFrame:
 
 def claim(rows: DataFrame, attempts: DataFrame) -> DataFrame:
     """Compare and set: attempts (id, expected, target, attempt) on the current state; the first attempt of each id that finds its expected state wins."""
-    joined = attempts.join(rows.select("id", "status"), "id", "left")
+    joined = dealt(attempts, "id").join(dealt(rows.select("id", "status"), "id"), "id", "left")
     allowed = F.create_map(*[x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v]).cast("array<string>"))])
     fits = (F.col("status") == F.col("expected")) & F.array_contains(F.element_at(allowed, F.col("expected")), F.col("target"))
     n = F.row_number().over(Window.partitionBy("id", fits).orderBy("attempt"))

@@ -364,3 +364,24 @@ def test_hard_cut_is_of_the_whole(spark):
     head = lambda n: F.concat(F.lit("n="), n.cast("string"), F.lit("\n\n"))
     got = {r["u"]: r["context"] for r in windows.hard_cut(rows, "u", "t", head, 12, newest="at", key="at").collect()}
     assert got == {1: "n=2\n\nnew\n\nol", 2: None, 3: "n=1\n\nx "}
+
+
+def test_tables_are_dealt_by_their_size(spark, monkeypatch, tmp_path):
+    """What one task sorts does not grow with the table, however well its keys pack; publishing and removing need few joins."""
+    from pyspark.sql import functions as F
+
+    from brindle.operators import attachments, spread
+
+    monkeypatch.setattr(spread, "PART", 1 << 10)
+    for n in (20_000, 80_000):
+        spark.range(n).select("id", F.lit("INDEXING").alias("status"), F.lit(None).cast("timestamp").alias("expires_at"), F.current_timestamp().alias("updated_at")).write.parquet(f"{tmp_path}/{n}")
+    parts = [spread.dealt(spark.read.parquet(f"{tmp_path}/{n}"), "id").rdd.getNumPartitions() for n in (20_000, 80_000)]
+    assert 20 < parts[0] < parts[1] and spread.dealt(spark.range(3), "id").count() == 3
+    docs = spark.read.parquet(f"{tmp_path}/20000")
+    vectors = docs.where("id % 2 = 0").select(F.col("id").alias("document_id"))
+    left, kept = attachments.remove(docs, vectors, docs.where("id % 4 = 0"), F.current_timestamp())
+    assert left.count() == 15_000 and kept.count() == 5_000
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 2
+    after, found = attachments.publish(docs, vectors, docs.where("id % 3 = 0").select(F.col("id").alias("document_id")), F.current_timestamp())
+    assert {r["status"]: r["count"] for r in after.groupBy("status").count().collect()} == {"READY": 6667, "FAILED": 13333}
+    assert after._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1 and found.count() == 6667 + 6666

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +57,19 @@ def page_chunks(texts: list[str], size: int = SIZE, overlap: int = OVERLAP) -> l
     return out
 
 
+def _parts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of pages whose texts have about ``most`` bytes, or one longer page alone: what becomes Python objects at a time."""
+    texts = batch.column(2)
+    size = pc.fill_null(pc.binary_length(texts.flatten()), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    upto = np.concatenate([[0], np.cumsum(size)])[ends]
+    lo, done = 0, 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, done + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo, done = hi, int(upto[hi - 1])
+
+
 def chunk_table(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """document_id, chunk_index, page_start, page_end, text of all documents with ``pages`` as in DOCUMENT. A page is the unit of work; indexes are numbered per document."""
     pages = documents.select("document_id", F.explode("pages").alias("p")).select("document_id", F.col("p.page_number").alias("page"), F.transform("p.blocks", lambda b: b["text"]).alias("texts"))
@@ -62,10 +77,11 @@ def chunk_table(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, p, k, t) for d, p, texts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for k, t in enumerate(page_chunks([x or "" for x in texts or []], size, overlap))]
-            if rows:
-                a, b, c, e = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int32()), pa.array(c, pa.int32()), pa.array(e, pa.string())], ["document_id", "page", "k", "text"])
+            for part in _parts(batch):
+                rows = [(d, p, k, t) for d, p, texts in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True) for k, t in enumerate(page_chunks([x or "" for x in texts or []], size, overlap))]
+                if rows:
+                    a, b, c, e = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int32()), pa.array(c, pa.int32()), pa.array(e, pa.string())], ["document_id", "page", "k", "text"])
 
     from pyspark.sql import Window
 

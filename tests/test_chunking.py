@@ -208,3 +208,17 @@ def test_the_registered_query_chunks_whole_texts(spark, tmp_path):
         got[r["source"]] += r["content"].replace("\n", "") + " "
     for i, t in enumerate(texts):
         assert [w for w in t.split() if w not in got[str(i)]] == []
+
+
+def test_pages_become_python_objects_in_parts():
+    import pyarrow as pa
+
+    from brindle.operators import chunk_pages
+
+    texts = [["x" * 300, None], [], None, ["y" * 5000], ["z" * 10] * 3, ["ä" * 400], []]
+    batch = pa.record_batch({"document_id": [str(i) for i in range(7)], "page": pa.array([1] * 7, pa.int32()), "texts": pa.array(texts, pa.list_(pa.string()))})
+    parts = list(chunk_pages._parts(batch, 1000))
+    assert pa.Table.from_batches(parts).combine_chunks().to_pydict() == batch.to_pydict() and len(parts) == 4
+    assert all(p.num_rows == 1 or sum(len((t or "").encode()) for x in p["texts"].to_pylist() for t in x or []) <= 1000 for p in parts)
+    again = batch.slice(3)  # a slice's offsets do not begin at 0
+    assert pa.Table.from_batches(list(chunk_pages._parts(again, 100))).to_pydict() == again.to_pydict()

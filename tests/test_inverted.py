@@ -168,3 +168,30 @@ def test_fused_search_of_many_queries_equals_that_of_one(spark, corpus, tmp_path
                 want = hybrid.hybrid_topk(read, entries, v, lexical.query_terms(t), 6, key="id").collect()
                 assert got[q][:3] == [(r["id"], round(r["score"], 9)) for r in want][:3]
                 assert side is near or got[q] == [(r["id"], round(r["score"], 9)) for r in want]
+
+
+def test_many_queries_are_one_pass_from_a_bar(spark, corpus, tmp_path, monkeypatch):
+    """600 queries pass over the documents once, begin at their k-th best of one bucket, and are read once; single precision changes no rank."""
+    docs = corpus | {1000 + i: text(random.Random(i)) for i in range(300)} | {2000 + i: "w1 w2 " + "w59 " * i for i in range(40)}
+    write(spark, docs, f"{tmp_path}/docs")
+    monkeypatch.setattr(inverted, "SAMPLED", 1)
+    index = inverted.Index(spark.read.parquet(f"{tmp_path}/docs"), f"file://{tmp_path}/index", key="id", buckets=4)
+    queries, table = asked(spark, docs, 1)
+    found = index.topk_many(table, 3, query_key="q")
+    assert len(queries) > 600 and found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert rows(found) == brute(docs, queries, 3)
+
+
+def test_ranks_by_double_precision():
+    """Scores that single precision cannot tell apart are ranked by their ninth place."""
+    rng = np.random.default_rng(3)
+    tf = [[int(x) for x in rng.integers(1, 9, 6)] for _ in range(300)]
+    term, query = np.tile(np.arange(6), 50), np.repeat(np.arange(50), 6)
+    weight = 1e5 * (1 + rng.random(300) * 1e-9)
+    batch = pa.RecordBatch.from_pydict({"key": pa.array(range(300)), "dl": pa.array([100_000 + i for i in range(300)], pa.int32()), "terms": pa.array([list("abcdef")] * 300), "tf": pa.array(tf, pa.list_(pa.int32()))})
+    scan = inverted._Scan(list("abcdef"), term, query, weight, 50, 1e9, 4)
+    kept = scan.end(scan.add(batch, None))
+    share = 1.5 * (0.25 + 0.75 * (100_000 + np.arange(300)) / 1e9)
+    part = np.array(tf) * 2.5 / (np.array(tf) + share[:, None])
+    want = {(q, d) for q in range(50) for d in sorted(range(300), key=lambda d: (-round(float(part[d] @ weight[query == q]), 9), d))[:4]}
+    assert len(scan.frequent) == 6 and set(zip(kept["__query"].to_pylist(), kept["key"].to_pylist(), strict=True)) == want

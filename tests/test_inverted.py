@@ -195,3 +195,16 @@ def test_ranks_by_double_precision():
     part = np.array(tf) * 2.5 / (np.array(tf) + share[:, None])
     want = {(q, d) for q in range(50) for d in sorted(range(300), key=lambda d: (-round(float(part[d] @ weight[query == q]), 9), d))[:4]}
     assert len(scan.frequent) == 6 and set(zip(kept["__query"].to_pylist(), kept["key"].to_pylist(), strict=True)) == want
+
+
+def test_postings_are_lists(spark, corpus, tmp_path):
+    """A token has a row for many documents, not one for each; odd texts count as the expression over them counts."""
+    odd = corpus | {400: "Straße İI Kelvin K AB_c+#.-x 向量Cat", 401: "\n\t ", 402: "a" * 5000, 403: "THE the The"}
+    write(spark, odd, f"{tmp_path}/docs")
+    index = inverted.Index(spark.read.parquet(f"{tmp_path}/docs"), f"file://{tmp_path}/index", key="id", buckets=4)
+    stored = index._read(f"{index.record['segments'][0]['folder']}/postings", index._posting())
+    tokens = lexical.tokens(F.coalesce("text", F.lit("")))
+    want = spark.read.parquet(f"{tmp_path}/docs").select("id", F.size(tokens).alias("dl"), F.explode(tokens).alias("token")).groupBy("token", "id", "dl").agg(F.count("*").alias("tf"))
+    assert {tuple(r) for r in index.postings(["the", "cat", "c++", "向量"]).select("token", "key", "dl", "tf").collect()} == {tuple(r) for r in want.where("token IN ('the', 'cat', 'c++', '向量')").collect()}
+    assert {tuple(r) for r in index.documents("key", "dl", "terms", "tf").selectExpr("explode(arrays_zip(terms, tf)) AS x", "key", "dl").select("x.terms", "key", "dl", "x.tf").collect()} == {tuple(r) for r in want.collect()}
+    assert stored.count() * 10 < want.count() * 4

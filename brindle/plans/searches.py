@@ -19,6 +19,13 @@ def _entries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").join(e, "doc_id")
 
 
+def _stored_entries(spark: SparkSession, d: str) -> DataFrame:
+    """``_entries`` as a table of their own: a search by text passes over them several times, and each pass would join, and in large tables shuffle, all texts anew."""
+    rows, folder = _entries(spark, d), shared_folder(spark, "entries")
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 def _hybrid_over(corpus: str, k: int) -> str:
     """Fused scores of a corpus (doc_id, text, embedding) as ``f`` (doc_id, score), its best k."""
     return f"""docs AS ({corpus}), {bm25_sql(TERMS).replace("FROM documents", "FROM docs")},
@@ -35,7 +42,7 @@ _CORPUS = "SELECT doc_id, text, lang, source, embedding FROM documents JOIN embe
     FROM f JOIN docs USING (doc_id) WHERE score >= 0.3""")
 def note_search(spark: SparkSession, d: str) -> DataFrame:
     """Notes for one query by the fused score, above a threshold that cuts after the candidates."""
-    rows = _entries(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "embedding", F.concat_ws("/", "source", "doc_id").alias("source"), F.col("lang").alias("title_path"))
+    rows = _stored_entries(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "embedding", F.concat_ws("/", "source", "doc_id").alias("source"), F.col("lang").alias("title_path"))
     return pipelines.search_notes(rows, query_vector(spark, d), TERMS, limit=5, threshold=0.3).drop("excerpt")
 
 
@@ -43,17 +50,17 @@ _CHILDREN = f"""SELECT doc_id || ':jd_text' AS doc_id, doc_id AS parent, 'jd_tex
     UNION ALL SELECT doc_id || ':job_info', doc_id, 'job_info', lang || ' ' || source, embedding FROM ({_CORPUS}) WHERE doc_id % 3 > 0"""
 
 
-def _children(spark: SparkSession, d: str) -> DataFrame:
+def _children(entries: DataFrame) -> DataFrame:
     """Two children of each document: its text, and (but for every third) what kind it is."""
-    rows = _entries(spark, d).withColumn("parent", F.concat(F.lit("jobs/"), F.col("doc_id").cast("string")))
+    rows = entries.withColumn("parent", F.concat(F.lit("jobs/"), F.col("doc_id").cast("string")))
     kinds = F.array(F.struct(F.lit("jd_text").alias("t"), F.col("text").alias("c")), F.struct(F.lit("job_info").alias("t"), F.concat_ws(" ", "lang", "source").alias("c")))
     rows = rows.select("doc_id", "parent", "embedding", F.explode(kinds).alias("x")).where("x.t = 'jd_text' OR doc_id % 3 > 0")
     return rows.select(F.concat_ws(":", "doc_id", "x.t").alias("child_id"), F.col("parent").alias("source"), F.col("x.t").alias("child_type"), F.col("x.c").alias("content"), "embedding", "doc_id")
 
 
-def _parents(spark: SparkSession, d: str) -> DataFrame:
+def _parents(entries: DataFrame) -> DataFrame:
     k = F.col("doc_id")
-    return _entries(spark, d).select(F.concat(F.lit("jobs/"), k.cast("string")).alias("source_path"), F.concat("lang", F.lit("/"), (k % 50).cast("string")).alias("fingerprint"), F.col("lang").alias("category"), k.alias("jd_id"), F.col("source").alias("title"), F.col("text").alias("full_markdown"), F.sha2("text", 256).alias("parent_sha256"))
+    return entries.select(F.concat(F.lit("jobs/"), k.cast("string")).alias("source_path"), F.concat("lang", F.lit("/"), (k % 50).cast("string")).alias("fingerprint"), F.col("lang").alias("category"), k.alias("jd_id"), F.col("source").alias("title"), F.col("text").alias("full_markdown"), F.sha2("text", 256).alias("parent_sha256"))
 
 
 @query(f"""WITH {_hybrid_over(_CHILDREN, 20)},
@@ -64,13 +71,14 @@ def _parents(spark: SparkSession, d: str) -> DataFrame:
     SELECT 'jobs/' || parent AS source_path, round(score, 6) AS similarity, sha256(text) AS text_sha256 FROM r JOIN documents ON doc_id = parent WHERE n = 1 ORDER BY score DESC, 'jobs/' || parent LIMIT 5""")
 def job_search(spark: SparkSession, d: str) -> DataFrame:
     """Children by the fused score, the best of each parent, the best parent of each fingerprint, with its checked full text."""
-    found = pipelines.search_jobs(_children(spark, d), _parents(spark, d), query_vector(spark, d), TERMS, limit=5, threshold=0.2)
+    entries = _stored_entries(spark, d)
+    found = pipelines.search_jobs(_children(entries), _parents(entries), query_vector(spark, d), TERMS, limit=5, threshold=0.2)
     return found.select("source_path", F.round("similarity", 6).alias("similarity"), F.sha2("full_markdown", 256).alias("text_sha256"))
 
 
 @query(f"""SELECT 'jobs/' || doc_id AS source, round(s, 6) AS similarity FROM (SELECT doc_id, {_COS} AS s FROM ({_CORPUS}) e, {_Q} q WHERE doc_id % 3 > 0 AND lang <> 'de' ORDER BY s DESC, doc_id || ':job_info' LIMIT 5)""")
 def child_type_search(spark: SparkSession, d: str) -> DataFrame:
-    rows = _children(spark, d).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    rows = _children(_entries(spark, d)).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     found = pipelines.search_child_type(rows, query_vector(spark, d), "job_info", 5, F.col("lang") != "de")
     return found.select("source", F.round("similarity", 6).alias("similarity"))
 

@@ -153,3 +153,12 @@ def test_trace_stream(spark, tmp_path):
     assert {r["trace_id"]: r["status"] for r in store.read().collect()} == {"a": "ERROR", "b": "RUNNING", "c": "OK"}
     run()
     assert store.count() == 3
+
+
+@pytest.mark.parametrize("name", ["note_search", "job_search"])
+def test_searches_join_texts_once(spark, sf, name):
+    """The texts are joined with their vectors once and read from there: no later plan reads the documents."""
+    from brindle.plans.catalogue import QUERIES
+
+    opened = QUERIES[name](spark, sf).inputFiles()
+    assert opened and all("/entries-" in f for f in opened)

@@ -222,3 +222,19 @@ def test_pages_become_python_objects_in_parts():
     assert all(p.num_rows == 1 or sum(len((t or "").encode()) for x in p["texts"].to_pylist() for t in x or []) <= 1000 for p in parts)
     again = batch.slice(3)  # a slice's offsets do not begin at 0
     assert pa.Table.from_batches(list(chunk_pages._parts(again, 100))).to_pydict() == again.to_pydict()
+
+
+def test_a_window_looks_at_the_places_near_it(monkeypatch):
+    """The time of a window does not grow with the text: places outside its range are not read."""
+    from brindle.operators import chunk_markdown
+
+    reads, found = [0], chunk_markdown.boundaries
+
+    class Counting(list):
+        def __getitem__(self, at):
+            reads[0] += 1
+            return super().__getitem__(at)
+
+    monkeypatch.setattr(chunk_markdown, "boundaries", lambda text: Counting(found(text)))
+    spans = list(chunk_markdown.window_spans("ab cd, ef gh. " * 5000, 512, 50))
+    assert len(spans) > 100 and reads[0] < 300 * len(spans)

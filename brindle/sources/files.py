@@ -1,13 +1,34 @@
-"""File scans: Markdown, HTML and PDF corpora, evaluation sets, seed files, listings."""
+"""File scans: Markdown, HTML and PDF corpora, evaluation sets, seed files, listings.
+
+Spark's file source lists every file on the driver and counts each as 4 MiB when it deals them to tasks, so that the results of its tasks alone outgrow the driver at some
+millions of small files. Here tasks list the folders, a round for each level of large trees, into a table below ``spark.checkpoint.dir``; tasks dealt by files and bytes then
+read them through ``pyarrow.fs``, and the driver gets counts only. The entries of one folder are held by one task. Folders on file systems that ``pyarrow.fs`` cannot
+open from here are left to Spark's source.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections import deque
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.session import shared_folder
+
+#: A task that has this many folders to go, or has seen this many files, hands the folders on to the next round.
+WAITING, SEEN = 64, 10_000
+#: Folders, files and bytes of files that one task gets about, and the most tasks there are.
+FOLDERS, FILES, BYTES, TASKS = 256, 10_000, 64 << 20, 1 << 14
+#: Bytes of contents after which a batch of them is handed to Spark.
+BATCH = 8 << 20
+
+ENTRY = "path string, size long, modified long, folder boolean"
+
 
 def _relative(root: str) -> Column:
     """The path below the root, without scheme differences."""
@@ -16,15 +37,113 @@ def _relative(root: str) -> Column:
     return F.regexp_replace("path", rf"^.*\Q{tail}\E/", "")
 
 
+def _hidden(name: str) -> bool:
+    """Names that Spark's sources pass over."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata")) or name.endswith("._COPYING_")
+
+
+def _folder(uri: str):
+    """The file system and the path of a URI, in the driver and in tasks."""
+    from pyarrow import fs
+
+    files, top = fs.FileSystem.from_uri(uri)
+    return files, top.rstrip("/")
+
+
+def _uri(spark: SparkSession, root: str) -> str | None:
+    """The URI by which ``pyarrow.fs`` opens a folder; null where it cannot, or where there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    scheme, host, rest = re.fullmatch(r"([^:/]+):(?://([^/]*))?(.*)", full, re.S).groups()  # Hadoop's paths are not percent-encoded
+    uri = f"{re.sub('^s3[an]$', 's3', scheme)}://{host or ''}{quote(rest)}"
+    try:
+        files, top = _folder(uri)
+        return uri if files.get_file_info(top or "/").type.name == "Directory" else None
+    except (OSError, pa.ArrowException):
+        return None
+
+
+def _dealt(rows: DataFrame, tasks: int) -> DataFrame:
+    return rows.repartition(min(TASKS, max(tasks, rows.sparkSession.sparkContext.defaultParallelism)), "path")
+
+
+def _entries(spark: SparkSession, uri: str, suffix: str) -> DataFrame:
+    """path (relative), size and modified (milliseconds) of the files below a folder, as they were when this was called."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, top = _folder(uri)
+
+        def below(at: str) -> list[tuple[str, int | None, int | None, bool]]:
+            out = []
+            for x in files.get_file_info(fs.FileSelector(f"{top}/{at}")):
+                name = x.base_name
+                if not _hidden(name) and (x.type == fs.FileType.Directory or x.is_file and name.endswith(suffix)):
+                    out.append((f"{at}/{name}" if at else name, x.size, x.mtime_ns and x.mtime_ns // 1_000_000, not x.is_file))
+            return out
+
+        def batch(rows: list[tuple[str, int | None, int | None, bool]]) -> pa.RecordBatch:
+            kinds = pa.string(), pa.int64(), pa.int64(), pa.bool_()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["path", "size", "modified", "folder"])
+
+        for b in batches:
+            given, waiting, seen = deque(b.column("path").to_pylist()), deque(), 0
+            while given or waiting and len(waiting) < WAITING and seen < SEEN:
+                found = below((given or waiting).popleft())
+                waiting.extend(r[0] for r in found if r[3])
+                own = [r for r in found if not r[3]]
+                seen += len(own)
+                for i in range(0, len(own), SEEN):
+                    yield batch(own[i : i + SEEN])
+            if waiting:
+                yield batch([(p, None, None, True) for p in waiting])
+
+    store, rounds, folders = shared_folder(spark, "listing"), [], spark.range(1).select(F.lit("").alias("path"))
+    while True:
+        rounds.append(f"{store}/{len(rounds)}")
+        folders.mapInArrow(walk, ENTRY).write.parquet(rounds[-1])
+        folders = spark.read.schema(ENTRY).parquet(rounds[-1]).where("folder").select("path")
+        n = folders.count()
+        if not n:
+            return spark.read.schema(ENTRY).parquet(*rounds).where("NOT folder").drop("folder")
+        folders = _dealt(folders, -(-n // FOLDERS))
+
+
+def _contents(uri: str):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, top = _folder(uri)
+        for b in batches:
+            first, held, size = 0, [], 0
+            for i, path in enumerate(b.column("path").to_pylist(), 1):
+                with files.open_input_file(f"{top}/{path}") as f:
+                    held.append(f.read())
+                size += len(held[-1])
+                if size >= BATCH or i == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([*b.slice(first, i - first).columns, pa.array(held, pa.binary())], [*b.schema.names, "content"])
+                    first, held, size = i, [], 0
+
+    return read
+
+
 def scan(spark: SparkSession, root: str, suffix: str, only: Sequence[str] | None = None, content: bool = True) -> DataFrame:
     """path (relative), content, sha256 of the raw bytes, size of all files with a suffix below a folder; an empty scan is an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(root)
-    rows = files.select(_relative(root).alias("path"), *(["content", F.sha2("content", 256).alias("sha256")] if content else []), F.col("length").alias("size"), "modificationTime")
+    uri = _uri(spark, root)
+    if uri:
+        rows = _entries(spark, uri, suffix)
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(root)
+        rows = files.withColumn("path", _relative(root)).withColumnRenamed("length", "size")
     if only is not None:
         rows = rows.where(F.col("path").isin(sorted(set(only))))
-    if rows.select("path").isEmpty():
+    n, size = rows.agg(F.count("*"), F.sum("size")).head()
+    if not n:
         raise ValueError(f"no *{suffix} files below {root}")
-    return rows
+    if uri and content:
+        rows = _dealt(rows, max(-(-n // FILES), -(-size // BYTES))).mapInArrow(_contents(uri), "path string, size long, modified long, content binary")
+    if uri:
+        rows = rows.withColumn("modificationTime", F.timestamp_millis("modified"))
+    return rows.select("path", *(["content", F.sha2("content", 256).alias("sha256")] if content else []), "size", "modificationTime")
 
 
 def utf8(content: Column) -> Column:
@@ -51,8 +170,12 @@ def html(spark: SparkSession, root: str) -> DataFrame:
 
 def listing(spark: SparkSession, root: str, suffixes: Sequence[str]) -> DataFrame:
     """path, size and quoted name of files, without reading them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).drop("content")
-    rows = files.select(_relative(root).alias("path"), F.col("length").alias("size"))
+    uri = _uri(spark, root)
+    if uri:
+        rows = _entries(spark, uri, "").select("path", "size")
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        rows = files.select(_relative(root).alias("path"), F.col("length").alias("size"))
     return rows.where(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin([s.lower() for s in suffixes])).withColumn("uri", F.replace(F.url_encode("path"), F.lit("%2F"), F.lit("/"))).orderBy("path")
 
 

@@ -132,6 +132,26 @@ def test_scans(spark, tmp_path):
     assert files.pdf_pages(pdf).first()["error"] is not None
 
 
+def test_scan_of_many_small_files(spark, tmp_path):
+    """Tasks follow the bytes and not the number of files, whose list stays out of the driver; all rounds of a deep tree are read."""
+    root = tmp_path / "a b%20c"
+    names = [f"{i % 3}/{i % 90}/x/{i}.md" for i in range(900)] + ["top é.md", "0/#1?.md", "0/empty.md"]
+    for i, n in enumerate(names):
+        write(root, n, "" if "empty" in n else f"text {i}")
+    for n in ("0/.hidden.md", "_skipped/a.md", "0/other.txt", "0/A.MD"):
+        write(root, n, "x")
+    rows = files.scan(spark, f"file://{root}", ".md")
+    assert rows.columns == ["path", "content", "sha256", "size", "modificationTime"]
+    assert rows.rdd.getNumPartitions() <= 4 and len(rows.inputFiles()) < 100
+    got = {r["path"]: (bytes(r["content"]), r["size"], round(r["modificationTime"].timestamp() * 1000)) for r in rows.collect()}
+    assert got == {n: ((root / n).read_bytes(), (root / n).stat().st_size, (root / n).stat().st_mtime_ns // 1_000_000) for n in names}
+    assert [r["path"] for r in files.scan(spark, str(root), ".md", only=["0/#1?.md"]).collect()] == ["0/#1?.md"]
+    assert files.scan(spark, f"file://{root}", ".md", content=False).columns == ["path", "size", "modificationTime"]
+    assert files.listing(spark, f"file://{root}", [".md"]).count() == len(names) + 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.scan(spark, f"file://{root}/none", ".md")
+
+
 def test_tables(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     tables.append(spark.createDataFrame([("t1", 1)], "trace_id string, rounds int"), "agent_traces", path)

@@ -208,3 +208,32 @@ def test_postings_are_lists(spark, corpus, tmp_path):
     assert {tuple(r) for r in index.postings(["the", "cat", "c++", "向量"]).select("token", "key", "dl", "tf").collect()} == {tuple(r) for r in want.where("token IN ('the', 'cat', 'c++', '向量')").collect()}
     assert {tuple(r) for r in index.documents("key", "dl", "terms", "tf").selectExpr("explode(arrays_zip(terms, tf)) AS x", "key", "dl").select("x.terms", "key", "dl", "x.tf").collect()} == {tuple(r) for r in want.collect()}
     assert stored.count() * 10 < want.count() * 4
+
+
+def test_given_pairs_are_scored_by_the_pass_that_ranks(spark, corpus, tmp_path, monkeypatch):
+    """In blocks, a bounded number of terms at a time; pairs without a common term have no row, nor those of documents or queries that are not there."""
+    write(spark, corpus, f"{tmp_path}/docs")
+    monkeypatch.setattr(inverted.vector, "CELLS", 64)
+    index = inverted.Index(spark.read.parquet(f"{tmp_path}/docs"), f"file://{tmp_path}/index", key="id", buckets=4)
+    queries, table = asked(spark, corpus)
+    rng = random.Random(4)
+    pairs = {(q, d) for q in [*queries, 1] for d in [302, 999, *rng.sample(sorted(corpus), 9)]}
+    for fallback in (False, True):
+        found = index.ranked_pairs(table, spark.createDataFrame(sorted(pairs), "q long, id long"), 5, query_key="q", fallback=fallback, block=20).collect()
+        every = brute(corpus, queries, len(corpus), fallback)
+        assert {(r["q"], r["id"], round(r["score"], 6), r["rank"]) for r in found if r["rank"]} == {x for x in every if x[3] <= 5}
+        given = [(r["q"], r["id"], round(r["score"], 6)) for r in found if not r["rank"]]
+        assert len(given) == len(set(given)) and set(given) == {x[:3] for x in every if x[:2] in pairs}
+
+
+def test_fused_search_passes_over_the_documents_once(spark, corpus, tmp_path):
+    """What comes back is read from stored best rows: neither documents nor vectors are read, broadcast or shuffled for it again."""
+    from brindle.operators import hybrid
+
+    write(spark, corpus, f"{tmp_path}/docs")
+    index = inverted.Index(spark.read.parquet(f"{tmp_path}/docs"), f"file://{tmp_path}/index", key="id", buckets=4)
+    spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(100)], "id long, embedding array<double>").write.parquet(f"{tmp_path}/vectors")
+    table = spark.createDataFrame([(1, [1.0, 2.0], "cat w3"), (2, [3.0, 1.0], "the bird")], "q long, query_embedding array<double>, query_text string")
+    found = hybrid.hybrid_topk_many(index, spark.read.parquet(f"{tmp_path}/vectors"), table, 6, query_key="q")
+    assert found.count() == 12 and "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [f for f in found.inputFiles() if f"{tmp_path}/index/" in f or f"{tmp_path}/vectors" in f]

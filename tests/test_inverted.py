@@ -237,3 +237,20 @@ def test_fused_search_passes_over_the_documents_once(spark, corpus, tmp_path):
     found = hybrid.hybrid_topk_many(index, spark.read.parquet(f"{tmp_path}/vectors"), table, 6, query_key="q")
     assert found.count() == 12 and "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert not [f for f in found.inputFiles() if f"{tmp_path}/index/" in f or f"{tmp_path}/vectors" in f]
+
+
+def test_blocks_of_queries_wait_for_no_broadcast(spark, corpus, tmp_path):
+    """A broadcast in the plan of many passes gets no core until they are through, and fails after five minutes; queries are named by the tasks, whatever their keys' type."""
+    from brindle.operators import vector
+
+    write(spark, corpus, f"{tmp_path}/docs")
+    index = inverted.Index(spark.read.parquet(f"{tmp_path}/docs"), f"file://{tmp_path}/index", key="id", buckets=4)
+    queries, table = asked(spark, corpus)
+    named = table.select(F.concat(F.lit("q"), F.col("q").cast("string")).alias("q"), "query_text")
+    found = index.topk_many(named, 5, query_key="q", block=20)
+    assert rows(found) == {(f"q{q}", *x) for q, *x in brute(corpus, queries, 5)}
+    entries = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "id long, embedding array<double>")
+    near = vector.topk_many(entries, entries.selectExpr("concat('q', id) AS q", "embedding AS query_embedding"), 1, key="id", query_key="q", block=3)
+    assert {(r["q"], r["id"]) for r in near.collect()} == {(f"q{i}", i) for i in range(9)}
+    for plan in (found, near):
+        assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()

@@ -254,3 +254,20 @@ def test_blocks_of_queries_wait_for_no_broadcast(spark, corpus, tmp_path):
     assert {(r["q"], r["id"]) for r in near.collect()} == {(f"q{i}", i) for i in range(9)}
     for plan in (found, near):
         assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_queries_need_no_postings(spark, corpus, tmp_path):
+    """An index without them ranks many queries; they are made once, when a few terms are asked for, also of what came later."""
+    write(spark, corpus, f"{tmp_path}/docs")
+    opened = lambda root, **how: inverted.Index(spark.read.parquet(f"{tmp_path}/docs"), f"file://{tmp_path}/{root}", key="id", buckets=4, **how)
+    whole, index = opened("whole"), opened("index", postings=False)
+    kept = lambda: len(list((tmp_path / "index").glob("*/*/postings*")))
+    assert not kept() and {tuple(r) for r in index.words().collect()} == {tuple(r) for r in whole.words().collect()}
+    queries, table = asked(spark, corpus)
+    assert rows(index.topk_many(table, 5, query_key="q")) == brute(corpus, queries, 5) and not kept()
+    now = corpus | {901: "the cat w3"}
+    index.change(spark.createDataFrame([(901, now[901])], "id long, text string"))
+    live, terms = spark.createDataFrame(list(now.items()), "id long, text string"), ["the", "cat", "w3"]
+    want = {(r["id"], round(r["score"], 9)) for r in lexical.bm25(live, terms, key="id").where("score <> 0").collect()}
+    for one in (index, opened("index"), opened("index", postings=False)):
+        assert {(r["id"], round(r["score"], 9)) for r in lexical.bm25(one, terms, key="id").where("score <> 0").collect()} == want and kept() == 2

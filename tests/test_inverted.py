@@ -271,3 +271,20 @@ def test_many_queries_need_no_postings(spark, corpus, tmp_path):
     want = {(r["id"], round(r["score"], 9)) for r in lexical.bm25(live, terms, key="id").where("score <> 0").collect()}
     for one in (index, opened("index"), opened("index", postings=False)):
         assert {(r["id"], round(r["score"], 9)) for r in lexical.bm25(one, terms, key="id").where("score <> 0").collect()} == want and kept() == 2
+
+
+def test_documents_are_not_looked_up_when_all_files_are_new(spark, corpus, tmp_path, monkeypatch):
+    """An index whose files are all replaced begins anew; documents added by key stay, as before."""
+    write(spark, corpus, f"{tmp_path}/docs")
+    opened = lambda: inverted.Index(spark.read.parquet(f"{tmp_path}/docs"), f"file://{tmp_path}/index", key="id", buckets=4, postings=False)
+    first, took = opened(), []
+    monkeypatch.setattr(inverted.Index, "_remove", lambda self, keys, own=inverted.Index._remove: took.append(1) or own(self, keys))
+    now = {d + 1000: f"{x or ''} bird" for d, x in corpus.items()}
+    write(spark, now, f"{tmp_path}/docs", "overwrite")
+    index = opened()
+    assert index.top == first.top and index.built and not took and index.size()[0] == len(now) and len(index.record["segments"]) == 1
+    queries, table = asked(spark, now)
+    assert rows(index.topk_many(table, 5, query_key="q")) == brute(now, queries, 5)
+    index.change(spark.createDataFrame([(901, "the cat w3")], "id long, text string"))
+    write(spark, corpus, f"{tmp_path}/docs", "overwrite")
+    assert opened().size()[0] == len(corpus) + 1 and len(took) == 2
